@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, mixing, simhash, url_filter
+from emberlog.llm import chat, mixing, simhash, substring, url_filter
 from emberlog.llm.shared import table
 
 #: Rules of the page filter: host, path, verdict.
@@ -18,6 +18,10 @@ PAGE_RULES = [
 ]
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,7 +42,7 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(turns.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_source_mixing, op6_url_filter, op9_chat_windows)}
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op3_simhash, op5_source_mixing, op6_url_filter, op9_chat_windows)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
