@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, mixing, simhash, substring, url_filter
+from emberlog.llm import chat, mixing, sentencepiece, simhash, substring, toxicity, url_filter
 from emberlog.llm.shared import table
 
 #: Rules of the page filter: host, path, verdict.
@@ -35,6 +35,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, PAGE_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.predict(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
+
+
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -42,7 +48,14 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(turns.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_passages, op3_simhash, op5_source_mixing, op6_url_filter, op9_chat_windows)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece.Pieces.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    return back.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op3_simhash, op5_source_mixing, op6_url_filter, op7_toxicity, op9_chat_windows, op10_sentencepiece)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
