@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, mixing, sentencepiece, simhash, substring, toxicity, url_filter
+from emberlog.llm import chat, embeddings, mixing, sentencepiece, simhash, substring, toxicity, url_filter
 from emberlog.llm.shared import table
 
 #: Rules of the page filter: host, path, verdict.
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -55,7 +59,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_passages, op3_simhash, op5_source_mixing, op6_url_filter, op7_toxicity, op9_chat_windows, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op3_simhash, op5_source_mixing, op6_url_filter, op7_toxicity, op8_embedding_near_dedup, op9_chat_windows, op10_sentencepiece)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
