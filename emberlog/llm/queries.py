@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, embeddings, langid, mixing, sentencepiece, simhash, substring, toxicity, url_filter
+from emberlog.llm import chat, embeddings, langid, media, mixing, sentencepiece, simhash, substring, toxicity, url_filter
 from emberlog.llm.shared import table
 
 #: Rules of the page filter: host, path, verdict.
@@ -30,6 +30,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_progressive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_language_mixture, op3_simhash, op5_source_mixing, op6_url_filter, op7_toxicity, op8_embedding_near_dedup, op9_chat_windows, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_language_mixture, op3_simhash, op4_progressive_media, op5_source_mixing, op6_url_filter, op7_toxicity, op8_embedding_near_dedup, op9_chat_windows, op10_sentencepiece)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
