@@ -3,12 +3,560 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.functions import formats, levels, values
+from emberlog.functions.identifiers import identifiers
+from emberlog.operators import alerts, chains, correlate, parsers, rules
+from emberlog.operators import query as q
+from emberlog.sources import logs as log_table
+from emberlog.sources import packs
+from emberlog.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: The events as entries, for the oracle; from_events() is the same in DataFrame operations.
+LOGS = """
+    e AS (SELECT *, json_extract_string(props, '$.k') AS k, '10.0.0.' || (user_id % 250) AS client FROM events),
+    logs AS (
+        SELECT lpad(event_id::VARCHAR, 26, '0') AS id, ts AS timestamp,
+               CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'slow' WHEN 'signup' THEN 'auth' ELSE 'access' END AS source,
+               'host-' || (user_id % 8) AS host,
+               CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' WHEN 'signup' THEN 'info' WHEN 'click' THEN 'debug' ELSE 'trace' END AS level,
+               event_type || ' k=' || k || ' client ' || client
+                   || CASE WHEN event_type IN ('error', 'purchase') THEN ' request_id=' || lpad(printf('%x', user_id % 4096), 8, '0') ELSE '' END AS message,
+               '{"client_ip":"' || client || '","remote_user":"u' || user_id || '","uri":"/' || event_type || '/' || k || '","status":' || CASE WHEN event_type = 'error' THEN 502 ELSE 200 END
+                   || CASE WHEN event_type IN ('purchase', 'signup') THEN ',"session_id":"s-' || (user_id % 500) || '"' ELSE '' END
+                   || CASE WHEN event_type IN ('error', 'signup') THEN ',"pid":' || (user_id % 300) ELSE '' END || '}' AS fields,
+               client || ' - u' || user_id || ' [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET /' || event_type || '/' || k || ' HTTP/1.1" '
+                   || CASE WHEN event_type = 'error' THEN 502 ELSE 200 END || ' ' || event_id || ' "-" "agent/' || k || '"' AS raw,
+               CASE event_type WHEN 'error' THEN 'php-fpm' WHEN 'purchase' THEN 'mysql' WHEN 'signup' THEN 'syslog' ELSE 'nginx' END AS pack,
+               event_id AS seq, event_type, user_id, k, client
+        FROM e)"""
+NINE = "id, timestamp, source, host, level, message, fields, raw, pack"
+RANK = "list_position(['trace', 'debug', 'info', 'warn', 'error', 'fatal'], level)"
+
+
+def query(oracle: str | None = None, logs: bool = True):
+    """Register a function as a query, with its oracle over the view logs."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = f"WITH {LOGS} {oracle}" if logs else oracle
+        return f
+
+    return add
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The newest entries of at least level warn."""
+    return q.LogQuery(level_min="warn", limit=100).run(log_table.from_events(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------------------------ scans and filters
+
+
+@query(f"SELECT {NINE}, seq FROM logs")
+def scan_logs(spark, sf_dir):
+    return log_table.from_events(spark, sf_dir)
+
+
+@query(f"SELECT {NINE} FROM logs")
+def project_nine(spark, sf_dir):
+    return log_table.from_events(spark, sf_dir).select(*log_table.COLUMNS)
+
+
+def _filtered(spark, sf_dir, **by):
+    return q.LogQuery(**by).matches(log_table.from_events(spark, sf_dir)).select(*log_table.COLUMNS)
+
+
+@query(f"SELECT {NINE} FROM logs WHERE source = 'access'")
+def filter_source(spark, sf_dir):
+    return _filtered(spark, sf_dir, source="access")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE pack = 'php-fpm'")
+def filter_pack(spark, sf_dir):
+    return _filtered(spark, sf_dir, pack="php-fpm")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE {RANK} >= 4")
+def filter_level_min(spark, sf_dir):
+    return _filtered(spark, sf_dir, level_min="WARNING")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE {RANK} >= 3")
+def filter_level_unknown(spark, sf_dir):
+    return _filtered(spark, sf_dir, level_min="no such level")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE message LIKE '%k=1%'")
+def filter_search_like(spark, sf_dir):
+    return _filtered(spark, sf_dir, search="k=1")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE message LIKE '%c_ick%10.0.0.1_'")
+def filter_search_wildcard(spark, sf_dir):
+    return _filtered(spark, sf_dir, search="c_ick%10.0.0.1_").where(F.length(F.regexp_extract("message", r"10\.0\.0\.1.$", 0)) > 0)
+
+
+@query(f"SELECT {NINE} FROM logs WHERE timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND timestamp <= TIMESTAMP '2024-01-09 12:00:00'")
+def filter_since_until(spark, sf_dir):
+    return _filtered(spark, sf_dir, since="2024-01-03T00:00:00Z", until="2024-01-09T14:00:00+02:00")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE timestamp <= TIMESTAMP '2024-01-09 12:00:00'")
+def filter_bad_since_is_no_bound(spark, sf_dir):
+    return _filtered(spark, sf_dir, since="yesterday", until="2024-01-09T12:00:00Z")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE source = 'access' AND pack = 'nginx' AND {RANK} >= 2 AND message LIKE '%client%' AND timestamp >= TIMESTAMP '2024-01-02 00:00:00' ORDER BY timestamp DESC, id DESC LIMIT 75")
+def filter_all_combined(spark, sf_dir):
+    return q.LogQuery("access", "nginx", "debug", "client", "2024-01-02T00:00:00Z", None, 75).run(log_table.from_events(spark, sf_dir))
+
+
+@query(f"SELECT {NINE} FROM logs ORDER BY timestamp DESC, id DESC LIMIT 100")
+def topk_default_limit(spark, sf_dir):
+    return q.LogQuery(limit=0).run(log_table.from_events(spark, sf_dir))
+
+
+@query(f"SELECT {NINE} FROM logs ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 120")
+def topk_limit_offset(spark, sf_dir):
+    return q.LogQuery(limit=50, offset=120).run(log_table.from_events(spark, sf_dir))
+
+
+@query(f"SELECT * FROM (SELECT {NINE} FROM logs WHERE pack = 'mysql' ORDER BY timestamp DESC, id DESC LIMIT 20) ORDER BY timestamp, id")
+def tail_n_chronological(spark, sf_dir):
+    return q.tail(log_table.from_events(spark, sf_dir), 20, pack="mysql")
+
+
+@query("SELECT (SELECT count(*) FROM logs) AS total, (SELECT count(*) FROM logs WHERE pack = 'mysql') AS matching, least(50, (SELECT count(*) FROM logs WHERE pack = 'mysql')) AS returned")
+def list_logs_totals(spark, sf_dir):
+    return q.page_totals(log_table.from_events(spark, sf_dir), q.LogQuery(pack="mysql", limit=50))
+
+
+# ------------------------------------------------------------------------------------------ counts
+
+
+@query("SELECT count(*) AS total FROM logs")
+def count_total(spark, sf_dir):
+    return log_table.from_events(spark, sf_dir).agg(F.count("*").alias("total"))
+
+
+@query("SELECT source, count(*) AS cnt FROM logs GROUP BY source")
+def count_by_source(spark, sf_dir):
+    return q.count_by(log_table.from_events(spark, sf_dir), "source")
+
+
+@query("SELECT pack, count(*) AS cnt FROM logs GROUP BY pack")
+def count_by_pack(spark, sf_dir):
+    return q.count_by(log_table.from_events(spark, sf_dir), "pack")
+
+
+@query("SELECT min(timestamp) AS oldest, max(timestamp) AS newest FROM logs")
+def min_max_timestamp(spark, sf_dir):
+    return log_table.from_events(spark, sf_dir).agg(F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
+
+
+@query("SELECT (SELECT count(*) FROM logs) AS total, (SELECT min(timestamp) FROM logs) AS oldest, (SELECT max(timestamp) FROM logs) AS newest, string_agg(source || '=' || n, ', ' ORDER BY n DESC, source) AS by_source FROM (SELECT source, count(*) AS n FROM logs GROUP BY source)")
+def stats(spark, sf_dir):
+    shown = F.array_join(F.transform("by_source", lambda x: F.concat(x["source"], F.lit("="), x["n"])), ", ")
+    return q.stats(log_table.from_events(spark, sf_dir)).withColumn("by_source", shown)
+
+
+NOW = datetime(2024, 1, 20, 6)
+
+
+@query(f"SELECT {NINE}, seq FROM logs WHERE timestamp >= TIMESTAMP '2024-01-10 06:00:00'")
+def retention_cutoff_keep(spark, sf_dir):
+    return q.kept(log_table.from_events(spark, sf_dir), 10, NOW)
+
+
+@query("SELECT count(*) AS deleted FROM logs WHERE timestamp < TIMESTAMP '2024-01-10 06:00:00'")
+def retention_deleted_count(spark, sf_dir):
+    return q.expired(log_table.from_events(spark, sf_dir), 10, NOW).agg(F.count("*").alias("deleted"))
+
+
+_RAW = "SELECT pack, level, count(*) AS n, min(seq) AS first_seq, CAST(sum(count(*)) OVER (PARTITION BY pack) AS BIGINT) AS of_pack FROM logs GROUP BY pack, level"
+
+
+@query(_RAW)
+def raw_sql_passthrough(spark, sf_dir):
+    return q.sql(spark, log_table.from_events(spark, sf_dir), _RAW)
+
+
+# ------------------------------------------------------------------------------------------ parsers
+
+
+def _field(name: str):
+    return F.get_json_object("parsed.fields", f"$.{name}").alias(name)
+
+
+def _events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.withColumn("k", F.get_json_object("props", "$.k")).withColumn("id", F.lpad(F.col("event_id").cast("string"), 26, "0"))
+
+
+def _synthetic(spark, sf_dir, content):
+    return _events(spark, sf_dir).select("id", content.alias("content"))
+
+
+def _iso():
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _word():
+    return F.when(F.col("event_type") == "error", "CRIT").when(F.col("event_type") == "purchase", "Warning").when(F.col("event_type") == "signup", "notice").otherwise("whatever")
+
+
+_SQL_LEVEL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' ELSE 'info' END"
+
+
+@query("""SELECT id, 'info' AS level, raw AS message, date_trunc('second', timestamp) AS timestamp, client AS client_ip, 'u' || user_id AS remote_user, 'GET' AS method, '/' || event_type || '/' || k AS uri,
+          '1.1' AS http_version, CASE WHEN event_type = 'error' THEN '502' ELSE '200' END AS status, seq::VARCHAR AS body_bytes, 'agent/' || k AS user_agent FROM logs""")
+def parse_regex_access(spark, sf_dir):
+    lines = log_table.from_events(spark, sf_dir).select("id", F.col("raw").alias("content"), F.lit("nginx").alias("pack"), F.lit("access").alias("source"))
+    return parsers.parse(lines, packs.BUILT_IN).select("id", F.coalesce("parsed.level", F.lit("info")).alias("level"), "parsed.message", "parsed.timestamp", *map(_field, ("client_ip", "remote_user", "method", "uri", "http_version", "status", "body_bytes", "user_agent")))
+
+
+@query(f"SELECT id, {_SQL_LEVEL} AS level, event_type || ' k=' || k AS message, date_trunc('second', timestamp) AS timestamp, (user_id % 1000)::VARCHAR AS pid, seq::VARCHAR AS cid FROM logs")
+def parse_regex_error(spark, sf_dir):
+    line = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" ["), _word(), F.lit("] "), F.col("user_id") % 1000, F.lit("#0: *"), "event_id", F.lit(" "), "event_type", F.lit(" k="), "k")
+    lines = _synthetic(spark, sf_dir, line).withColumns({"pack": F.lit("nginx"), "source": F.lit("error")})
+    return parsers.parse(lines, packs.BUILT_IN).select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("pid"), _field("cid"))
+
+
+@query(f"SELECT id, {_SQL_LEVEL} AS level, 'said \"' || event_type || '\"' AS message, date_trunc('millisecond', timestamp) AS timestamp, 'host-' || (user_id % 8) AS host, seq::VARCHAR AS port, k AS deep, 'said \"' || event_type || '\"' AS again FROM logs")
+def parse_json(spark, sf_dir):
+    line = F.concat(F.lit('{"timestamp":"'), _iso(), F.lit('","level":"'), _word(), F.lit('","message":"said \\"'), "event_type", F.lit('\\"","host":"host-'), F.col("user_id") % 8, F.lit('","port":'), "event_id", F.lit(',"nested":{"k":['), "k", F.lit("]}}"))
+    parsed = _synthetic(spark, sf_dir, line).withColumn("parsed", parsers.by_json(F.col("content")))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("host"), _field("port"), F.get_json_object("parsed.fields", "$.nested.k[0]").alias("deep"), F.get_json_object("parsed.fields", "$.message").alias("again"))
+
+
+def _logfmt_line():
+    return F.concat(F.lit("ts="), _iso(), F.lit(" level="), _word(), F.lit(' msg="it was '), "event_type", F.lit('" port='), "event_id", F.lit(" ok=true ratio=0.25 k="), "k", F.lit(' empty="" k2=a'))
+
+_LOGFMT_SQL = f"SELECT id, {_SQL_LEVEL} AS level, 'it was ' || event_type AS message, date_trunc('millisecond', timestamp) AS timestamp, seq::VARCHAR AS port, 'true' AS ok, '0.25' AS ratio, k, '' AS empty, 'a' AS k2 FROM logs"
+
+
+@query(_LOGFMT_SQL)
+def parse_logfmt(spark, sf_dir):
+    parsed = _synthetic(spark, sf_dir, _logfmt_line()).withColumn("parsed", parsers.by_logfmt(F.col("content")))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("port", "ok", "ratio", "k", "empty", "k2")))
+
+
+@query(_LOGFMT_SQL)
+def parse_logfmt_exact(spark, sf_dir):
+    parsed = _synthetic(spark, sf_dir, _logfmt_line()).withColumn("parsed", parsers.by_logfmt(F.col("content"), exact=True))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("port", "ok", "ratio", "k", "empty", "k2")))
+
+
+_PRI_SQL = "CASE seq % 300 // 256 WHEN 1 THEN 'info' ELSE ['fatal', 'fatal', 'error', 'error', 'warn', 'info', 'info', 'debug'][1 + seq % 300 % 8] END"
+
+
+@query(f"SELECT id, {_PRI_SQL} AS level, 'did ' || event_type AS message, CAST(NULL AS TIMESTAMP) AS timestamp, 'web-' || (user_id % 8) AS hostname, 'app' || k AS app, CASE WHEN seq % 2 = 0 THEN (user_id % 1000)::VARCHAR END AS pid FROM logs")
+def parse_syslog3164(spark, sf_dir):
+    pid = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("user_id") % 1000, F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("<"), F.col("event_id") % 300, F.lit(">"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" web-"), F.col("user_id") % 8, F.lit(" app"), "k", pid, F.lit(": did "), "event_type")
+    parsed = _synthetic(spark, sf_dir, line).withColumn("parsed", parsers.by_syslog(F.col("content"), "3164"))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("hostname", "app", "pid")))
+
+
+def _new_syslog():
+    return F.concat(F.lit("<"), F.col("event_id") % 300, F.lit(">1 "), _iso(), F.lit(" web-"), F.col("user_id") % 8, F.lit(" app"), "k", F.lit(" "), F.col("user_id") % 1000, F.lit(" ID"), "event_id", F.when(F.col("event_id") % 2 == 0, F.lit(' [a@1 x="y"][b@1 z="w"] ')).otherwise(" - "), F.lit("did "), "event_type")
+
+
+@query(f"SELECT id, {_PRI_SQL} AS level, 'did ' || event_type AS message, date_trunc('millisecond', timestamp) AS timestamp, 'web-' || (user_id % 8) AS hostname, 'app' || k AS app, (user_id % 1000)::VARCHAR AS procid, 'ID' || seq AS msgid FROM logs")
+def parse_syslog5424(spark, sf_dir):
+    parsed = _synthetic(spark, sf_dir, _new_syslog()).withColumn("parsed", parsers.by_syslog(F.col("content"), "5424"))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("hostname", "app", "procid", "msgid")))
+
+
+@query(f"SELECT id, {_PRI_SQL} AS level, 'did ' || event_type AS message, CASE WHEN seq % 3 = 0 THEN date_trunc('millisecond', timestamp) END AS timestamp, 'app' || k AS app FROM logs")
+def parse_syslog_auto(spark, sf_dir):
+    old = F.concat(F.lit("<"), F.col("event_id") % 300, F.lit(">"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" web-1 app"), "k", F.lit(": did "), "event_type")
+    parsed = _synthetic(spark, sf_dir, F.when(F.col("event_id") % 3 == 0, _new_syslog()).otherwise(old)).withColumn("parsed", parsers.by_syslog(F.col("content")))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("app"))
+
+
+@query("SELECT id, CASE WHEN seq % 3 = 0 THEN 'error' WHEN seq % 3 = 1 THEN 'access' END AS source FROM logs")
+def parse_any_source(spark, sf_dir):
+    access = F.concat(F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET / HTTP/1.1" 200 1 "-" "-"'))
+    error = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" [error] 1#0: *"), "event_id", F.lit(" failed"))
+    line = F.when(F.col("event_id") % 3 == 0, error).when(F.col("event_id") % 3 == 1, access).otherwise("neither of them")
+    return parsers.parse_any_source(_synthetic(spark, sf_dir, line), packs.BUILT_IN["nginx"]).select("id", "source")
+
+
+@query("SELECT pack, source, count(*) AS lines, count_if(pack = 'nginx')::BIGINT AS parsed FROM logs GROUP BY pack, source")
+def parse_dropped_count(spark, sf_dir):
+    lines = log_table.from_events(spark, sf_dir).select("pack", "source", F.col("raw").alias("content"))
+    # lines of the other packs aren't in their format
+    return parsers.parse(lines, packs.BUILT_IN).groupBy("pack", "source").agg(F.count("*").alias("lines"), F.count("parsed").alias("parsed"))
+
+
+@query("SELECT id, 'access' AS source, 'collector' AS host, 'info' AS level, raw AS message, raw, 'nginx' AS pack, date_trunc('second', timestamp) AS timestamp FROM logs WHERE pack = 'nginx'")
+def parse_to_entries(spark, sf_dir):
+    lines = log_table.from_events(spark, sf_dir).select("id", "pack", "source", F.col("raw").alias("content"))
+    made = parsers.entries(parsers.parse(lines, packs.BUILT_IN), host="collector", now=F.lit(NOW).cast("timestamp_ntz"), id=F.col("id"))
+    return made.drop("fields")
+
+
+_WORDS = ["TRACE", "Debug", "info", "notice", "WARN", "warning", "error", "ERR", "crit", "critical", "fatal", "emerg", "emergency", "alert", "panic", "garbage", ""]
+
+
+@query(f"""SELECT word, CASE WHEN lower(word) = 'trace' THEN 'trace' WHEN lower(word) = 'debug' THEN 'debug' WHEN lower(word) IN ('warn', 'warning') THEN 'warn' WHEN lower(word) IN ('error', 'err', 'crit', 'critical') THEN 'error'
+           WHEN lower(word) IN ('fatal', 'emerg', 'emergency', 'alert', 'panic') THEN 'fatal' ELSE 'info' END AS level FROM (VALUES {", ".join(f"('{w}')" for w in _WORDS)}) t(word)""", logs=False)
+def level_normalise(spark, sf_dir):
+    return spark.createDataFrame([(w,) for w in _WORDS], "word string").select("word", levels.normalise("word").alias("level"))
+
+
+@query("SELECT pri::VARCHAR AS pri, CASE WHEN pri > 255 THEN 'info' ELSE ['fatal', 'fatal', 'error', 'error', 'warn', 'info', 'info', 'debug'][1 + pri % 8] END AS level FROM range(0, 300) t(pri)", logs=False)
+def pri_to_level(spark, sf_dir):
+    return spark.range(300).select(F.col("id").cast("string").alias("pri")).withColumn("level", levels.level_of_priority("pri"))
+
+
+_VALUES = [("200", "200"), ("-7", "-7"), ("+5", "5"), ("0.042", "0.042"), ("5d", '"5d"'), (" 5", '" 5"'), ("true", "true"), ("True", '"True"'), ("", '""'), ("1.5.2", '"1.5.2"'), ("abc", '"abc"'), ("false", "false")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _VALUES) + ") t(text, json)", logs=False)
+def value_coercion(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in _VALUES], "text string").select("text", F.to_json(values.coerce("text", booleans=True)).alias("json"))
+
+
+_STAMPS = [("09/Apr/2026:10:15:30 +0200", "2026-04-09 08:15:30"), ("2026/04/09 10:15:30", "2026-04-09 10:15:30"), ("2026-04-09 10:15:30", "2026-04-09 10:15:30"), ("2026-04-09T10:15:30.25Z", "2026-04-09 10:15:30.25"), ("2026-04-09T10:15:30+01:00", "2026-04-09 09:15:30"), ("Apr 09 10:15:30", None), ("2026", None), ("", None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'CAST(NULL AS TIMESTAMP)' if b is None else f'''TIMESTAMP '{b}' '''})" for a, b in _STAMPS) + ") t(text, instant)", logs=False)
+def timestamp_fallbacks(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in _STAMPS], "text string").select("text", values.timestamp("text").alias("instant"))
+
+
+# ------------------------------------------------------------------------------------------ identifiers and correlation
+
+_IDS = """, ids AS (SELECT *, list_sort(list_distinct(list_filter([
+        'ip=' || client, 'user=u' || user_id, 'uri=/' || event_type || '/' || k,
+        CASE WHEN event_type IN ('error', 'purchase') THEN 'request_id=' || lpad(printf('%x', user_id % 4096), 8, '0') END,
+        CASE WHEN event_type IN ('purchase', 'signup') THEN 'session_id=s-' || (user_id % 500) END,
+        CASE WHEN event_type IN ('error', 'signup') THEN 'pid=' || (user_id % 300) END], lambda x: x IS NOT NULL))) AS ids FROM logs)"""
+
+
+@query(r"SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1), lambda x: x NOT IN ('127.0.0.1', '0.0.0.0')))) AS ip FROM documents", logs=False)
+def extract_ips_text(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", identifiers(F.lit(None).cast("string"), F.col("text"), F.lit("")).alias("ids"))
+    return found.select("doc_id", F.explode("ids").alias("x")).where(F.startswith("x", F.lit("ip="))).select("doc_id", F.substring("x", F.lit(4), F.length("x")).alias("ip"))
+
+
+@query(f"{_IDS} SELECT id, unnest(ids) AS identifier FROM ids")
+def extract_all_ids_exploded(spark, sf_dir):
+    return log_table.from_events(spark, sf_dir).select("id", F.explode(identifiers()).alias("identifier"))
+
+
+@query(r"""SELECT seq, 'x-request-id: ' || lpad(printf('%x', seq), 8, '0') AS content, lpad(printf('%x', seq), 8, '0') AS request_id, 'SID' || lpad(seq::VARCHAR, 8, '0') AS session_id FROM logs WHERE seq % 5 = 0""")
+def extract_text_ids(spark, sf_dir):
+    rows = log_table.from_events(spark, sf_dir).where("seq % 5 = 0").select("seq", F.concat(F.lit("x-request-id: "), F.lpad(F.lower(F.hex("seq")), 8, "0")).alias("content"), F.concat(F.lit("JSESSIONID=SID"), F.lpad(F.col("seq").cast("string"), 8, "0")).alias("more"))
+    ids = identifiers(F.lit("{}"), F.col("content"), F.col("more"))
+    of = lambda kind: F.element_at(F.filter(ids, lambda x: F.startswith(x, F.lit(f"{kind}="))), 1)
+    return rows.select("seq", "content", F.substring_index(of("request_id"), "=", -1).alias("request_id"), F.substring_index(of("session_id"), "=", -1).alias("session_id"))
+
+
+WINDOW = 900
+_PAIRS = f"""{_IDS}, x AS (SELECT *, unnest(ids) AS key FROM ids),
+    together AS (
+        SELECT DISTINCT a.seq AS a_seq, b.seq AS b_seq FROM x a JOIN x b ON a.key = b.key
+        AND b.timestamp >= a.timestamp AND b.timestamp <= a.timestamp + INTERVAL {WINDOW} SECOND AND (a.timestamp < b.timestamp OR a.seq < b.seq) AND (a.pack != b.pack OR a.source != b.source)),
+    pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.pack AS a_pack, b.pack AS b_pack, a.source AS a_source, b.source AS b_source, b.timestamp AS b_at, a.level = 'error' AS a_error, b.level = 'error' AS b_error,
+                     list_sort(list_intersect(a.ids, b.ids)) AS m, epoch_ms(b.timestamp) - epoch_ms(a.timestamp) AS apart
+              FROM together t JOIN ids a ON a.seq = t.a_seq JOIN ids b ON b.seq = t.b_seq),
+    scored AS (SELECT *, round(least(1.0, list_sum(list_transform(m, lambda x: CASE split_part(x, '=', 1) WHEN 'ip' THEN 0.5 WHEN 'pid' THEN 0.6 WHEN 'request_id' THEN 0.9 WHEN 'session_id' THEN 0.8 WHEN 'uri' THEN 0.4 ELSE 0.3 END)::DOUBLE[])
+               * (0.5 + 0.5 * (1 - apart / {WINDOW * 1000}.0::DOUBLE)) * CASE WHEN a_pack != b_pack THEN 1.2 ELSE 1 END * CASE WHEN a_error OR b_error THEN 1.1 ELSE 1 END), 6)::DOUBLE AS confidence FROM pairs)"""
+_TYPE = """CASE WHEN len(list_filter(m, lambda x: x LIKE 'request_id=%')) > 0 THEN 'request_chain' WHEN len(list_filter(m, lambda x: x LIKE 'pid=%')) > 0 THEN 'process_group' WHEN a_error != b_error THEN 'causal'
+           WHEN a_pack != b_pack AND len(list_filter(m, lambda x: x LIKE 'ip=%')) > 0 THEN 'request_chain' ELSE 'temporal' END"""
+
+
+def _correlations(spark, sf_dir, least=0.0, **more):
+    return correlate.correlate(log_table.from_events(spark, sf_dir), window_seconds=WINDOW, least=least, **more)
+
+
+@query(f"{_PAIRS} SELECT a_id, b_id, array_to_string(m, ',') AS matches FROM pairs")
+def correlate_pairs(spark, sf_dir):
+    found = correlate.pairs(correlate.with_identifiers(log_table.from_events(spark, sf_dir)), window_seconds=WINDOW)
+    return found.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.array_join("matches", ",").alias("matches"))
+
+
+@query(f"{_PAIRS} SELECT a_id || '~' || b_id AS id, confidence FROM scored")
+def correlate_confidence(spark, sf_dir):
+    return _correlations(spark, sf_dir).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"{_PAIRS} SELECT {_TYPE} AS correlation_type, count(*) AS n FROM scored GROUP BY 1")
+def correlate_types(spark, sf_dir):
+    return _correlations(spark, sf_dir).groupBy("correlation_type").agg(F.count("*").alias("n"))
+
+
+@query(f"{_PAIRS} SELECT a_id || '~' || b_id AS id, b_pack || '/' || b_source || ' <-> ' || a_pack || '/' || a_source || ' via ' || array_to_string(m, ', ') AS description, b_at AS timestamp FROM scored")
+def correlate_description(spark, sf_dir):
+    return _correlations(spark, sf_dir).select("id", "description", "timestamp")
+
+
+@query(f"{_PAIRS} SELECT a_id AS older, b_id AS newer, {_TYPE} AS correlation_type FROM scored WHERE confidence >= 0.7")
+def correlate_min_confidence(spark, sf_dir):
+    # compared after rounding in both engines, so a sum that ends in the last bit can't differ
+    found = correlate.correlate(log_table.from_events(spark, sf_dir), window_seconds=WINDOW, least=0.6999995)
+    return found.select(F.col("entry_ids")[0].alias("older"), F.col("entry_ids")[1].alias("newer"), "correlation_type")
+
+
+@query(f"{_PAIRS} SELECT count(*) AS n, count_if(a_pack = b_pack AND a_source = b_source)::BIGINT AS same FROM pairs")
+def correlate_no_self_source(spark, sf_dir):
+    found = correlate.pairs(correlate.with_identifiers(log_table.from_events(spark, sf_dir)), window_seconds=WINDOW)
+    return found.agg(F.count("*").alias("n"), F.count_if((F.col("a.pack") == F.col("b.pack")) & (F.col("a.source") == F.col("b.source"))).alias("same"))
+
+
+@query(f"{_PAIRS} SELECT a_id, b_id FROM pairs WHERE b_id::BIGINT - a_id::BIGINT <= 3")
+def correlate_newest_only(spark, sf_dir):
+    found = correlate.pairs(correlate.with_identifiers(log_table.from_events(spark, sf_dir)), window_seconds=WINDOW, newest=3)
+    return found.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
+@query(f"{_PAIRS} SELECT a_id || '~' || b_id AS id, confidence FROM scored WHERE confidence >= 0.7")
+def correlate_stream_equals_batch(spark, sf_dir):
+    return pipeline.correlations_once(spark, log_table.from_events(spark, sf_dir), window_seconds=WINDOW, least=0.6999995).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"{_PAIRS}, c AS (SELECT a_id || '~' || b_id AS correlation_id, unnest([a_id, b_id]) AS entry_id, unnest([1, 2]) AS place FROM scored WHERE confidence >= 0.9) SELECT correlation_id, place, entry_id, timestamp, pack, source, level, message FROM c JOIN logs ON logs.id = entry_id")
+def incident_timeline(spark, sf_dir):
+    logs = log_table.from_events(spark, sf_dir)
+    return correlate.timeline(correlate.correlate(logs, window_seconds=WINDOW, least=0.8999995), logs)
+
+
+# ------------------------------------------------------------------------------------------ rules
+
+
+@query("SELECT id, user_id % 300 >= 150 AND event_type IN ('error', 'signup') AS gte, event_type = 'error' AS eq, event_type != 'error' AS neq, k LIKE '%1%' OR event_type LIKE '%1%' AS holds, false AS missing, '/' || event_type || '/' || k < '/error' AS less FROM logs")
+def rule_ops_each(spark, sf_dir):
+    c = rules.Condition
+    return log_table.from_events(spark, sf_dir).select(
+        "id",
+        c("pid", "gte", "150").holds().alias("gte"),
+        c("status", "eq", "502").holds().alias("eq"),
+        c("status", "neq", "502").holds().alias("neq"),
+        c("uri", "contains", "1").holds().alias("holds"),
+        c("nothing", "neq", "x").holds().alias("missing"),
+        c("uri", "lt", "/error").holds().alias("less"),
+    )
+
+
+_RULES = [
+    ("WHEN nginx.status >= 500 WITHIN 2s CORRELATE php-fpm", "nginx", "status", "gte", "500", 2, "php-fpm"),
+    ("when nginx.a.b contains x within 30s correlate php.error where y", "nginx", "a.b", "contains", "x", 30, "php.error"),
+    ("WHEN nginx.status = 1 WITHIN 2m CORRELATE php", None, None, None, None, None, None),
+    ("WHEN nginx status = 1 WITHIN 2s CORRELATE", None, None, None, None, None, None),
+    ("WHEN nginx.status ~ 1 WITHIN 2s CORRELATE php", None, None, None, None, None, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None and i != 5 else "-1" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for i, v in enumerate(r)) + ")" for r in _RULES) + ") t(rule, source_pack, field, operator, value, window_seconds, target_pack)", logs=False)
+def rule_parse_cases(spark, sf_dir):
+    rows = []
+    for text, *_ in _RULES:
+        r = rules.parse_rule("r", text)
+        rows.append((text, *((r.source_pack, r.condition.field, r.condition.operator, r.condition.value, r.window_seconds, r.target_pack) if r else (None, None, None, None, -1, None))))
+    return spark.createDataFrame(rows, "rule string, source_pack string, field string, operator string, value string, window_seconds int, target_pack string")
+
+
+@query("SELECT 'errors_after_orders' AS rule, s.id AS source_id, t.id AS target_id FROM logs s JOIN logs t ON t.timestamp BETWEEN s.timestamp - INTERVAL 600 SECOND AND s.timestamp + INTERVAL 600 SECOND WHERE s.pack = 'php-fpm' AND t.pack = 'mysql'")
+def rule_interval_join(spark, sf_dir):
+    return rules.parse_rule("errors_after_orders", "WHEN php-fpm.status >= 500 WITHIN 600s CORRELATE mysql").pairs(log_table.from_events(spark, sf_dir))
+
+
+@query("SELECT 'same_client' AS rule, s.id AS source_id, t.id AS target_id FROM logs s JOIN logs t ON s.client = t.client AND t.timestamp BETWEEN s.timestamp - INTERVAL 7200 SECOND AND s.timestamp + INTERVAL 7200 SECOND WHERE s.pack = 'php-fpm' AND t.pack = 'nginx' AND t.event_type = 'click'")
+def rule_matched_fields(spark, sf_dir):
+    rule = rules.Rule("same_client", "php-fpm", rules.Condition("status", "eq", "502"), "nginx", 7200, rules.Condition("uri", "contains", "/click/"), [("client_ip", "client_ip")])
+    return rule.pairs(log_table.from_events(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------------------------ chains
+
+_STEPS = {"orders_then_errors": [chains.Step("mysql", "warn", "K=1"), chains.Step("php-fpm", "error")], "signups": [chains.Step("syslog", "info", "signup")]}
+_CHAINS = """, g AS (SELECT date_trunc('hour', timestamp) AS window_start, min(id) FILTER (pack = 'mysql' AND contains(lower(message), 'k=1')) AS s1, min(id) FILTER (pack = 'php-fpm') AS s2, min(id) FILTER (pack = 'syslog') AS s3 FROM logs GROUP BY 1),
+    c AS (SELECT window_start, 'orders_then_errors' AS name, [s1, s2] AS ids FROM g WHERE s1 IS NOT NULL AND s2 IS NOT NULL UNION ALL SELECT window_start, 'signups', [s3] FROM g WHERE (s1 IS NULL OR s2 IS NULL) AND s3 IS NOT NULL),
+    m AS (SELECT c.window_start, c.name, l.*, row_number() OVER (PARTITION BY c.window_start ORDER BY l.timestamp, l.id) AS i, count(*) OVER (PARTITION BY c.window_start) AS n FROM c JOIN logs l ON list_contains(c.ids, l.id) AND date_trunc('hour', l.timestamp) = c.window_start)"""
+
+
+def _found_chains(spark, sf_dir, **more):
+    return chains.detect(chains.in_windows(log_table.from_events(spark, sf_dir)), ["window_start"], templates=_STEPS, **more)
+
+
+@query(f"{_CHAINS} SELECT window_start, name, max_by(level, {RANK}) AS severity, max(CASE WHEN i = 1 THEN pack || '/' || source || ': ' || message END) AS root_cause FROM m GROUP BY 1, 2")
+def chain_templates(spark, sf_dir):
+    return _found_chains(spark, sf_dir, generic=False).select("window_start", "name", "severity", "root_cause")
+
+
+@query(f"{_CHAINS} SELECT window_start, name, id AS entry_id, CASE WHEN i = 1 THEN 'root_cause' WHEN i = n THEN 'symptom' ELSE 'intermediate' END AS role FROM m")
+def chain_roles(spark, sf_dir):
+    return _found_chains(spark, sf_dir, generic=False).select("window_start", "name", F.explode("entries").alias("e")).select("window_start", "name", "e.entry_id", "e.role")
+
+
+@query(f"""{_CHAINS}, w AS (SELECT date_trunc('hour', timestamp) AS window_start FROM logs GROUP BY 1 HAVING bool_or(level = 'error')),
+           x AS (SELECT l.*, w.window_start, row_number() OVER (PARTITION BY w.window_start ORDER BY l.timestamp, l.id) AS i FROM w JOIN logs l ON date_trunc('hour', l.timestamp) = w.window_start WHERE w.window_start NOT IN (SELECT window_start FROM c))
+           SELECT window_start, 'generic_chain' AS name, id AS entry_id, CASE WHEN level = 'error' AND i = 1 THEN 'root_cause' WHEN level = 'error' THEN 'symptom' ELSE 'intermediate' END AS role FROM x""")
+def chain_generic(spark, sf_dir):
+    found = _found_chains(spark, sf_dir).where(F.col("name") == chains.GENERIC)
+    return found.select("window_start", "name", F.explode("entries").alias("e")).select("window_start", "name", "e.entry_id", "e.role")
+
+
+# ------------------------------------------------------------------------------------------ formats, packs, further operators
+
+
+@query("""SELECT n, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS shown
+          FROM (SELECT (i * i * i * 1009)::BIGINT AS n FROM range(0, 3000) t(i))""", logs=False)
+def format_bytes(spark, sf_dir):
+    return spark.range(3000).select((F.col("id") * F.col("id") * F.col("id") * 1009).alias("n")).withColumn("shown", formats.human_bytes("n"))
+
+
+@query("SELECT n, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0::DOUBLE) WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0::DOUBLE) ELSE n::VARCHAR END AS shown FROM (SELECT (i * i * 7)::BIGINT AS n FROM range(0, 3000) t(i))", logs=False)
+def format_number(spark, sf_dir):
+    return spark.range(3000).select((F.col("id") * F.col("id") * 7).alias("n")).withColumn("shown", formats.human_number("n"))
+
+
+@query("""SELECT s, CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h ' || (s % 3600 // 60) || 'm' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 60) || 'm' END AS shown
+          FROM (SELECT (i * 617)::BIGINT AS s FROM range(0, 1000) t(i))""", logs=False)
+def format_duration(spark, sf_dir):
+    return spark.range(1000).select((F.col("id") * 617).alias("s")).withColumn("shown", formats.human_duration("s"))
+
+
+@query("SELECT id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' [' || level || '] ' || pack || '/' || source || ': ' || message AS entry, strftime(timestamp, '%H:%M:%S') || ' ' || level || ' ' || pack || '/' || source || ' ' || message AS tailed FROM logs")
+def format_entries(spark, sf_dir):
+    return log_table.from_events(spark, sf_dir).select("id", formats.entry_line().alias("entry"), formats.tail_line().alias("tailed"))
+
+
+@query("SELECT * FROM (VALUES ('nginx'), ('php-fpm'), ('apache'), ('haproxy')) t(name)", logs=False)
+def pack_search(spark, sf_dir):
+    return packs.search(packs.index(spark), "WEB").select("name")
+
+
+@query("""SELECT file_path, min(seq) AS line_no, string_agg(content, chr(10) ORDER BY seq) AS content FROM (
+              SELECT *, max(CASE WHEN seq % 4 = 0 THEN seq END) OVER (PARTITION BY file_path ORDER BY seq) AS g FROM (
+                  SELECT seq, 'f' || (seq % 3) AS file_path, CASE WHEN seq % 4 = 0 THEN '[' || seq || '] start' ELSE '  more ' || seq END AS content FROM logs)) GROUP BY file_path, g""")
+def multiline_join(spark, sf_dir):
+    lines = log_table.from_events(spark, sf_dir).select(F.concat(F.lit("f"), F.col("seq") % 3).alias("file_path"), F.col("seq").alias("line_no"), F.when(F.col("seq") % 4 == 0, F.concat(F.lit("["), "seq", F.lit("] start"))).otherwise(F.concat(F.lit("  more "), "seq")).alias("content"))
+    return parsers.joined_lines(lines, r"^\[", block=1000)
+
+
+@query("SELECT 'spike' AS alert, to_timestamp(epoch(timestamp)::BIGINT // 7200 * 7200)::TIMESTAMP AS window_start, count(*)::DOUBLE AS value FROM logs WHERE event_type = 'error' GROUP BY 2 HAVING count(*) > 3")
+def alert_count_window(spark, sf_dir):
+    return alerts.parse_alert("spike", "count(status >= 500) > 3 in 2h").fired(log_table.from_events(spark, sf_dir))
+
+
+@query("SELECT 'pids' AS alert, to_timestamp(epoch(timestamp)::BIGINT // 86400 * 86400)::TIMESTAMP AS window_start, round(avg(user_id % 300), 6) AS value FROM logs WHERE event_type IN ('error', 'signup') GROUP BY 2 HAVING round(avg(user_id % 300), 6) > 145")
+def alert_avg_window(spark, sf_dir):
+    return alerts.parse_alert("pids", "avg(pid) > 145 in 1d").fired(log_table.from_events(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT 'by_client' AS alert, to_timestamp(epoch(timestamp)::BIGINT // 86400 * 86400)::TIMESTAMP AS window_start, client AS client_ip, count(*)::DOUBLE AS value FROM logs WHERE contains(message, 'error') GROUP BY 2, 3 HAVING count(*) > 1")
+def alert_grouped(spark, sf_dir):
+    return alerts.parse_alert("by_client", "count(message contains 'error' AND client_ip = same) > 1 in 1d").fired(log_table.from_events(spark, sf_dir))
