@@ -370,7 +370,7 @@ _PAIRS = f"""{_IDS}, x AS (SELECT *, unnest(ids) AS key FROM ids),
         SELECT DISTINCT a.seq AS a_seq, b.seq AS b_seq FROM x a JOIN x b ON a.key = b.key
         AND b.timestamp >= a.timestamp AND b.timestamp <= a.timestamp + INTERVAL {WINDOW} SECOND AND (a.timestamp < b.timestamp OR a.seq < b.seq) AND (a.pack != b.pack OR a.source != b.source)),
     pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.pack AS a_pack, b.pack AS b_pack, a.source AS a_source, b.source AS b_source, b.timestamp AS b_at, a.level = 'error' AS a_error, b.level = 'error' AS b_error,
-                     list_sort(list_intersect(a.ids, b.ids)) AS m, epoch_ms(b.timestamp) - epoch_ms(a.timestamp) AS apart
+                     list_sort(list_intersect(a.ids, b.ids)) AS m, (epoch_us(b.timestamp) - epoch_us(a.timestamp)) // 1000 AS apart
               FROM together t JOIN ids a ON a.seq = t.a_seq JOIN ids b ON b.seq = t.b_seq),
     scored AS (SELECT *, round(least(1.0, list_sum(list_transform(m, lambda x: CASE split_part(x, '=', 1) WHEN 'ip' THEN 0.5 WHEN 'pid' THEN 0.6 WHEN 'request_id' THEN 0.9 WHEN 'session_id' THEN 0.8 WHEN 'uri' THEN 0.4 ELSE 0.3 END)::DOUBLE[])
                * (0.5 + 0.5 * (1 - apart / {WINDOW * 1000}.0::DOUBLE)) * CASE WHEN a_pack != b_pack THEN 1.2 ELSE 1 END * CASE WHEN a_error OR b_error THEN 1.1 ELSE 1 END), 6)::DOUBLE AS confidence FROM pairs)"""
@@ -552,9 +552,9 @@ def alert_count_window(spark, sf_dir):
     return alerts.parse_alert("spike", "count(status >= 500) > 3 in 2h").fired(log_table.from_events(spark, sf_dir))
 
 
-@query("SELECT 'pids' AS alert, to_timestamp(epoch(timestamp)::BIGINT // 86400 * 86400)::TIMESTAMP AS window_start, round(avg(user_id % 300), 6) AS value FROM logs WHERE event_type IN ('error', 'signup') GROUP BY 2 HAVING round(avg(user_id % 300), 6) > 145")
+@query("SELECT 'pids' AS alert, to_timestamp(epoch(timestamp)::BIGINT // 86400 * 86400)::TIMESTAMP AS window_start, round(avg(user_id % 300), 6) AS value FROM logs WHERE event_type IN ('error', 'signup') GROUP BY 2 HAVING round(avg(user_id % 300), 6) > 50")
 def alert_avg_window(spark, sf_dir):
-    return alerts.parse_alert("pids", "avg(pid) > 145 in 1d").fired(log_table.from_events(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return alerts.parse_alert("pids", "avg(pid) > 50 in 1d").fired(log_table.from_events(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT 'by_client' AS alert, to_timestamp(epoch(timestamp)::BIGINT // 86400 * 86400)::TIMESTAMP AS window_start, client AS client_ip, count(*)::DOUBLE AS value FROM logs WHERE contains(message, 'error') GROUP BY 2, 3 HAVING count(*) > 1")
