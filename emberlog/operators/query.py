@@ -48,10 +48,13 @@ class LogQuery:
         if self.search is not None:
             logs = logs.where(F.col("message").like(f"%{self.search}%"))
         since, until = _instant(self.since), _instant(self.until)
+        by_day = "day" in logs.columns  # then whole folders are left out too
         if since is not None:
             logs = logs.where(F.col("timestamp") >= F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz"))
+            logs = logs.where(F.col("day") >= F.lit(since.date())) if by_day else logs
         if until is not None:
             logs = logs.where(F.col("timestamp") <= F.lit(until.isoformat(sep=" ")).cast("timestamp_ntz"))
+            logs = logs.where(F.col("day") <= F.lit(until.date())) if by_day else logs
         return logs
 
     def run(self, logs: DataFrame) -> DataFrame:

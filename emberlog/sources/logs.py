@@ -23,9 +23,10 @@ def append(logs: DataFrame, path: str) -> None:
 def append_new(logs: DataFrame, path: str) -> None:
     """append() without the entries whose id the table has already, or that come twice."""
     spark = logs.sparkSession
-    fresh = logs.dropDuplicates(["id"])
-    # an id names one entry, so only days that come again have to be looked at
-    fresh = fresh.join(spark.read.parquet(path).select("id", "day"), (fresh["id"] == F.col("id")) & (F.to_date(fresh["timestamp"]) == F.col("day")), "left_anti") if _exists(spark, path) else fresh
+    fresh = logs.dropDuplicates(["id"]).withColumn("day", F.to_date("timestamp"))
+    if _exists(spark, path):
+        # an id names one entry and so one day: only the days that come again are read
+        fresh = fresh.join(spark.read.parquet(path).select("id", "day"), ["id", "day"], "left_anti")
     append(fresh, path)
 
 
@@ -35,7 +36,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*COLUMNS)
+    """Entries of a table, and the day that says in which folder each lies."""
+    return spark.read.parquet(path).select(*COLUMNS, "day")
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,183 @@
+import json
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.functions.values import java_format, named_groups, timestamp, ulid
+from emberlog.operators import parsers
+from emberlog.sources import packs
+
+
+def one(spark, line, parser):
+    r = spark.createDataFrame([(line,)], "content string").select(parser(F.col("content")).alias("p")).first().p
+    return r and (r.timestamp, r.level, r.message, json.loads(r.fields))
+
+
+def test_access_line(spark):
+    line = '10.1.2.3 - bob [09/Apr/2026:10:15:30 +0200] "GET /api/users HTTP/1.1" 200 1234 "-" "curl/8"'
+    at, level, message, fields = one(spark, line, parsers.parser_of(packs.BUILT_IN["nginx"].source("access")))
+    assert (at, level, message) == (datetime(2026, 4, 9, 8, 15, 30), None, line)
+    assert fields["status"] == 200 and fields["body_bytes"] == 1234 and fields["uri"] == "/api/users" and fields["client_ip"] == "10.1.2.3" and fields["http_version"] == 1.1
+    assert fields["timestamp"] == "09/Apr/2026:10:15:30 +0200"
+
+
+def test_error_line(spark):
+    at, level, message, fields = one(spark, "2026/04/09 10:15:30 [error] 1234#0: *5678 upstream failed", parsers.parser_of(packs.BUILT_IN["nginx"].source("error")))
+    assert (at, level, message, fields["pid"], fields["cid"]) == (datetime(2026, 4, 9, 10, 15, 30), "error", "upstream failed", 1234, 5678)
+
+
+def test_numbers_of_groups(spark):
+    assert one(spark, "x status=200 time=0.042", lambda c: parsers.by_regex(c, r"status=(?P<status>\d+) time=(?P<time>[\d.]+)(?P<more> .*)?"))[3] == {"status": 200, "time": 0.042}
+    assert one(spark, "nothing here", lambda c: parsers.by_regex(c, r"status=(?P<status>\d+)")) is None
+
+
+def test_first_fit_of_a_list_and_other_packs(spark):
+    php = parsers.parser_of(packs.BUILT_IN["php-fpm"].source("error"))
+    assert one(spark, "[09-Apr-2026 10:15:30] WARNING: slow child", php)[:3] == (None, "warn", "slow child")
+    mysql = parsers.parser_of(packs.BUILT_IN["mysql"].source("error"))
+    assert one(spark, "2026-04-09T10:15:30.123456Z 8 [Note] ready", mysql)[:3] == (datetime(2026, 4, 9, 10, 15, 30, 123456), "info", "ready")
+    slow = parsers.parser_of(packs.BUILT_IN["mysql"].source("slow"))
+    assert one(spark, "# Time: 2026-04-09T10:15:30Z\n# User@Host: app[app] @ db1", slow)[3]["user"] == "app[app]"
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("<34>Oct 11 22:14:15 web sshd[12345]: Failed password", (None, "error", "Failed password", {"hostname": "web", "app": "sshd", "pid": 12345})),
+        ("<165>1 2026-04-09T10:00:00.5Z web-01 myapp 1234 ID47 - An event", (datetime(2026, 4, 9, 10, 0, 0, 500000), "info", "An event", {"hostname": "web-01", "app": "myapp", "procid": "1234", "msgid": "ID47"})),
+        ('<8>1 not-a-time h a - - [x@1 a="b"][y@2 c="d"] m', (None, "fatal", "m", {"hostname": "h", "app": "a", "procid": "-", "msgid": "-"})),
+        ("Oct 1 22:14:15 web cron: no priority", (None, "info", "no priority", {"hostname": "web", "app": "cron"})),
+        ("<999>Oct 11 22:14:15 web cron: too large", (None, "info", "too large", {"hostname": "web", "app": "cron"})),
+        ("no syslog at all", None),
+    ],
+)
+def test_syslog(spark, line, want):
+    assert one(spark, line, parsers.by_syslog) == want
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ('{"timestamp":"2026-04-09T10:00:00+02:00","level":"ERROR","message":"refused","host":"db","port":5432}', (datetime(2026, 4, 9, 8), "error", "refused", {"host": "db", "port": 5432, "message": "refused"})),
+        ('{"level":5,"message":{"a":1},"timestamp":"2026","x":[1,{"y":null}]}', (None, None, "", {"x": [1, {"y": None}]})),
+        ("{}", (None, None, "", {})),
+        ("not json at all", None),
+        ("[1, 2]", None),
+        ('{"broken": ', None),
+    ],
+)
+def test_json(spark, line, want):
+    assert one(spark, line, parsers.by_json) == want
+
+
+def test_json_renames(spark):
+    assert one(spark, '{"a":1,"b":2}', lambda c: parsers.by_json(c, renamed={"a": "c"}))[3] == {"c": 1, "b": 2}
+
+
+LOGFMT = [
+    ('ts=2026-04-09T10:00:00Z level=error msg="connection refused" port=5432', {"ts": "2026-04-09T10:00:00Z", "level": "error", "msg": "connection refused", "port": "5432"}),
+    ("foo bar=1", {"foo bar": "1"}),
+    ("hello world", {"hello world": ""}),
+    (r'a="x\"y\nz" b=2', {"a": 'x"ynz', "b": "2"}),
+    ('a="never closed', {"a": "never closed"}),
+    ("a= b=1", {"a": "", "b": "1"}),
+    ("a=1 a=2", {"a": "2"}),
+    ("", {}),
+    ("   ", {}),
+    ("=x", {}),
+    ('a="x"b=1', {"a": "x", "b": "1"}),
+]
+
+
+@pytest.mark.parametrize("line, want", LOGFMT)
+def test_logfmt_pairs(line, want):
+    assert parsers.logfmt_pairs(line) == want
+
+
+def scanned(line):
+    """A plain scanner, a character at a time."""
+    pairs, i = {}, 0
+    while i < len(line):
+        while i < len(line) and line[i].isspace():
+            i += 1
+        end = line.find("=", i)
+        key, i = (line[i:end], end + 1) if end >= 0 else (line[i:], len(line))
+        if not key:
+            break
+        value = ""
+        if line[i : i + 1] == '"':
+            i += 1
+            while i < len(line) and line[i] != '"':
+                if line[i] == "\\":
+                    i += 1
+                value += line[i : i + 1]
+                i += 1
+            i += 1
+        else:
+            while i < len(line) and not line[i].isspace():
+                value += line[i]
+                i += 1
+        pairs[key] = value
+    return pairs
+
+
+def test_logfmt_equals_a_scanner():
+    rng = random.Random(0)
+    for _ in range(3000):
+        line = "".join(rng.choices(["a", "b", "=", '"', "\\", " ", "1", "\t", "é"], k=rng.randint(0, 14)))
+        assert parsers.logfmt_pairs(line) == scanned(line), repr(line)
+
+
+def test_logfmt_forms_agree(spark):
+    lines = [line for line, _ in LOGFMT] + ['n=1.5 t=true f=false s="a b" i=-3 e=""', "k=1 k=x k=2"]
+    df = spark.createDataFrame([(x,) for x in lines], "content string").select("content", parsers.by_logfmt(F.col("content")).alias("plain"), parsers.by_logfmt(F.col("content"), exact=True).alias("exact"))
+    for r in df.collect():
+        assert (r.exact is None) == (not parsers.logfmt_pairs(r.content))
+        if r.plain is not None:
+            assert r.plain[:3] == r.exact[:3] and json.loads(r.plain.fields) == json.loads(r.exact.fields), r.content
+    assert sum(r.plain is not None for r in df.collect()) >= 5
+
+
+def test_patterns():
+    assert named_groups(r"(?P<a>\d+)(x|(?:y))(?<b>[(?P<c>]+)\((?P<d>z)") == (r"(?d)(\d+)(x|(?:y))([(?P<c>]+)\((z)", {"a": 1, "b": 3, "d": 4})
+    assert java_format("%d/%b/%Y:%H:%M:%S %z") == "dd/MMM/yyyy:HH:mm:ss Z" and java_format("%Q") == ""
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    rows = spark.createDataFrame([("2026-07-09T10:00:00Z",), ("2026-03-29 02:30:00",), ("09/Jul/2026:10:15:30 +0200",)], "t string")
+    want = [datetime(2026, 7, 9, 10), datetime(2026, 3, 29, 2, 30), datetime(2026, 7, 9, 8, 15, 30)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert [r.t for r in rows.select(timestamp("t").alias("t")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_ids_are_in_time_order(spark):
+    at = lambda s: F.lit(s).cast("timestamp")
+    a, b = spark.range(200).select(ulid(at("2026-01-01 00:00:00")).alias("a"), ulid(at("2026-01-01 00:00:01")).alias("b")).agg(F.max("a"), F.min("b")).first()
+    assert len(a) == len(b) == 26 and a < b
+    assert spark.range(500).select(ulid().alias("a")).distinct().count() == 500
+
+
+def test_unknown_sources_and_empty_tables(spark):
+    lines = spark.createDataFrame([("x", "nginx", "nothing"), ("x", None, None), (None, "nginx", "access")], "content string, pack string, source string")
+    assert parsers.parse(lines, packs.BUILT_IN).where("parsed IS NOT NULL").count() == 0
+    assert parsers.entries(parsers.parse(lines, packs.BUILT_IN)).collect() == []
+
+
+def test_joined_lines_across_blocks(spark):
+    rng = random.Random(1)
+    lines = [(f"f{f}", n, "[x] start" if rng.random() < 0.2 else f"  more {n}", "p") for f in range(3) for n in range(300)]
+    want = {}
+    for f, n, text, _ in lines:
+        if n == 0 or text.startswith("["):
+            want[f, n] = []
+            head = n
+        want[f, head].append(text)
+    got = parsers.joined_lines(spark.createDataFrame(lines, "file_path string, line_no long, content string, pack string").repartition(5), r"^\[", block=7).collect()
+    assert {(r.file_path, r.line_no): r.content for r in got} == {k: "\n".join(v) for k, v in want.items()}
