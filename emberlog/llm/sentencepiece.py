@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,11 +35,10 @@ class Pieces:
     bytes_ids: list[int]
     unknown: int
     surface: list[bytes]
-    longest: int = field(init=False)
     unknown_score: float = field(init=False)
+    _suffixes: dict | None = field(init=False, default=None, repr=False)
 
     def __post_init__(self):
-        self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes beyond a word")
@@ -60,9 +60,23 @@ class Pieces:
         surface[p.unk_id()] = " ⁇ ".encode()
         return cls(ids, scores, raw, p.unk_id(), surface)
 
-    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """The ids of each of the sorted words; each takes over the forward scores of its common prefix."""
-        scores, longest, unknown = self.scores, self.longest, self.unknown_score
+    def suffixes(self) -> dict:
+        """Pieces from their last character on: a node has the next one before it by character, and its score by ''."""
+        if self._suffixes is None:
+            self._suffixes = {}
+            for piece, score in self.scores.items():
+                node = self._suffixes
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = score
+        return self._suffixes
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_suffixes": None}  # built where it is used
+
+    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of each of the sorted words, four bytes each; each takes over the scores of its common prefix."""
+        suffixes, unknown, lowest = self.suffixes(), self.unknown_score, -float("inf")
         best: list[float] = [0.0]
         back: list[int] = [0]
         before = ""
@@ -74,13 +88,17 @@ class Pieces:
                 n += 1
             del best[n + 1 :], back[n + 1 :]
             for j in range(n + 1, len(word) + 1):
-                top, at = -float("inf"), j - 1
-                for i in range(max(0, j - longest), j):
-                    s = scores.get(word[i:j])
-                    if s is not None and best[i] + s > top:
-                        top, at = best[i] + s, i
-                if at == j - 1 and word[at:j] not in scores and best[at] + unknown > top:
-                    top = best[at] + unknown
+                top, at, i, node = lowest, j - 1, j, suffixes
+                while i:
+                    i -= 1
+                    node = node.get(word[i])
+                    if node is None:
+                        break
+                    # of equal scores the longer last piece is taken
+                    if "" in node and best[i] + node[""] >= top:
+                        top, at = best[i] + node[""], i
+                if word[j - 1] not in self.ids and best[j - 1] + unknown > top:
+                    top, at = best[j - 1] + unknown, j - 1
                 best.append(top)
                 back.append(at)
             before = word
@@ -94,7 +112,7 @@ class Pieces:
                 else:
                     ids.append(piece)
                 j = i
-            yield word, ids[::-1]
+            yield word, array("i", reversed(ids)).tobytes()
 
     def words(self, text: str | None) -> list[str]:
         """Marked words; line ends stand alone, as no piece holds one."""
@@ -121,7 +139,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
             # a few hundred texts at a time, so that long texts don't pile up
             for start in range(0, batch.num_rows, 512):
@@ -132,7 +150,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
                     known = {}
                     new = set(itertools.chain.from_iterable(t for t in texts if t))
                 known.update(pieces.segment(sorted(new)))
-                flat = [np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, t or ())), np.int32) for t in texts]
+                flat = [np.frombuffer(b"".join(map(known.__getitem__, t or ())), np.int32) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)), mask=pa.array([t is None for t in texts]))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, into])
