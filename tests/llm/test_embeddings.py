@@ -1,0 +1,84 @@
+import math
+
+import numpy as np
+
+from emberlog.llm import embeddings
+
+
+def rows_with_clusters(seed=2):
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(30):
+        base = rng.normal(size=24)
+        for _ in range(int(rng.integers(1, 9))):
+            v = base + rng.normal(size=24) * rng.choice([0.0, 0.03, 0.1])
+            out.append((v.astype(np.float32).tolist(), int(rng.integers(0, 3))))
+    v = rng.normal(size=24).astype(np.float32).tolist()
+    out += [(v, 1)] * 40
+    out += [(None, 1), ([0.0] * 24, 1), ([float("nan")] + [1.0] * 23, 1), ([math.inf] + [1.0] * 23, 1), ([None] + [1.0] * 23, 1), (v, None), (v, 2), (v[:5], 1), (v[:5], 1), ([], 1)]
+    return [(i, e, lab) for i, (e, lab) in enumerate(out)]
+
+
+def brute_force(rows):
+    def unit(e):
+        if not e or any(x is None or not math.isfinite(x) for x in e) or not any(e):
+            return None
+        return np.array(e, dtype=float) / np.linalg.norm(np.array(e, dtype=float))
+
+    units = [unit(e) for _, e, _ in rows]
+    links = {i: set() for i, *_ in rows}
+    for a, (i, _, x) in enumerate(rows):
+        for b, (j, _, y) in enumerate(rows[:a]):
+            u, v = units[a], units[b]
+            if x is not None and x == y and u is not None and v is not None and len(u) == len(v) and u @ v >= 0.93:
+                links[i].add(j)
+                links[j].add(i)
+    root = {}
+    for i in sorted(links):
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in root:
+                root[k] = i
+                todo += links[k]
+    return {i: (len(links[i]), root[i], root[i] == i) for i in links}
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    rows = rows_with_clusters()
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3))
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == brute_force(rows)
+
+
+def test_recall_on_a_table_of_many_lists(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(700, 32))
+    near = base[:200] + rng.normal(size=(200, 32)) * 0.2
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
+    want = brute_force(rows)
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sum(r.n_links for r in got) >= 0.9 * sum(n for n, *_ in want.values()) > 0
+    assert all(r.n_links <= want[r.vec_id][0] for r in got)
+
+
+def test_asymmetric_distances_bound_the_true_ones():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embeddings.build_index(x, 6)
+    home, *_ = index.lists(x, 0.1)
+    for at in range(len(index.centres)):
+        members = x[home == at]
+        codes, error = index.encode(members - index.centres[at])
+        about = sum(np.take(t, codes[:, m], axis=1) for m, t in enumerate(index.tables(x - index.centres[at])))
+        true = np.linalg.norm(x[:, None] - members[None], axis=2)
+        assert (np.sqrt(np.maximum(about, 0)) <= true + error + 1e-9).all()
+
+
+def test_empty_table_repeated_and_missing_ids(spark):
+    schema = "vec_id long, embedding array<double>, label string, kept string"
+    assert embeddings.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, [1.0, 0.0], "a", "x"), (1, [1.0, 0.0], "a", "y"), (None, [1.0, 0.0], "a", "z"), (2, [-0.0, 1.0], "a", None), (3, [0.0, 2.0], "a", None)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in got) == [(-1, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (3, 1, 2, False)]

@@ -1,0 +1,105 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+
+from emberlog.llm import langid
+
+
+def sample_docs(n=120, seed=1):
+    rng = random.Random(seed)
+    syllables = {"aa": ["ba", "lo", "mi", "tar", "en"], "bb": ["xu", "qui", "zor", "wik", "yep"], "cc": ["schn", "ufte", "lich", "ung", "ver"]}
+    word = lambda lang: "".join(rng.choices(syllables[lang], k=rng.randint(1, 4)))
+    docs = [(i, " ".join(word(lang) for _ in range(rng.randint(5, 60))), lang) for i, lang in enumerate(rng.choices(sorted(syllables), k=n))]
+    mixed = " ".join([word("aa") for _ in range(60)] + [word("bb") for _ in range(40)])
+    return docs, mixed
+
+
+def test_held_out_documents_and_edges(spark):
+    docs, mixed = sample_docs()
+    extra = [(1000, None, "aa"), (1001, "", None), (1002, "12 34 ½ !?", "bb"), (1003, mixed, None), (1004, mixed * 300, None), (None, "balo mitar", None), (3, "zorwik", "bb")]
+    rows = spark.createDataFrame(docs + extra, "doc_id long, text string, lang string")
+    got = langid.fit_and_identify(rows.withColumn("score", rows["lang"])).collect()
+    assert len(got) == len(docs) + len(extra)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, []).append(r)
+    right = [by_id[i][0].lang_pred == lang for i, _, lang in docs if by_id[i][0].held_out and i != 3]
+    assert len(right) > 15 and sum(right) / len(right) > 0.95
+    assert [(by_id[i][0].lang_pred, by_id[i][0].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    for i in (1003, 1004):
+        shares = {x.lang: x.share for x in by_id[i][0].languages}
+        assert set(shares) == {"aa", "bb"} and abs(shares["aa"] - 0.6) < 0.05 and by_id[i][0].lang_pred == "aa"
+    assert by_id[None][0].lang_pred == "aa" and by_id[None][0].held_out is False
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_held_out_rows_teach_nothing(spark):
+    import zlib
+
+    docs, _ = sample_docs()
+    out = [i for i, *_ in docs if zlib.crc32(str(i).encode()) % 4 == 2]
+    spoiled = [(i, t, "zz" if i in out else lang) for i, t, lang in docs]
+    preds = [{r.doc_id: (r.lang_pred, r.score) for r in langid.fit_and_identify(spark.createDataFrame(d, "doc_id long, text string, lang string")).collect()} for d in (docs, spoiled)]
+    assert preds[0] == preds[1] and out
+
+
+def test_no_language_known(spark):
+    rows = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in langid.fit_and_identify(rows).collect()] == [("und", 0.0)]
+    assert langid.fit_and_identify(rows.where("false")).collect() == []
+
+
+def plain_likelihood(model, word, k):
+    """Letter by letter, from the buckets of each triple alone."""
+    three, pair, _ = langid.triples([word])
+    return sum(float(model.up[k][a]) - float(model.down[k][b]) for a, b in zip(three, pair))
+
+
+def test_word_likelihoods_equal_brute_force():
+    rng = np.random.default_rng(0)
+    model = langid.LanguageModel(["a", "b"], rng.normal(size=(2, langid.BUCKETS)).astype(np.float32), rng.normal(size=(2, langid.BUCKETS)).astype(np.float32))
+    words = ["a", "bcd", "été", "日本", "x" * 70, "ab"]
+    got = model.word_likelihoods(words)
+    assert np.allclose(got, [[plain_likelihood(model, w, k) for k in range(2)] for w in words], atol=1e-3)
+    assert [len(langid.triples([w])[0]) for w in words] == [len(w) + 1 for w in words]
+
+
+def plain_mixture(like, n, penalty):
+    """One text at a time: all subsets of languages, each with its own expectation-maximisation."""
+    best = None
+    for mask in range(1, 1 << like.shape[1]):
+        on = np.array([mask >> k & 1 for k in range(like.shape[1])], dtype=float)
+        pi = on / on.sum()
+        p = np.exp(like - like.max(1, keepdims=True))
+        for _ in range(400):
+            r = p * pi
+            pi = (r / r.sum(1, keepdims=True) * n[:, None]).sum(0) / n.sum()
+        score = (n * (np.log((p * pi).sum(1)) + like.max(1))).sum() - penalty / 2 * math.log(max(2, n.sum())) * (on.sum() - 1)
+        if best is None or score > best[0] + 1e-9:
+            best = (score, pi, on)
+    return best
+
+
+def test_language_sets_equal_all_subsets():
+    rng = np.random.default_rng(7)
+    texts, total, agree = [], 0, 0
+    for _ in range(40):
+        rows = rng.integers(3, 40)
+        true = rng.choice(3, rows, p=rng.dirichlet([0.3] * 3))
+        like = rng.normal(-8, 1, (rows, 3))
+        like[np.arange(rows), true] += rng.uniform(2, 8, rows)
+        texts.append((like, rng.integers(1, 5, rows).astype(float)))
+    got = langid.mixtures(np.concatenate([a for a, _ in texts]), np.concatenate([b for _, b in texts]), np.repeat(np.arange(len(texts)), [len(b) for _, b in texts]))
+    for (like, n), shares in zip(texts, got):
+        _, pi, on = plain_mixture(like, n, langid.PENALTY)
+        total += 1
+        agree += bool(((shares > 0) == (on > 0)).all()) and np.abs(shares - pi).max() < 0.02
+        assert shares.argmax() == pi.argmax() and abs(shares.sum() - 1) < 1e-6
+    assert agree >= 0.9 * total
+
+
+def test_letters():
+    assert langid.letters_of("Ab ab, a1b ½x _y_") == Counter({"ab": 2, "a": 1, "b": 1, "x": 1, "y": 1})
+    assert langid.letters_of(None) == Counter()
