@@ -1,7 +1,7 @@
 """Lines of logs as entries.
 
-Every format is a column expression that gives a struct (timestamp, level, message, fields), null for a line
-that isn't of the format. Only logfmt with its free quoting is read by an Arrow function; its plain form, which
+Every format gives a struct (timestamp, level, message, fields) by column expressions, null for a line that
+isn't of the format. Only logfmt with its free quoting is read by an Arrow function; its plain form, which
 is nearly every line, has an expression too.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,49 +43,101 @@ def _object(values: dict[str, Column]) -> Column:
     return F.to_json(F.map_filter(pairs, lambda _, v: v.isNotNull()))
 
 
-def _groups(line: Column, pattern: str) -> tuple[Column, dict[str, Column]]:
-    """Whether the pattern is found, and each named group's text, null for an optional group that isn't there."""
-    java, numbers = named_groups(pattern)
+#: Stands between groups; a line that holds it is read group by group.
+_BETWEEN = "\u0001"
+
+
+def _groups(line: Column, pattern: str) -> Column:
+    """The groups of a pattern where it first fits, as an array of texts; null where it doesn't fit.
+
+    All groups come of one replacement of the whole line by them, not of one search for each.
+    """
+    java, names = named_groups(pattern)
+    n = re.compile(pattern).groups
+    body = java.removeprefix("(?d)")
+    whole = F.regexp_replace(line, F.lit(f"(?d)(?s:^.*?)(?:{body})(?s:.*)$"), F.lit("".join(f"${i + 1}{_BETWEEN}" for i in range(n))))
+    if not n:
+        return F.when(line.rlike(java), F.expr("cast(array() as array<string>)"))
+    parts = F.transform(F.array(F.split(whole, F.lit(_BETWEEN), F.lit(-1))), lambda p: F.when(F.size(p) == n + 1, p))[0]
+    singly = F.when(line.rlike(java), F.array(*[F.regexp_extract(line, java, i + 1) for i in range(n)]))
+    return F.when(F.contains(line, F.lit(_BETWEEN)), singly).otherwise(parts)
+
+
+def _named(groups: Column, pattern: str) -> dict[str, Column]:
+    """Each named group's text, null for an optional group that isn't there."""
+    _, numbers = named_groups(pattern)
     # a group that takes no part and an empty one look alike: only groups that may be left out become null
     optional = {n for n in numbers if re.search(rf"\([^()]*(\([^()]*)*\(\?P<{n}>[^()]*\)[^()]*\)[?*]|\(\?P<{n}>[^()]*\)[?*]", pattern)}
-    got = {n: F.regexp_extract(line, java, i) for n, i in numbers.items()}
-    return line.rlike(java), {n: F.when(g != "", g) if n in optional else g for n, g in got.items()}
+    got = {n: groups[i - 1] for n, i in numbers.items()}
+    return {n: F.when(g != "", g) if n in optional else g for n, g in got.items()}
+
+
+@dataclass
+class Parser:
+    """read takes a line apart once; make turns what was read, and the line, into the parsed struct.
+
+    Applied to a table, what was read is a column of its own, so it isn't worked out for each of its uses.
+    """
+
+    read: Callable[[Column], Column]
+    make: Callable[[Column, Column], Column]
 
+    def __call__(self, line: Column) -> Column:
+        return self.make(self.read(line), line)
 
-def by_regex(line: Column, pattern: str, *, timestamp_field: str = "timestamp", timestamp_format: str | None = None) -> Column:
+
+def regex_parser(pattern: str, *, timestamp_field: str = "timestamp", timestamp_format: str | None = None) -> Parser:
     """The first place where the pattern fits; all named groups become fields, those of time, level and message too."""
-    fits, got = _groups(line, pattern)
-    at = timestamp(got[timestamp_field], timestamp_format) if timestamp_field in got else None
-    level = levels.normalise(got["level"]) if "level" in got else None
-    return F.when(fits, _parsed(at, level, got.get("message", line), _object({n: coerce(g) for n, g in got.items()})))
 
+    def make(groups: Column, line: Column) -> Column:
+        got = _named(groups, pattern)
+        at = timestamp(got[timestamp_field], timestamp_format) if timestamp_field in got else None
+        level = levels.normalise(got["level"]) if "level" in got else None
+        return F.when(groups.isNotNull(), _parsed(at, level, got.get("message", line), _object({n: coerce(g) for n, g in got.items()})))
+
+    return Parser(lambda line: _groups(line, pattern), make)
 
-def by_json(line: Column, *, timestamp_field: str = "timestamp", renamed: dict[str, str] | None = None) -> Column:
+
+def json_parser(*, timestamp_field: str = "timestamp", renamed: dict[str, str] | None = None) -> Parser:
     """A JSON object; time, level and message leave the fields, and a message that isn't empty comes back as one."""
-    parsed = F.when(line.rlike(r"^\s*\{"), F.try_parse_json(line))
-    read = F.when(parsed.isNotNull(), F.from_json(line, "map<string,variant>"))
-    text = lambda key: F.when(F.schema_of_variant(F.try_element_at(read, F.lit(key))) == "STRING", F.try_element_at(read, F.lit(key)).cast("string"))
-    message = F.coalesce(text("message"), F.lit(""))
-    rest = F.map_filter(read, lambda k, _: ~k.isin(timestamp_field, "level", "message"))
-    if renamed:
-        names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
-        rest = F.transform_keys(rest, lambda k, _: F.coalesce(names[k], k))
-    rest = F.when(message != "", F.map_concat(rest, F.create_map(F.lit("message"), message.cast("variant")))).otherwise(rest)
-    return F.when(read.isNotNull(), _parsed(rfc3339(text(timestamp_field)), levels.normalise(text("level")), message, F.to_json(rest)))
-
-
-def by_syslog(line: Column, form: str = "auto") -> Column:
+
+    def read(line: Column) -> Column:
+        whole = line.rlike(r"^\s*\{") & F.try_parse_json(line).isNotNull()
+        return F.when(whole, F.from_json(line, "map<string,variant>"))
+
+    def make(got: Column, line: Column) -> Column:
+        text = lambda key: F.when(F.schema_of_variant(F.try_element_at(got, F.lit(key))) == "STRING", F.try_element_at(got, F.lit(key)).cast("string"))
+        message = F.coalesce(text("message"), F.lit(""))
+        rest = F.map_filter(got, lambda k, _: ~k.isin(timestamp_field, "level", "message"))
+        if renamed:
+            names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
+            rest = F.transform_keys(rest, lambda k, _: F.coalesce(names[k], k))
+        rest = F.when(message != "", F.map_concat(rest, F.create_map(F.lit("message"), message.cast("variant")))).otherwise(rest)
+        return F.when(got.isNotNull(), _parsed(rfc3339(text(timestamp_field)), levels.normalise(text("level")), message, F.to_json(rest)))
+
+    return Parser(read, make)
+
+
+def syslog_parser(form: str = "auto") -> Parser:
     """RFC 5424, RFC 3164, or the first of them that fits. The older form has no year, so its time is left to arrival."""
     if form == "auto":
-        return F.coalesce(by_syslog(line, "5424"), by_syslog(line, "3164"))
-    fits, got = _groups(line, RFC_3164 if form == "3164" else RFC_5424)
-    text = lambda n: got[n].cast("variant")
-    fields = {"hostname": text("hostname"), "app": text("app")}
-    if form == "3164":
-        fields["pid"] = got["pid"].try_cast("bigint").cast("variant")
-    else:
-        fields |= {"procid": text("procid"), "msgid": text("msgid")}
-    return F.when(fits, _parsed(None if form == "3164" else rfc3339(got["timestamp"]), levels.level_of_priority(got["pri"]), got["message"], _object(fields)))
+        new, old = syslog_parser("5424"), syslog_parser("3164")
+        # the older form is only tried where the newer one doesn't fit
+        both = lambda line: F.transform(F.array(new.read(line)), lambda g: F.struct(g.alias("new"), F.when(g.isNull(), old.read(line)).alias("old")))[0]
+        return Parser(both, lambda got, line: F.coalesce(new.make(got["new"], line), old.make(got["old"], line)))
+    pattern = RFC_3164 if form == "3164" else RFC_5424
+
+    def make(groups: Column, line: Column) -> Column:
+        got = _named(groups, pattern)
+        text = lambda n: got[n].cast("variant")
+        fields = {"hostname": text("hostname"), "app": text("app")}
+        if form == "3164":
+            fields["pid"] = got["pid"].try_cast("bigint").cast("variant")
+        else:
+            fields |= {"procid": text("procid"), "msgid": text("msgid")}
+        return F.when(groups.isNotNull(), _parsed(None if form == "3164" else rfc3339(got["timestamp"]), levels.level_of_priority(got["pri"]), got["message"], _object(fields)))
+
+    return Parser(lambda line: _groups(line, pattern), make)
 
 
 #: A logfmt line without white space in keys and without quotes inside quoted values.
@@ -128,50 +182,71 @@ def _any_logfmt(lines: pd.Series, ts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ts", "level", "msg", "fields", "n"])
 
 
-def by_logfmt(line: Column, *, timestamp_field: str = "ts", exact: bool = False) -> Column:
+def logfmt_parser(*, timestamp_field: str = "ts", exact: bool = False) -> Parser:
     """Pairs of key=value; without any, null. exact reads quoting of any kind, else such lines are null."""
     if exact:
-        got = F.pandas_udf(_any_logfmt, "ts string, level string, msg string, fields string, n int")(line, F.lit(timestamp_field))
-        return F.when(got["n"] > 0, _parsed(rfc3339(got["ts"]), levels.normalise(got["level"]), got["msg"], got["fields"]))
-    keys = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1))
-    values = F.transform(F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)), lambda v: F.when(F.startswith(v, F.lit('"')), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
-    # of a repeated key the last value counts
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p, i: F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["k"]) == 0)
-    read = F.map_from_entries(pairs)
-    value = lambda key: F.try_element_at(read, F.lit(key))
-    rest = F.map_filter(read, lambda k, _: ~k.isin(timestamp_field, "level", "msg"))
-    fields = F.to_json(F.transform_values(rest, lambda _, v: coerce(v, booleans=True)))
-    return F.when(line.rlike(PLAIN_LOGFMT), _parsed(rfc3339(value(timestamp_field)), levels.normalise(value("level")), value("msg"), fields))
-
-
-def parser_of(source: Source, *, exact_logfmt: bool = True):
-    """The function from a line's column to its parsed struct."""
+        read_any = lambda line: F.pandas_udf(_any_logfmt, "ts string, level string, msg string, fields string, n int")(line, F.lit(timestamp_field))
+        return Parser(read_any, lambda got, line: F.when(got["n"] > 0, _parsed(rfc3339(got["ts"]), levels.normalise(got["level"]), got["msg"], got["fields"])))
+
+    def read(line: Column) -> Column:
+        found = F.struct(F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)).alias("v"))
+        bare = lambda v: F.when(F.startswith(v, F.lit('"')), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+
+        def pairs(x: Column) -> Column:
+            # of a repeated key the last value counts
+            last = F.filter(F.arrays_zip(x["k"].alias("k"), x["v"].alias("v")), lambda p, i: F.array_position(F.slice(x["k"], i + 2, F.greatest(F.size(x["k"]) - i - 1, F.lit(0))), p["k"]) == 0)
+            return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], bare(p["v"]))))
+
+        return F.when(line.rlike(PLAIN_LOGFMT), F.transform(F.array(found), pairs)[0])
+
+    def make(got: Column, line: Column) -> Column:
+        value = lambda key: F.try_element_at(got, F.lit(key))
+        rest = F.map_filter(got, lambda k, _: ~k.isin(timestamp_field, "level", "msg"))
+        fields = F.to_json(F.transform_values(rest, lambda _, v: coerce(v, booleans=True)))
+        return F.when(got.isNotNull(), _parsed(rfc3339(value(timestamp_field)), levels.normalise(value("level")), value("msg"), fields))
+
+    return Parser(read, make)
+
+
+def parser_of(source: Source, *, exact_logfmt: bool = True) -> Parser:
     at = {"timestamp_field": source.timestamp_field} if source.timestamp_field else {}
     if source.format in ("regex", "grok"):
-        return lambda line: by_regex(line, source.pattern, timestamp_format=source.timestamp_format, **at)
+        return regex_parser(source.pattern, timestamp_format=source.timestamp_format, **at)
     if source.format == "json":
-        return lambda line: by_json(line, **at)
+        return json_parser(**at)
     if source.format == "logfmt":
-        return lambda line: by_logfmt(line, exact=exact_logfmt, **at)
+        return logfmt_parser(exact=exact_logfmt, **at)
     if source.format.startswith("syslog"):
-        return lambda line: by_syslog(line, {"syslog-3164": "3164", "syslog-5424": "5424"}.get(source.format, "auto"))
+        return syslog_parser({"syslog-3164": "3164", "syslog-5424": "5424"}.get(source.format, "auto"))
     raise PackError(f"format '{source.format}'")
 
 
+def parse_with(lines: DataFrame, parser: Parser, column: str = "content") -> DataFrame:
+    """Adds parsed, by one parser."""
+    return lines.withColumn("__read", parser.read(F.col(column))).withColumn("parsed", parser.make(F.col("__read"), F.col(column))).drop("__read")
+
+
 def parse(lines: DataFrame, packs: dict[str, Pack]) -> DataFrame:
     """lines: content, pack, source and any other columns. Adds parsed; null where the source is unknown or a line doesn't fit."""
-    parsed = F.lit(None).cast(PARSED)
+    line, read, parsed = F.col("content"), {}, F.lit(None).cast(PARSED)
     for pack in packs.values():
         for source in pack.sources:
-            here = (F.col("pack") == pack.name) & (F.col("source") == source.name)
-            parsed = F.when(here, parser_of(source)(F.col("content"))).otherwise(parsed)
-    return lines.withColumn("parsed", parsed)
+            here, parser, name = (F.col("pack") == pack.name) & (F.col("source") == source.name), parser_of(source), f"__read_{len(read)}"
+            read[name] = F.when(here, parser.read(line))
+            parsed = F.when(here, parser.make(F.col(name), line)).otherwise(parsed)
+    return lines.withColumns(read).withColumn("parsed", parsed).drop(*read)
 
 
 def parse_any_source(lines: DataFrame, pack: Pack) -> DataFrame:
     """lines: content. Adds source and parsed of the pack's first source that a line fits."""
-    tried = [F.when(p.isNotNull(), F.struct(F.lit(s.name).alias("source"), p.alias("parsed"))) for s in pack.sources for p in (parser_of(s)(F.col("content")),)]
-    return lines.withColumn("__found", F.coalesce(*tried)).withColumns({"source": F.col("__found.source"), "parsed": F.col("__found.parsed")}).drop("__found")
+    line, out, tried, names = F.col("content"), lines, [], []
+    for i, source in enumerate(pack.sources):
+        parser, name = parser_of(source), f"__read_{i}"
+        out = out.withColumn(name, parser.read(line))
+        names.append(name)
+        made = parser.make(F.col(name), line)
+        tried.append(F.when(made.isNotNull(), F.struct(F.lit(source.name).alias("source"), made.alias("parsed"))))
+    return out.withColumn("__found", F.coalesce(*tried)).withColumns({"source": F.col("__found.source"), "parsed": F.col("__found.parsed")}).drop("__found", *names)
 
 
 def entries(parsed: DataFrame, *, host: str = "localhost", now: Column | None = None, id: Column | None = None) -> DataFrame:

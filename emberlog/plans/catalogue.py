@@ -234,7 +234,7 @@ def parse_regex_error(spark, sf_dir):
 @query(f"SELECT id, {_SQL_LEVEL} AS level, 'said \"' || event_type || '\"' AS message, date_trunc('millisecond', timestamp) AS timestamp, 'host-' || (user_id % 8) AS host, seq::VARCHAR AS port, k AS deep, 'said \"' || event_type || '\"' AS again FROM logs")
 def parse_json(spark, sf_dir):
     line = F.concat(F.lit('{"timestamp":"'), _iso(), F.lit('","level":"'), _word(), F.lit('","message":"said \\"'), "event_type", F.lit('\\"","host":"host-'), F.col("user_id") % 8, F.lit('","port":'), "event_id", F.lit(',"nested":{"k":['), "k", F.lit("]}}"))
-    parsed = _synthetic(spark, sf_dir, line).withColumn("parsed", parsers.by_json(F.col("content")))
+    parsed = parsers.parse_with(_synthetic(spark, sf_dir, line), parsers.json_parser())
     return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("host"), _field("port"), F.get_json_object("parsed.fields", "$.nested.k[0]").alias("deep"), F.get_json_object("parsed.fields", "$.message").alias("again"))
 
 
@@ -246,13 +246,13 @@ _LOGFMT_SQL = f"SELECT id, {_SQL_LEVEL} AS level, 'it was ' || event_type AS mes
 
 @query(_LOGFMT_SQL)
 def parse_logfmt(spark, sf_dir):
-    parsed = _synthetic(spark, sf_dir, _logfmt_line()).withColumn("parsed", parsers.by_logfmt(F.col("content")))
+    parsed = parsers.parse_with(_synthetic(spark, sf_dir, _logfmt_line()), parsers.logfmt_parser())
     return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("port", "ok", "ratio", "k", "empty", "k2")))
 
 
 @query(_LOGFMT_SQL)
 def parse_logfmt_exact(spark, sf_dir):
-    parsed = _synthetic(spark, sf_dir, _logfmt_line()).withColumn("parsed", parsers.by_logfmt(F.col("content"), exact=True))
+    parsed = parsers.parse_with(_synthetic(spark, sf_dir, _logfmt_line()), parsers.logfmt_parser(exact=True))
     return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("port", "ok", "ratio", "k", "empty", "k2")))
 
 
@@ -263,7 +263,7 @@ _PRI_SQL = "CASE seq % 300 // 256 WHEN 1 THEN 'info' ELSE ['fatal', 'fatal', 'er
 def parse_syslog3164(spark, sf_dir):
     pid = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("user_id") % 1000, F.lit("]"))).otherwise("")
     line = F.concat(F.lit("<"), F.col("event_id") % 300, F.lit(">"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" web-"), F.col("user_id") % 8, F.lit(" app"), "k", pid, F.lit(": did "), "event_type")
-    parsed = _synthetic(spark, sf_dir, line).withColumn("parsed", parsers.by_syslog(F.col("content"), "3164"))
+    parsed = parsers.parse_with(_synthetic(spark, sf_dir, line), parsers.syslog_parser("3164"))
     return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("hostname", "app", "pid")))
 
 
@@ -273,14 +273,14 @@ def _new_syslog():
 
 @query(f"SELECT id, {_PRI_SQL} AS level, 'did ' || event_type AS message, date_trunc('millisecond', timestamp) AS timestamp, 'web-' || (user_id % 8) AS hostname, 'app' || k AS app, (user_id % 1000)::VARCHAR AS procid, 'ID' || seq AS msgid FROM logs")
 def parse_syslog5424(spark, sf_dir):
-    parsed = _synthetic(spark, sf_dir, _new_syslog()).withColumn("parsed", parsers.by_syslog(F.col("content"), "5424"))
+    parsed = parsers.parse_with(_synthetic(spark, sf_dir, _new_syslog()), parsers.syslog_parser("5424"))
     return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("hostname", "app", "procid", "msgid")))
 
 
 @query(f"SELECT id, {_PRI_SQL} AS level, 'did ' || event_type AS message, CASE WHEN seq % 3 = 0 THEN date_trunc('millisecond', timestamp) END AS timestamp, 'app' || k AS app FROM logs")
 def parse_syslog_auto(spark, sf_dir):
     old = F.concat(F.lit("<"), F.col("event_id") % 300, F.lit(">"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" web-1 app"), "k", F.lit(": did "), "event_type")
-    parsed = _synthetic(spark, sf_dir, F.when(F.col("event_id") % 3 == 0, _new_syslog()).otherwise(old)).withColumn("parsed", parsers.by_syslog(F.col("content")))
+    parsed = parsers.parse_with(_synthetic(spark, sf_dir, F.when(F.col("event_id") % 3 == 0, _new_syslog()).otherwise(old)), parsers.syslog_parser())
     return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("app"))
 
 

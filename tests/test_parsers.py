@@ -29,8 +29,8 @@ def test_error_line(spark):
 
 
 def test_numbers_of_groups(spark):
-    assert one(spark, "x status=200 time=0.042", lambda c: parsers.by_regex(c, r"status=(?P<status>\d+) time=(?P<time>[\d.]+)(?P<more> .*)?"))[3] == {"status": 200, "time": 0.042}
-    assert one(spark, "nothing here", lambda c: parsers.by_regex(c, r"status=(?P<status>\d+)")) is None
+    assert one(spark, "x status=200 time=0.042", parsers.regex_parser(r"status=(?P<status>\d+) time=(?P<time>[\d.]+)(?P<more> .*)?"))[3] == {"status": 200, "time": 0.042}
+    assert one(spark, "nothing here", parsers.regex_parser(r"status=(?P<status>\d+)")) is None
 
 
 def test_first_fit_of_a_list_and_other_packs(spark):
@@ -54,7 +54,7 @@ def test_first_fit_of_a_list_and_other_packs(spark):
     ],
 )
 def test_syslog(spark, line, want):
-    assert one(spark, line, parsers.by_syslog) == want
+    assert one(spark, line, parsers.syslog_parser()) == want
 
 
 @pytest.mark.parametrize(
@@ -69,11 +69,11 @@ def test_syslog(spark, line, want):
     ],
 )
 def test_json(spark, line, want):
-    assert one(spark, line, parsers.by_json) == want
+    assert one(spark, line, parsers.json_parser()) == want
 
 
 def test_json_renames(spark):
-    assert one(spark, '{"a":1,"b":2}', lambda c: parsers.by_json(c, renamed={"a": "c"}))[3] == {"c": 1, "b": 2}
+    assert one(spark, '{"a":1,"b":2}', parsers.json_parser(renamed={"a": "c"}))[3] == {"c": 1, "b": 2}
 
 
 LOGFMT = [
@@ -132,7 +132,7 @@ def test_logfmt_equals_a_scanner():
 
 def test_logfmt_forms_agree(spark):
     lines = [line for line, _ in LOGFMT] + ['n=1.5 t=true f=false s="a b" i=-3 e=""', "k=1 k=x k=2"]
-    df = spark.createDataFrame([(x,) for x in lines], "content string").select("content", parsers.by_logfmt(F.col("content")).alias("plain"), parsers.by_logfmt(F.col("content"), exact=True).alias("exact"))
+    df = spark.createDataFrame([(x,) for x in lines], "content string").select("content", parsers.logfmt_parser()(F.col("content")).alias("plain"), parsers.logfmt_parser(exact=True)(F.col("content")).alias("exact"))
     for r in df.collect():
         assert (r.exact is None) == (not parsers.logfmt_pairs(r.content))
         if r.plain is not None:
