@@ -24,24 +24,33 @@ def _of_text(text: Column) -> list[Column]:
     return found
 
 
-def _of_field(key: Column, value: Column) -> Column:
-    """The identifiers of one field: value is its JSON text, so texts are in quotes and numbers are not."""
-    key, is_text = F.lower(key), F.startswith(value, F.lit('"'))
-    text = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
-    named = lambda *words: key.isin(*words)
+def _of_field(field: Column) -> Column:
+    """The identifiers of one field, given as name (in lower case), text and whether it is a text (else a number)."""
+    key, text, is_text = field["key"], field["text"], field["is_text"]
     holds = lambda word: F.contains(key, F.lit(word))
     kinds = [
-        ("ip", is_text & (holds("ip") | named("client", "remote_addr", "host")) & text.rlike(IPV4)),
-        ("uri", is_text & (holds("uri") | named("path", "script", "url"))),
+        ("ip", is_text & (holds("ip") | key.isin("client", "remote_addr", "host")) & text.rlike(IPV4)),
+        ("uri", is_text & (holds("uri") | key.isin("path", "script", "url"))),
         ("user", is_text & holds("user") & ~text.isin("-", "")),
         ("request_id", is_text & (holds("request_id") | holds("trace_id"))),
         ("session_id", is_text & holds("session")),
-        ("unit", is_text & named("unit", "service")),
-        ("pid", value.rlike(r"^\d+$") & named("pid", "procid")),
+        ("unit", is_text & key.isin("unit", "service")),
+        ("pid", ~is_text & key.isin("pid", "procid") & text.rlike(r"^\d+$")),
     ]
     return F.array_compact(F.array(*[F.when(is_kind, F.concat(F.lit(f"{kind}="), text)) for kind, is_kind in kinds]))
 
 
+def _fields(fields: str | Column) -> Column:
+    """Name, text and kind of each field, worked out once for all the kinds of identifiers."""
+    plain = lambda v: F.when(F.contains(v, F.lit("\\")), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(F.substring(v, F.lit(2), F.length(v) - 2))
+
+    def one(e: Column) -> Column:
+        is_text = F.startswith(e["value"], F.lit('"'))
+        return F.struct(F.lower(e["key"]).alias("key"), F.when(is_text, plain(e["value"])).otherwise(e["value"]).alias("text"), is_text.alias("is_text"))
+
+    return F.transform(F.map_entries(field_texts(fields)), one)
+
+
 def field_texts(fields: str | Column) -> Column:
     """The fields of a JSON object as a map from name to JSON text; null for other text."""
     parsed = F.from_json(fields, "map<string,variant>")
@@ -51,8 +60,7 @@ def field_texts(fields: str | Column) -> Column:
 def identifiers(fields: str | Column = "fields", raw: str | Column = "raw", message: str | Column = "message") -> Column:
     """All identifiers as a sorted array of kind=value, each once, from the fields, the raw line and the message."""
     texts = [F.col(x) if isinstance(x, str) else x for x in (raw, message)]
-    pairs = F.map_entries(field_texts(fields))
-    named = F.flatten(F.transform(pairs, lambda e: _of_field(e["key"], e["value"])))
+    named = F.flatten(F.transform(_fields(fields), _of_field))
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(named, F.expr("cast(array() as array<string>)")), *[x for t in texts for x in _of_text(t)])))
 
 
