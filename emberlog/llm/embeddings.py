@@ -24,8 +24,8 @@ from emberlog.llm.shared import components, cut
 
 #: Bounds of the fit: vectors and components of the sample (those of the smallest hashes of their ids).
 FIT_ROWS, FIT_VALUES = 20_000, 4_000_000
-#: Most coarse lists, subspaces, codes of a subspace.
-LISTS, SUBSPACES, CODES = 4096, 8, 64
+#: Most coarse lists, and vectors of one label that a list is meant for; subspaces, codes of a subspace.
+LISTS, LIST_ROWS, SUBSPACES, CODES = 4096, 512, 8, 64
 #: Members of a group that are compared in one piece.
 BLOCK = 2048
 #: How far behind its list's border a partner is looked for, in standard deviations of a random step of the
@@ -105,16 +105,20 @@ def _unit(rows: list | pa.Array) -> np.ndarray:
 
 
 def fit(classes: DataFrame, *, rows: int = FIT_ROWS, values: int = FIT_VALUES, lists: int = LISTS) -> dict[int, Index]:
-    """classes: node, dim, embedding. An index for each dimension of which the sample holds vectors."""
+    """classes: node, label, dim, embedding. An index for each dimension of which the sample holds vectors.
+
+    There are as many lists as the largest label needs: more of them would send each vector to more lists.
+    """
     out = {}
-    for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(16).collect():
+    by_label = classes.groupBy("dim", "label").count()
+    for r in by_label.groupBy("dim").agg(F.sum("count").alias("count"), F.max("count").alias("largest")).orderBy(F.desc("count"), "dim").limit(16).collect():
         most = max(1, min(rows, values // r.dim))
         share = min(1.0, most / r["count"])
         place = F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1 << 30))
         chosen = classes.where((F.col("dim") == r.dim) & (place < F.lit(int(share * (1 << 30))))).select(place.alias("at"), "node", "embedding")
         found = sorted((x.at, x.node, x.embedding) for x in chosen.limit(2 * most).collect())
         if found:
-            out[r.dim] = build_index(_unit([x[2] for x in found]), max(1, min(lists, math.isqrt(r["count"]))))
+            out[r.dim] = build_index(_unit([x[2] for x in found]), max(1, min(lists, r.largest // LIST_ROWS)))
     return out
 
 

@@ -46,12 +46,14 @@ def brute_force(rows):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 8)
     rows = rows_with_clusters()
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3))
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == brute_force(rows)
 
 
-def test_recall_on_a_table_of_many_lists(spark):
+def test_recall_on_a_table_of_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 30)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(700, 32))
     near = base[:200] + rng.normal(size=(200, 32)) * 0.2
