@@ -9,6 +9,11 @@ from emberlog.llm import mixing, sentencepiece, simhash, substring, toxicity
 from emberlog.llm.shared import cut, n_words, table
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as its texts are now."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labels, doesn't hold to be toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -24,12 +29,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that another one keeps."""
-    return substring.without_passages(docs, substring.repeated_passages(docs.select("doc_id", "text")))
+    return _measured(substring.without_passages(docs, substring.repeated_passages(docs.select("doc_id", "text"))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last one of a source ends where its budget does."""
-    return mixing.repeat_taken(mixing.mix(cut(docs.withColumn("__size", n_words("text"))), size="__size")).select(*docs.columns)
+    mixed = mixing.mix(cut(docs.withColumn("__size", n_words("text"))), size="__size")
+    return _measured(mixing.repeat_taken(mixed).select(*docs.columns))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
