@@ -68,6 +68,8 @@ def test_substring_stage(docs, spark, sf):
             assert got[r.doc_id].split() == left
         else:
             assert r.doc_id not in got
+    changed = STAGES["substring_dedup"](spark, docs, sf).where(F.col("n_chars") != F.coalesce(F.length("text"), F.lit(0)))
+    assert changed.count() == 0
 
 
 def test_mixing_stage(docs, spark, sf):
