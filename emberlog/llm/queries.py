@@ -109,6 +109,17 @@ ORACLES = {
         SELECT doc_id, size, source_size, target,
                (coalesce(epochs, 0) * size + greatest(0, least(size, floor(target) - coalesce(epochs, 0) * source_size - before)))::BIGINT AS taken
         FROM placed""",
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+        c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
     "op9_chat_windows": f"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
