@@ -1,0 +1,30 @@
+from emberlog.__main__ import main
+from emberlog.config import Config
+
+
+def test_commands(spark, tmp_path, capsys):
+    Config(data_dir=str(tmp_path / "data"), retention_days=30, min_confidence=0.1).save(tmp_path / "c.toml")
+    (tmp_path / "access.log").write_text("".join(f'10.0.0.1 - u [09/Apr/2026:10:15:{i:02d} +0000] "GET /{i} HTTP/1.1" 200 1 "-" "-"\n' for i in range(5)))
+    (tmp_path / "error.log").write_text("2026/04/09 10:15:02 [error] 7#0: *1 failed, client: 10.0.0.1\n")
+
+    def run(*args):
+        assert main(["--config", str(tmp_path / "c.toml"), *args]) == 0
+        return capsys.readouterr().out.strip().split("\n")
+
+    for name in ("access", "error"):
+        run("ingest", "--pack", "nginx", "--source", name, str(tmp_path / f"{name}.log"))
+    assert run("query", "--level", "error") == ["2026-04-09 10:15:02 [error] nginx/error: failed, client: 10.0.0.1"]
+    assert len(run("query", "--limit", "3", "--since", "2026-04-09T10:15:01Z")) == 3
+    assert "10:15:04 info nginx/access" in run("tail", "-n", "1", "--source", "access")[0]
+    assert run("stats")[0].startswith("6 entries, ") and "  access: 5" in run("stats")
+    assert any("| 6" in line or "|6" in line for line in run("query", "--sql", "SELECT count(*) FROM logs"))
+    assert any(line.startswith("0.") and "via ip=10.0.0.1" in line for line in run("correlate"))
+    assert run("packs", "--words", "docker") == ["docker 0.1.0: Docker container log parser"]
+    assert run("retain") == ["6 entries deleted"]
+
+
+def test_validate(tmp_path, capsys):
+    (tmp_path / "pack.toml").write_text('[pack]\nname = "a"\nversion = "1.0.0"\n[[sources]]\nname = "s"\npaths = ["/x"]\nformat = "json"\n')
+    assert main(["validate", str(tmp_path / "pack.toml")]) == 0
+    (tmp_path / "pack.toml").write_text("[pack]\n")
+    assert main(["validate", str(tmp_path / "pack.toml")]) == 1
