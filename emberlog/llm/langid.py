@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.shared import small_batches
+
 #: Documents of a language that the fit reads, about: those whose hash of doc_id is small enough.
 FIT_DOCS = 4_000
 #: Buckets of hashed letter triples and pairs, for each language; most languages of a model.
@@ -87,7 +89,7 @@ def fit(docs: DataFrame, *, most_docs: int = FIT_DOCS) -> LanguageModel:
 
     Of each language about most_docs documents are read, all of them if it has fewer.
     """
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    known = small_batches(docs).where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -230,7 +232,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", penal
             yield pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "languages": [x[2] for x in out]})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
-    return docs.select(*kept, run(text).alias("__l")).select(*kept, "__l.lang_pred", "__l.score", "__l.languages")
+    return small_batches(docs).select(*kept, run(text).alias("__l")).select(*kept, "__l.lang_pred", "__l.score", "__l.languages")
 
 
 def held_out(id: str | Column, *, parts: int = 4, part: int = 2) -> Column:

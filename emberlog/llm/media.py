@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.shared import small_batches
+
 #: Payloads are filled up with blanks to a multiple of this: one block for each component.
 UNIT, BLANK = 192, 32
 #: Bytes of results after which a task hands a batch on.
@@ -474,7 +476,7 @@ def _remembered(f: Callable[[bytes], tuple], most: int = 256, largest: int = 1 <
 
 def _map(df: DataFrame, column: str, kept: list[str], added: str, f: Callable[[bytes], tuple]) -> DataFrame:
     """The kept columns and what f gives for each value of column; batches are handed on by size."""
-    df = df.select(*kept, F.col(column).alias("__in"))
+    df = small_batches(df).select(*kept, F.col(column).alias("__in"))
     schema = df.select(*kept).schema
     for part in added.split(", "):
         schema = schema.add(*part.split(" "))

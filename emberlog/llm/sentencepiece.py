@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.shared import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a task remembers between batches; beyond it starts anew.
@@ -135,15 +137,15 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
     A column named like the new one is replaced. Very long texts are whole; a word without any blank is
     searched in time proportional to its length.
     """
-    kept = docs.drop(into)
+    kept = small_batches(docs).drop(into)
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
         for batch in batches:
-            # a few hundred texts at a time, so that long texts don't pile up
-            for start in range(0, batch.num_rows, 512):
-                b = batch.slice(start, 512)
+            # some texts at a time, so that their words don't pile up
+            for start in range(0, batch.num_rows, 256):
+                b = batch.slice(start, 256)
                 texts = [pieces.words(t) if t is not None else None for t in b.column(at).to_pylist()]
                 new = set(itertools.chain.from_iterable(t for t in texts if t)).difference(known)
                 if len(known) + len(new) > REMEMBERED:
@@ -160,10 +162,17 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
 
 
 def decode(docs: DataFrame, pieces: Pieces, *, column: str = "pieces", into: str = "decoded") -> DataFrame:
-    """All rows and columns of docs with the text of the ids; null for null."""
+    """All rows and columns of docs with the text of the ids; null for null. A column named like the new one is replaced."""
+
+    kept = small_batches(docs).drop(into)
+    at = kept.columns.index(column)
 
-    @F.pandas_udf("string")
-    def run(ids):
-        return ids.map(lambda x: pieces.decode(x))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(start, 256) for start in range(0, batch.num_rows, 256)):
+                ids = b.column(at)
+                flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+                texts = [pieces.decode(flat[x:y].tolist()) if ok else None for x, y, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, into])
 
-    return docs.withColumn(into, run(column))
+    return kept.mapInArrow(run, kept.select("*", F.lit(None).cast("string").alias(into)).schema)

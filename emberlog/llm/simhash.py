@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.blocks import deal, forest, whole_groups
-from emberlog.llm.shared import components, cut
+from emberlog.llm.shared import components, cut, small_batches
 
 #: Members of a group that are compared in one piece.
 BLOCK = 1024
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
             fps = [fingerprint(t or b"", shingle, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 

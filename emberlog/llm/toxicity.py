@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import cut
+from emberlog.llm.shared import cut, small_batches
 
 #: Bounds of the fit: labelled documents (those of the smallest hashes of their ids), terms.
 FIT_DOCS, FIT_TERMS = 20_000, 4_000
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS, most_t
     # at most most_docs ids, so their broadcast is bounded
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    sample = cut(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    sample = cut(small_batches(docs).where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -158,4 +158,4 @@ def predict(docs: DataFrame, model: OrdinalModel, *, reject_at: float = 0.5) ->
         return pd.DataFrame({"severity": p.sum(1), "p_toxic": p[:, 0]})
 
     kept = [c for c in docs.columns if c not in ("severity", "p_toxic", "toxic")]
-    return docs.select(*kept, score("text").alias("__s")).select(*kept, "__s.severity", "__s.p_toxic", (F.col("__s.p_toxic") >= reject_at).alias("toxic"))
+    return small_batches(docs).select(*kept, score("text").alias("__s")).select(*kept, "__s.severity", "__s.p_toxic", (F.col("__s.p_toxic") >= reject_at).alias("toxic"))
