@@ -29,8 +29,8 @@ LISTS, LIST_ROWS, SUBSPACES, CODES = 4096, 512, 8, 64
 #: Members of a group that are compared in one piece.
 BLOCK = 2048
 #: How far behind its list's border a partner is looked for, in standard deviations of a random step of the
-#: largest distance that a link may have. 4 loses about one link in 30,000; sqrt(dimensions) loses none.
-REACH = 4.0
+#: largest distance that a link may have: that distance itself, whatever the dimensions, so no link is lost.
+REACH = math.inf
 
 
 @dataclass

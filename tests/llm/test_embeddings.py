@@ -64,6 +64,17 @@ def test_recall_on_a_table_of_many_lists(spark, monkeypatch):
     assert all(r.n_links <= want[r.vec_id][0] for r in got)
 
 
+def test_links_across_borders_in_few_directions(spark, monkeypatch):
+    """Vectors of 64 components that differ in three directions: borders lie across the links, and none may be lost."""
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 30)
+    rng = np.random.default_rng(8)
+    flat = rng.normal(size=(900, 3)) @ rng.normal(size=(3, 64))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(flat.astype(np.float32))]
+    want = brute_force(rows)
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
 def test_asymmetric_distances_bound_the_true_ones():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 20))
