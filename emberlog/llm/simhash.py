@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.blocks import deal, forest, whole_groups
@@ -49,16 +49,17 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) for each row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", into: str = "fp", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """The columns to keep (doc_id) of each row with its fingerprint, 64 bits as a long; a null text counts as empty."""
+    keep = ["doc_id"] if keep is None else keep
+    rows = small_batches(docs).select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t or b"", shingle, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = [fingerprint(t or b"", shingle, seed) for t in b.column(len(keep)).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[*keep, into])
 
-    rows = small_batches(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, rows.select(*keep, F.lit(None).cast("long").alias(into)).schema)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -160,15 +161,31 @@ def link(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
     return deal(signed, ["part", "sig"], "fp", BLOCK).mapInArrow(verify, "a long, b long")
 
 
+def groups(fps: DataFrame, *, bits: int = 4) -> DataFrame:
+    """fps: fp. Each fingerprint with root, the smallest one that its component reaches by links."""
+    nodes = cut(fps.select("fp", F.col("fp").alias("node")).distinct())
+    roots = components(link(nodes, bits=bits))
+    return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for each row of docs.
 
     Null and empty texts have fingerprint zero and are linked as any other. Equal fingerprints are compared
-    once, whatever the number of their rows. Rows without a doc_id are returned but lend no component its
-    name. An empty table gives an empty table.
+    once, whatever the number of their rows. Rows without a doc_id link as others do but lend no component its
+    name; one of such rows alone has none. An empty table gives an empty table.
     """
     fps = cut(fingerprints(docs, shingle=shingle, seed=seed))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
-    roots = components(link(nodes.where("node IS NOT NULL"), bits=bits))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    named = fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).join(groups(fps, bits=bits), "fp")
+    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(of_root, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (nulls last), of equal ones the first by all columns."""
+    kept = docs.columns
+    rows = cut(fingerprints(docs, keep=kept, into="__fp", shingle=shingle, seed=seed))
+    roots = groups(rows.select(F.col("__fp").alias("fp")), bits=bits).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    order = Window.partitionBy("__root").orderBy(F.col("doc_id").asc_nulls_last(), *[c for c in kept if c != "doc_id"])
+    return rows.join(roots, "__fp").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*kept)

@@ -5,7 +5,7 @@ import importlib.util
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm import sentencepiece, simhash, substring, toxicity
+from emberlog.llm import sentencepiece, simhash, toxicity
 
 pipeline = pytest.importorskip("corpus_pipeline") if importlib.util.find_spec("corpus_pipeline") else None
 if pipeline is None:
@@ -54,22 +54,43 @@ def test_near_dedup_stage(docs, spark, sf):
     assert rows(STAGES["simhash_near_dedup"](spark, docs, sf)) == sorted(kept, key=str)
 
 
+def test_rows_without_an_id_or_with_a_shared_one_stay(spark, sf):
+    """Six unlike texts, two near copies among them, under null, shared and repeated ids."""
+    unlike = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(4)]
+    near = unlike[0].upper()
+    given = [(None, unlike[0]), (7, near), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (7, unlike[3]), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows(STAGES["simhash_near_dedup"](spark, df, sf))
+    assert [r[:2] for r in got] == sorted([(7, near), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (None, None)], key=str)
+    got = [r.text for r in STAGES["substring_dedup"](spark, df, sf).collect()]
+    words = " ".join(t for t in got if t).lower().split()
+    assert len(words) == len(set(words)) and set(words) >= {w for t in unlike for w in t.split()} and got.count(None) == 1
+
+
 def test_substring_stage(docs, spark, sf):
-    spans = {}
-    for r in substring.repeated_passages(docs).collect():
-        spans.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
-    got = {r.doc_id: r.text for r in STAGES["substring_dedup"](spark, docs, sf).collect()}
-    for r in docs.collect():
-        words = (r.text or "").split()
-        left = [w for i, w in enumerate(words) if i not in spans.get(r.doc_id, ())]
-        if r.doc_id not in spans:
-            assert got[r.doc_id] == r.text
-        elif left:
-            assert got[r.doc_id].split() == left
-        else:
-            assert r.doc_id not in got
-    changed = STAGES["substring_dedup"](spark, docs, sf).where(F.col("n_chars") != F.coalesce(F.length("text"), F.lit(0)))
-    assert changed.count() == 0
+    """By brute force: words that no two texts share in 50 successive ones stay, and no 50 words are left in two texts."""
+    before, after = docs.collect(), STAGES["substring_dedup"](spark, docs, sf).collect()
+    runs = lambda text, n: {tuple(w[i : i + n]) for w in [text.lower().split()] for i in range(len(w) - n + 1)}
+    shared, alone = {}, []
+    for r in {x.text: x for x in before if x.text}.values():
+        for g in runs(r.text, 25):
+            shared[g] = shared.get(g, 0) + 1
+    kept = {}
+    for r in after:
+        kept.setdefault(r.doc_id, []).append(r.text)
+    for r in before:
+        if not r.text or not any(shared[g] > 1 for g in runs(r.text, 25)):
+            alone.append(r)  # no two similar passages of 50 words without 25 that are equal
+    copies = {r.text for r in alone if r.text and len(r.text.split()) >= 50}
+    for r in alone:
+        assert r.text in kept.get(r.doc_id, []) or (r.text in copies and sum(x.text == r.text for x in before) > 1)
+    assert len(alone) > 50 and len(after) < len(before)
+    left = {}
+    for i, r in enumerate(after):
+        for g in runs(r.text or "", 52):
+            left.setdefault(g, set()).add(i)
+    assert not [g for g, held in left.items() if len(held) > 1 and len(set(g)) > 20]
+    assert all(r.n_chars == len(r.text or "") for r in after)
 
 
 def test_mixing_stage(docs, spark, sf):
