@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import mixing, sentencepiece, simhash, substring, toxicity
@@ -21,15 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component; of rows of equal doc_id, the first in order of all columns."""
-    kept = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    """One row of each component of near copies: that of the smallest doc_id (nulls last), of equal ones the first by all columns.
+
+    Rows belong to components by their texts: rows without a doc_id, or with that of another row, stay if no near copy does.
+    """
+    return simhash.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that another one keeps."""
-    return _measured(substring.without_passages(docs, substring.repeated_passages(docs.select("doc_id", "text"))))
+    """Documents without the passages that another one keeps, and one row of equal texts of 50 words or more."""
+    return _measured(substring.without_passages(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
