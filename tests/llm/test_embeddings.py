@@ -95,3 +95,35 @@ def test_empty_table_repeated_and_missing_ids(spark):
     rows = [(1, [1.0, 0.0], "a", "x"), (1, [1.0, 0.0], "a", "y"), (None, [1.0, 0.0], "a", "z"), (2, [-0.0, 1.0], "a", None), (3, [0.0, 2.0], "a", None)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in got) == [(-1, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (3, 1, 2, False)]
+
+
+def test_small_tables_go_through_lists_and_codes(spark):
+    """The query's own table at its smallest sizes: two lists at least, a code for each vector, and links that both lists' borders cut."""
+    for sf in ("0.001", "0.01"):
+        table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+        classes = table.selectExpr("vec_id AS node", "1L AS n", "label", "size(embedding) AS dim", "embedding").cache()
+        index = embeddings.fit(classes)
+        assert all(len(i.centres) >= 2 and len(i.books) == 8 for i in index.values())
+        rows = embeddings.placed(classes, index).collect()
+        own = [r for r in rows if r.own]
+        assert len(own) == table.count() and all(len(r.code) == 8 and r.visits is not None for r in own)
+        assert len({r.list for r in own}) >= 2 and any(not r.own for r in rows)
+        compared = spared = 0
+        for key in {(r.label, r.dim, r.list) for r in own}:
+            group = [r for r in rows if (r.label, r.dim, r.list) == key]
+            x = embeddings._unit(np.array([r.x for r in group]))
+            mine = np.array([r.own for r in group])
+            codes = embeddings.pa.chunked_array([embeddings.pa.array([r.code for r in group], embeddings.pa.binary())])
+            coded = embeddings.Coded.of(x, mine, codes, np.array([r.error for r in group]), index[key[1]], key[2])
+            near = coded.candidates(np.arange(len(group)), np.flatnonzero(mine), math.sqrt(0.14))
+            compared, spared = compared + near.size, spared + int((~near).sum())
+        assert compared > 0 and spared > compared / 2
+
+
+def test_dimensions_beyond_the_fit_are_compared_too(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(60, 3)).astype(np.float32))]
+    classes = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("vec_id AS node", "1L AS n", "label", "size(embedding) AS dim", "embedding")
+    got = embeddings.near_pairs(classes, {}).where("is_count").groupBy("a").sum("b").collect()
+    want = {i: n for i, (n, *_) in brute_force(rows).items() if n}
+    assert {r[0]: r[1] for r in got} == want
