@@ -73,7 +73,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A word in RE2, and its count; the constants of the mixing and chat queries.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
-FRESH, HISTORY = 384, 128
+BUDGET, HISTORY = 512, 128
 
 
 def _escaped(text: str) -> str:
@@ -121,7 +121,7 @@ ORACLES = {
         n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
         SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
     "op9_chat_windows": f"""
-        WITH t AS (
+        WITH RECURSIVE t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
         told AS (
@@ -130,16 +130,20 @@ ORACLES = {
             FROM t GROUP BY conv_id),
         k AS (
             SELECT *, len(regexp_extract_all(text, '{SQL_WORD}')) + 1 AS k, row_number() OVER c AS i,
-                   length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.START) + len(chat.END) + 2} AS chars
+                   length(replace({_escaped("role")}, chr(10), '\\n')) + length({_escaped("text")}) + {len(chat.START) + len(chat.END) + 2} AS chars
             FROM t WINDOW c AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-        p AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p, k * 2 > {FRESH} AS long,
-                     max(CASE WHEN i = 1 AND role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys,
-                     sum(CASE WHEN i = 1 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars FROM k),
-        s AS (SELECT *, i = 1 OR long OR coalesce(lag(long) OVER c, false) OR p * 2 // {FRESH} != lag(p * 2 // {FRESH}) OVER c AS start,
-                     min(i) OVER (PARTITION BY conv_id ORDER BY p RANGE BETWEEN {HISTORY} PRECEDING AND CURRENT ROW) AS first FROM p WINDOW c AS (PARTITION BY conv_id ORDER BY i)),
-        w AS (SELECT conv_id, i, greatest(first, sys + 1) AS first, CASE WHEN i > 1 THEN sys_chars ELSE 0 END AS kept,
-                     lead(i, 1, 1000000000) OVER (PARTITION BY conv_id ORDER BY i) AS stop FROM s WHERE start),
-        c AS (SELECT w.conv_id, w.i, any_value(kept) + sum(chars) AS chars FROM w JOIN s ON w.conv_id = s.conv_id AND s.i < w.stop AND (s.i >= w.i OR s.i >= w.first) GROUP BY w.conv_id, w.i)
+        p AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p,
+                     i = 1 AND role = 'system' AND k * 2 <= {BUDGET} AS sys FROM k),
+        s AS (SELECT *, p // {chat.CHAPTER * BUDGET} AS chapter, coalesce(sum(CASE WHEN sys THEN k END) OVER w, 0) AS sys_k, coalesce(sum(CASE WHEN sys THEN chars END) OVER w, 0) AS sys_chars,
+                     coalesce(min(CASE WHEN NOT sys THEN i END) OVER h, i) AS first, coalesce(p - min(CASE WHEN NOT sys THEN p END) OVER h, 0) AS past
+              FROM p WINDOW w AS (PARTITION BY conv_id), h AS (PARTITION BY conv_id ORDER BY p RANGE BETWEEN {HISTORY} PRECEDING AND CURRENT ROW)),
+        u AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE sys_k END AS kept FROM s),
+        v AS (SELECT *, CASE WHEN kept + past + k <= {BUDGET} THEN past ELSE 0 END AS held FROM u),
+        nxt AS (SELECT a.conv_id, a.i, min(b.i) AS stop FROM v a LEFT JOIN v b ON b.conv_id = a.conv_id AND b.i > a.i AND (b.chapter != a.chapter OR a.kept + a.held + b.p + b.k - a.p > {BUDGET}) GROUP BY a.conv_id, a.i),
+        w AS (SELECT conv_id, 1::BIGINT AS i FROM told UNION ALL SELECT w.conv_id, nxt.stop FROM w JOIN nxt ON nxt.conv_id = w.conv_id AND nxt.i = w.i WHERE nxt.stop IS NOT NULL),
+        c AS (SELECT v.conv_id, v.i, any_value(CASE WHEN v.i > 1 THEN v.sys_chars ELSE 0 END) + sum(x.chars) AS chars
+              FROM w JOIN v ON v.conv_id = w.conv_id AND v.i = w.i JOIN nxt ON nxt.conv_id = v.conv_id AND nxt.i = v.i
+              JOIN v x ON x.conv_id = v.conv_id AND x.i >= CASE WHEN v.held > 0 THEN v.first ELSE v.i END AND (nxt.stop IS NULL OR x.i < nxt.stop) GROUP BY v.conv_id, v.i)
         SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
                (SELECT sum(chars)::BIGINT FROM c WHERE c.conv_id = told.conv_id) AS formatted_chars
         FROM told""",

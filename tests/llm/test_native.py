@@ -124,14 +124,58 @@ def test_chat_round_trip_and_windows(spark):
         own = sorted(((t, role or "", text or "") for c, t, role, text, _ in rows if c == conv))
         assert [(t.role, t.text) for t in back[conv].turns] == [(role, text) for _, role, text in own]
         assert back[conv].targets == [text for _, role, text in own if role == "assistant"]
+    held_budget(windows.collect(), 40, 10)
+
+
+def held_budget(windows, budget, history):
+    """No window holds more than the budget, but for a single new turn that does; what it repeats fits too. Returns their tokens."""
     tokens = lambda s: len(s.split()) + 1
-    for r in windows.collect():
-        parts = r.formatted.split("<|end|>\n")[:-1]
-        assert len(parts) == r.n_repeated + r.n_new and r.n_new >= 1
-        new = [tokens(chat_body(p)) for p in parts[r.n_repeated :]]
-        assert sum(new) <= 30 or len(new) == 1
-        system = parts[0].startswith("<|start|>system\n")
-        assert sum(tokens(chat_body(p)) for p in parts[system : r.n_repeated]) <= 10
+    sums = []
+    for r in windows:
+        parts = [tokens(chat_body(p)) for p in r.formatted.split("<|end|>\n")[:-1]]
+        assert len(parts) == r.n_repeated + r.n_new and r.n_new >= 1 and sum(parts) == r.n_tokens
+        system = r.n_repeated and r.formatted.startswith("<|start|>system\n")
+        past = sum(parts[system : r.n_repeated])
+        assert past <= history
+        assert sum(parts) <= budget or (r.n_new == 1 and past == 0), (parts, r.n_repeated)
+        sums.append(sum(parts))
+    return sums
+
+
+def test_windows_are_full_and_hold_the_system_turn(spark):
+    """A system turn of any length, turns of up to a tenth of the budget: 85 % of all windows but each conversation's last is used."""
+    rng = random.Random(12)
+    rows = []
+    for conv, system in enumerate((0, 20, 150, 250, 300, 400, 2000)):
+        rows.append((conv, 0, "system", "s " * system))
+        rows += [(conv, t, rng.choice(["user", "assistant"]), "w " * rng.randint(0, 50)) for t in range(1, 400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    for chapter in (64, 2):
+        found = chat.format_windows(df).collect() if chapter == 64 else None
+        if found is None:
+            kept, chat.CHAPTER = chat.CHAPTER, chapter
+            try:
+                found = chat.format_windows(df).collect()
+                back = {r.conv_id: r for r in chat.read_windows(chat.format_windows(df)).collect()}
+            finally:
+                chat.CHAPTER = kept
+            for conv, r in back.items():
+                assert [(t.role, t.text) for t in r.turns] == [(role, text) for c, _, role, text in rows if c == conv]
+        held_budget(found, 512, 128)
+        for conv, system in enumerate((0, 20, 150, 250, 300, 400, 2000)):
+            own = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.window)
+            assert all(r.formatted.startswith("<|start|>system\n") == (system < 256 or r.window == 1) for r in own)
+            if chapter == 64:
+                middle = [r.n_tokens for r in own[1:-1]]
+                assert sum(middle) >= 0.85 * 512 * len(middle), (system, middle[:5])
+                assert any(r.n_repeated > (system < 256) for r in own)
+
+
+def test_roles_with_line_ends_read_back(spark):
+    rows = [(1, 0, "user\nnow", "a\nb"), (1, 1, "\\n", "\\n"), (1, 2, "x\\\n\\\\n\n", ""), (1, 3, "assistant\n", "not a target"), (1, 4, "\n<|end|>\n", "\n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat.read_windows(chat.format_windows(df)).first()
+    assert [(t.role, t.text) for t in back.turns] == [(r, t) for *_, r, t in rows] and back.targets == []
 
 
 def chat_body(part):
