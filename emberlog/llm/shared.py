@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where the cluster names none, one inside the warehouse."""
+    """The folder that all executors share; where none is named, one inside the warehouse, which must not be the driver's own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     root = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    local = spark.sparkContext.master.startswith("local")
+    if not named and not local and root.startswith("file:"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def shared_copy(spark: SparkSession, file: str) -> str:
+    """A copy of one of the driver's files in the shared folder."""
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    to = path(f"{scratch_dir(spark)}/{os.path.basename(file)}")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.copyFromLocalFile(False, True, path(f"file://{file}"), to)
+    return fs.makeQualified(to).toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lost executors only cost what follows."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,12 +98,44 @@ def test_url_rules_equal_brute_force(spark):
         assert (r.rule, r.verdict) == ((found[0] + found[1], found[2]) if found else (None, "allow")), r.url
 
 
-def test_url_digests_may_collide():
+def plain_rule(host, path, rules):
+    """The longest rule by trying all of them."""
+    fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    return max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0])), default=None)
+
+
+def test_url_digests_may_collide(tmp_path):
     rules = [(f"h{i}.com", f"/{i}", "block" if i % 2 else "allow") for i in range(40)]
-    index = url_filter.DigestArray(rules, digest=lambda s: len(s) % 3)
-    found = index.match([f"w.h{i}.com" for i in range(41)], [f"/{i}/x" for i in range(41)])
-    assert [index.hosts[r] if r >= 0 else None for r in found] == [*[f"h{i}.com" for i in range(40)], None]
-    assert url_filter.DigestArray([]).match(["a.com"], ["/"]) == [-1]
+    few = lambda s: len(s) % 3
+    url_filter.DigestArray.write(rules, str(tmp_path / "r"), few)
+    index = url_filter.DigestArray(str(tmp_path / "r"), few)
+    found = index.match(pa.array([f"w.h{i}.com" for i in range(41)]), pa.array([f"/{i}/x" for i in range(41)]))
+    assert [index.hosts[int(r)].as_py() if r >= 0 else None for r in found] == [*[f"h{i}.com" for i in range(40)], None]
+    url_filter.DigestArray.write([], str(tmp_path / "none"))
+    assert url_filter.DigestArray(str(tmp_path / "none")).match(pa.array(["a.com"]), pa.array(["/"])).tolist() == [-1]
+
+
+@pytest.mark.parametrize("way", ["handed out", "joined"])
+def test_url_rules_equal_brute_force(spark, way):
+    rng = random.Random(7)
+    label = lambda: rng.choice(["a", "b", "bb", "é", "x-y", "com", "net"])
+    hosts = lambda n: ".".join(label() for _ in range(rng.randint(0, n)))
+    paths = lambda: "".join(rng.choice(["/", "a", "b", "é", "/en/"]) for _ in range(rng.randint(0, 5)))
+    rules = list({(hosts(3), paths()): rng.choice(["block", "allow"]) for _ in range(150)}.items())
+    rules = [(h, p, v) for (h, p), v in rules if h]
+    urls = [f"http://{hosts(5)}{'/' + paths() if rng.random() < 0.9 else ''}{rng.choice(['', '?q', '#f'])}" for _ in range(400)]
+    urls += [None, "", "no scheme", "http://", "http://" + "." * 50_000 + "com/en/", "http://a.com/" + "a" * 100_000, "http://" + "a." * 30_000 + "net"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string").repartition(3)
+    got = url_filter.judge(df, rules, default="none", most_bytes=1 << 30 if way == "handed out" else 0).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        best = plain_rule(r.host, r.path, rules)
+        assert (r.rule, r.verdict) == ((best[0] + best[1], best[2]) if best else (None, "none")), r
+    assert url_filter.judge(df.where("false"), rules).collect() == []
+    of_table = spark.createDataFrame(rules + [(None, "/", "block")], url_filter.RULES)
+    again = {r.page_id: r.rule for r in url_filter.judge(df, of_table).collect()}
+    assert again == {r.page_id: r.rule for r in got}
+    assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 
 CONTROL = ["</s>", "<s>", "[INST]", "[/INST]", "<|start|>", "<|end|>", "<<SYS>>", "<\\s>", "\\", "\\\\", "<|end|>\n", "\n", "plain words here", "é 👍", "assistant"]
