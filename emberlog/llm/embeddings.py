@@ -2,8 +2,8 @@
 
 Unit vectors are put into coarse inverted lists, and what is left after a list's centre is coded by the
 nearest centroid in each subspace; the codes travel with the vectors. A vector is looked up in its own list and in
-those whose border is within half a link's length: of two linked vectors in different lists one is as near to the
-border between them, so no link is lost. There, asymmetric distances are sums of table entries, and since each code
+those whose border is near enough: of two linked vectors in different lists one is within half a link's length of
+the border between them, and within less where a link's direction is one of many (see link_reach()). There, asymmetric distances are sums of table entries, and since each code
 knows its error they bound the true distance from below. What remains is reranked by the exact cosine in double
 precision. Equal vectors are one entry with a count. A task gives counts of links and the stars of a spanning
 forest, never the pairs, and a list above a limit is dealt into pairs of blocks.
@@ -26,21 +26,22 @@ from emberlog.llm.shared import components, cut
 #: Bounds of the fit: vectors and components of the sample (those of the smallest hashes of their ids).
 FIT_ROWS, FIT_VALUES = 20_000, 2_000_000
 #: Most coarse lists, vectors of one label that a list is meant for, and of the sample for each list; subspaces, codes of a subspace.
-LISTS, LIST_ROWS, LIST_SAMPLE, SUBSPACES, CODES = 1024, 256, 8, 8, 64
+LISTS, LIST_ROWS, LIST_SAMPLE, SUBSPACES, CODES = 1024, 512, 8, 8, 64
 #: Members of a group that are compared in one piece; rows whose distances to all centres are held at once.
-BLOCK, ROWS = 2048, 2048
-#: How far behind its list's border a vector's partners are looked for, in lengths of the longest link. Half of it
+BLOCK, ROWS = 4096, 2048
+#: How far behind its list's border a vector's partners are looked for, in lengths of the longest link: half of it
 #: loses no link, since both sides look.
-REACH = 0.5
+EXACT = 0.5
 
 
 @dataclass
 class Index:
-    """centres: of the lists; books: for each subspace its codes' centroids; cuts: the subspaces' bounds."""
+    """centres: of the lists; books: for each subspace its codes' centroids; cuts: the subspaces' bounds; reach: link_reach()."""
 
     centres: np.ndarray
     books: list[np.ndarray]
     cuts: np.ndarray
+    reach: float
 
     def lists(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
         """The nearest list of each vector, and by vector and list whether its border is within reach."""
@@ -96,7 +97,18 @@ def build_index(sample: np.ndarray, n_lists: int, *, subspaces: int = SUBSPACES,
     rest = sample - centres[_nearest(sample, centres)]
     cuts = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
     books = [_centroids(rest[:, a:b], min(codes, len(rest))) for a, b in zip(cuts, cuts[1:])]
-    return Index(centres, books, cuts)
+    return Index(centres, books, cuts, link_reach(rest))
+
+
+def link_reach(rest: np.ndarray) -> float:
+    """The reach, in lengths of the longest link, that links behind a border exceed once in some 16,000.
+
+    A link's direction is taken to be spread as the residuals are. Across a border it then goes no further than four
+    standard deviations, at most those of the direction in which residuals spread most, and the nearer of its two
+    vectors half as far. Residuals of few directions give EXACT.
+    """
+    spread = np.linalg.eigvalsh(rest.T @ rest)
+    return EXACT if spread[-1] <= 0 else min(EXACT, 2 * math.sqrt(spread[-1] / spread.sum()))
 
 
 def usable(embedding: str | Column) -> Column:
@@ -136,7 +148,7 @@ def fit(classes: DataFrame, *, rows: int = FIT_ROWS, values: int = FIT_VALUES, l
     return out
 
 
-def placed(classes: DataFrame, index: dict[int, Index], *, least: float = 0.93, reach: float = REACH) -> DataFrame:
+def placed(classes: DataFrame, index: dict[int, Index], *, least: float = 0.93, reach: float | None = None) -> DataFrame:
     """classes: node, n, label, dim, embedding. A row for each vector in its own list, with code, error and the lists it visits too; and for each visit.
 
     A dimension that no index covers is one list, whose codes are made where it is compared.
@@ -151,7 +163,7 @@ def placed(classes: DataFrame, index: dict[int, Index], *, least: float = 0.93,
                 at = np.flatnonzero(dims == dim)
                 raw = b.column("embedding").take(pa.array(at))
                 x, known = _unit(_matrix(raw, dim)), index.get(int(dim))
-                home, near = (np.zeros(len(at), dtype=int), np.zeros((len(at), 1), dtype=bool)) if known is None else known.lists(x, reach * far)
+                home, near = (np.zeros(len(at), dtype=int), np.zeros((len(at), 1), dtype=bool)) if known is None else known.lists(x, (known.reach if reach is None else reach) * far)
                 codes, error = (None, np.zeros(len(at))) if known is None else known.encode(x - known.centres[home])
                 rows, lists = np.nonzero(near)
                 rows, lists = np.concatenate([np.arange(len(at)), rows]), np.concatenate([home, lists])
@@ -169,7 +181,7 @@ def placed(classes: DataFrame, index: dict[int, Index], *, least: float = 0.93,
     return classes.select("label", "dim", "node", "n", "embedding").mapInArrow(place, schema)
 
 
-def near_pairs(classes: DataFrame, index: dict[int, Index], *, least: float = 0.93, reach: float = REACH) -> DataFrame:
+def near_pairs(classes: DataFrame, index: dict[int, Index], *, least: float = 0.93, reach: float | None = None) -> DataFrame:
     """classes: node, n, label, dim, embedding. Rows (a, b, is_count): a has b links in one group; or else a and b are a tree's edge.
 
     Two vectors of different lists meet in the later one if the other visits it, else in the earlier one.
@@ -262,14 +274,15 @@ class Coded:
                     yield u[hit], v[hit]
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.93, reach: float = REACH) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, least: float = 0.93, reach: float | None = None) -> DataFrame:
     """vectors: vec_id, embedding, label. vec_id, n_links, component_id and kept for each row.
 
     Rows are compared when their labels are equal and not null. Null, empty or zero vectors, null or
     non-finite components and null labels link with nothing; so do vectors of different lengths, and rows
     without a vec_id, whose component is null. Other rows of an equal vector are links, also those of an
     equal vec_id; different vectors of an equal vec_id share what they link with. An empty table gives an
-    empty table; further columns are left out.
+    empty table; further columns are left out. Links across the borders of lists may be lost where they go in few
+    directions and residuals in many; with reach = EXACT none is.
     """
     # components stay as narrow as they came; adding 0 makes a negative zero positive
     of = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"

@@ -59,9 +59,25 @@ def test_recall_on_a_table_of_many_lists(spark, monkeypatch):
     near = base[:200] + rng.normal(size=(200, 32)) * 0.2
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
     want = brute_force(rows)
-    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
-    assert sum(r.n_links for r in got) >= 0.9 * sum(n for n, *_ in want.values()) > 0
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicates(df).collect()
+    assert sum(r.n_links for r in got) >= 0.99 * sum(n for n, *_ in want.values()) > 0
     assert all(r.n_links <= want[r.vec_id][0] for r in got)
+    exact = embeddings.near_duplicates(df, reach=embeddings.EXACT).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in exact} == want
+
+
+def test_recall_of_links_without_clusters(spark, monkeypatch):
+    """Random vectors of six components, 40 lists: most links have other lists about, and all of them are found."""
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 50)
+    rng = np.random.default_rng(14)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(2000, 6)).astype(np.float32))]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.93).sum()) - len(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = lambda **more: sum(r.n_links for r in embeddings.near_duplicates(df, **more).collect())
+    assert want > 200 and found() == found(reach=embeddings.EXACT) == want
 
 
 def test_links_across_borders_in_few_directions(spark, monkeypatch):
