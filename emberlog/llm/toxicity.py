@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Grades are 0 for documents labelled clean, and 1 to 3 for toxic ones by how many marker terms they hold:
-markers are terms that the labels themselves show to be far more frequent in toxic documents. One weight
-vector serves all thresholds: P(grade >= k) = logistic(w . x - theta_k) with theta_1 < theta_2 < theta_3, and
-the prediction is the expected grade, the sum of these over k.
+Labels say toxic or not. Grade 0 is clean; toxic documents are graded 1 to 3 by thirds of the score that a model of
+two grades gives them which was fitted without them. One weight vector serves all thresholds:
+P(grade >= k) = logistic(w . x - theta_k) with theta_1 < theta_2 < theta_3, and the prediction is the expected grade,
+the sum of these over k.
 """
 
 from __future__ import annotations
@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.shared import cut, small_batches
 
-#: Bounds of the fit: labelled documents (those of the smallest hashes of their ids), terms.
-FIT_DOCS, FIT_TERMS = 20_000, 4_000
-GRADES = 3
-#: A marker is this many times as frequent (as a logarithm) in toxic documents, and in so many of them at least.
-MARKER_ODDS, MARKER_DOCS = 3.0, 3
+#: Bounds of the fit: labelled documents (those of the smallest hashes of their ids), terms, and documents that a term is in.
+FIT_DOCS, FIT_TERMS, TERM_DOCS = 20_000, 4_000, 3
+GRADES, FOLDS = 3, 3
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -64,11 +62,16 @@ class OrdinalModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS, most_terms: int = FIT_TERMS) -> OrdinalModel:
-    """labels: doc_id, toxic (0 or 1; null rows are left out). Without both labels, nothing is toxic."""
+    """labels: doc_id, toxic (0 or 1; null rows are left out, of repeated ids the greater one counts).
+
+    Without both labels, nothing is toxic. Of rows of one doc_id the least text that isn't null is read, so the sample
+    has no more rows than ids.
+    """
     # at most most_docs ids, so their broadcast is bounded
-    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    sample = cut(small_batches(docs).where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    found = small_batches(docs).where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = cut(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -85,63 +88,104 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS, most_t
         return OrdinalModel({}, np.full(GRADES, 30.0) + np.arange(GRADES))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     best = (
-        sample.select("text", F.col("toxic").cast("int"))
+        sample.select("text", "toxic")
         .mapInArrow(count, "term string, toxic long, clean long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") + F.col("clean") >= MARKER_DOCS)
-        .withColumn("odds", odds)
-        .orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("toxic") + F.col("clean") * n1 / n0)), "term")
+        .where(F.col("toxic") + F.col("clean") >= TERM_DOCS)
+        .orderBy(F.desc(F.abs(odds) * F.sqrt(F.col("toxic") + F.col("clean") * n1 / n0)), "term")
         .limit(most_terms)
         .collect()
     )
     index = {r.term: i for i, r in enumerate(best)}
-    markers = {r.term for r in best if r.odds >= MARKER_ODDS and r.toxic >= MARKER_DOCS and not r.term.endswith("*")}
-    heads = {r.term for r in best if r.odds >= MARKER_ODDS and r.toxic >= MARKER_DOCS and r.term.endswith("*")}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, x, grade = [], [], []
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, x = [], []
+            for text in b.column(1).to_pylist():
                 found = {t: n for t, n in terms(text).items() if t in index}
-                hits = max(sum(n for t, n in found.items() if t in markers), max((n for t, n in found.items() if t in heads), default=0))
                 at.append([index[t] for t in sorted(found)])
                 x.append([math.log1p(found[t]) for t in sorted(found)])
-                grade.append(0 if not y else 1 + (hits >= 2) + (hits >= 5))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), pa.array(grade, pa.int32())], names=["at", "x", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["at", "x", "toxic"])
 
-    rows = sample.orderBy("doc_id").select("text", F.col("toxic").cast("int")).mapInArrow(vectors, "at array<int>, x array<double>, grade int").collect()
-    return _fit(index, [r.at for r in rows], [r.x for r in rows], np.array([r.grade for r in rows]))
+    rows = sample.orderBy("doc_id").select("doc_id", "text", "toxic").mapInArrow(vectors, "at array<int>, x array<double>, toxic int").collect()
+    x = Sparse.of([r.at for r in rows], [r.x for r in rows], len(index))
+    toxic = np.array([r.toxic > 0 for r in rows])
+    weights, theta = fit_ordinal(x, graded(x, toxic), GRADES)
+    return OrdinalModel({w: float(weights[i]) for w, i in index.items() if abs(weights[i]) > 1e-6}, theta)
 
 
-def _fit(index: dict[str, int], at: list[list[int]], x: list[list[float]], grade: np.ndarray, *, steps: int = 400, ridge: float = 1e-4) -> OrdinalModel:
-    """Full-batch Adam on the mean log-likelihood; thresholds are a first one plus positive steps."""
-    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    col = np.fromiter((i for a in at for i in a), np.int64, len(row))
-    val = np.fromiter((v for a in x for v in a), np.float64, len(row))
-    n, d = len(grade), len(index)
-    p = np.concatenate([np.zeros(d), [2.0], np.zeros(GRADES - 1)])
+@dataclass
+class Sparse:
+    """Values by row and column, in order of the rows."""
+
+    row: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, at: list[list[int]], x: list[list[float]], width: int) -> Sparse:
+        sizes = [len(a) for a in at]
+        flat = lambda lists, kind: np.fromiter((v for one in lists for v in one), kind, sum(sizes))
+        return cls(np.repeat(np.arange(len(at)), sizes), flat(at, np.int64), flat(x, np.float64), (len(at), width))
+
+    def rows(self, keep: np.ndarray) -> Sparse:
+        kept = keep[self.row]
+        return Sparse((np.cumsum(keep) - 1)[self.row[kept]], self.col[kept], self.val[kept], (int(keep.sum()), self.shape[1]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.val * w[self.col], minlength=self.shape[0])
+
+
+def graded(x: Sparse, toxic: np.ndarray) -> np.ndarray:
+    """0 for clean rows; for toxic ones their third, from 1, by the score of a model of two grades fitted on the other folds."""
+    fold, score = np.arange(len(toxic)) % FOLDS, np.zeros(len(toxic))
+    for k in range(FOLDS):
+        others = fold != k
+        if toxic[others].any() and not toxic[others].all():
+            weights, _ = fit_ordinal(x.rows(others), toxic[others].astype(int), 1, steps=150)
+            score[fold == k] = x.rows(fold == k).times(weights)
+    grade, at = np.zeros(len(toxic), dtype=int), np.flatnonzero(toxic)
+    # equal scores have equal grades
+    below = np.searchsorted(np.sort(score[at]), score[at], "left")
+    grade[at] = 1 + below * GRADES // max(1, len(at))
+    return grade
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def loss_and_gradient(p: np.ndarray, x: Sparse, grade: np.ndarray, grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with the ridge. p: weights, the first threshold, logarithms of the steps to the others."""
+    n, d = x.shape
+    theta = np.cumsum(np.concatenate([[p[d]], np.exp(p[d + 1 :])]))
+    s = x.times(p[:d])
+    # bounds of each row's own interval: up = P(grade >= y), down = P(grade >= y + 1)
+    edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    up = np.where(grade == 0, 1.0, _sigmoid(s - edges[grade]))
+    down = np.where(grade == grades, 0.0, _sigmoid(s - edges[grade + 1]))
+    like = np.maximum(up - down, 1e-12)
+    gu, gd = up * (1 - up) / like, down * (1 - down) / like
+    grad = np.empty_like(p)
+    grad[:d] = -np.bincount(x.col, x.val * (gu - gd)[x.row], minlength=d) / n + ridge * p[:d]
+    dtheta = np.array([gu[grade == k].sum() - gd[grade == k - 1].sum() for k in range(1, grades + 1)]) / n
+    grad[d] = dtheta.sum()
+    grad[d + 1 :] = [dtheta[k:].sum() * np.exp(p[d + k]) for k in range(1, grades)]
+    return float(-np.log(like).mean() + ridge / 2 * (p[:d] ** 2).sum()), grad
+
+
+def fit_ordinal(x: Sparse, grade: np.ndarray, grades: int, *, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds, by full-batch Adam."""
+    d = x.shape[1]
+    p = np.concatenate([np.zeros(d), [2.0], np.zeros(grades - 1)])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        theta = np.cumsum(np.concatenate([[p[d]], np.exp(p[d + 1 :])]))
-        s = np.bincount(row, val * p[col], minlength=n)
-        # bounds of each row's own interval: up = P(grade >= y), down = P(grade >= y + 1)
-        edges = np.concatenate([[-np.inf], theta, [np.inf]])
-        up = np.where(grade == 0, 1.0, sig(s - edges[grade]))
-        down = np.where(grade == GRADES, 0.0, sig(s - edges[grade + 1]))
-        like = np.maximum(up - down, 1e-12)
-        gu, gd = up * (1 - up) / like, down * (1 - down) / like
-        ds = gu - gd
-        grad = np.empty_like(p)
-        grad[:d] = -np.bincount(col, val * ds[row], minlength=d) / n + ridge * p[:d]
-        dtheta = np.array([gu[grade == k].sum() - gd[grade == k - 1].sum() for k in range(1, GRADES + 1)]) / n
-        grad[d] = dtheta.sum()
-        grad[d + 1 :] = [dtheta[k:].sum() * np.exp(p[d + k]) for k in range(1, GRADES)]
+        _, grad = loss_and_gradient(p, x, grade, grades, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    theta = np.cumsum(np.concatenate([[p[d]], np.exp(p[d + 1 :])]))
-    return OrdinalModel({w: float(p[i]) for w, i in index.items() if abs(p[i]) > 1e-6}, theta)
+    return p[:d], np.cumsum(np.concatenate([[p[d]], np.exp(p[d + 1 :])]))
 
 
 def predict(docs: DataFrame, model: OrdinalModel, *, reject_at: float = 0.5) -> DataFrame:
