@@ -23,20 +23,21 @@ from emberlog.llm.shared import small_batches
 
 #: Documents of a language that the fit reads, about: those whose hash of doc_id is small enough.
 FIT_DOCS = 4_000
-#: Buckets of hashed letter triples and pairs, for each language; most languages of a model.
-BUCKETS, LANGUAGES = 1 << 16, 256
+#: Buckets of hashed letter triples and pairs, for each language and at most for all; values of lang that are learned,
+#: the commonest ones (a model is broadcast, so it is bounded).
+BUCKETS, ALL_BUCKETS, LANGUAGES = 1 << 16, 1 << 24, 4096
 #: Pseudo-counts of a letter after a pair, and letters that may follow.
 DELTA, FOLLOWERS = 0.1, 64
 #: Weight of the penalty of a language, in halves of the logarithm of the number of words.
 PENALTY = 2.0
 UNDETERMINED = "und"
-#: Words that a task remembers, and rows of words by languages that are worked on at once.
-REMEMBERED, CHUNK = 200_000, 1 << 21
+#: Characters of words, and words by languages, that a task remembers; rows of words by languages that are worked on at once.
+REMEMBERED, CELLS, CHUNK = 4_000_000, 1 << 22, 1 << 21
 _WORDS = re.compile(r"[^\W\d_]+")
 _U = np.uint32
 
 
-def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def triples(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of each word's letter triples and of their first two, and where each word begins.
 
     A word has two blanks in front and one behind, so a triple stands for a letter or for the word's end.
@@ -47,7 +48,7 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     three = pair * _U(0xC2B2AE3D) ^ c * _U(0x27D4EB2F)
     real = ~((c == 32) & (b == 32))
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-    spread = lambda x: ((x ^ (x >> _U(15))) * _U(0x2C1B3C6D) >> _U(16)).astype(np.int64)
+    spread = lambda x: ((x ^ (x >> _U(15))) * _U(0x2C1B3C6D) >> _U(16)).astype(np.int64) & (buckets - 1)
     # the second blank before each word but the first stands for nothing
     first = np.concatenate([[0], ends[:-1]])
     return spread(three[real]), spread(pair[real] + _U(1)), first
@@ -66,7 +67,7 @@ class LanguageModel:
         out = np.empty((len(words), len(self.languages)), dtype=np.float64)
         step = max(1, CHUNK // (16 * max(1, len(self.languages))))
         for s in range(0, len(words), step):
-            three, pair, first = triples(words[s : s + step])
+            three, pair, first = triples(words[s : s + step], self.up.shape[1])
             for k in range(len(self.languages)):
                 out[s : s + step, k] = np.add.reduceat((self.up[k][three] - self.down[k][pair]).astype(np.float64), first)
         return out
@@ -87,39 +88,39 @@ def letters_of(text: str | None) -> Counter:
 def fit(docs: DataFrame, *, most_docs: int = FIT_DOCS) -> LanguageModel:
     """docs: doc_id, text, lang. Rows with a null text or lang are left out; without any, no language is known.
 
-    Of each language about most_docs documents are read, all of them if it has fewer.
+    Of each language about most_docs documents are read, all of them if it has fewer. With more than 256 languages
+    each has fewer buckets; rows of values of lang beyond the commonest LANGUAGES teach nothing.
     """
     known = small_batches(docs).where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = {r.lang: r["count"] for r in common.collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.empty((0, BUCKETS)), np.empty((0, BUCKETS)))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, most_docs / sizes[lang]))])
+    buckets = min(BUCKETS, 1 << (ALL_BUCKETS // len(languages)).bit_length() - 1)
+    shares = docs.sparkSession.createDataFrame([(lang, i, min(1.0, most_docs / sizes[lang])) for i, lang in enumerate(languages)], "lang string, number int, share double")
     place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), BUCKETS))
+        up, down = np.zeros((len(languages), buckets)), np.zeros((len(languages), buckets))
         for b in batches:
-            for text, lang in zip(b.column(0), b.column(1).to_pylist()):
+            for text, k in zip(b.column(0), b.column(1).to_pylist()):
                 words = letters_of(text.as_py())
                 if words:
-                    three, pair, first = triples(list(words))
+                    three, pair, first = triples(list(words), buckets)
                     times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.diff(np.append(first, len(three))))
-                    up[number[lang]] += np.bincount(three, times, minlength=BUCKETS)
-                    down[number[lang]] += np.bincount(pair, times, minlength=BUCKETS)
+                    up[k] += np.bincount(three, times, minlength=buckets)
+                    down[k] += np.bincount(pair, times, minlength=buckets)
         for which, table in enumerate((up, down)):
             k, at = np.nonzero(table)
-            kind = np.full(len(k), which)
-            yield pa.RecordBatch.from_arrays([pa.array((kind * LANGUAGES + k) * BUCKETS + at), pa.array(table[k, at].astype(np.int64))], names=["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((which * len(languages) + k) * buckets + at), pa.array(table[k, at].astype(np.int64))], names=["at", "n"])
 
-    found = known.where(place < share[F.col("lang")]).select("text", "lang").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    # at most 2 * BUCKETS rows for each language
-    tables = np.zeros(2 * LANGUAGES * BUCKETS)
+    chosen = known.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("text", "number")
+    found = chosen.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    # at most 2 * buckets rows for each language
+    tables = np.zeros(2 * len(languages) * buckets)
     tables[found["at"].to_numpy(dtype=np.int64)] = found["n"]
-    up, down = tables.reshape(2, LANGUAGES, BUCKETS)[:, : len(languages)]
+    up, down = tables.reshape(2, len(languages), buckets)
     return LanguageModel(languages, np.log(up + DELTA).astype(np.float32), np.log(down + DELTA * FOLLOWERS).astype(np.float32))
 
 
@@ -127,16 +128,18 @@ def _shares(p: np.ndarray, n: np.ndarray, doc: np.ndarray, total: np.ndarray, on
     """Expectation-maximisation for many texts at once: shares by text and language, and log-likelihoods.
 
     p: scaled likelihoods by row and language; n: the row's count; doc: its text, ascending; on: the texts' sets.
+    Each text stops by itself, when none of its own shares moves any more, so the texts beside it change nothing.
     """
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     pi = on / on.sum(1, keepdims=True)
+    moving = np.ones(len(pi), dtype=bool)
     for _ in range(rounds):
         r = p * pi[doc]
         r *= (n / np.maximum(r.sum(1), 1e-300))[:, None]
-        new = np.add.reduceat(r, first, axis=0) / total[:, None]
-        moved = np.abs(new - pi).max()
+        new = np.where(moving[:, None], np.add.reduceat(r, first, axis=0) / total[:, None], pi)
+        moving &= np.abs(new - pi).max(1) >= still
         pi = new
-        if moved < still:
+        if not moving.any():
             break
     like = np.add.reduceat(n * np.log(np.maximum((p * pi[doc]).sum(1), 1e-300)), first)
     return pi, like
@@ -196,18 +199,20 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", penal
     @F.pandas_udf("lang_pred string, score double, languages array<struct<lang:string,share:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        table = np.empty((0, len(model.languages)))
+        table, letters = np.empty((0, len(model.languages))), 0
         for texts in batches:
             out: list[tuple] = [(UNDETERMINED, 0.0, [])] * len(texts)
             held: list[tuple[int, Counter]] = []
 
             def settle() -> None:
-                nonlocal table
+                nonlocal table, letters
                 new = list(dict.fromkeys(w for _, c in held for w in c if w not in known))
-                if len(known) + len(new) > REMEMBERED:
+                letters += sum(map(len, new))
+                if letters > REMEMBERED or (len(known) + len(new)) * len(model.languages) > CELLS:
                     known.clear()
                     table = table[:0]
                     new = list(dict.fromkeys(w for _, c in held for w in c))
+                    letters = sum(map(len, new))
                 if new:
                     known.update(zip(new, range(len(table), len(table) + len(new))))
                     table = np.concatenate([table, model.word_likelihoods(new)])

@@ -103,3 +103,31 @@ def test_language_sets_equal_all_subsets():
 def test_letters():
     assert langid.letters_of("Ab ab, a1b ½x _y_") == Counter({"ab": 2, "a": 1, "b": 1, "x": 1, "y": 1})
     assert langid.letters_of(None) == Counter()
+
+
+def test_a_text_is_scored_alike_with_and_without_others(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(table)
+    texts = [r.text for r in table.orderBy("doc_id").collect() if r.text][:120]
+    mixed = texts + [" ".join(a.split()[:60] + b.split()[:90]) for a, b in zip(texts, texts[1:])]
+    counts = [langid.letters_of(t) for t in mixed]
+    counts = [c for c in counts if c]
+    like = [model.word_likelihoods(list(c)) for c in counts]
+    n = [np.array(list(c.values()), dtype=float) for c in counts]
+    sizes = [len(c) for c in counts]
+    together = langid.mixtures(np.concatenate(like), np.concatenate(n), np.repeat(np.arange(len(sizes)), sizes))
+    for i, (a, b) in enumerate(zip(like, n)):
+        assert np.allclose(together[i], langid.mixtures(a, b, np.zeros(len(b), dtype=int))[0], atol=1e-12), i
+    assert (np.count_nonzero(together, axis=1) > 1).sum() > 20
+
+
+def test_a_dirty_column_of_many_languages(spark, monkeypatch):
+    """Three hundred values of lang, most of them on one row: no job ends, and the common ones are learned."""
+    words = {"aa": "ala bala kala", "bb": "ototo mototo"}
+    rows = [(i, words[k] * 5, k) for i in range(40) for k in words] + [(1000 + i, f"q{i} noise", f"x{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs.where("lang IN ('aa', 'bb')"), langid.fit(docs)).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    model = langid.fit(docs)
+    assert model.languages == ["aa", "bb"]
