@@ -4,11 +4,15 @@ A text is marked (a blank becomes a low line, one more goes in front) and cut be
 piece crosses such a cut. A task sorts the distinct words of a batch and walks them as a trie, depth first:
 the best scores of all prefixes that a word shares with the word before are taken over, and only the rest
 is searched. Characters that no piece covers become byte pieces.
+
+The search wants logarithms of the pieces' likelihoods. A model of merges has only their order, so the likelihood of
+the piece of rank r is taken to be in proportion to 1 / r (Zipf's law).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -23,8 +27,8 @@ from emberlog.llm.shared import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words that a task remembers between batches; beyond it starts anew.
-REMEMBERED = 200_000
+#: Characters of the words that a task remembers between batches, about; beyond it starts anew.
+REMEMBERED = 4_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -60,7 +64,7 @@ class Pieces:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 ids[piece], scores[piece] = i, p.get_score(i)
         surface[p.unk_id()] = " ⁇ ".encode()
-        return cls(ids, scores, raw, p.unk_id(), surface)
+        return cls(ids, by_rank(scores), raw, p.unk_id(), surface)
 
     def suffixes(self) -> dict:
         """Pieces from their last character on: a node has the next one before it by character, and its score by ''."""
@@ -128,6 +132,13 @@ class Pieces:
         return out[1:] if out[:1] == " " else out
 
 
+def by_rank(scores: dict[str, float]) -> dict[str, float]:
+    """Logarithms of likelihoods in proportion to 1 / rank, the greatest score first; pieces of equal score by code points."""
+    order = sorted(scores, key=lambda piece: (-scores[piece], piece))
+    total = sum(1 / r for r in range(1, len(order) + 1))
+    return {piece: -math.log(r * total) for r, piece in enumerate(order, 1)}
+
+
 _WORDS = re.compile(rf"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -142,15 +153,17 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
+        held = 0
         for batch in batches:
             # some texts at a time, so that their words don't pile up
             for start in range(0, batch.num_rows, 256):
                 b = batch.slice(start, 256)
                 texts = [pieces.words(t) if t is not None else None for t in b.column(at).to_pylist()]
                 new = set(itertools.chain.from_iterable(t for t in texts if t)).difference(known)
-                if len(known) + len(new) > REMEMBERED:
-                    known = {}
-                    new = set(itertools.chain.from_iterable(t for t in texts if t))
+                held += sum(map(len, new))
+                if held > REMEMBERED:
+                    known, new = {}, set(itertools.chain.from_iterable(t for t in texts if t))
+                    held = sum(map(len, new))
                 known.update(pieces.segment(sorted(new)))
                 flat = [np.frombuffer(b"".join(map(known.__getitem__, t or ())), np.int32) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)

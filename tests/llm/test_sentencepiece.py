@@ -51,3 +51,26 @@ def test_round_trip_of_documents(spark, sf):
 
     got = op10_sentencepiece(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and got.where("NOT round_trip").count() == 0
+
+
+def test_segmentation_is_nearly_as_short_as_the_models_own(spark):
+    """Scores by rank give 2 % more pieces than the model's merges do; the bound here is 4 %."""
+    import sentencepiece as own
+
+    pieces, model = sentencepiece.Pieces.load(), own.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    ours = 0
+    for t in texts:
+        words = pieces.words(t)
+        length = {w: len(ids) // 4 for w, ids in pieces.segment(sorted(set(words)))}
+        ours += sum(length[w] for w in words)
+    theirs = sum(len(model.encode(t)) for t in texts)
+    assert theirs <= ours * 1.001 and ours <= 1.04 * theirs
+
+
+def test_forgetting_words_changes_nothing(spark, monkeypatch):
+    pieces = sentencepiece.Pieces.load()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).coalesce(1)
+    whole = {r.doc_id: r.pieces for r in sentencepiece.encode(docs, pieces).collect()}
+    monkeypatch.setattr(sentencepiece, "REMEMBERED", 50)
+    assert {r.doc_id: r.pieces for r in sentencepiece.encode(docs, pieces).collect()} == whole
