@@ -36,11 +36,29 @@ def coerce(text: str | Column, *, booleans: bool = False) -> Column:
     return out.otherwise(text.cast("variant"))
 
 
+#: How text of each common format looks: what doesn't is not handed to the parser, which fails slowly.
+_LOOKS = {"%Y": r"\d{4}", "%m": r"\d{2}", "%d": r"\d{2}", "%H": r"\d{2}", "%M": r"\d{2}", "%S": r"\d{2}", "%b": "[A-Za-z]{3}", "%z": r"[+-]\d{2}:?\d{2}"}
+
+#: A number as it would be written again: a whole one, or a short one with a point.
+PLAIN_NUMBER = r"0|-?[1-9]\d{0,17}|(?:0|-?[1-9]\d{0,5})\.0|-?[1-9]\d{0,5}\.\d{0,7}[1-9]|-?0\.(?!000)\d{0,11}[1-9]"
+_ANY_NUMBER = r'(?i)":"[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity|nan)"'
+
+
+def coerce_json(json: str | Column, *, booleans: bool = False) -> Column:
+    """A flat JSON object of texts with its values coerced as coerce() does.
+
+    Quotes within texts are escaped there, so a quoted number behind a colon is a value. Most numbers only lose
+    their quotes; objects with numbers in another form go through variants.
+    """
+    json = _col(json)
+    bare = F.regexp_replace(json, F.lit(rf'":"({PLAIN_NUMBER}{"|true|false" if booleans else ""})"(?=[,}}])'), F.lit('":$1'))
+    slow = F.to_json(F.transform_values(F.from_json(json, "map<string,string>"), lambda _, v: coerce(v, booleans=booleans)))
+    return F.transform(F.array(bare), lambda x: F.when(x.rlike(_ANY_NUMBER), slow).otherwise(x))[0]
+
+
 def in_utc(at: Column) -> Column:
     """A time stamp without zone that shows the instant in UTC, whatever the session's zone is."""
-    # seconds and the rest apart, as make_dt_interval() takes seconds of 18 digits, six of them after the point
-    micros = F.unix_micros(at)
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(at), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def rfc3339(text: str | Column) -> Column:
@@ -66,16 +84,23 @@ def java_format(format: str) -> str:
     return out + format[at:]
 
 
+def by_format(text: Column, format: str) -> Column:
+    """The instant in UTC by one strptime format; null where it doesn't fit or has a directive without an equal."""
+    pattern, zoned = java_format(format), "%z" in format
+    if not pattern:
+        return F.lit(None).cast("timestamp_ntz")
+    return in_utc(F.try_to_timestamp(text if zoned else F.concat(text, F.lit(" +0000")), F.lit(pattern if zoned else pattern + " Z")))
+
+
 def timestamp(text: str | Column, format: str | None = None) -> Column:
     """The instant in UTC by the given format, then the common ones, then RFC 3339; without a zone it is UTC."""
     text = _col(text)
-    found = []
-    for f in [format, *COMMON_FORMATS] if format else COMMON_FORMATS:
+    found = [by_format(text, format)] if format else []
+    for f in COMMON_FORMATS:
         if f == "%Y-%m-%dT%H:%M:%S%.fZ":
             found.append(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), F.rtrim(text, F.lit("Z")).try_cast("timestamp_ntz")))
-        elif pattern := java_format(f):
-            zoned = "%z" in f
-            found.append(in_utc(F.try_to_timestamp(text if zoned else F.concat(text, F.lit(" +0000")), F.lit(pattern if zoned else pattern + " Z"))))
+        else:
+            found.append(F.when(text.rlike("^" + re.sub("%.", lambda m: _LOOKS[m[0]], f) + "$"), by_format(text, f)))
     return F.coalesce(*found, rfc3339(text))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.identifiers import field_texts
@@ -71,8 +71,21 @@ def parse_alert(name: str, text: str) -> AlertRule | None:
 
 
 def with_cooldown(fired: DataFrame, seconds: int) -> DataFrame:
-    """Firings of one alert that don't follow another kept or dropped one within the time."""
-    from pyspark.sql import Window
+    """Firings that don't come within so many seconds of the last one kept of their alert and groups.
 
-    before = F.lag("window_start").over(Window.partitionBy("alert").orderBy("window_start"))
-    return fired.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("window_start") >= F.col("__before") + F.make_dt_interval(secs=F.lit(seconds)))).drop("__before")
+    A firing after a pause of that length is always kept, so what lies between pauses is decided by itself: its
+    times in order, from kept one to kept one.
+    """
+    of = [c for c in fired.columns if c not in ("window_start", "value")]
+    order, pause = Window.partitionBy(*of).orderBy("window_start"), F.make_dt_interval(secs=F.lit(seconds))
+    before = F.lag("window_start").over(order)
+    parts = fired.withColumn("__new", (before.isNull() | (F.col("window_start") >= before + pause)).cast("int")).withColumn("__part", F.sum("__new").over(order))
+    rest = [c for c in fired.columns if c not in of]
+    none = F.struct(F.lit(None).cast(fired.schema["window_start"].dataType).alias("last"), F.filter(F.col("__all"), lambda _: F.lit(False)).alias("kept"))
+
+    def keep(acc: Column, x: Column) -> Column:
+        due = acc["last"].isNull() | (x["window_start"] >= acc["last"] + pause)
+        return F.when(due, F.struct(x["window_start"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+
+    grouped = parts.groupBy(*of, "__part").agg(F.array_sort(F.collect_list(F.struct("window_start", *[c for c in rest if c != "window_start"]))).alias("__all"))
+    return grouped.select(*of, F.explode(F.aggregate("__all", none, keep)["kept"]).alias("__f")).select(*of, "__f.*").select(*fired.columns)

@@ -7,6 +7,7 @@ is nearly every line, has an expression too.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable
@@ -17,30 +18,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import levels
-from emberlog.functions.values import FLOAT, INTEGER, NO_NUMBER, coerce, in_utc, named_groups, rfc3339, timestamp, ulid
+from emberlog.functions.values import FLOAT, INTEGER, NO_NUMBER, by_format, coerce_json, in_utc, java_format, named_groups, rfc3339, timestamp, ulid
 from emberlog.sources.packs import Pack, PackError, Source
 
 #: The two forms of a syslog line.
 RFC_3164 = r"(?:<(?P<pri>\d+)>)?(?P<timestamp>\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(?P<hostname>\S+)\s+(?P<app>\S+?)(?:\[(?P<pid>\d+)\])?:\s*(?P<message>.*)"
 RFC_5424 = r"<(?P<pri>\d+)>(?P<version>\d+)\s+(?P<timestamp>\S+)\s+(?P<hostname>\S+)\s+(?P<app>\S+)\s+(?P<procid>\S+)\s+(?P<msgid>\S+)\s+(?P<sd>(?:\[.*?\])+|-)\s*(?P<message>.*)"
 PARSED = "struct<timestamp:timestamp_ntz,level:string,message:string,fields:string>"
+#: What a line was read as: at, by its source's own format, or at_text; level or a syslog pri; fields as JSON, and how
+#: their texts are coerced (0: as they are, 1: numbers, 2: numbers and booleans).
+_GOT = {"at": "timestamp_ntz", "at_text": "string", "level": "string", "pri": "string", "message": "string", "fields": "string", "coerced": "int"}
 
 
-def _parsed(at: Column | None, level: Column | None, message: Column, fields: Column) -> Column:
-    return F.struct(
-        (F.lit(None).cast("timestamp_ntz") if at is None else at).alias("timestamp"),
-        (F.lit(None).cast("string") if level is None else level).alias("level"),
-        F.coalesce(message, F.lit("")).alias("message"),
-        fields.alias("fields"),
-    )
+def _got(**known: Column) -> Column:
+    return F.struct(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in _GOT.items()])
+
+
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x worked out once however often then uses it; null for null."""
+    return F.transform(F.array(x), lambda v: F.when(v.isNotNull(), then(v)))[0]
 
 
-def _object(values: dict[str, Column]) -> Column:
-    """A JSON object of the variants that aren't null."""
-    if not values:
-        return F.lit("{}")
-    pairs = F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v)])
-    return F.to_json(F.map_filter(pairs, lambda _, v: v.isNotNull()))
+def _parsed(got: Column) -> Column:
+    """The parsed struct of what a line was read as: the same few expressions for all formats."""
+    level = F.when(got["pri"].isNotNull() | got["level"].isNull(), F.when(got["pri"].isNotNull(), levels.level_of_priority(got["pri"]))).otherwise(levels.normalise(got["level"]))
+    fields = F.when(got["coerced"] == 0, got["fields"]).when(got["coerced"] == 1, coerce_json(got["fields"])).otherwise(coerce_json(got["fields"], booleans=True))
+    return F.struct(F.coalesce(got["at"], timestamp(got["at_text"])).alias("timestamp"), level.alias("level"), F.coalesce(got["message"], F.lit("")).alias("message"), fields.alias("fields"))
 
 
 #: Stands between groups; a line that holds it is read group by group.
@@ -74,70 +77,93 @@ def _named(groups: Column, pattern: str) -> dict[str, Column]:
 
 @dataclass
 class Parser:
-    """read takes a line apart once; make turns what was read, and the line, into the parsed struct.
-
-    Applied to a table, what was read is a column of its own, so it isn't worked out for each of its uses.
-    """
+    """read: what a line was read as (_GOT); null where it isn't of the format. odd: lines that only Python reads, if any."""
 
     read: Callable[[Column], Column]
-    make: Callable[[Column, Column], Column]
+    odd: Callable[[Column], Column] | None = None
+    read_odd: Callable[[Column], Column] | None = None
 
     def __call__(self, line: Column) -> Column:
-        return self.make(self.read(line), line)
+        read = self.read(line) if self.odd is None else F.when(self.odd(line), self.read_odd(line)).otherwise(self.read(line))
+        return _once(read, _parsed)
 
 
 def regex_parser(pattern: str, *, timestamp_field: str = "timestamp", timestamp_format: str | None = None) -> Parser:
     """The first place where the pattern fits; all named groups become fields, those of time, level and message too."""
 
-    def make(groups: Column, line: Column) -> Column:
-        got = _named(groups, pattern)
-        at = timestamp(got[timestamp_field], timestamp_format) if timestamp_field in got else None
-        level = levels.normalise(got["level"]) if "level" in got else None
-        return F.when(groups.isNotNull(), _parsed(at, level, got.get("message", line), _object({n: coerce(g) for n, g in got.items()})))
+    def got(groups: Column, line: Column) -> Column:
+        named = _named(groups, pattern)
+        known = {"message": named.get("message", line), "fields": F.to_json(F.struct(*[v.alias(n) for n, v in named.items()])) if named else F.lit("{}"), "coerced": F.lit(1)}
+        if timestamp_field in named:
+            known["at_text"] = named[timestamp_field]
+            if timestamp_format and java_format(timestamp_format):
+                known["at"] = by_format(named[timestamp_field], timestamp_format)
+        if "level" in named:
+            known["level"] = named["level"]
+        return _got(**known)
 
-    return Parser(lambda line: _groups(line, pattern), make)
+    return Parser(lambda line: _once(_groups(line, pattern), lambda g: got(g, line)))
 
 
 def json_parser(*, timestamp_field: str = "timestamp", renamed: dict[str, str] | None = None) -> Parser:
-    """A JSON object; time, level and message leave the fields, and a message that isn't empty comes back as one."""
+    """A JSON object; time, level and message leave the fields, and a message that isn't empty comes back as one.
 
-    def read(line: Column) -> Column:
-        whole = line.rlike(r"^\s*\{") & F.try_parse_json(line).isNotNull()
-        return F.when(whole, F.from_json(line, "map<string,variant>"))
+    Of a repeated key the last value counts; so it does where a renamed key meets another one, in the order of the
+    keys in the line. A key that repeats deeper inside leaves that value as text.
+    """
 
-    def make(got: Column, line: Column) -> Column:
-        text = lambda key: F.when(F.schema_of_variant(F.try_element_at(got, F.lit(key))) == "STRING", F.try_element_at(got, F.lit(key)).cast("string"))
-        message = F.coalesce(text("message"), F.lit(""))
-        rest = F.map_filter(got, lambda k, _: ~k.isin(timestamp_field, "level", "message"))
+    def last(m: Column) -> Column:
+        """Entries of a map of which each key's last one stays."""
+        keys = F.map_keys(m)
+        kept = F.filter(F.map_entries(m), lambda e, i: F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["key"]) == 0)
+        return F.when(F.size(keys) == F.size(F.array_distinct(keys)), m).otherwise(F.map_from_entries(kept))
+
+    def values(line: Column) -> Column:
+        alike, plain = line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(line).isNotNull()
+        texts = lambda m: F.transform_values(last(m), lambda _, v: F.coalesce(F.try_parse_json(v), v.cast("variant")))
+        again = F.coalesce(_once(F.from_json(line, "map<string,variant>"), last), _once(F.from_json(line, "map<string,string>"), texts))
+        return F.when(alike & plain, F.from_json(line, "map<string,variant>")).when(alike & F.get_json_object(line, "$").isNotNull(), again)
+
+    def got(m: Column) -> Column:
+        text = lambda key: _once(F.try_element_at(m, F.lit(key)), lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")))
+        rest = F.map_filter(m, lambda k, _: ~k.isin(timestamp_field, "level", "message"))
         if renamed:
             names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
-            rest = F.transform_keys(rest, lambda k, _: F.coalesce(names[k], k))
-        rest = F.when(message != "", F.map_concat(rest, F.create_map(F.lit("message"), message.cast("variant")))).otherwise(rest)
-        return F.when(got.isNotNull(), _parsed(rfc3339(text(timestamp_field)), levels.normalise(text("level")), message, F.to_json(rest)))
+            entries = F.transform(F.map_entries(rest), lambda e: F.struct(F.coalesce(names[e["key"]], e["key"]).alias("key"), e["value"].alias("value")))
+            later = lambda all, e, i: F.exists(F.slice(all, i + 2, F.greatest(F.size(all) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"])
+            rest = _once(entries, lambda all: F.map_from_entries(F.filter(all, lambda e, i: ~later(all, e, i))))
+        return _once(
+            F.coalesce(text("message"), F.lit("")),
+            lambda message: _got(
+                at=rfc3339(text(timestamp_field)), level=text("level"), message=message, coerced=F.lit(0),
+                fields=F.to_json(F.when(message != "", F.map_concat(F.map_filter(rest, lambda k, _: k != "message"), F.create_map(F.lit("message"), message.cast("variant")))).otherwise(rest)),
+            ),
+        )
 
-    return Parser(read, make)
+    return Parser(lambda line: _once(values(line), got))
 
 
 def syslog_parser(form: str = "auto") -> Parser:
     """RFC 5424, RFC 3164, or the first of them that fits. The older form has no year, so its time is left to arrival."""
     if form == "auto":
         new, old = syslog_parser("5424"), syslog_parser("3164")
-        # the older form is only tried where the newer one doesn't fit
-        both = lambda line: F.transform(F.array(new.read(line)), lambda g: F.struct(g.alias("new"), F.when(g.isNull(), old.read(line)).alias("old")))[0]
-        return Parser(both, lambda got, line: F.coalesce(new.make(got["new"], line), old.make(got["old"], line)))
+
+        def either(line: Column) -> Column:
+            # only a line with a priority and a version can be of the newer form
+            return F.when(line.rlike(r"<\d+>\d+\s"), _first_of(new.read(line), old.read(line))).otherwise(old.read(line))
+
+        return Parser(either)
     pattern = RFC_3164 if form == "3164" else RFC_5424
 
-    def make(groups: Column, line: Column) -> Column:
-        got = _named(groups, pattern)
-        text = lambda n: got[n].cast("variant")
-        fields = {"hostname": text("hostname"), "app": text("app")}
+    def got(groups: Column) -> Column:
+        named = _named(groups, pattern)
+        fields = [named["hostname"].alias("hostname"), named["app"].alias("app")]
         if form == "3164":
-            fields["pid"] = got["pid"].try_cast("bigint").cast("variant")
-        else:
-            fields |= {"procid": text("procid"), "msgid": text("msgid")}
-        return F.when(groups.isNotNull(), _parsed(None if form == "3164" else rfc3339(got["timestamp"]), levels.level_of_priority(got["pri"]), got["message"], _object(fields)))
+            return _got(pri=F.coalesce(named["pri"], F.lit("")), message=named["message"], coerced=F.lit(0), fields=F.to_json(F.struct(*fields, named["pid"].try_cast("bigint").alias("pid"))))
+        fields += [named["procid"].alias("procid"), named["msgid"].alias("msgid")]
+        return _got(at=rfc3339(named["timestamp"]), pri=named["pri"], message=named["message"], coerced=F.lit(0), fields=F.to_json(F.struct(*fields)))
 
-    return Parser(lambda line: _groups(line, pattern), make)
+    return Parser(lambda line: _once(_groups(line, pattern), got))
 
 
 #: A logfmt line without white space in keys and without quotes inside quoted values.
@@ -183,29 +209,31 @@ def _any_logfmt(lines: pd.Series, ts: pd.Series) -> pd.DataFrame:
 
 
 def logfmt_parser(*, timestamp_field: str = "ts", exact: bool = False) -> Parser:
-    """Pairs of key=value; without any, null. exact reads quoting of any kind, else such lines are null."""
-    if exact:
-        read_any = lambda line: F.pandas_udf(_any_logfmt, "ts string, level string, msg string, fields string, n int")(line, F.lit(timestamp_field))
-        return Parser(read_any, lambda got, line: F.when(got["n"] > 0, _parsed(rfc3339(got["ts"]), levels.normalise(got["level"]), got["msg"], got["fields"])))
+    """Pairs of key=value; without any, null. exact reads quoting of any kind too, in Python, else such lines are null.
 
-    def read(line: Column) -> Column:
-        found = F.struct(F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)).alias("v"))
+    parse() and parse_with() hand Python the odd lines only; applied to a column, exact sends it all lines.
+    """
+
+    def pairs(x: Column) -> Column:
         bare = lambda v: F.when(F.startswith(v, F.lit('"')), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+        # of a repeated key the last value counts
+        last = F.filter(F.arrays_zip(x["k"].alias("k"), x["v"].alias("v")), lambda p, i: F.array_position(F.slice(x["k"], i + 2, F.greatest(F.size(x["k"]) - i - 1, F.lit(0))), p["k"]) == 0)
+        return F.when(F.size(F.array_distinct(x["k"])) == F.size(x["k"]), F.map_from_arrays(x["k"], F.transform(x["v"], bare))).otherwise(F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], bare(p["v"])))))
 
-        def pairs(x: Column) -> Column:
-            # of a repeated key the last value counts
-            last = F.filter(F.arrays_zip(x["k"].alias("k"), x["v"].alias("v")), lambda p, i: F.array_position(F.slice(x["k"], i + 2, F.greatest(F.size(x["k"]) - i - 1, F.lit(0))), p["k"]) == 0)
-            return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], bare(p["v"]))))
+    def got(m: Column) -> Column:
+        value = lambda key: F.try_element_at(m, F.lit(key))
+        rest = F.map_filter(m, lambda k, _: ~k.isin(timestamp_field, "level", "msg"))
+        return _got(at=rfc3339(value(timestamp_field)), level=value("level"), message=value("msg"), fields=F.to_json(rest), coerced=F.lit(2))
 
-        return F.when(line.rlike(PLAIN_LOGFMT), F.transform(F.array(found), pairs)[0])
+    def read(line: Column) -> Column:
+        found = F.struct(F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)).alias("v"))
+        return F.when(line.rlike(PLAIN_LOGFMT), _once(_once(found, pairs), got))
 
-    def make(got: Column, line: Column) -> Column:
-        value = lambda key: F.try_element_at(got, F.lit(key))
-        rest = F.map_filter(got, lambda k, _: ~k.isin(timestamp_field, "level", "msg"))
-        fields = F.to_json(F.transform_values(rest, lambda _, v: coerce(v, booleans=True)))
-        return F.when(got.isNotNull(), _parsed(rfc3339(value(timestamp_field)), levels.normalise(value("level")), value("msg"), fields))
+    def read_odd(line: Column) -> Column:
+        told = F.pandas_udf(_any_logfmt, "ts string, level string, msg string, fields string, n int")(line, F.lit(timestamp_field))
+        return F.when(told["n"] > 0, _got(at=rfc3339(told["ts"]), level=told["level"], message=told["msg"], fields=told["fields"], coerced=F.lit(0)))
 
-    return Parser(read, make)
+    return Parser(read, lambda line: ~line.rlike(PLAIN_LOGFMT), read_odd) if exact else Parser(read)
 
 
 def parser_of(source: Source, *, exact_logfmt: bool = True) -> Parser:
@@ -221,32 +249,65 @@ def parser_of(source: Source, *, exact_logfmt: bool = True) -> Parser:
     raise PackError(f"format '{source.format}'")
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """lines, dealt to all cores if they come of fewer files than there are cores: what follows costs more than the move."""
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines if lines.isStreaming or len(lines.inputFiles()) >= cores else lines.repartition(cores)
+
+
+def _with_parsed(lines: DataFrame, read: Column) -> DataFrame:
+    """Adds parsed. A generator of one row keeps it worked out once, whatever uses it."""
+    return lines.withColumn("parsed", F.explode(F.array(_once(read, _parsed))))
+
+
 def parse_with(lines: DataFrame, parser: Parser, column: str = "content") -> DataFrame:
     """Adds parsed, by one parser."""
-    return lines.withColumn("__read", parser.read(F.col(column))).withColumn("parsed", parser.make(F.col("__read"), F.col(column))).drop("__read")
+    line = F.col(column)
+    plain = _with_parsed(lines, parser.read(line))
+    if parser.odd is None:
+        return plain
+    odd = F.coalesce(parser.odd(line), F.lit(False))
+    return _with_parsed(lines.where(~odd), parser.read(line)).unionByName(_with_parsed(lines.where(odd), parser.read_odd(line)))
 
 
 def parse(lines: DataFrame, packs: dict[str, Pack]) -> DataFrame:
-    """lines: content, pack, source and any other columns. Adds parsed; null where the source is unknown or a line doesn't fit."""
-    line, read, parsed = F.col("content"), {}, F.lit(None).cast(PARSED)
+    """lines: content, pack, source and any other columns. Adds parsed; null where the source is unknown or a line doesn't fit.
+
+    One choice by source reads a line into a form common to all; what makes entries of that is there once, however
+    many packs there are. Lines that only Python can read (logfmt with free quoting) are a branch of their own.
+    """
+    line, odd = F.col("content"), []
+    read = F.when(F.lit(False), F.lit(None).cast(f"struct<{','.join(f'{n}:{t}' for n, t in _GOT.items())}>"))
     for pack in packs.values():
         for source in pack.sources:
-            here, parser, name = (F.col("pack") == pack.name) & (F.col("source") == source.name), parser_of(source), f"__read_{len(read)}"
-            read[name] = F.when(here, parser.read(line))
-            parsed = F.when(here, parser.make(F.col(name), line)).otherwise(parsed)
-    return lines.withColumns(read).withColumn("parsed", parsed).drop(*read)
+            here, parser = (F.col("pack") == pack.name) & (F.col("source") == source.name), parser_of(source)
+            read = read.when(here, parser.read(line))
+            if parser.odd is not None:
+                odd.append((here & parser.odd(line), parser))
+    if not odd:
+        return _with_parsed(lines, read)
+    strange = F.coalesce(functools.reduce(lambda a, b: a | b, [here for here, _ in odd]), F.lit(False))
+    by_python = F.when(F.lit(False), F.lit(None))
+    for here, parser in odd:
+        by_python = by_python.when(here, parser.read_odd(line))
+    return _with_parsed(lines.where(~strange), read).unionByName(_with_parsed(lines.where(strange), by_python))
+
+
+def _first_of(x: Column, rest: Column) -> Column:
+    """x, or rest where it is null; x is worked out once."""
+    return F.transform(F.array(x), lambda v: F.coalesce(v, rest))[0]
 
 
 def parse_any_source(lines: DataFrame, pack: Pack) -> DataFrame:
     """lines: content. Adds source and parsed of the pack's first source that a line fits."""
-    line, out, tried, names = F.col("content"), lines, [], []
-    for i, source in enumerate(pack.sources):
-        parser, name = parser_of(source), f"__read_{i}"
-        out = out.withColumn(name, parser.read(line))
-        names.append(name)
-        made = parser.make(F.col(name), line)
-        tried.append(F.when(made.isNotNull(), F.struct(F.lit(source.name).alias("source"), made.alias("parsed"))))
-    return out.withColumn("__found", F.coalesce(*tried)).withColumns({"source": F.col("__found.source"), "parsed": F.col("__found.parsed")}).drop("__found", *names)
+    line, found = F.col("content"), None
+    for source in reversed(pack.sources):
+        parser = parser_of(source)
+        here = _once(parser.read(line) if parser.odd is None else F.when(parser.odd(line), parser.read_odd(line)).otherwise(parser.read(line)), lambda got, name=source.name: F.struct(F.lit(name).alias("source"), got.alias("got")))
+        found = here if found is None else _first_of(here, found)
+    parsed = _once(found, lambda x: F.struct(x["source"].alias("source"), _once(x["got"], _parsed).alias("parsed")))
+    got = lines.withColumn("__found", F.explode(F.array(parsed)))
+    return got.withColumns({"source": F.col("__found.source"), "parsed": F.col("__found.parsed")}).drop("__found")
 
 
 def entries(parsed: DataFrame, *, host: str = "localhost", now: Column | None = None, id: Column | None = None) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import at_least
@@ -37,25 +38,29 @@ class LogQuery:
     limit: int = 100
     offset: int = 0
 
-    def matches(self, logs: DataFrame) -> DataFrame:
-        """All entries that fit, in no order: every filter can go down to the scan."""
+    def conditions(self, columns: list[str]) -> list[Column]:
+        out = []
         if self.source is not None:
-            logs = logs.where(F.col("source") == self.source)
+            out.append(F.col("source") == self.source)
         if self.pack is not None:
-            logs = logs.where(F.col("pack") == self.pack)
+            out.append(F.col("pack") == self.pack)
         if self.level_min is not None:
-            logs = logs.where(at_least("level", self.level_min))
+            out.append(at_least("level", self.level_min))
         if self.search is not None:
-            logs = logs.where(F.col("message").like(f"%{self.search}%"))
+            out.append(F.col("message").like(f"%{self.search}%"))
         since, until = _instant(self.since), _instant(self.until)
-        by_day = "day" in logs.columns  # then whole folders are left out too
+        by_day = "day" in columns  # then whole folders are left out too
         if since is not None:
-            logs = logs.where(F.col("timestamp") >= F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz"))
-            logs = logs.where(F.col("day") >= F.lit(since.date())) if by_day else logs
+            out.append(F.col("timestamp") >= F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz"))
+            out += [F.col("day") >= F.lit(since.date())] if by_day else []
         if until is not None:
-            logs = logs.where(F.col("timestamp") <= F.lit(until.isoformat(sep=" ")).cast("timestamp_ntz"))
-            logs = logs.where(F.col("day") <= F.lit(until.date())) if by_day else logs
-        return logs
+            out.append(F.col("timestamp") <= F.lit(until.isoformat(sep=" ")).cast("timestamp_ntz"))
+            out += [F.col("day") <= F.lit(until.date())] if by_day else []
+        return out
+
+    def matches(self, logs: DataFrame) -> DataFrame:
+        """All entries that fit, in no order: every filter can go down to the scan."""
+        return reduce(DataFrame.where, self.conditions(logs.columns), logs)
 
     def run(self, logs: DataFrame) -> DataFrame:
         """A page of the entries that fit; of equal time the larger id comes first."""
@@ -69,10 +74,11 @@ def tail(logs: DataFrame, n: int = 20, *, source: str | None = None, pack: str |
 
 
 def page_totals(logs: DataFrame, query: LogQuery) -> DataFrame:
-    """total: entries of the table; matching: of those, how many fit; returned: how many the page holds."""
-    page = query.run(logs).agg(F.count("*").alias("returned"))
-    fits = query.matches(logs).agg(F.count("*").alias("matching"))
-    return logs.agg(F.count("*").alias("total")).crossJoin(fits).crossJoin(page)  # three frames of one row each
+    """total: entries of the table; matching: of those, how many fit; returned: how many the page holds. One pass."""
+    fits = reduce(lambda a, b: a & b, query.conditions(logs.columns), F.lit(True))
+    found = logs.agg(F.count("*").alias("total"), F.count_if(fits).alias("matching"))
+    returned = F.least(F.lit(query.limit or 100), F.greatest(F.col("matching") - max(query.offset, 0), F.lit(0)))
+    return found.withColumn("returned", returned.cast("long"))
 
 
 def sql(spark: SparkSession, logs: DataFrame, text: str) -> DataFrame:
@@ -113,26 +119,59 @@ def kept(logs: DataFrame, days: int, now: datetime) -> DataFrame:
 
 
 def apply_retention(spark: SparkSession, path: str, days: int, now: datetime) -> int:
-    """Delete expired entries of a table and return how many: whole days as folders, the day of the cut rewritten."""
+    """Delete expired entries of a table and return how many: whole days as folders, the day of the cut rewritten.
+
+    May be stopped at any step: the rewritten day is complete beside the table before the old one is set aside, both
+    moves are renames, and the next run finishes what one has begun.
+    """
+    _finish_retention(spark, path)
     at = cutoff(days, now)
     table = spark.read.parquet(path)
     gone = table.where(F.col("day") <= F.lit(at.date())).transform(lambda t: expired(t, days, now)).count()
     if not gone:
         return 0
-    edge = table.where(F.col("day") == F.lit(at.date())).transform(lambda t: kept(t, days, now))
-    # the rewritten day is put next to the table before anything goes, so a failure loses nothing
-    aside = f"{path.rstrip('/')}__retained"
-    edge.write.mode("overwrite").parquet(aside)
     fs, p = _file_system(spark, path)
-    for status in fs.listStatus(p):
+    edge = f"day={at.date().isoformat()}"
+    if fs.exists(p(f"{path}/{edge}")):
+        kept_rows = table.where(F.col("day") == F.lit(at.date())).transform(lambda t: kept(t, days, now))
+        kept_rows.drop("day").write.mode("overwrite").parquet(f"{_aside(path, 'retained')}/{edge}")
+        fs.mkdirs(p(_aside(path, "expired")))
+        _rename(fs, p, f"{path}/{edge}", f"{_aside(path, 'expired')}/{edge}")
+        _finish_retention(spark, path)
+    for status in fs.listStatus(p(path)):
         name = status.getPath().getName()
-        if name.startswith("day=") and name[4:] <= at.date().isoformat():
+        if name.startswith("day=") and name < edge:
             fs.delete(status.getPath(), True)
-    spark.read.parquet(aside).write.mode("append").partitionBy("day").parquet(path)
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
     return gone
 
 
+def _aside(path: str, what: str) -> str:
+    return f"{path.rstrip('/')}__{what}"
+
+
+def _rename(fs, p, a: str, b: str) -> None:
+    if not fs.rename(p(a), p(b)):
+        raise OSError(f"{a} could not be renamed to {b}")
+
+
+def _finish_retention(spark: SparkSession, path: str) -> None:
+    """Put a rewritten day in the place of the one that was set aside; what was rewritten only is done again."""
+    fs, p = _file_system(spark, path)
+    retained, old = _aside(path, "retained"), _aside(path, "expired")
+    days = [s.getPath().getName() for s in fs.listStatus(p(old))] if fs.exists(p(old)) else []
+    for day in days:
+        if fs.exists(p(f"{retained}/{day}")):
+            if fs.exists(p(f"{path}/{day}")):  # entries of that day came meanwhile: the files go beside theirs
+                for s in fs.listStatus(p(f"{retained}/{day}")):
+                    if s.getPath().getName().startswith("part-"):
+                        _rename(fs, p, s.getPath().toString(), f"{path}/{day}/{s.getPath().getName()}")
+            else:
+                _rename(fs, p, f"{retained}/{day}", f"{path}/{day}")
+    for folder in (retained, old):
+        fs.delete(p(folder), True)
+
+
 def _file_system(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+    """The file system of a path, and the constructor of paths."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark._jsc.hadoopConfiguration()), p

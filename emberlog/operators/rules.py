@@ -13,6 +13,8 @@ from emberlog.functions.values import FLOAT
 
 #: Operators and the words that mean each.
 OPERATORS = {"=": "eq", "==": "eq", "EQ": "eq", "!=": "neq", "NEQ": "neq", ">": "gt", "GT": "gt", ">=": "gte", "GTE": "gte", "<": "lt", "LT": "lt", "<=": "lte", "LTE": "lte", "CONTAINS": "contains"}
+#: Parts into which a target's stretch of time is dealt where no fields are matched.
+PARTS = 8
 _RULE = re.compile(r"\s*WHEN\s+([^\s.]*)\.(\S*)\s+(\S+)\s+(\S+)\s+WITHIN\s+\+?(\d+)s*\s+CORRELATE\s+(\S+)(?:\s.*)?", re.I | re.S)
 
 
@@ -54,7 +56,8 @@ class Rule:
     def pairs(self, logs: DataFrame) -> DataFrame:
         """(rule, source_id, target_id): entries of both packs whose conditions hold, no further apart than the window.
 
-        Both sides are spread by stretch of time as long as the window, and by the matched fields if there are any.
+        Both sides are spread by stretch of time as long as the window, and by the matched fields if there are any;
+        without them, the target's entries of a stretch are dealt into PARTS, and the source's sent to all of these.
         """
         wide = max(1, self.window_seconds)
         at = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp")) / wide)
@@ -63,10 +66,11 @@ class Rule:
         t = logs.where(F.col("pack") == self.target_pack)
         if self.target_condition is not None:
             t = t.where(self.target_condition.holds())
-        s = s.select(F.col("id").alias("source_id"), F.col("timestamp").alias("s_at"), F.explode(F.array(at - 1, at, at + 1)).alias("stretch"), *[F.try_element_at(texts, F.lit(a)).alias(f"s{i}") for i, (a, _) in enumerate(self.match_fields)])
-        t = t.select(F.col("id").alias("target_id"), F.col("timestamp").alias("t_at"), at.alias("t_stretch"), *[F.try_element_at(texts, F.lit(b)).alias(f"t{i}") for i, (_, b) in enumerate(self.match_fields)])
+        parts = 1 if self.match_fields else PARTS
+        s = s.select(F.col("id").alias("source_id"), F.col("timestamp").alias("s_at"), F.explode(F.array(*[F.struct((at + d).alias("stretch"), F.lit(p).alias("part")) for d in (-1, 0, 1) for p in range(parts)])).alias("to"), *[F.try_element_at(texts, F.lit(a)).alias(f"s{i}") for i, (a, _) in enumerate(self.match_fields)])
+        t = t.select(F.col("id").alias("target_id"), F.col("timestamp").alias("t_at"), at.alias("t_stretch"), F.pmod(F.hash("id"), F.lit(parts)).alias("t_part"), *[F.try_element_at(texts, F.lit(b)).alias(f"t{i}") for i, (_, b) in enumerate(self.match_fields)])
         apart = F.make_dt_interval(secs=F.lit(self.window_seconds))
-        on = (F.col("stretch") == F.col("t_stretch")) & F.col("t_at").between(F.col("s_at") - apart, F.col("s_at") + apart) & (F.col("source_id") != F.col("target_id"))
+        on = (F.col("to.stretch") == F.col("t_stretch")) & (F.col("to.part") == F.col("t_part")) & F.col("t_at").between(F.col("s_at") - apart, F.col("s_at") + apart) & (F.col("source_id") != F.col("target_id"))
         for i in range(len(self.match_fields)):
             on = on & (F.col(f"s{i}") == F.col(f"t{i}"))
         return s.join(t, on).select(F.lit(self.name).alias("rule"), "source_id", "target_id")

@@ -100,9 +100,9 @@ def filter_search_like(spark, sf_dir):
     return _filtered(spark, sf_dir, search="k=1")
 
 
-@query(f"SELECT {NINE} FROM logs WHERE message LIKE '%c_ick%10.0.0.1_'")
+@query(f"SELECT {NINE} FROM logs WHERE message LIKE '%c_ick%10.0.0.1_%'")
 def filter_search_wildcard(spark, sf_dir):
-    return _filtered(spark, sf_dir, search="c_ick%10.0.0.1_").where(F.length(F.regexp_extract("message", r"10\.0\.0\.1.$", 0)) > 0)
+    return _filtered(spark, sf_dir, search="c_ick%10.0.0.1_")
 
 
 @query(f"SELECT {NINE} FROM logs WHERE timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND timestamp <= TIMESTAMP '2024-01-09 12:00:00'")
@@ -193,12 +193,12 @@ def raw_sql_passthrough(spark, sf_dir):
 # ------------------------------------------------------------------------------------------ parsers
 
 
-def _field(name: str):
-    return F.get_json_object("parsed.fields", f"$.{name}").alias(name)
+def _fields(*names: str):
+    return F.json_tuple("parsed.fields", *names).alias(*names)
 
 
 def _events(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = parsers.spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return e.withColumn("k", F.get_json_object("props", "$.k")).withColumn("id", F.lpad(F.col("event_id").cast("string"), 26, "0"))
 
 
@@ -220,22 +220,22 @@ _SQL_LEVEL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'wa
 @query("""SELECT id, 'info' AS level, raw AS message, date_trunc('second', timestamp) AS timestamp, client AS client_ip, 'u' || user_id AS remote_user, 'GET' AS method, '/' || event_type || '/' || k AS uri,
           '1.1' AS http_version, CASE WHEN event_type = 'error' THEN '502' ELSE '200' END AS status, seq::VARCHAR AS body_bytes, 'agent/' || k AS user_agent FROM logs""")
 def parse_regex_access(spark, sf_dir):
-    lines = log_table.from_events(spark, sf_dir).select("id", F.col("raw").alias("content"), F.lit("nginx").alias("pack"), F.lit("access").alias("source"))
-    return parsers.parse(lines, packs.BUILT_IN).select("id", F.coalesce("parsed.level", F.lit("info")).alias("level"), "parsed.message", "parsed.timestamp", *map(_field, ("client_ip", "remote_user", "method", "uri", "http_version", "status", "body_bytes", "user_agent")))
+    lines = parsers.spread(log_table.from_events(spark, sf_dir)).select("id", F.col("raw").alias("content"), F.lit("nginx").alias("pack"), F.lit("access").alias("source"))
+    return parsers.parse(lines, packs.BUILT_IN).select("id", F.coalesce("parsed.level", F.lit("info")).alias("level"), "parsed.message", "parsed.timestamp", _fields("client_ip", "remote_user", "method", "uri", "http_version", "status", "body_bytes", "user_agent"))
 
 
 @query(f"SELECT id, {_SQL_LEVEL} AS level, event_type || ' k=' || k AS message, date_trunc('second', timestamp) AS timestamp, (user_id % 1000)::VARCHAR AS pid, seq::VARCHAR AS cid FROM logs")
 def parse_regex_error(spark, sf_dir):
     line = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" ["), _word(), F.lit("] "), F.col("user_id") % 1000, F.lit("#0: *"), "event_id", F.lit(" "), "event_type", F.lit(" k="), "k")
     lines = _synthetic(spark, sf_dir, line).withColumns({"pack": F.lit("nginx"), "source": F.lit("error")})
-    return parsers.parse(lines, packs.BUILT_IN).select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("pid"), _field("cid"))
+    return parsers.parse(lines, packs.BUILT_IN).select("id", "parsed.level", "parsed.message", "parsed.timestamp", _fields("pid", "cid"))
 
 
 @query(f"SELECT id, {_SQL_LEVEL} AS level, 'said \"' || event_type || '\"' AS message, date_trunc('millisecond', timestamp) AS timestamp, 'host-' || (user_id % 8) AS host, seq::VARCHAR AS port, k AS deep, 'said \"' || event_type || '\"' AS again FROM logs")
 def parse_json(spark, sf_dir):
-    line = F.concat(F.lit('{"timestamp":"'), _iso(), F.lit('","level":"'), _word(), F.lit('","message":"said \\"'), "event_type", F.lit('\\"","host":"host-'), F.col("user_id") % 8, F.lit('","port":'), "event_id", F.lit(',"nested":{"k":['), "k", F.lit("]}}"))
+    line = F.concat(F.lit('{"timestamp":"'), _iso(), F.lit('","level":"'), _word(), F.lit('","message":"said \\"'), "event_type", F.lit('\\"","host":"host-'), F.col("user_id") % 8, F.when(F.col("event_id") % 7 == 0, '","port":0').otherwise('"'), F.lit(',"port":'), "event_id", F.lit(',"nested":{"k":['), "k", F.lit("]}}"))
     parsed = parsers.parse_with(_synthetic(spark, sf_dir, line), parsers.json_parser())
-    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("host"), _field("port"), F.get_json_object("parsed.fields", "$.nested.k[0]").alias("deep"), F.get_json_object("parsed.fields", "$.message").alias("again"))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", F.json_tuple("parsed.fields", "host", "port", "message").alias("host", "port", "again"), F.get_json_object("parsed.fields", "$.nested.k[0]").alias("deep"))
 
 
 def _logfmt_line():
@@ -247,13 +247,13 @@ _LOGFMT_SQL = f"SELECT id, {_SQL_LEVEL} AS level, 'it was ' || event_type AS mes
 @query(_LOGFMT_SQL)
 def parse_logfmt(spark, sf_dir):
     parsed = parsers.parse_with(_synthetic(spark, sf_dir, _logfmt_line()), parsers.logfmt_parser())
-    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("port", "ok", "ratio", "k", "empty", "k2")))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _fields("port", "ok", "ratio", "k", "empty", "k2"))
 
 
 @query(_LOGFMT_SQL)
 def parse_logfmt_exact(spark, sf_dir):
     parsed = parsers.parse_with(_synthetic(spark, sf_dir, _logfmt_line()), parsers.logfmt_parser(exact=True))
-    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("port", "ok", "ratio", "k", "empty", "k2")))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _fields("port", "ok", "ratio", "k", "empty", "k2"))
 
 
 _PRI_SQL = "CASE seq % 300 // 256 WHEN 1 THEN 'info' ELSE ['fatal', 'fatal', 'error', 'error', 'warn', 'info', 'info', 'debug'][1 + seq % 300 % 8] END"
@@ -264,7 +264,7 @@ def parse_syslog3164(spark, sf_dir):
     pid = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("user_id") % 1000, F.lit("]"))).otherwise("")
     line = F.concat(F.lit("<"), F.col("event_id") % 300, F.lit(">"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" web-"), F.col("user_id") % 8, F.lit(" app"), "k", pid, F.lit(": did "), "event_type")
     parsed = parsers.parse_with(_synthetic(spark, sf_dir, line), parsers.syslog_parser("3164"))
-    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("hostname", "app", "pid")))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _fields("hostname", "app", "pid"))
 
 
 def _new_syslog():
@@ -274,14 +274,14 @@ def _new_syslog():
 @query(f"SELECT id, {_PRI_SQL} AS level, 'did ' || event_type AS message, date_trunc('millisecond', timestamp) AS timestamp, 'web-' || (user_id % 8) AS hostname, 'app' || k AS app, (user_id % 1000)::VARCHAR AS procid, 'ID' || seq AS msgid FROM logs")
 def parse_syslog5424(spark, sf_dir):
     parsed = parsers.parse_with(_synthetic(spark, sf_dir, _new_syslog()), parsers.syslog_parser("5424"))
-    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", *map(_field, ("hostname", "app", "procid", "msgid")))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _fields("hostname", "app", "procid", "msgid"))
 
 
 @query(f"SELECT id, {_PRI_SQL} AS level, 'did ' || event_type AS message, CASE WHEN seq % 3 = 0 THEN date_trunc('millisecond', timestamp) END AS timestamp, 'app' || k AS app FROM logs")
 def parse_syslog_auto(spark, sf_dir):
     old = F.concat(F.lit("<"), F.col("event_id") % 300, F.lit(">"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" web-1 app"), "k", F.lit(": did "), "event_type")
     parsed = parsers.parse_with(_synthetic(spark, sf_dir, F.when(F.col("event_id") % 3 == 0, _new_syslog()).otherwise(old)), parsers.syslog_parser())
-    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _field("app"))
+    return parsed.select("id", "parsed.level", "parsed.message", "parsed.timestamp", _fields("app"))
 
 
 @query("SELECT id, CASE WHEN seq % 3 = 0 THEN 'error' WHEN seq % 3 = 1 THEN 'access' END AS source FROM logs")
@@ -294,14 +294,14 @@ def parse_any_source(spark, sf_dir):
 
 @query("SELECT pack, source, count(*) AS lines, count_if(pack = 'nginx')::BIGINT AS parsed FROM logs GROUP BY pack, source")
 def parse_dropped_count(spark, sf_dir):
-    lines = log_table.from_events(spark, sf_dir).select("pack", "source", F.col("raw").alias("content"))
+    lines = parsers.spread(log_table.from_events(spark, sf_dir)).select("pack", "source", F.col("raw").alias("content"))
     # lines of the other packs aren't in their format
     return parsers.parse(lines, packs.BUILT_IN).groupBy("pack", "source").agg(F.count("*").alias("lines"), F.count("parsed").alias("parsed"))
 
 
 @query("SELECT id, 'access' AS source, 'collector' AS host, 'info' AS level, raw AS message, raw, 'nginx' AS pack, date_trunc('second', timestamp) AS timestamp FROM logs WHERE pack = 'nginx'")
 def parse_to_entries(spark, sf_dir):
-    lines = log_table.from_events(spark, sf_dir).select("id", "pack", "source", F.col("raw").alias("content"))
+    lines = parsers.spread(log_table.from_events(spark, sf_dir)).select("id", "pack", "source", F.col("raw").alias("content"))
     made = parsers.entries(parsers.parse(lines, packs.BUILT_IN), host="collector", now=F.lit(NOW).cast("timestamp_ntz"), id=F.col("id"))
     return made.drop("fields")
 
@@ -356,9 +356,9 @@ def extract_all_ids_exploded(spark, sf_dir):
     return log_table.from_events(spark, sf_dir).select("id", F.explode(identifiers()).alias("identifier"))
 
 
-@query(r"""SELECT seq, 'x-request-id: ' || lpad(printf('%x', seq), 8, '0') AS content, lpad(printf('%x', seq), 8, '0') AS request_id, 'SID' || lpad(seq::VARCHAR, 8, '0') AS session_id FROM logs WHERE seq % 5 = 0""")
+@query(r"""SELECT seq, 'x-request-id: ' || lpad(printf('%x', seq), 8, '0') AS content, lpad(printf('%x', seq), 8, '0') AS request_id, 'SID' || lpad(seq::VARCHAR, 8, '0') AS session_id FROM logs""")
 def extract_text_ids(spark, sf_dir):
-    rows = log_table.from_events(spark, sf_dir).where("seq % 5 = 0").select("seq", F.concat(F.lit("x-request-id: "), F.lpad(F.lower(F.hex("seq")), 8, "0")).alias("content"), F.concat(F.lit("JSESSIONID=SID"), F.lpad(F.col("seq").cast("string"), 8, "0")).alias("more"))
+    rows = log_table.from_events(spark, sf_dir).select("seq", F.concat(F.lit("x-request-id: "), F.lpad(F.lower(F.hex("seq")), 8, "0")).alias("content"), F.concat(F.lit("JSESSIONID=SID"), F.lpad(F.col("seq").cast("string"), 8, "0")).alias("more"))
     ids = identifiers(F.lit("{}"), F.col("content"), F.col("more"))
     of = lambda kind: F.element_at(F.filter(ids, lambda x: F.startswith(x, F.lit(f"{kind}="))), 1)
     return rows.select("seq", "content", F.substring_index(of("request_id"), "=", -1).alias("request_id"), F.substring_index(of("session_id"), "=", -1).alias("session_id"))
@@ -505,8 +505,8 @@ def chain_roles(spark, sf_dir):
            x AS (SELECT l.*, w.window_start, row_number() OVER (PARTITION BY w.window_start ORDER BY l.timestamp, l.id) AS i FROM w JOIN logs l ON date_trunc('hour', l.timestamp) = w.window_start WHERE w.window_start NOT IN (SELECT window_start FROM c))
            SELECT window_start, 'generic_chain' AS name, id AS entry_id, CASE WHEN level = 'error' AND i = 1 THEN 'root_cause' WHEN level = 'error' THEN 'symptom' ELSE 'intermediate' END AS role FROM x""")
 def chain_generic(spark, sf_dir):
-    found = _found_chains(spark, sf_dir).where(F.col("name") == chains.GENERIC)
-    return found.select("window_start", "name", F.explode("entries").alias("e")).select("window_start", "name", "e.entry_id", "e.role")
+    found = chains.members(chains.in_windows(log_table.from_events(spark, sf_dir)), ["window_start"], templates=_STEPS)
+    return found.where(F.col("name") == chains.GENERIC).select("window_start", "name", "entry_id", "role")
 
 
 # ------------------------------------------------------------------------------------------ formats, packs, further operators

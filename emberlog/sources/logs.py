@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.levels import rank
-
 #: The columns of an entry, in order. fields is a JSON object; timestamp is in UTC.
 COLUMNS = ["id", "timestamp", "source", "host", "level", "message", "fields", "raw", "pack"]
 
 
 def with_day(logs: DataFrame) -> DataFrame:
-    return logs.withColumn("level_rank", rank("level")).withColumn("day", F.to_date("timestamp"))
+    return logs.withColumn("day", F.to_date("timestamp"))
 
 
 def append(logs: DataFrame, path: str) -> None:
-    """Add entries to a table in Parquet, a folder for each day: filters of time read the days they need."""
-    with_day(logs).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    """Add entries to a table in Parquet, a folder for each day: filters of time read the days they need.
+
+    Days are gathered into files of a good size: a large day is several tasks, small ones share one.
+    """
+    with_day(logs).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def append_new(logs: DataFrame, path: str) -> None:

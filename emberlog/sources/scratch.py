@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; where the cluster names none, in the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    """A new path in spark.checkpoint.dir; where none is named, in the warehouse, which must not be the driver's own disk."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    if not named and root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: worked out once, and lost executors only cost what follows."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -132,7 +132,9 @@ def test_known_chains(spark):
 def test_generic_and_no_chains(spark):
     assert chain(spark, [entry(1, message="all is well")]) == [] and chain(spark, []) == []
     [c] = chain(spark, [entry(1, "a", level="error", message="x", seconds=1), entry(2, "b", level="info", seconds=2), entry(3, "c", level="fatal", seconds=3)])
-    assert (c["name"], c["severity"], c["root_cause"], [e["role"] for e in c["entries"]]) == ("generic_chain", "fatal", None, ["root_cause", "intermediate", "symptom"])
+    assert (c["name"], c["severity"], c["root_cause"], c["entries"]) == ("generic_chain", "fatal", None, None)
+    rows = table(spark, [entry(1, "a", level="error", message="x", seconds=1), entry(2, "b", level="info", seconds=2), entry(3, "c", level="fatal", seconds=3)]).withColumn("g", F.lit(None).cast("int"))
+    assert [(r.entry_id, r.role) for r in chains.members(rows, ["g"], order="seq").orderBy("entry_id").collect()] == [("000001", "root_cause"), ("000002", "intermediate"), ("000003", "symptom")]
     df = table(spark, [entry(1), entry(2)]).withColumns({"g": F.lit(1), "n": F.lit(2)})
     assert chains.detect(df, ["g"], correlations="n").first().name == "generic_chain"
 
@@ -147,7 +149,11 @@ def test_alerts(spark):
     rows = [entry(i, message="Started it", fields=f'{{"unit":"u{i % 2}"}}', seconds=i) for i in range(9)]
     assert [(r.unit, r.value) for r in a.fired(table(spark, rows)).orderBy("unit").collect()] == [("u0", 5.0), ("u1", 4.0)]
     fired = spark.createDataFrame([("a", START + timedelta(minutes=m)) for m in (0, 1, 2, 20)], "alert string, window_start timestamp_ntz")
-    assert alerts.with_cooldown(fired, 300).count() == 2
+    assert sorted(r.window_start for r in alerts.with_cooldown(fired, 300).collect()) == [START, START + timedelta(minutes=20)]
+    steady = spark.createDataFrame([("a", START + timedelta(minutes=m), u, 1.0 + m) for m in range(60) for u in ("u", None)] + [("b", START, "u", 9.0)], "alert string, window_start timestamp_ntz, unit string, value double")
+    kept = alerts.with_cooldown(steady, 300)
+    assert kept.columns == steady.columns and kept.where("alert = 'a' AND unit = 'u'").count() == kept.where("alert = 'a' AND unit IS NULL").count() == 12 and kept.count() == 25
+    assert all(r.value == 1.0 + (r.window_start - START).seconds / 60 for r in kept.where("alert = 'a'").collect())
 
 
 def test_table_of_entries(spark, tmp_path):
@@ -163,6 +169,32 @@ def test_table_of_entries(spark, tmp_path):
     assert [r.id for r in query.tail(log_table.read(spark, path), 2).collect()] == ["000006", "000007"]
 
 
+@pytest.mark.parametrize("step", ["before", "first", "between", "during"])
+def test_retention_stopped_at_any_step_loses_nothing(spark, tmp_path, monkeypatch, step):
+    """Stopped before the old day is set aside, after it, or after more entries of that day came: the next run finishes."""
+    path = f"{tmp_path}/logs"
+    log_table.append(table(spark, [entry(1, seconds=-86400 * 60), entry(3, seconds=-86400 * 30 - 5), entry(4, seconds=-86400 * 30), entry(5)]).drop("seq"), path)
+    rename, calls = query._rename, []
+
+    def stop(*a):
+        calls.append(a)
+        if len(calls) == {"before": 1, "first": 2, "between": 2, "during": 2}[step]:
+            raise KeyboardInterrupt
+        rename(*a)
+
+    monkeypatch.setattr(query, "_rename", stop)
+    with pytest.raises(KeyboardInterrupt):
+        query.apply_retention(spark, path, 30, START)
+    monkeypatch.setattr(query, "_rename", rename)
+    want = ["000004", "000005"]
+    if step == "during":
+        log_table.append(table(spark, [entry(6, seconds=-86400 * 30 + 1)]).drop("seq"), path)
+        want.append("000006")
+    query.apply_retention(spark, path, 30, START)
+    assert sorted(r.id for r in log_table.read(spark, path).collect()) == want
+    assert query.apply_retention(spark, path, 30, START) == 0
+
+
 def test_search_takes_wildcards_and_cases(spark):
     logs = table(spark, [entry(1, message="Alpha_1"), entry(2, message="AlphaX1"), entry(3, message=None)])
     ids = lambda **q: sorted(r.id for r in query.LogQuery(**q).run(logs).collect())
