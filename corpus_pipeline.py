@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import mixing, sentencepiece, simhash, substring, toxicity
-from emberlog.llm.shared import cut, n_words, table
+from emberlog.llm.shared import cut, discard, n_words, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and read again."""
+    """All stages on documents, each written to the shared folder and read again; what a stage has read is deleted then."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        made = cut(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
