@@ -18,11 +18,21 @@ class Config:
     window_seconds: int = 2
     min_confidence: float = 0.7
     late_seconds: int = 10
+    syslog_port: int = 1514
+    otlp_port: int = 4318
 
     @property
     def logs(self) -> str:
         return f"{self.data_dir}/logs"
 
+    @property
+    def correlations(self) -> str:
+        return f"{self.data_dir}/correlations"
+
+    @property
+    def spool(self) -> str:
+        return f"{self.data_dir}/spool"
+
     @property
     def packs(self) -> str:
         return f"{self.data_dir}/packs"

@@ -133,9 +133,9 @@ def named_groups(pattern: str) -> tuple[str, dict[str, int]]:
     return "(?d)" + out, names
 
 
-def ulid(at: Column | None = None) -> Column:
-    """An id of 26 characters in the order of time: ten of the milliseconds, sixteen at random."""
+def ulid(at: Column | None = None, of: Column | None = None) -> Column:
+    """An id of 26 characters in the order of time: ten of the milliseconds, sixteen at random, or by a hash of a text."""
     digits = lambda x, n: F.lpad(F.translate(x, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "0123456789ABCDEFGHJKMNPQRSTVWXYZ"), n, "0")
     millis = F.unix_millis(F.current_timestamp() if at is None else at).cast("string")
-    random = F.sha2(F.uuid(), 256)
+    random = F.sha2(F.uuid() if of is None else of, 256)
     return F.concat(digits(F.conv(millis, 10, 32), 10), *[digits(F.conv(F.substring(random, k, 10), 16, 32), 8) for k in (1, 11)])

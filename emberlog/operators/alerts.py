@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.identifiers import field_texts
 from emberlog.functions.values import FLOAT
 from emberlog.operators.rules import Condition
+from emberlog.sources.packs import Pack
 
 _ALERT = re.compile(r"\s*(count|avg)\((.*)\)\s*(>=|<=|>|<|=)\s*([0-9.]+)\s+in\s+(\d+)([smhd])\s*", re.S)
 _PART = re.compile(r"\s*(\w+)\s*(>=|<=|!=|=|>|<|contains)\s*('[^']*'|\S+)\s*", re.I)
@@ -89,3 +91,23 @@ def with_cooldown(fired: DataFrame, seconds: int) -> DataFrame:
 
     grouped = parts.groupBy(*of, "__part").agg(F.array_sort(F.collect_list(F.struct("window_start", *[c for c in rest if c != "window_start"]))).alias("__all"))
     return grouped.select(*of, F.explode(F.aggregate("__all", none, keep)["kept"]).alias("__f")).select(*of, "__f.*").select(*fired.columns)
+
+
+def of_packs(logs: DataFrame, packs: dict[str, Pack]) -> DataFrame:
+    """All firings of the packs' alerts in a table: alert, pack, severity, window_start, groups (JSON), value; cooldowns kept.
+
+    An alert looks at its own pack's entries. Conditions that state no alert are left out.
+    """
+    found = []
+    for pack in packs.values():
+        for a in pack.alerts:
+            rule = parse_alert(a.name, a.condition)
+            if rule is None:
+                continue
+            fired = rule.fired(logs.where(F.col("pack") == pack.name))
+            if a.cooldown and (m := re.fullmatch(r"\s*(\d+)\s*([smhd])\s*", a.cooldown)):
+                fired = with_cooldown(fired, int(m[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[m[2]])
+            groups = F.to_json(F.struct(*rule.by)) if rule.by else F.lit("{}")
+            found.append(fired.select("alert", F.lit(pack.name).alias("pack"), F.lit(a.severity).alias("severity"), "window_start", groups.alias("groups"), "value"))
+    none = logs.sparkSession.createDataFrame([], "alert string, pack string, severity string, window_start timestamp_ntz, groups string, value double")
+    return functools.reduce(DataFrame.unionByName, found, none)

@@ -105,9 +105,16 @@ def regex_parser(pattern: str, *, timestamp_field: str = "timestamp", timestamp_
     return Parser(lambda line: _once(_groups(line, pattern), lambda g: got(g, line)))
 
 
-def json_parser(*, timestamp_field: str = "timestamp", renamed: dict[str, str] | None = None) -> Parser:
+#: Keys of a journal's export, for the message, severity (0 to 7) and microseconds since 1970; and keys that become fields.
+JOURNAL = ("MESSAGE", "PRIORITY", "__REALTIME_TIMESTAMP")
+JOURNAL_FIELDS = {"_SYSTEMD_UNIT": "unit", "_PID": "pid"}
+
+
+def json_parser(*, timestamp_field: str = "timestamp", renamed: dict[str, str] | None = None, journal: bool = False) -> Parser:
     """A JSON object; time, level and message leave the fields, and a message that isn't empty comes back as one.
 
+    With journal, the keys of a journal's export stand for message, level and time where those aren't given.
+
     Of a repeated key the last value counts; so it does where a renamed key meets another one, in the order of the
     keys in the line. A key that repeats deeper inside leaves that value as text.
     """
@@ -124,18 +131,29 @@ def json_parser(*, timestamp_field: str = "timestamp", renamed: dict[str, str] |
         again = F.coalesce(_once(F.from_json(line, "map<string,variant>"), last), _once(F.from_json(line, "map<string,string>"), texts))
         return F.when(alike & plain, F.from_json(line, "map<string,variant>")).when(alike & F.get_json_object(line, "$").isNotNull(), again)
 
+    renamed = (renamed or {}) | (JOURNAL_FIELDS if journal else {})
+
     def got(m: Column) -> Column:
         text = lambda key: _once(F.try_element_at(m, F.lit(key)), lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")))
-        rest = F.map_filter(m, lambda k, _: ~k.isin(timestamp_field, "level", "message"))
+        at, level, said, more = rfc3339(text(timestamp_field)), text("level"), text("message"), {}
+        gone = [timestamp_field, "level", "message"]
+        if journal:
+            shown = lambda key: F.try_element_at(m, F.lit(key)).cast("string")
+            micros = shown(JOURNAL[2]).try_cast("bigint")
+            at = F.coalesce(at, F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
+            more["pri"] = F.when(level.isNull(), shown(JOURNAL[1]))
+            said, gone = F.coalesce(said, text(JOURNAL[0])), [*gone, *JOURNAL]
+            m = F.transform_values(m, lambda k, v: F.when((k == "_PID") & v.cast("string").rlike(r"^\d+$"), v.cast("string").try_cast("bigint").cast("variant")).otherwise(v))
+        rest = F.map_filter(m, lambda k, _: ~k.isin(gone))
         if renamed:
             names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
             entries = F.transform(F.map_entries(rest), lambda e: F.struct(F.coalesce(names[e["key"]], e["key"]).alias("key"), e["value"].alias("value")))
             later = lambda all, e, i: F.exists(F.slice(all, i + 2, F.greatest(F.size(all) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"])
             rest = _once(entries, lambda all: F.map_from_entries(F.filter(all, lambda e, i: ~later(all, e, i))))
         return _once(
-            F.coalesce(text("message"), F.lit("")),
+            F.coalesce(said, F.lit("")),
             lambda message: _got(
-                at=rfc3339(text(timestamp_field)), level=text("level"), message=message, coerced=F.lit(0),
+                **more, at=at, level=level, message=message, coerced=F.lit(0),
                 fields=F.to_json(F.when(message != "", F.map_concat(F.map_filter(rest, lambda k, _: k != "message"), F.create_map(F.lit("message"), message.cast("variant")))).otherwise(rest)),
             ),
         )
@@ -241,7 +259,7 @@ def parser_of(source: Source, *, exact_logfmt: bool = True) -> Parser:
     if source.format in ("regex", "grok"):
         return regex_parser(source.pattern, timestamp_format=source.timestamp_format, **at)
     if source.format == "json":
-        return json_parser(**at)
+        return json_parser(**at, journal=source.paths == ["journalctl"])
     if source.format == "logfmt":
         return logfmt_parser(exact=exact_logfmt, **at)
     if source.format.startswith("syslog"):
@@ -327,11 +345,16 @@ def entries(parsed: DataFrame, *, host: str = "localhost", now: Column | None =
     )
 
 
-def joined_lines(lines: DataFrame, start: str, *, file: str = "file_path", number: str = "line_no", block: int = 100_000) -> DataFrame:
-    """lines: content, a file and a line number. Lines that don't match start belong to the entry before them.
+#: Lines, or bytes of a file, after which an entry of many lines is cut.
+LONGEST = 1 << 20
+
+
+def joined_lines(lines: DataFrame, start: str, *, file: str = "file_path", number: str = "line_no", block: int = 100_000, longest: int = LONGEST) -> DataFrame:
+    """lines: content, a file and a line number (or offset). Lines that don't match start belong to the entry before them.
 
     A file's lines are looked at in blocks, so one long file is many tasks' work; what came before a block is
-    one number for each block. Lines before a file's first start are an entry of their own.
+    one number for each block. Lines before a file's first start are an entry of their own, and an entry ends
+    after longest numbers: lines that never match are no unbounded row.
     """
     in_block = Window.partitionBy(file, "__block").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(file).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -342,7 +365,19 @@ def joined_lines(lines: DataFrame, start: str, *, file: str = "file_path", numbe
     return (
         marked.join(carried, [file, "__block"])
         .withColumn("__group", F.coalesce(F.max("__start").over(in_block), "__carried", F.lit(-1)))
-        .groupBy(file, "__group", *rest)
+        .withColumn("__piece", F.floor((F.col(number) - F.greatest("__group", F.lit(0))) / longest))
+        .groupBy(file, "__group", "__piece", *rest)
         .agg(F.min(number).alias(number), F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("content"))
-        .drop("__group")
+        .drop("__group", "__piece")
     )
+
+
+def joined(lines: DataFrame, packs: dict[str, Pack]) -> DataFrame:
+    """lines: content, file_path, offset, pack, source. Those of sources with multi-line entries are joined, each by its own start."""
+    several = [(p.name, s.name, s.multiline_start) for p in packs.values() for s in p.sources if s.multiline]
+    here = lambda pack, source: F.coalesce((F.col("pack") == pack) & (F.col("source") == source), F.lit(False))
+    out = lines.where(~functools.reduce(lambda a, b: a | b, [here(p, s) for p, s, _ in several], F.lit(False)))
+    for pack, source, start in several:
+        whole = joined_lines(lines.where(here(pack, source)), start, number="offset", block=1 << 24)
+        out = out.unionByName(whole.select(*lines.columns))
+    return out

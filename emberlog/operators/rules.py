@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.identifiers import field_texts
 from emberlog.functions.values import FLOAT
+from emberlog.sources.packs import Pack, PackError
 
 #: Operators and the words that mean each.
 OPERATORS = {"=": "eq", "==": "eq", "EQ": "eq", "!=": "neq", "NEQ": "neq", ">": "gt", "GT": "gt", ">=": "gte", "GTE": "gte", "<": "lt", "LT": "lt", "<=": "lte", "LTE": "lte", "CONTAINS": "contains"}
@@ -47,7 +48,7 @@ class Condition:
 class Rule:
     name: str
     source_pack: str
-    condition: Condition
+    condition: Condition | None
     target_pack: str
     window_seconds: int
     target_condition: Condition | None = None
@@ -62,7 +63,9 @@ class Rule:
         wide = max(1, self.window_seconds)
         at = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp")) / wide)
         texts = field_texts("fields")
-        s = logs.where((F.col("pack") == self.source_pack) & self.condition.holds())
+        s = logs.where(F.col("pack") == self.source_pack)
+        if self.condition is not None:
+            s = s.where(self.condition.holds())
         t = logs.where(F.col("pack") == self.target_pack)
         if self.target_condition is not None:
             t = t.where(self.target_condition.holds())
@@ -83,3 +86,22 @@ def parse_rule(name: str, text: str) -> Rule | None:
     if not operator or int(m[5]) >= 1 << 32:
         return None
     return Rule(name, m[1], Condition(m[2], operator, m[4]), m[6], int(m[5]))
+
+
+_SECONDS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600}
+
+
+def of_pack(pack: Pack) -> list[Rule]:
+    """The correlations of a pack's manifest as rules, for all its entries.
+
+    A match field is a name of both sides, or a:b for a here and b there; timestamp stands for the window alone,
+    which is a whole number of seconds, one at least.
+    """
+    out = []
+    for c in pack.correlations:
+        m = re.fullmatch(r"\s*(\d+)\s*(ms|s|m|h)\s*", c.window)
+        if not m:
+            raise PackError(f"pack '{pack.name}': window '{c.window}'")
+        pairs = [(a, b or a) for a, _, b in (f.partition(":") for f in c.match_fields) if a != "timestamp"]
+        out.append(Rule(f"{pack.name}_{c.target_pack}", pack.name, None, c.target_pack, max(1, round(int(m[1]) * _SECONDS[m[2]])), match_fields=pairs))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import glob
 import json
 import os
 from collections.abc import Iterator
@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from emberlog.sources.packs import Pack
 
@@ -39,8 +39,9 @@ class GrowingFiles(DataSource):
     """Lines that are appended to files: spark.readStream.format("growing_files").option("path", glob).load().
 
     The offset is each file's inode and the bytes up to its last whole line, so a line without an end waits,
-    a file that was replaced or cut starts anew, and new files are found in each batch. Each file's new bytes
-    are a partition. Driver and executors have to see the files by the same path.
+    a file that was replaced or cut starts anew, and new files are found in each batch. New bytes are dealt into
+    stretches of STRETCH, so a long backlog is many tasks. The column offset is where a line begins. spark.read gives
+    what the files hold now. Driver and executors have to see the files by the same path.
     """
 
     @classmethod
@@ -48,48 +49,83 @@ class GrowingFiles(DataSource):
         return "growing_files"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, offset long"
+
+    def reader(self, schema) -> _GrownReader:
+        return _GrownReader(self.options["path"])
 
     def streamReader(self, schema) -> _GrowingReader:  # noqa: N802
         return _GrowingReader(self.options["path"])
 
 
+#: Bytes of a file that one task reads.
+STRETCH = 32 << 20
+
+
 class _Stretch(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, first: bool):
+        self.path, self.start, self.end, self.first = path, start, end, first
+
+
+def _whole_lines(pattern: str) -> dict[str, list[int]]:
+    """Inode and bytes up to the last line end of the files that fit; files that go meanwhile are left out."""
+    found = {}
+    for path in sorted(glob.glob(pattern)):
+        try:
+            if os.path.isfile(path):
+                found[path] = [os.stat(path).st_ino, _last_line_end(path)]
+        except FileNotFoundError:
+            continue
+    return found
+
+
+def _stretches(path: str, start: int, end: int) -> list[_Stretch]:
+    return [_Stretch(path, at, min(at + STRETCH, end), at == start) for at in range(start, end, STRETCH)]
+
+
+def _lines_of(s: _Stretch) -> Iterator[tuple[str, str, int]]:
+    """The lines that begin in a stretch; only the first stretch begins at a line for certain."""
+    with open(s.path, "rb") as f:
+        f.seek(s.start if s.first else s.start - 1)
+        if not s.first:
+            f.readline()
+        while (at := f.tell()) < s.end and (line := f.readline()):
+            text = line.decode("utf-8", "replace").rstrip()
+            if text:
+                yield text, s.path, at
+
+
+class _GrownReader(DataSourceReader):
+    def __init__(self, pattern: str):
+        self.pattern = pattern
+
+    def partitions(self) -> list[_Stretch]:
+        return [s for path, (_, size) in _whole_lines(self.pattern).items() for s in _stretches(path, 0, size)]
+
+    def read(self, partition: _Stretch) -> Iterator[tuple[str, str, int]]:
+        return _lines_of(partition)
 
 
 class _GrowingReader(DataSourceStreamReader):
     def __init__(self, pattern: str):
-        self.folder, self.pattern = os.path.split(pattern)
+        self.pattern = pattern
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        found = {}
-        for name in sorted(os.listdir(self.folder)) if os.path.isdir(self.folder) else []:
-            path = os.path.join(self.folder, name)
-            if fnmatch.fnmatch(name, self.pattern) and os.path.isfile(path):
-                found[path] = [os.stat(path).st_ino, _last_line_end(path)]
-        return {"files": json.dumps(found)}
+        return {"files": json.dumps(_whole_lines(self.pattern))}
 
     def partitions(self, start: dict, end: dict) -> list[_Stretch]:
         before, out = json.loads(start["files"]), []
         for path, (inode, size) in json.loads(end["files"]).items():
             seen = before.get(path, [inode, 0])
             at = seen[1] if seen[0] == inode and seen[1] <= size else 0
-            if at < size:
-                out.append(_Stretch(path, at, size))
+            out += _stretches(path, at, size)
         return out
 
-    def read(self, partition: _Stretch) -> Iterator[tuple[str, str]]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            while f.tell() < partition.end and (line := f.readline()):
-                text = line.decode("utf-8", "replace").rstrip()
-                if text:
-                    yield text, partition.path
+    def read(self, partition: _Stretch) -> Iterator[tuple[str, str, int]]:
+        return _lines_of(partition)
 
 
 def _last_line_end(path: str, step: int = 1 << 16) -> int:
@@ -106,8 +142,14 @@ def _last_line_end(path: str, step: int = 1 << 16) -> int:
     return 0
 
 
-def grow(spark: SparkSession, pattern: str, pack: str, source: str) -> DataFrame:
-    """A stream of the lines that are appended to a folder's files."""
+def grow(spark: SparkSession, pattern: str, pack: str, source: str, *, stream: bool = True) -> DataFrame:
+    """The lines of files with where they begin: a stream of what is appended to them, or what they hold now."""
     spark.dataSource.register(GrowingFiles)
-    lines = spark.readStream.format("growing_files").option("path", pattern).load()
-    return lines.select("content", "file_path", F.lit(pack).alias("pack"), F.lit(source).alias("source"))
+    lines = (spark.readStream if stream else spark.read).format("growing_files").option("path", pattern).load()
+    return lines.select("content", "file_path", "offset", F.lit(pack).alias("pack"), F.lit(source).alias("source"))
+
+
+def grow_packs(spark: SparkSession, packs: dict[str, Pack], root: str = "", *, stream: bool = True) -> DataFrame:
+    """The lines of the files of all sources of packs, under root."""
+    found = [(p.name, s.name, f"{root.rstrip('/')}{path}") for p in packs.values() for s in p.sources for path in s.paths if path.startswith("/")]
+    return reduce(DataFrame.unionByName, [grow(spark, path, pack, source, stream=stream) for pack, source, path in found])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.levels import normalise
+from emberlog.functions.values import in_utc, timestamp, ulid
+
 #: The columns of an entry, in order. fields is a JSON object; timestamp is in UTC.
+SCHEMA = "id string, timestamp timestamp_ntz, source string, host string, level string, message string, fields string, raw string, pack string, day date"
 COLUMNS = ["id", "timestamp", "source", "host", "level", "message", "fields", "raw", "pack"]
 
 
@@ -41,6 +45,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*COLUMNS, "day")
 
 
+def decoded(table: DataFrame, now: Column | None = None) -> DataFrame:
+    """Entries of any table: columns that are missing, null or of no use have defaults.
+
+    Texts are empty, an id that isn't of 26 characters is a new one, a time that can't be read is now, a level
+    is the nearest known one, and fields that are no JSON object are an empty one.
+    """
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in table.columns else F.lit("")
+    at = table.schema["timestamp"].dataType.simpleString() if "timestamp" in table.columns else ""
+    read = F.col("timestamp") if at == "timestamp_ntz" else in_utc(F.col("timestamp")) if at == "timestamp" else timestamp(text("timestamp"))
+    fields = text("fields")
+    return table.select(
+        F.when(text("id").rlike("^[0-9A-Za-z]{26}$"), text("id")).otherwise(ulid()).alias("id"),
+        F.coalesce(read, in_utc(F.current_timestamp()) if now is None else now).alias("timestamp"),
+        text("source").alias("source"), text("host").alias("host"), normalise(text("level")).alias("level"), text("message").alias("message"),
+        F.when(fields.rlike(r"^\s*\{") & F.try_parse_json(fields).isNotNull(), fields).otherwise("{}").alias("fields"), text("raw").alias("raw"), text("pack").alias("pack"),
+    )
+
+
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries made from the events table, the same in every engine: seq is the order of arrival."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k"))

@@ -1,3 +1,5 @@
+import json
+
 from emberlog.__main__ import main
 from emberlog.config import Config
 
@@ -20,9 +22,40 @@ def test_commands(spark, tmp_path, capsys):
     assert any("| 6" in line or "|6" in line for line in run("query", "--sql", "SELECT count(*) FROM logs"))
     assert any(line.startswith("0.") and "via ip=10.0.0.1" in line for line in run("correlate"))
     assert run("packs", "--words", "docker") == ["docker 0.1.0: Docker container log parser"]
+    assert json.loads(run("status")[0])["logs_stored"] == 6 and json.loads(run("counts")[0])["by_pack"] == [{"pack": "nginx", "cnt": 6}]
+    assert run("alerts") == [""]
     assert run("retain") == ["6 entries deleted"]
 
 
+def test_commands_of_packs_and_settings(tmp_path, capsys):
+    def run(*args, code=0):
+        assert main(["--config", str(tmp_path / "c.toml"), *args]) == code
+        return capsys.readouterr().out
+
+    Config(data_dir=str(tmp_path / "data")).save(tmp_path / "c.toml")
+    assert run("init").startswith("ready in") and (tmp_path / "data/packs").is_dir() and "retention_days = 30" in run("config")
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine/pack.toml").write_text('[pack]\nname = "own"\nversion = "1.2.3"\n[[sources]]\nname = "s"\npaths = ["/x"]\nformat = "json"\n[[alerts]]\nname = "a"\ncondition = "count(x = 1) > 2 in 1m"\n')
+    assert run("install", str(tmp_path / "mine")) == "own 1.2.3 is installed\n" and "own 1.2.3 (installed): 1 sources, 1 alerts" in run("list")
+    assert "s (json): /x" in run("info", "own") and "alert 5xx_spike" in run("info", "nginx")
+    run("remove", "nginx", code=1)
+    assert run("remove", "own") == "own is removed\n" and "own" not in run("list")
+    run("info", "own", code=1)
+    run("install", str(tmp_path), code=1)
+
+
+def test_start_stores_what_the_packs_files_hold(spark, tmp_path, capsys):
+    Config(data_dir=str(tmp_path / "data"), min_confidence=0.1).save(tmp_path / "c.toml")
+    (tmp_path / "var/log/nginx").mkdir(parents=True)
+    (tmp_path / "var/log/nginx/access.log").write_text('10.0.0.1 - u [09/Apr/2026:10:15:00 +0000] "GET / HTTP/1.1" 200 1 "-" "-"\n')
+    (tmp_path / "var/log/syslog").write_text("Oct 11 22:14:15 web cron: a\n")
+    for _ in range(2):
+        assert main(["--config", str(tmp_path / "c.toml"), "start", "--once", "--root", str(tmp_path)]) == 0
+    capsys.readouterr()
+    assert main(["--config", str(tmp_path / "c.toml"), "counts"]) == 0
+    assert json.loads(capsys.readouterr().out)["total"] == 2
+
+
 def test_validate(tmp_path, capsys):
     (tmp_path / "pack.toml").write_text('[pack]\nname = "a"\nversion = "1.0.0"\n[[sources]]\nname = "s"\npaths = ["/x"]\nformat = "json"\n')
     assert main(["validate", str(tmp_path / "pack.toml")]) == 0

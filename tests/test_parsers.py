@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.functions.values import java_format, named_groups, timestamp, ulid
+from emberlog.functions.values import coerce, coerce_json, java_format, named_groups, timestamp, ulid
 from emberlog.operators import parsers
 from emberlog.sources import packs
 
@@ -181,3 +181,59 @@ def test_joined_lines_across_blocks(spark):
         want[f, head].append(text)
     got = parsers.joined_lines(spark.createDataFrame(lines, "file_path string, line_no long, content string, pack string").repartition(5), r"^\[", block=7).collect()
     assert {(r.file_path, r.line_no): r.content for r in got} == {k: "\n".join(v) for k, v in want.items()}
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    assert one(spark, '{"message":"a","k":1,"k":2}', parsers.json_parser()) == (None, None, "a", {"k": 2, "message": "a"})
+    assert one(spark, '{"level":"info","level":"error","x":[1],"x":"5"}', parsers.json_parser())[1:] == ("error", "", {"x": "5"})
+    assert one(spark, '{"x":{"k":1,"k":2},"n":1}', parsers.json_parser())[3]["n"] == 1
+    assert one(spark, '{"a":1,"c":2}', parsers.json_parser(renamed={"a": "c"}))[3] == {"c": 2}
+    assert one(spark, '{"c":2,"a":1}', parsers.json_parser(renamed={"a": "c"}))[3] == {"c": 1}
+    assert one(spark, '{"a":1} and more', parsers.json_parser()) is None
+
+
+def test_journal_exports(spark):
+    parser = parsers.parser_of(packs.BUILT_IN["systemd"].source("journal"))
+    line = '{"MESSAGE":"Out of memory","PRIORITY":"3","__REALTIME_TIMESTAMP":"1775729730123456","_SYSTEMD_UNIT":"a.service","_PID":"42","_BOOT_ID":"b"}'
+    assert one(spark, line, parser) == (datetime(2026, 4, 9, 10, 15, 30, 123456), "error", "Out of memory", {"unit": "a.service", "pid": 42, "_BOOT_ID": "b", "message": "Out of memory"})
+    assert one(spark, '{"timestamp":"2026-04-09T10:00:00Z","level":"warn","message":"own keys","PRIORITY":"0"}', parser)[:3] == (datetime(2026, 4, 9, 10), "warn", "own keys")
+
+
+def test_numbers_of_fields_equal_coercion(spark):
+    """The short way over the JSON text and the long way over variants give the same for any text."""
+    texts = ["0", "-0", "7", "-7", "+7", "007", "123456789012345678", "99999999999999999999", "1.0", "1.5", "1.50", "-0.5", "0.0005", "0.25", ".5", "5.", "1e5", "1234567.5", "12345678.25", "nan", "-inf", "true", "a\"b", '":"5"', "\\", "1,2", "{1}", "", "é", "5 ", "0x1F"]
+    df = spark.createDataFrame([(t, "x" + t) for t in texts], "t string, u string")
+    for booleans in (False, True):
+        got = df.select("t", coerce_json(F.to_json(F.struct("t", "u")), booleans=booleans).alias("a"), F.to_json(F.struct(coerce(F.col("t"), booleans=booleans).alias("t"), coerce(F.col("u")).alias("u"))).alias("b")).collect()
+        for r in got:
+            assert json.loads(r.a).get("t") == json.loads(r.b).get("t") and json.loads(r.a)["u"] == "x" + r.t, r
+
+
+def test_plan_of_many_packs_is_small(spark):
+    """One choice by source, then the same expressions for all: the plan grows by what a pattern needs, and not in depth."""
+    def size(n):
+        many = packs.BUILT_IN | {f"p{i}": packs.Pack(f"p{i}", "1.0.0", sources=[packs.Source("s", ["/x"], "regex", rf"(?P<a>\d+) (?P<level>\w+) p{i}")]) for i in range(n)}
+        lines = spark.createDataFrame([("1 warn p3", "p3", "s"), ("x", "nginx", "access")], "content string, pack string, source string")
+        made = parsers.entries(parsers.parse(lines, many))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        return len(plan), [(r.level, r.fields) for r in made.collect()]
+
+    few, rows = size(0)
+    more, rows = size(45)
+    assert few < 50_000 and rows == [("warn", '{"a":1,"level":"warn"}')] and (more - few) / 45 < 3_000
+
+
+def test_odd_logfmt_lines_alone_go_to_python(spark):
+    pack = {"p": packs.Pack("p", "1.0.0", sources=[packs.Source("s", ["/x"], "logfmt")])}
+    lines = spark.createDataFrame([('a=1 msg="x y"', "p", "s"), (r'a="x\"y" level=warn', "p", "s"), ("", "p", "s"), ("a=1", "q", "s"), (None, "p", "s")], "content string, pack string, source string")
+    got = {r.content: r.parsed for r in parsers.parse(lines, pack).collect()}
+    assert len(got) == 5 and json.loads(got['a=1 msg="x y"'].fields) == {"a": 1} and got[r'a="x\"y" level=warn'].level == "warn"
+    assert got[""] is None and got["a=1"] is None and got[None] is None
+    plan = parsers.parse(lines.where("content = 'a=1'"), pack)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Union") == 1 and plan.count("ArrowEvalPython") <= 1
+
+
+def test_lines_that_never_start_an_entry_are_cut(spark):
+    rows = [("f", 10 * i, "no start", "p") for i in range(100)]
+    got = parsers.joined_lines(spark.createDataFrame(rows, "file_path string, offset long, content string, pack string"), r"^\[", number="offset", block=64, longest=200).collect()
+    assert len(got) == 5 and sum(r.content.count("no start") for r in got) == 100

@@ -1,9 +1,15 @@
+import dataclasses
 import json
 import os
+import random
+import socket
+import time
+import urllib.request
 
 from pyspark.sql import functions as F
 
-from emberlog.sources import lines, packs
+from emberlog.config import Config
+from emberlog.sources import lines, packs, receivers
 from emberlog.sources import logs as log_table
 from emberlog.streaming import pipeline
 
@@ -34,7 +40,7 @@ def test_read_of_all_packs(spark, tmp_path):
 def test_offsets_of_growing_files(tmp_path):
     path = str(tmp_path / "a.log")
     reader = lines._GrowingReader(f"{tmp_path}/*.log")
-    new = lambda a, b: [x for p in reader.partitions(a, b) for x, _ in reader.read(p)]
+    new = lambda a, b: [x for p in reader.partitions(a, b) for x, *_ in reader.read(p)]
     start = reader.initialOffset()
     assert reader.latestOffset() == start
     with open(path, "w") as f:
@@ -68,10 +74,86 @@ def test_growing_files_as_a_stream(spark, tmp_path):
     assert got.count() == 8 and got.select(F.get_json_object("fields", "$.uri")).distinct().count() == 2
 
 
+def test_long_files_are_many_stretches(tmp_path, monkeypatch):
+    """Each line is read once, by the stretch in which it begins, wherever the borders are."""
+    (tmp_path / "sub1").mkdir()
+    path = tmp_path / "sub1" / "a.log"
+    rng = random.Random(0)
+    text = ["x" * rng.randint(1, 40) + str(i) for i in range(400)]
+    path.write_text("\n".join(text) + "\n")
+    for size in (1, 7, 64, 5000, 1 << 20):
+        monkeypatch.setattr(lines, "STRETCH", size)
+        reader = lines._GrownReader(f"{tmp_path}/sub*/*.log")
+        parts = reader.partitions()
+        got = [x for p in parts for x in reader.read(p)]
+        assert [t for t, *_ in got] == text and len(parts) == -(-path.stat().st_size // size)
+        assert all(path.read_bytes()[at:].decode().startswith(t) for t, _, at in got)
+
+
 def test_live_tail(spark, sf, tmp_path):
-    at = f"{tmp_path}/entries"
+    at, shown = f"{tmp_path}/entries", []
     log_table.from_events(spark, sf).drop("seq").limit(10).write.parquet(at)
-    q = pipeline.live_tail(spark.readStream.schema(spark.read.parquet(at).schema).parquet(at), "tailed")
-    q.processAllAvailable()
-    q.stop()
-    assert {json.loads(r.entry)["host"][:5] for r in spark.table("tailed").collect()} == {"host-"} and spark.table("tailed").count() == 10
+    entries = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+    pipeline.live_tail(entries, f"{tmp_path}/marks", shown.append, at_once=8, once=True).awaitTermination()
+    told = [json.loads(x) for x in shown]
+    assert len(told) == 8 and told == sorted(told, key=lambda e: (e["timestamp"], e["id"])) and told[0]["host"].startswith("host-")
+
+
+def service(tmp_path):
+    """Two packs under a root, one with entries of many lines."""
+    php = packs.Pack("php-fpm", "1.0.0", sources=[dataclasses.replace(packs.BUILT_IN["php-fpm"].source("error"), paths=["/var/log/php*/php*-fpm.log"])])
+    nginx = packs.Pack("nginx", "1.0.0", sources=[dataclasses.replace(packs.BUILT_IN["nginx"].source("access"), paths=["/var/log/nginx/access.log"])])
+    for d in ("nginx", "php8"):
+        (tmp_path / "var/log" / d).mkdir(parents=True)
+    return {"php-fpm": php, "nginx": nginx}, Config(data_dir=str(tmp_path / "data"), window_seconds=5, min_confidence=0.1)
+
+
+def test_service_follows_all_packs_and_correlates(spark, tmp_path):
+    """Appended lines, stack traces as one entry, a restart in between, and correlations stored."""
+    own, config = service(tmp_path)
+    for batch in range(2):
+        with open(tmp_path / "var/log/nginx/access.log", "a") as f:
+            f.write(LINE.format(batch, batch) + "\nno such line\n")
+        with open(tmp_path / "var/log/php8/php8-fpm.log", "a") as f:
+            f.write(f"[2026-04-09 10:15:0{batch}] ERROR: failed for 10.0.0.1 ({batch})\n  at one\n  at two\n")
+        first, _ = pipeline.follow(spark, own, config, root=str(tmp_path), once=True)
+        assert pipeline.counters(first) == {"lines": 3, "entries": 2, "dropped": 1, "window_size": 0}
+    got = log_table.read(spark, config.logs)
+    assert {(r.pack, r.n) for r in got.groupBy("pack").agg(F.count("*").alias("n")).collect()} == {("nginx", 2), ("php-fpm", 2)}
+    assert {r.raw.count("\n") for r in got.where("pack = 'php-fpm'").collect()} == {2} and all(len(r.id) == 26 for r in got.collect())
+    found = spark.read.parquet(config.correlations)
+    assert found.count() >= 2 and found.where("description NOT LIKE '%ip=10.0.0.1%'").count() == 0
+
+
+def test_receivers_write_what_comes(spark, tmp_path):
+    spool = receivers.Spool(tmp_path / "spool", "syslog", most_bytes=100)
+    servers = [make(spool, "127.0.0.1", 0) for make in (receivers.udp, receivers.tcp, receivers.http)]
+    receivers.listen(servers)
+    try:
+        for i in range(5):
+            with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+                s.sendto(f"<34>Oct 11 22:14:15 web sshd[{i}]: udp\n\n".encode(), servers[0].server_address)
+            with socket.create_connection(servers[1].server_address) as s:
+                s.sendall(f"<34>Oct 11 22:14:15 web cron: tcp {i}\n\nlast {i}".encode())
+            urllib.request.urlopen(f"http://127.0.0.1:{servers[2].server_address[1]}/v1/logs", b'{"message":"http"}\n{"message":"two"}').read()
+        deadline = time.time() + 20
+        read = lambda: lines.grow(spark, f"{tmp_path}/spool/syslog-*.log", "p", "s", stream=False)
+        while read().count() < 25 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        for s in servers:
+            s.shutdown()
+            s.server_close()
+    got = [r.content for r in read().collect()]
+    assert len(got) == 25 and sum("udp" in x for x in got) == 5 and sum(x.startswith("last") for x in got) == 5 and sum("http" in x for x in got) == 5
+    assert len(list((tmp_path / "spool").iterdir())) > 1
+
+
+def test_table_of_bad_rows_is_decoded_with_defaults(spark):
+    rows = [("01ARZ3NDEKTSV4RRFFQ69G5FAV", "2026-04-09T10:00:00Z", "s", None, "WARNING", None, '{"a":1}', "r", "p"), ("short", "no time", None, "h", "?", "m", "[1]", None, None), (None,) * 9]
+    table = spark.createDataFrame(rows, "id string, timestamp string, source string, host string, level string, message string, fields string, raw string, pack string")
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    got = log_table.decoded(table, now).collect()
+    assert got[0][0] == rows[0][0] and (got[0].level, got[0].message, got[0].fields, got[0].host) == ("warn", "", '{"a":1}', "")
+    assert all(len(r.id) == 26 and r.level == "info" and r.fields == "{}" and r.timestamp.year == 2026 and r.timestamp.month == 1 for r in got[1:])
+    assert log_table.decoded(table.select("message", F.lit(7).alias("timestamp"))).count() == 3
