@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.blocks import deal, forest, whole_groups
@@ -183,9 +183,15 @@ def near_duplicates(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: i
 
 
 def one_of_each(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (nulls last), of equal ones the first by all columns."""
+    """One row of each component: that of the smallest doc_id (nulls last), of equal ones the first by a hash of all columns.
+
+    Rows are numbered as they are written with their fingerprints, so only numbers are compared and grouped, and
+    texts move once.
+    """
     kept = docs.columns
-    rows = cut(fingerprints(docs, keep=kept, into="__fp", shingle=shingle, seed=seed))
+    every = F.xxhash64(*kept)
+    rows = cut(fingerprints(docs.withColumn("__hash", every), keep=[*kept, "__hash"], into="__fp", shingle=shingle, seed=seed).withColumn("__row", F.monotonically_increasing_id()))
     roots = groups(rows.select(F.col("__fp").alias("fp")), bits=bits).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    order = Window.partitionBy("__root").orderBy(F.col("doc_id").asc_nulls_last(), *[c for c in kept if c != "doc_id"])
-    return rows.join(roots, "__fp").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*kept)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row")
+    first = rows.select("__fp", "__row", order.alias("__order")).join(roots, "__fp").groupBy("__root").agg(F.min_by("__row", "__order").alias("__row"))
+    return rows.join(first.select("__row"), "__row", "left_semi").select(*kept)

@@ -55,7 +55,7 @@ def test_near_dedup_stage(docs, spark, sf):
 
 
 def test_rows_without_an_id_or_with_a_shared_one_stay(spark, sf):
-    """Six unlike texts, two near copies among them, under null, shared and repeated ids."""
+    """Four unlike texts, a near copy of one and a row that repeats, under null, shared and repeated ids."""
     unlike = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(4)]
     near = unlike[0].upper()
     given = [(None, unlike[0]), (7, near), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (7, unlike[3]), (None, None)]
