@@ -530,8 +530,8 @@ def load(df: DataFrame, *, media: str = "media", tensors: bool = True) -> DataFr
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Digests of what is read back from the media of each text."""
-    back = load(store(docs, keep=["doc_id"]), tensors=False)
+    """docs: doc_id, text. Digests of what is read back from the media of each text, its tensor included."""
+    back = load(store(docs, keep=["doc_id"]))
     return back.select(
         "doc_id",
         F.col("n_bytes").cast("long").alias("n_bytes"),
@@ -541,4 +541,6 @@ def media_report(docs: DataFrame) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.length("rgb").cast("long").alias("rgb_bytes"),
+        F.crc32("rgb").alias("rgb_crc32"),
     )
