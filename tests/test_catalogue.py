@@ -1,4 +1,5 @@
 import os
+import shutil
 import subprocess
 import sys
 
@@ -29,6 +30,12 @@ def test_imports_without_the_corpus_operators(tmp_path):
     code = "import sys; sys.modules['emberlog.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
     assert out.split() == [str(len(catalogue.QUERIES)), "False"]
+    shutil.copytree(f"{root}/emberlog", tmp_path / "emberlog", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "emberlog/llm/__pycache__").mkdir(parents=True)  # what a deleted folder may leave behind
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    assert out.split() == [str(len(catalogue.QUERIES)), "False"]
 
 
 def test_filters_reach_the_scan(spark, sf, tmp_path):
