@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions import formats, levels, values
+from emberlog.functions import formats, levels, privacy, values
 from emberlog.functions.identifiers import identifiers
-from emberlog.operators import alerts, chains, correlate, parsers, rules
+from emberlog.operators import alerts, chains, correlate, insight, parsers, results, rules
 from emberlog.operators import query as q
 from emberlog.sources import logs as log_table
 from emberlog.sources import packs
@@ -560,3 +560,91 @@ def alert_avg_window(spark, sf_dir):
 @query("SELECT 'by_client' AS alert, to_timestamp(epoch(timestamp)::BIGINT // 86400 * 86400)::TIMESTAMP AS window_start, client AS client_ip, count(*)::DOUBLE AS value FROM logs WHERE contains(message, 'error') GROUP BY 2, 3 HAVING count(*) > 1")
 def alert_grouped(spark, sf_dir):
     return alerts.parse_alert("by_client", "count(message contains 'error' AND client_ip = same) > 1 in 1d").fired(log_table.from_events(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------------------------ what manifests declare, results, insight
+
+
+@query("SELECT 'nginx_php-fpm' AS rule, s.id AS source_id, t.id AS target_id FROM logs s JOIN logs t ON s.client = t.client AND t.timestamp BETWEEN s.timestamp - INTERVAL 7200 SECOND AND s.timestamp + INTERVAL 7200 SECOND WHERE s.pack = 'nginx' AND t.pack = 'php-fpm'")
+def manifest_correlation(spark, sf_dir):
+    pack = packs.Pack("nginx", "1.0.0", correlations=[packs.Correlation("php-fpm", ["timestamp", "client_ip"], "2h")])
+    return rules.of_pack(pack)[0].pairs(log_table.from_events(spark, sf_dir))
+
+
+@query("SELECT 'many' AS alert, pack, 'critical' AS severity, to_timestamp(epoch(timestamp)::BIGINT // 86400 * 86400)::TIMESTAMP AS window_start, '{}' AS groups, count(*)::DOUBLE AS value FROM logs WHERE pack = 'php-fpm' GROUP BY 2, 4 HAVING count(*) > 1")
+def pack_alerts(spark, sf_dir):
+    pack = packs.Pack("php-fpm", "1.0.0", alerts=[packs.Alert("many", "count(status >= 500) > 1 in 1d", severity="critical", cooldown="1d"), packs.Alert("none", "states no alert")])
+    return alerts.of_packs(log_table.from_events(spark, sf_dir), {"php-fpm": pack})
+
+
+@query("""WITH RECURSIVE w AS (SELECT CASE event_type WHEN 'error' THEN 'php-fpm' WHEN 'purchase' THEN 'mysql' WHEN 'signup' THEN 'syslog' ELSE 'nginx' END AS pack, date_trunc('hour', ts) AS hour, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2),
+          kept AS (SELECT pack, min(hour) AS hour FROM w GROUP BY pack UNION ALL SELECT kept.pack, (SELECT min(w.hour) FROM w WHERE w.pack = kept.pack AND w.hour >= kept.hour + INTERVAL 5 HOUR) FROM kept WHERE kept.hour IS NOT NULL)
+          SELECT 'hourly' AS alert, w.pack, w.hour AS window_start, value FROM kept JOIN w ON kept.pack = w.pack AND kept.hour = w.hour""", logs=False)
+def alert_cooldown(spark, sf_dir):
+    fired = insight.volumes(log_table.from_events(spark, sf_dir)).groupBy("pack", "window_start").agg(F.sum("n").cast("double").alias("value"))
+    return alerts.with_cooldown(fired.select(F.lit("hourly").alias("alert"), "pack", "window_start", "value"), 5 * 3600)
+
+
+@query("""SELECT to_json({'total': (SELECT count(*) FROM logs), 'by_source': (SELECT list({'source': source, 'cnt': n} ORDER BY n DESC, source) FROM (SELECT source, count(*) AS n FROM logs GROUP BY 1)),
+                          'by_pack': (SELECT list({'pack': pack, 'cnt': n} ORDER BY n DESC, pack) FROM (SELECT pack, count(*) AS n FROM logs GROUP BY 1))})::VARCHAR AS json""")
+def result_counts(spark, sf_dir):
+    return results.counts(log_table.from_events(spark, sf_dir))
+
+
+@query("SELECT to_json({'status': 'running', 'version': '1', 'logs_stored': (SELECT count(*) FROM logs), 'storage_bytes': 2048, 'storage': '2.00 KB', 'correlation_window_size': 3})::VARCHAR AS json")
+def result_status(spark, sf_dir):
+    return results.status(log_table.from_events(spark, sf_dir), 2048, "1", 3)
+
+
+@query("SELECT pack, source, count(*) AS lines, count_if(pack = 'nginx')::BIGINT AS entries, count_if(pack != 'nginx')::BIGINT AS dropped FROM logs GROUP BY pack, source")
+def ingest_counters(spark, sf_dir):
+    lines = parsers.spread(log_table.from_events(spark, sf_dir)).select("pack", "source", F.col("raw").alias("content"))
+    return pipeline.counted_by_source(parsers.parse(lines, packs.BUILT_IN))
+
+
+@query("""SELECT seq, CASE WHEN seq % 2 = 0 THEN id ELSE 'new' END AS id, CASE WHEN seq % 3 = 0 THEN timestamp ELSE TIMESTAMP '2024-01-20 06:00:00' END AS timestamp, CASE WHEN seq % 5 = 0 THEN '' ELSE source END AS source,
+          CASE WHEN seq % 7 = 0 THEN 'info' WHEN level IN ('error', 'warn', 'debug', 'trace') THEN level ELSE 'info' END AS level, CASE WHEN seq % 11 = 0 THEN '{}' ELSE fields END AS fields FROM logs""")
+def decode_with_defaults(spark, sf_dir):
+    bad = log_table.from_events(spark, sf_dir).select(
+        "seq", F.when(F.col("seq") % 2 == 0, F.col("id")).otherwise("short").alias("id"), F.when(F.col("seq") % 3 == 0, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise("never").alias("timestamp"),
+        F.when(F.col("seq") % 5 != 0, F.col("source")).alias("source"), F.when(F.col("seq") % 7 == 0, "what").otherwise(F.upper("level")).alias("level"), "message", F.when(F.col("seq") % 11 == 0, "[1").otherwise(F.col("fields")).alias("fields"), F.col("seq").alias("raw"), "pack",
+    )
+    got = log_table.decoded(bad, F.lit(NOW).cast("timestamp_ntz"))
+    return got.select(F.col("raw").cast("long").alias("seq"), F.when(F.startswith("id", F.lit("0000")), F.col("id")).otherwise("new").alias("id"), "timestamp", "source", "level", "fields")
+
+
+@query("SELECT seq, 'error' AS level, 'failed ' || k AS message, timestamp, 'u' || k || '.service' AS unit, (user_id % 300)::VARCHAR AS pid FROM logs")
+def parse_journal(spark, sf_dir):
+    line = F.to_json(F.struct(F.concat(F.lit("failed "), "k").alias("MESSAGE"), F.lit("3").alias("PRIORITY"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("__REALTIME_TIMESTAMP"), F.concat(F.lit("u"), "k", F.lit(".service")).alias("_SYSTEMD_UNIT"), (F.col("user_id") % 300).cast("string").alias("_PID")))
+    lines = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), line.alias("content"), F.lit("systemd").alias("pack"), F.lit("journal").alias("source"))
+    return parsers.parse(lines, packs.BUILT_IN).select("seq", "parsed.level", "parsed.message", "parsed.timestamp", _fields("unit", "pid"))
+
+
+_REDACTED = "text"
+for _kind, _pattern in privacy.PERSONAL.items():
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '[{_kind}]', 'g')"
+
+
+@query(f"SELECT doc_id, {_REDACTED} AS text FROM documents", logs=False)
+def mask_redact(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", privacy.mask("text").alias("text"))
+
+
+@query("SELECT id, replace(message, client, 'ip-' || substr(sha256('salt' || client), 1, 6)) AS message FROM logs")
+def mask_pseudonymize(spark, sf_dir):
+    return log_table.from_events(spark, sf_dir).select("id", privacy.mask("message", "pseudonymize", key="salt").alias("message"))
+
+
+@query(""", w AS (SELECT pack, source, date_trunc('hour', timestamp) AS window_start, count(*) AS n FROM logs GROUP BY 1, 2, 3),
+          b AS (SELECT *, avg(n) OVER p AS usual, count(*) OVER p AS seen FROM w WINDOW p AS (PARTITION BY pack, source ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+          SELECT pack, source, window_start, n, round(usual, 6) AS usual, CASE WHEN n > usual * 1.5 THEN 'spike' ELSE 'drop' END AS kind FROM b WHERE seen >= 3 AND (n > usual * 1.5 OR n * 1.5 < usual)""")
+def volume_spikes(spark, sf_dir):
+    return insight.spikes(insight.volumes(log_table.from_events(spark, sf_dir)), factor=1.5).withColumn("usual", F.round("usual", 6))
+
+
+_FORM = r"regexp_replace(regexp_replace(regexp_replace(message, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', '<ip>', 'g'), '[0-9a-f]{8,}', '<id>', 'g'), '[0-9]+', '<n>', 'g')"
+
+
+@query(f"SELECT pack, source, {_FORM} AS form, count(*) AS n, min(timestamp) AS first_seen, max(timestamp) AS last_seen, min(message) AS example FROM logs WHERE level = 'error' GROUP BY 1, 2, 3")
+def error_groups(spark, sf_dir):
+    return insight.error_groups(log_table.from_events(spark, sf_dir))

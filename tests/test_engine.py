@@ -4,8 +4,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.functions import privacy
 from emberlog.functions.identifiers import WEIGHTS, identifiers
-from emberlog.operators import alerts, chains, correlate, query, rules
+from emberlog.operators import alerts, chains, correlate, insight, query, rules
 from emberlog.sources import logs as log_table
 
 SCHEMA = "id string, timestamp timestamp_ntz, source string, host string, level string, message string, fields string, raw string, pack string, seq long"
@@ -202,3 +203,26 @@ def test_search_takes_wildcards_and_cases(spark):
     assert ids(level_min="garbage") == ["000001", "000002", "000003"] and ids(level_min="warn") == []
     s = query.stats(logs).first()
     assert (s.total, s.by_source[0].n) == (3, 3) and query.stats(logs.where("false")).first().total == 0
+
+
+def test_masking(spark):
+    texts = ["write to a.b@c.example or +49 (30) 123-456 from 10.0.0.1.", "no data", "", None, "x@y.de x@y.de", "1.2.3.4"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = lambda how, **more: [r.m for r in df.select(privacy.mask("t", how, **more).alias("m")).collect()]
+    assert shown("redact") == ["write to [email] or [phone] from [ip].", "no data", "", None, "[email] [email]", "[ip]"]
+    assert shown("redact", kinds=("ip",))[4] == "x@y.de x@y.de"
+    hashed, other = shown("hash", key="a"), shown("hash", key="b")
+    a, b = hashed[4].split(" ")
+    assert a == b and len(a) == 16 and a not in other[4] and hashed[1:4] == ["no data", "", None]
+    assert shown("pseudonymize")[5].startswith("ip-") and shown("pseudonymize")[0].endswith(".") and "10.0.0.1" not in shown("pseudonymize")[0]
+
+
+def test_spikes_and_forms_of_errors(spark):
+    hours = [4, 5, 4, 5, 20, 4, 1]
+    rows = [entry(100 * h + i, level="error", message=f"failed {i} at 10.0.0.{i} id deadbeef{i:02}", seconds=3600 * h + i) for h, n in enumerate(hours) for i in range(n)]
+    logs = table(spark, rows)
+    got = insight.spikes(insight.volumes(logs), least=3).orderBy("window_start").collect()
+    assert [(r.kind, r.n, r.usual) for r in got] == [("spike", 20, 4.5), ("drop", 1, 7.0)]
+    [g] = insight.error_groups(logs).collect()
+    assert (g.form, g.n, g.first_seen) == ("failed <n> at <ip> id <id>", sum(hours), START)
+    assert insight.error_groups(logs.where("false")).collect() == [] and insight.spikes(insight.volumes(logs.where("false"))).collect() == []
