@@ -45,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """df as a table in the shared folder, dealt into files by a column: joins by that column move the other side only."""
+    spark, name = df.sparkSession, f"scratch_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, column).format("parquet").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what cut() wrote for df, once nothing reads it any more."""
     spark, path = df.sparkSession, getattr(df, "_scratch_path", None)
