@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, embeddings, langid, media, mixing, sentencepiece, simhash, substring, toxicity, url_filter
+from emberlog.llm import chat, embeddings, infill, langid, media, mixing, quality, repair, sentencepiece, simhash, substring, toxicity, url_filter
 from emberlog.llm.shared import table
 
 #: Rules of the page filter: host, path, verdict.
@@ -67,7 +67,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_language_mixture, op3_simhash, op4_progressive_media, op5_source_mixing, op6_url_filter, op7_toxicity, op8_embedding_near_dedup, op9_chat_windows, op10_sentencepiece)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.damaged(turns), turns.select("conv_id"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_report(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_language_mixture, op3_simhash, op4_progressive_media, op5_source_mixing, op6_url_filter, op7_toxicity, op8_embedding_near_dedup, op9_chat_windows, op10_sentencepiece, op11_conversation_repair, op12_quality_rules, op13_fill_in_middle)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,7 +94,88 @@ def _escaped(text: str) -> str:
     return rf"regexp_replace(replace({text}, '\', '\\'), '([<\[]){chat.CONTROL_TAILS}', '\1\\\2', 'g')"
 
 
+#: CRC-32 of a text in ASCII, from a table of the remainders of all bytes.
+SQL_CRC_TABLE = "SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc FROM range(256) bytes(b)"
+
+
+def _crc32(text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+#: Cost to the end of a conversation from each state (0: start, 1: after s, 2: after u, 3: after a) before row i, and with rows put in first.
+SQL_NEXT = (2, 2, 3, 2)
+SQL_FAR = 1000000000
+
+
+def _row_cost(q: int) -> str:
+    """Of the row's own edits in state q, with the costs x0 to x3 behind it."""
+    fits = f"initial = '{'uuau'[q]}'"
+    keep = f"WHEN {fits} THEN x{SQL_NEXT[q]}" + (" WHEN initial = 's' THEN x1" if q == 0 else "")
+    return f"least(4 + x{q}, CASE WHEN gone THEN {SQL_FAR} ELSE cut_off + least(3 + x{SQL_NEXT[q]}, CASE {keep} ELSE {SQL_FAR} END) END)"
+
+
+def _put_in(q: int, c: str) -> str:
+    """With turns put in first: once, or twice."""
+    a, b = SQL_NEXT[q], SQL_NEXT[SQL_NEXT[q]]
+    return f"least({c}{q}, 3 + {c}{a}, 6 + {c}{b})"
+
+
 ORACLES = {
+    "op11_conversation_repair": f"""
+        WITH RECURSIVE crcs AS ({SQL_CRC_TABLE}),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crcs),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+              FROM k WHERE kind != 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
+        f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM o),
+        r AS (SELECT *, left(role, 1) AS initial, last = '' AS blank, last != '' AND nth > 1 AS dup, last NOT IN ('', '.', '!', '?') AND nth = 1 AS short,
+                     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM f),
+        e AS (SELECT *, blank OR dup AS gone, CASE WHEN short THEN 3 ELSE 0 END AS cut_off FROM r),
+        back(conv_id, i, x0, x1, x2, x3) AS (
+            SELECT conv_id, n + 1, 0, 6, 3, 0 FROM (SELECT DISTINCT conv_id, n FROM e)
+            UNION ALL
+            SELECT conv_id, i, {", ".join(_put_in(q, "c") for q in range(4))}
+            FROM (SELECT e.conv_id, e.i, {", ".join(f"{_row_cost(q)} AS c{q}" for q in range(4))}
+                  FROM back JOIN e ON e.conv_id IS NOT DISTINCT FROM back.conv_id AND e.i = back.i - 1)),
+        costs AS (SELECT *, [x0, x1, x2, x3] AS x FROM back),
+        steps AS (
+            SELECT a.conv_id, a.i, a.x AS here, b.x AS behind, e.initial, e.gone, e.cut_off, e.role, e.text, e.n
+            FROM costs a LEFT JOIN costs b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = a.i + 1 LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id AND e.i = a.i),
+        walk(conv_id, i, q, step, edit, line) AS (
+            SELECT conv_id, 1::BIGINT, 0, 0, '', NULL::VARCHAR FROM (SELECT DISTINCT conv_id FROM e)
+            UNION ALL
+            SELECT w.conv_id, CASE WHEN w.can = 'I' THEN w.i ELSE w.i + 1 END,
+                   CASE WHEN w.can = 'D' THEN w.q WHEN w.can = 'K' AND w.q = 0 AND w.initial = 's' THEN 1 ELSE [2, 2, 3, 2][w.q + 1] END, w.step + 1, w.can,
+                   CASE w.can WHEN 'D' THEN NULL WHEN 'K' THEN w.role || ':' || w.text ELSE CASE WHEN w.q = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN w.can = 'R' THEN w.text ELSE '' END END
+            FROM (SELECT walk.conv_id, walk.i, walk.q, walk.step, s.role, s.text, s.initial, CASE
+                      WHEN s.role IS NOT NULL AND 4 + s.behind[walk.q + 1] = s.here[walk.q + 1] THEN 'D'
+                      WHEN 3 + s.here[[2, 2, 3, 2][walk.q + 1] + 1] = s.here[walk.q + 1] THEN 'I'
+                      WHEN s.role IS NOT NULL AND NOT s.gone AND s.initial = ['u', 'u', 'a', 'u'][walk.q + 1] AND s.cut_off + s.behind[[2, 2, 3, 2][walk.q + 1] + 1] = s.here[walk.q + 1] THEN 'K'
+                      WHEN s.role IS NOT NULL AND NOT s.gone AND s.initial = 's' AND walk.q = 0 AND s.cut_off + s.behind[2] = s.here[1] THEN 'K'
+                      WHEN s.role IS NOT NULL THEN 'R' END AS can
+                  FROM walk JOIN steps s ON s.conv_id IS NOT DISTINCT FROM walk.conv_id AND s.i = walk.i) w
+            WHERE w.can IS NOT NULL),
+        audits AS (SELECT conv_id, string_agg(edit, '' ORDER BY step) AS audit, coalesce(string_agg(line, chr(10) ORDER BY step), '') AS lines FROM walk WHERE step > 0 GROUP BY conv_id),
+        told AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (dup)::BIGINT AS duplicate,
+                   count(*) FILTER (short)::BIGINT AS truncated, count(*) FILTER (i > 1 AND prev || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+            FROM e GROUP BY conv_id),
+        ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(x0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+        FROM ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM ids.conv_id
+             LEFT JOIN back ON back.conv_id IS NOT DISTINCT FROM ids.conv_id AND back.i = 1""",
+    "op13_fill_in_middle": """
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+        u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, list_transform(range(4), lambda k: ('0x' || substr(x, 1 + 8 * k, 8))::BIGINT) AS h FROM h),
+        n AS (SELECT *, len(lines)::BIGINT AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS a, greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        c AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM n)
+        SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form != 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM c""",
     "op6_url_filter": f"""
         WITH rules(rhost, rpath, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in PAGE_RULES)}),
         cutoff AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
