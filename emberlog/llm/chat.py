@@ -86,6 +86,8 @@ def format_windows(turns: DataFrame, *, window_tokens: int = 512, history_tokens
     places = F.array_compact(F.array(F.struct("chapter", F.lit(True).alias("fresh")), F.when(late, F.struct((F.col("chapter") + 1).alias("chapter"), F.lit(False).alias("fresh")))))
     near = Window.partitionBy("conv", "chapter").orderBy("p").rangeBetween(-history_tokens, 0)
     rows = turn.withColumn("to", F.explode(places)).drop("chapter").select("*", "to.chapter", "to.fresh").drop("to")
+    # of those, the ones that reach the chapter's first new turn within the history: they lie before it without a gap
+    rows = rows.withColumn("begins", F.min(F.when(F.col("fresh"), F.col("p"))).over(Window.partitionBy("conv", "chapter"))).where(F.col("fresh") | (F.col("begins") - F.col("p") <= history_tokens))
     rows = rows.withColumns({"first": F.min(F.when(~F.col("is_system"), F.col("i"))).over(near), "from": F.min(F.when(~F.col("is_system"), F.col("p"))).over(near)})
     member = F.struct("i", "fresh", "k", F.coalesce(F.col("p") - F.col("from"), F.lit(0)).cast("int").alias("past"), F.coalesce("first", "i").alias("first"), "role", "head", "body", "out")
     chapters = rows.groupBy("conv", "chapter").agg(F.array_sort(F.collect_list(member)).alias("t"), F.bool_or("fresh").alias("fresh")).where("fresh")

@@ -175,6 +175,26 @@ def held_budget(windows, budget, history):
     return sums
 
 
+def test_turns_of_any_length_are_read_back_over_many_chapters(spark):
+    """Turns of 1 to 1,000 tokens; conversations of 100,000 tokens; long turns between a border and short ones before it."""
+    rng, rows = random.Random(21), []
+    for conv in range(6):
+        system = rng.choice((0, 1, 100, 300))
+        lengths, total = [], 0
+        while total < (100_000 if conv < 3 else 40_000):
+            lengths.append(rng.choice((rng.randint(1, 1000), rng.randint(1, 130), rng.randint(1, 9))))
+            total += lengths[-1]
+        rows += [(conv, t, "system" if t == 0 and system else rng.choice(("user", "assistant", "assistant")), f"t{t} " + "w " * (n - 2) if n > 1 else "") for t, n in enumerate(lengths)]
+    rows += [(7, t, ("user", "assistant")[t % 2], "a " * (n - 1)) for t, n in enumerate([100] * 326 + [68, 5, 200, 10, 20, 30, 40])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    back = {r.conv_id: r for r in chat.read_windows(chat.format_windows(df)).collect()}
+    for conv in {r[0] for r in rows}:
+        own = [(role, text) for c, _, role, text in rows if c == conv]
+        assert [(t.role, t.text) for t in back[conv].turns] == own
+        assert back[conv].targets == [text for role, text in own if role == "assistant"]
+    held_budget(chat.format_windows(df).collect(), 512, 128)
+
+
 def test_windows_are_full_and_hold_the_system_turn(spark):
     """A system turn of any length, turns of up to a tenth of the budget: 85 % of all windows but each conversation's last is used."""
     rng = random.Random(12)
