@@ -105,7 +105,8 @@ def transformed(docs: DataFrame, *, seed: int = 7, rate: int = 100, spm: int = 5
     seeds = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = [F.conv(F.substring(seeds, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
     narrow = _dealt(keyed.select("doc_id", "digest", "twin"), parts).select("doc_id", "digest", "twin", "part", *[x.alias(f"h{k + 1}") for k, x in enumerate(h)])
-    rows = index(keyed, parts).join(narrow, ["digest", "twin", "part"])
+    # the index lies by digest and part, and is joined by these, so its texts don't move again; of a digest's texts the twin tells which
+    rows = index(keyed, parts).join(narrow.withColumnRenamed("twin", "own"), ["digest", "part"]).where(F.col("twin").bitwiseXOR(F.col("own")) == 0)
     units = F.col("ends.n") + 1
     a, b = F.col("h1") % units, F.col("h2") % units
     where = lambda i: F.pandas_udf(_select, "long")(i, "ends.low_bits", "ends.low", "ends.high", "ends.ranks")
