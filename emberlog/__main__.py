@@ -142,8 +142,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "start":
         if a.listen:
             known |= _received(config)
-        for q in pipeline.follow(spark, known, config, root=a.root, once=a.once):
-            q.awaitTermination()
+        running = pipeline.follow(spark, known, config, root=a.root, once=a.once)
+        if not a.once:
+            pipeline.serve(spark, config, running)
+        for q in running:
             print(pipeline.counters(q))
     elif a.command == "retain":
         print(query.apply_retention(spark, config.logs, config.retention_days, datetime.now(timezone.utc)), "entries deleted")

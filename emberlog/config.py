@@ -14,6 +14,8 @@ class Config:
     data_dir: str = "/var/lib/emberlog"
     flush_interval_ms: int = 500
     files_per_batch: int = 1000
+    batch_bytes: int = 256 << 20
+    entry_idle_ms: int = 2000
     retention_days: int = 30
     window_seconds: int = 2
     min_confidence: float = 0.7
@@ -29,6 +31,14 @@ class Config:
     def correlations(self) -> str:
         return f"{self.data_dir}/correlations"
 
+    @property
+    def alerts(self) -> str:
+        return f"{self.data_dir}/alerts"
+
+    @property
+    def rule_pairs(self) -> str:
+        return f"{self.data_dir}/rule_pairs"
+
     @property
     def spool(self) -> str:
         return f"{self.data_dir}/spool"

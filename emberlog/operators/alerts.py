@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.identifiers import field_texts
 from emberlog.functions.values import FLOAT
 from emberlog.operators.rules import Condition
-from emberlog.sources.packs import Pack
+from emberlog.sources.packs import Alert, Pack
 
 _ALERT = re.compile(r"\s*(count|avg)\((.*)\)\s*(>=|<=|>|<|=)\s*([0-9.]+)\s+in\s+(\d+)([smhd])\s*", re.S)
 _PART = re.compile(r"\s*(\w+)\s*(>=|<=|!=|=|>|<|contains)\s*('[^']*'|\S+)\s*", re.I)
@@ -93,21 +93,71 @@ def with_cooldown(fired: DataFrame, seconds: int) -> DataFrame:
     return grouped.select(*of, F.explode(F.aggregate("__all", none, keep)["kept"]).alias("__f")).select(*of, "__f.*").select(*fired.columns)
 
 
+def _rules(packs: dict[str, Pack]) -> list[tuple[Pack, Alert, AlertRule]]:
+    stated = [(p, a, parse_alert(a.name, a.condition)) for p in packs.values() for a in p.alerts]
+    return [(p, a, rule) for p, a, rule in stated if rule is not None]
+
+
+def cooldown_seconds(alert: Alert) -> int:
+    m = re.fullmatch(r"\s*(\d+)\s*([smhd])\s*", alert.cooldown or "")
+    return int(m[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[m[2]] if m else 0
+
+
+FIRED = "alert string, pack string, severity string, window_start timestamp_ntz, groups string, value double"
+
+
+def fired_windows(logs: DataFrame, packs: dict[str, Pack]) -> DataFrame:
+    """All windows in which the packs' alerts hold, whatever their cooldowns: columns as of_packs() gives them. For streams with a watermark too.
+
+    The table is read once for each length of window: an entry becomes a row for each alert that it counts for.
+    """
+    by_length: dict[str, list] = {}
+    for found in _rules(packs):
+        by_length.setdefault(found[2].window, []).append(found)
+    out = []
+    for length, rules in by_length.items():
+        texts = field_texts("fields")
+        text = lambda name: F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at(texts, F.lit(name)), F.lit("}")), "$.v")  # noqa: B023, E731
+        hits = []
+        for i, (pack, _, rule) in enumerate(rules):
+            here = functools.reduce(lambda a, b: a & b, [_holds(c) for c in rule.conditions], F.col("pack") == pack.name)
+            groups = F.to_json(F.struct(*[text(g).alias(g) for g in rule.by])) if rule.by else F.lit("{}")
+            number = F.when(text(rule.value_of).rlike(FLOAT), text(rule.value_of).try_cast("double")) if rule.value_of else F.lit(None).cast("double")
+            hits.append(F.when(here, F.struct(F.lit(i).alias("rule"), groups.alias("groups"), number.alias("number"))))
+        rows = logs.select("timestamp", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("timestamp", "h.*")
+        sums = rows.groupBy(F.window("timestamp", length), "rule", "groups").agg(F.count("*").cast("double").alias("n"), F.avg("number").alias("mean"))
+        pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rule") + 1)
+        value = F.when(pick([rule.aggregate == "avg" for *_, rule in rules]), F.col("mean")).otherwise(F.col("n"))
+        tests = {">": lambda v, t: v > t, ">=": lambda v, t: v >= t, "<": lambda v, t: v < t, "<=": lambda v, t: v <= t, "=": lambda v, t: v == t}
+        holds = functools.reduce(lambda a, b: a | b, [(F.col("rule") == i) & tests[rule.compare](F.col("value"), rule.threshold) for i, (*_, rule) in enumerate(rules)])
+        named = [pick([a.name for _, a, _ in rules]).alias("alert"), pick([p.name for p, *_ in rules]).alias("pack"), pick([a.severity for _, a, _ in rules]).alias("severity")]
+        out.append(sums.withColumn("value", value).where(holds).select(*named, F.col("window.start").cast("timestamp_ntz").alias("window_start"), "groups", "value"))
+    return functools.reduce(DataFrame.unionByName, out) if out else logs.sparkSession.createDataFrame([], FIRED)
+
+
+def cooled(fired: DataFrame, packs: dict[str, Pack], kept: DataFrame | None = None) -> DataFrame:
+    """Of fired windows (of_packs()'s columns) those that their alerts' cooldowns let through, after those kept before (all of them earlier)."""
+    out = []
+    for seconds in sorted({cooldown_seconds(a) for _, a, _ in _rules(packs)}):
+        names = [F.struct(F.lit(p.name), F.lit(a.name)) for p, a, _ in _rules(packs) if cooldown_seconds(a) == seconds]
+        mine = lambda df: df.where(F.struct("pack", "alert").isin(names))  # noqa: B023, E731
+        new = mine(fired)
+        if not seconds:
+            out.append(new)
+            continue
+        # the last one kept of each alert and groups goes before the new ones, is kept first, and leaves again
+        new = new.withColumn("__before", F.lit(False))
+        if kept is not None:
+            last = mine(kept).groupBy("alert", "pack", "severity", "groups").agg(F.max("window_start").alias("window_start"), F.max_by("value", "window_start").alias("value"))
+            new = new.unionByName(last.withColumn("__before", F.lit(True)))
+        left = with_cooldown(new.withColumn("value", F.struct("value", "__before")).drop("__before"), seconds)
+        out.append(left.where("NOT value.__before").withColumn("value", F.col("value.value")))
+    return functools.reduce(DataFrame.unionByName, out) if out else fired
+
+
 def of_packs(logs: DataFrame, packs: dict[str, Pack]) -> DataFrame:
     """All firings of the packs' alerts in a table: alert, pack, severity, window_start, groups (JSON), value; cooldowns kept.
 
     An alert looks at its own pack's entries. Conditions that state no alert are left out.
     """
-    found = []
-    for pack in packs.values():
-        for a in pack.alerts:
-            rule = parse_alert(a.name, a.condition)
-            if rule is None:
-                continue
-            fired = rule.fired(logs.where(F.col("pack") == pack.name))
-            if a.cooldown and (m := re.fullmatch(r"\s*(\d+)\s*([smhd])\s*", a.cooldown)):
-                fired = with_cooldown(fired, int(m[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[m[2]])
-            groups = F.to_json(F.struct(*rule.by)) if rule.by else F.lit("{}")
-            found.append(fired.select("alert", F.lit(pack.name).alias("pack"), F.lit(a.severity).alias("severity"), "window_start", groups.alias("groups"), "value"))
-    none = logs.sparkSession.createDataFrame([], "alert string, pack string, severity string, window_start timestamp_ntz, groups string, value double")
-    return functools.reduce(DataFrame.unionByName, found, none)
+    return cooled(fired_windows(logs, packs), packs)

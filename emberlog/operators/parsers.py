@@ -10,20 +10,21 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberlog.functions import levels
 from emberlog.functions.values import FLOAT, INTEGER, NO_NUMBER, by_format, coerce_json, in_utc, java_format, named_groups, rfc3339, timestamp, ulid
 from emberlog.sources.packs import Pack, PackError, Source
 
-#: The two forms of a syslog line.
+#: The two forms of a syslog line. What repeats is possessive: a long line must not take the matcher's stack.
 RFC_3164 = r"(?:<(?P<pri>\d+)>)?(?P<timestamp>\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(?P<hostname>\S+)\s+(?P<app>\S+?)(?:\[(?P<pid>\d+)\])?:\s*(?P<message>.*)"
-RFC_5424 = r"<(?P<pri>\d+)>(?P<version>\d+)\s+(?P<timestamp>\S+)\s+(?P<hostname>\S+)\s+(?P<app>\S+)\s+(?P<procid>\S+)\s+(?P<msgid>\S+)\s+(?P<sd>(?:\[.*?\])+|-)\s*(?P<message>.*)"
+RFC_5424 = r"<(?P<pri>\d+)>(?P<version>\d+)\s+(?P<timestamp>\S+)\s+(?P<hostname>\S+)\s+(?P<app>\S+)\s+(?P<procid>\S+)\s+(?P<msgid>\S+)\s+(?P<sd>(?:\[[^\]\n]*+\])++|-)\s*(?P<message>.*)"
 PARSED = "struct<timestamp:timestamp_ntz,level:string,message:string,fields:string>"
 #: What a line was read as: at, by its source's own format, or at_text; level or a syslog pri; fields as JSON, and how
 #: their texts are coerced (0: as they are, 1: numbers, 2: numbers and booleans).
@@ -75,6 +76,17 @@ def _named(groups: Column, pattern: str) -> dict[str, Column]:
     return {n: F.when(g != "", g) if n in optional else g for n, g in got.items()}
 
 
+def _last_of_each(entries: Column) -> Column:
+    """Of entries (key, value) with equal keys the last one, in their order; keys are sorted, not compared with one another."""
+
+    def last(all: Column) -> Column:
+        by_key = F.array_sort(F.transform(all, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"))))
+        final = lambda p: F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1)["key"] != x["key"], F.lit(True)))
+        return F.transform(F.array_sort(F.transform(_once(by_key, final), lambda x: x["i"])), lambda i: F.get(all, i))
+
+    return _once(entries, last)
+
+
 @dataclass
 class Parser:
     """read: what a line was read as (_GOT); null where it isn't of the format. odd: lines that only Python reads, if any."""
@@ -121,9 +133,7 @@ def json_parser(*, timestamp_field: str = "timestamp", renamed: dict[str, str] |
 
     def last(m: Column) -> Column:
         """Entries of a map of which each key's last one stays."""
-        keys = F.map_keys(m)
-        kept = F.filter(F.map_entries(m), lambda e, i: F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["key"]) == 0)
-        return F.when(F.size(keys) == F.size(F.array_distinct(keys)), m).otherwise(F.map_from_entries(kept))
+        return F.when(F.size(m) == F.size(F.array_distinct(F.map_keys(m))), m).otherwise(F.map_from_entries(_last_of_each(F.map_entries(m))))
 
     def values(line: Column) -> Column:
         alike, plain = line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(line).isNotNull()
@@ -148,8 +158,7 @@ def json_parser(*, timestamp_field: str = "timestamp", renamed: dict[str, str] |
         if renamed:
             names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
             entries = F.transform(F.map_entries(rest), lambda e: F.struct(F.coalesce(names[e["key"]], e["key"]).alias("key"), e["value"].alias("value")))
-            later = lambda all, e, i: F.exists(F.slice(all, i + 2, F.greatest(F.size(all) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"])
-            rest = _once(entries, lambda all: F.map_from_entries(F.filter(all, lambda e, i: ~later(all, e, i))))
+            rest = F.map_from_entries(_last_of_each(entries))
         return _once(
             F.coalesce(said, F.lit("")),
             lambda message: _got(
@@ -184,8 +193,8 @@ def syslog_parser(form: str = "auto") -> Parser:
     return Parser(lambda line: _once(_groups(line, pattern), got))
 
 
-#: A logfmt line without white space in keys and without quotes inside quoted values.
-PLAIN_LOGFMT = r'^\s*[^\s="]+=("[^"\\]*"|[^\s"]*)(\s+[^\s="]+=("[^"\\]*"|[^\s"]*))*\s*$'
+#: A logfmt line without white space in keys and without quotes inside quoted values; possessive, so lines of any length pass.
+PLAIN_LOGFMT = r'^\s*+[^\s="]++=(?:"[^"\\]*+"|[^\s"]*+)(?:\s++[^\s="]++=(?:"[^"\\]*+"|[^\s"]*+))*+\s*+$'
 _PAIR = r'([^\s="]+)=("[^"\\]*"|[^\s"]*)'
 
 
@@ -235,8 +244,8 @@ def logfmt_parser(*, timestamp_field: str = "ts", exact: bool = False) -> Parser
     def pairs(x: Column) -> Column:
         bare = lambda v: F.when(F.startswith(v, F.lit('"')), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
         # of a repeated key the last value counts
-        last = F.filter(F.arrays_zip(x["k"].alias("k"), x["v"].alias("v")), lambda p, i: F.array_position(F.slice(x["k"], i + 2, F.greatest(F.size(x["k"]) - i - 1, F.lit(0))), p["k"]) == 0)
-        return F.when(F.size(F.array_distinct(x["k"])) == F.size(x["k"]), F.map_from_arrays(x["k"], F.transform(x["v"], bare))).otherwise(F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], bare(p["v"])))))
+        last = _last_of_each(F.arrays_zip(x["k"].alias("key"), F.transform(x["v"], bare).alias("value")))
+        return F.when(F.size(F.array_distinct(x["k"])) == F.size(x["k"]), F.map_from_arrays(x["k"], F.transform(x["v"], bare))).otherwise(F.map_from_entries(last))
 
     def got(m: Column) -> Column:
         value = lambda key: F.try_element_at(m, F.lit(key))
@@ -372,6 +381,58 @@ def joined_lines(lines: DataFrame, start: str, *, file: str = "file_path", numbe
     )
 
 
+#: How long an entry of many lines stays open in a stream when no further line comes.
+IDLE_MS = 2000
+_OPEN = "began long, piece long, first long, last long, content string"
+
+
+def joined_stream(lines: DataFrame, packs: dict[str, Pack], *, idle_ms: int = IDLE_MS, longest: int = LONGEST) -> DataFrame:
+    """joined() for a stream: wherever its batches end, the entries are those that joined() makes of all lines at once.
+
+    The entry that is open at the end of a batch is state of its file, at most longest bytes and one line of it; the next line that
+    begins an entry lets it go, and so does a timer once no line has come for idle_ms. Lines after that are on their
+    own. A file that begins anew (by offset) ends what was open. lines: as for joined().
+    """
+    starts = {(p.name, s.name): re.compile(s.multiline_start) for p in packs.values() for s in p.sources if s.multiline}
+    if not starts:
+        return lines
+    names = ["content", "file_path", "offset", "pack", "source"]
+
+    def join(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        file, pack, source = key
+        held = state.getOption
+        began, piece, first, last, parts = (*held[:4], [held[4]]) if held is not None else (-1, 0, -1, -1, [])
+        whole = []
+        if not state.hasTimedOut:
+            start = starts[pack, source]
+            rows = pd.concat(list(batches)).sort_values("offset", kind="stable")
+            for content, at in zip(rows["content"], rows["offset"].astype("int64").tolist()):
+                new, anew = start.search(content) is not None, at <= last
+                began = at if new else -1 if anew or not parts else began
+                mine = (at - max(began, 0)) // longest
+                if parts and (new or anew or mine != piece):
+                    whole.append(("\n".join(parts), file, first, pack, source))
+                    parts = []
+                if not parts:
+                    first, piece = at, mine
+                parts.append(content)
+                last = at
+        elif parts:
+            whole.append(("\n".join(parts), file, first, pack, source))
+            parts = []
+        if parts:
+            state.update((began, piece, first, last, "\n".join(parts)))
+            state.setTimeoutDuration(idle_ms)
+        else:
+            state.remove()
+        yield pd.DataFrame(whole, columns=names)
+
+    several = F.coalesce(functools.reduce(lambda a, b: a | b, [(F.col("pack") == p) & (F.col("source") == s) for p, s in starts]), F.lit(False))
+    kinds = "content string, file_path string, offset long, pack string, source string"
+    joined = lines.where(several).select(*names).groupBy("file_path", "pack", "source").applyInPandasWithState(join, kinds, _OPEN, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.where(~several).select(*names).unionByName(joined)
+
+
 def joined(lines: DataFrame, packs: dict[str, Pack]) -> DataFrame:
     """lines: content, file_path, offset, pack, source. Those of sources with multi-line entries are joined, each by its own start."""
     several = [(p.name, s.name, s.multiline_start) for p in packs.values() for s in p.sources if s.multiline]

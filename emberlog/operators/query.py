@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import at_least
+from emberlog.sources import logs as log_table
 from emberlog.sources.logs import COLUMNS
 
 
@@ -102,7 +103,8 @@ def stats(logs: DataFrame) -> DataFrame:
 
 def table_bytes(spark: SparkSession, path: str) -> DataFrame:
     """Size of the table's files."""
-    return spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+    stored = spark.read.schema(log_table.STORED).parquet(path)
+    return stored.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
 
 
 def cutoff(days: int, now: datetime) -> datetime:
@@ -119,59 +121,13 @@ def kept(logs: DataFrame, days: int, now: datetime) -> DataFrame:
 
 
 def apply_retention(spark: SparkSession, path: str, days: int, now: datetime) -> int:
-    """Delete expired entries of a table and return how many: whole days as folders, the day of the cut rewritten.
+    """Delete the expired entries of a table and return how many there were.
 
-    May be stopped at any step: the rewritten day is complete beside the table before the old one is set aside, both
-    moves are renames, and the next run finishes what one has begun.
+    One mark hides them all at once, beside any writer and any stream; see logs.mark(). Entries that are stored later
+    are left to the next run, however old they are. Files of days that an earlier run deleted go with this one.
     """
-    _finish_retention(spark, path)
     at = cutoff(days, now)
-    table = spark.read.parquet(path)
-    gone = table.where(F.col("day") <= F.lit(at.date())).transform(lambda t: expired(t, days, now)).count()
-    if not gone:
-        return 0
-    fs, p = _file_system(spark, path)
-    edge = f"day={at.date().isoformat()}"
-    if fs.exists(p(f"{path}/{edge}")):
-        kept_rows = table.where(F.col("day") == F.lit(at.date())).transform(lambda t: kept(t, days, now))
-        kept_rows.drop("day").write.mode("overwrite").parquet(f"{_aside(path, 'retained')}/{edge}")
-        fs.mkdirs(p(_aside(path, "expired")))
-        _rename(fs, p, f"{path}/{edge}", f"{_aside(path, 'expired')}/{edge}")
-        _finish_retention(spark, path)
-    for status in fs.listStatus(p(path)):
-        name = status.getPath().getName()
-        if name.startswith("day=") and name < edge:
-            fs.delete(status.getPath(), True)
+    gone = log_table.read(spark, path).where(F.col("day") <= F.lit(at.date())).transform(lambda t: expired(t, days, now)).count()
+    if gone or log_table.marks(spark, path):
+        log_table.mark(spark, path, at)
     return gone
-
-
-def _aside(path: str, what: str) -> str:
-    return f"{path.rstrip('/')}__{what}"
-
-
-def _rename(fs, p, a: str, b: str) -> None:
-    if not fs.rename(p(a), p(b)):
-        raise OSError(f"{a} could not be renamed to {b}")
-
-
-def _finish_retention(spark: SparkSession, path: str) -> None:
-    """Put a rewritten day in the place of the one that was set aside; what was rewritten only is done again."""
-    fs, p = _file_system(spark, path)
-    retained, old = _aside(path, "retained"), _aside(path, "expired")
-    days = [s.getPath().getName() for s in fs.listStatus(p(old))] if fs.exists(p(old)) else []
-    for day in days:
-        if fs.exists(p(f"{retained}/{day}")):
-            if fs.exists(p(f"{path}/{day}")):  # entries of that day came meanwhile: the files go beside theirs
-                for s in fs.listStatus(p(f"{retained}/{day}")):
-                    if s.getPath().getName().startswith("part-"):
-                        _rename(fs, p, s.getPath().toString(), f"{path}/{day}/{s.getPath().getName()}")
-            else:
-                _rename(fs, p, f"{retained}/{day}", f"{path}/{day}")
-    for folder in (retained, old):
-        fs.delete(p(folder), True)
-
-
-def _file_system(spark: SparkSession, path: str):
-    """The file system of a path, and the constructor of paths."""
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    return p(path).getFileSystem(spark._jsc.hadoopConfiguration()), p

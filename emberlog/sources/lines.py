@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -42,6 +43,10 @@ class GrowingFiles(DataSource):
     a file that was replaced or cut starts anew, and new files are found in each batch. New bytes are dealt into
     stretches of STRETCH, so a long backlog is many tasks. The column offset is where a line begins. spark.read gives
     what the files hold now. Driver and executors have to see the files by the same path.
+
+    The option max_bytes bounds a batch: what it lets in is shared out among the files, small rests first, in whole
+    lines (one at least of a file). What was let in is remembered; over a restart in the file that the option progress
+    names, without which the first batch after a restart takes all that is there.
     """
 
     @classmethod
@@ -55,7 +60,7 @@ class GrowingFiles(DataSource):
         return _GrownReader(self.options["path"])
 
     def streamReader(self, schema) -> _GrowingReader:  # noqa: N802
-        return _GrowingReader(self.options["path"])
+        return _GrowingReader(self.options["path"], int(self.options.get("max_bytes", 0)), self.options.get("progress"))
 
 
 #: Bytes of a file that one task reads.
@@ -67,13 +72,19 @@ class _Stretch(InputPartition):
         self.path, self.start, self.end, self.first = path, start, end, first
 
 
-def _whole_lines(pattern: str) -> dict[str, list[int]]:
-    """Inode and bytes up to the last line end of the files that fit; files that go meanwhile are left out."""
-    found = {}
+def _whole_lines(pattern: str, known: dict[str, tuple] | None = None) -> dict[str, list[int]]:
+    """Inode and bytes up to the last line end of the files that fit; files that go meanwhile are left out.
+
+    known remembers what was found, so that only files that changed since are opened.
+    """
+    found, known = {}, {} if known is None else known
     for path in sorted(glob.glob(pattern)):
         try:
             if os.path.isfile(path):
-                found[path] = [os.stat(path).st_ino, _last_line_end(path)]
+                s = os.stat(path)
+                if known.get(path, (None,))[0] != (s.st_ino, s.st_size, s.st_mtime_ns):
+                    known[path] = (s.st_ino, s.st_size, s.st_mtime_ns), _last_line_end(path)
+                found[path] = [s.st_ino, known[path][1]]
         except FileNotFoundError:
             continue
     return found
@@ -107,27 +118,81 @@ class _GrownReader(DataSourceReader):
 
 
 class _GrowingReader(DataSourceStreamReader):
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+    def __init__(self, pattern: str, max_bytes: int = 0, progress: str | None = None):
+        self.pattern, self.max_bytes, self.progress, self.known = pattern, max_bytes, progress, {}
+        #: What batches have been given so far; None while that isn't known.
+        self.given: dict[str, list[int]] | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
+        self.given = {}
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"files": json.dumps(_whole_lines(self.pattern))}
+        if self.given is None and self.progress:
+            self.given = {}
+            if os.path.exists(self.progress):
+                with open(self.progress) as f:
+                    self.given = json.load(f)
+        there = _whole_lines(self.pattern, self.known)
+        self.given = there if self.given is None or not self.max_bytes else self._let_in(there)
+        return {"files": json.dumps(self.given)}
+
+    def _let_in(self, there: dict[str, list[int]]) -> dict[str, list[int]]:
+        rests, out, left = [], {}, self.max_bytes
+        for path, (inode, size) in there.items():
+            at = _start(self.given.get(path), inode, size)
+            out[path] = [inode, at]
+            if size > at:
+                rests.append((size - at, path))
+        for i, (rest, path) in enumerate(sorted(rests)):
+            share, (inode, at) = left // (len(rests) - i), out[path]
+            if rest <= share:
+                out[path], left = [inode, at + rest], left - rest
+            elif left > 0:
+                end = _line_end_near(path, at, at + max(1, share), at + rest)
+                out[path], left = [inode, end], left - (end - at)
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[_Stretch]:
-        before, out = json.loads(start["files"]), []
-        for path, (inode, size) in json.loads(end["files"]).items():
-            seen = before.get(path, [inode, 0])
-            at = seen[1] if seen[0] == inode and seen[1] <= size else 0
-            out += _stretches(path, at, size)
+        before, after, out = json.loads(start["files"]), json.loads(end["files"]), []
+        if self.given is None:
+            self.given = after
+        if self.progress:
+            os.makedirs(os.path.dirname(self.progress) or ".", exist_ok=True)
+            with open(f"{self.progress}.new", "w") as f:
+                json.dump(after, f)
+            os.replace(f"{self.progress}.new", self.progress)
+        for path, (inode, size) in after.items():
+            out += _stretches(path, _start(before.get(path), inode, size), size)
         return out
 
     def read(self, partition: _Stretch) -> Iterator[tuple[str, str, int]]:
         return _lines_of(partition)
 
 
+def _start(seen: list[int] | None, inode: int, size: int) -> int:
+    """Up to where a file has been read: not at all if it was replaced or cut."""
+    return seen[1] if seen and seen[0] == inode and seen[1] <= size else 0
+
+
+def _line_end_near(path: str, start: int, at: int, end: int, step: int = 1 << 16) -> int:
+    """The last line end from start up to at; if there is none, the first one behind it, up to end."""
+    with open(path, "rb") as f:
+        low = at
+        while low > start:
+            begin = max(start, low - step)
+            f.seek(begin)
+            if (k := f.read(low - begin).rfind(b"\n")) >= 0:
+                return begin + k + 1
+            low = begin
+        while at < end:
+            f.seek(at)
+            if (k := f.read(min(step, end - at)).find(b"\n")) >= 0:
+                return at + k + 1
+            at += step
+    return end
+
+
 def _last_line_end(path: str, step: int = 1 << 16) -> int:
     """Bytes up to the last line end."""
     with open(path, "rb") as f:
@@ -142,14 +207,18 @@ def _last_line_end(path: str, step: int = 1 << 16) -> int:
     return 0
 
 
-def grow(spark: SparkSession, pattern: str, pack: str, source: str, *, stream: bool = True) -> DataFrame:
+def grow(spark: SparkSession, pattern: str, pack: str, source: str, *, stream: bool = True, max_bytes: int = 0, progress: str | None = None) -> DataFrame:
     """The lines of files with where they begin: a stream of what is appended to them, or what they hold now."""
     spark.dataSource.register(GrowingFiles)
-    lines = (spark.readStream if stream else spark.read).format("growing_files").option("path", pattern).load()
+    reader = (spark.readStream if stream else spark.read).format("growing_files").option("path", pattern)
+    if max_bytes:
+        reader = reader.option("max_bytes", max_bytes)
+    lines = (reader.option("progress", progress) if progress else reader).load()
     return lines.select("content", "file_path", "offset", F.lit(pack).alias("pack"), F.lit(source).alias("source"))
 
 
-def grow_packs(spark: SparkSession, packs: dict[str, Pack], root: str = "", *, stream: bool = True) -> DataFrame:
-    """The lines of the files of all sources of packs, under root."""
+def grow_packs(spark: SparkSession, packs: dict[str, Pack], root: str = "", *, stream: bool = True, max_bytes: int = 0, progress: str | None = None) -> DataFrame:
+    """The lines of the files of all sources of packs, under root. progress: a folder; max_bytes is shared out among the paths."""
     found = [(p.name, s.name, f"{root.rstrip('/')}{path}") for p in packs.values() for s in p.sources for path in s.paths if path.startswith("/")]
-    return reduce(DataFrame.unionByName, [grow(spark, path, pack, source, stream=stream) for pack, source, path in found])
+    of = lambda pack, source, path: f"{progress}/{hashlib.md5(f'{pack}/{source}/{path}'.encode()).hexdigest()}.json" if progress else None
+    return reduce(DataFrame.unionByName, [grow(spark, path, pack, source, stream=stream, max_bytes=-(-max_bytes // len(found)), progress=of(pack, source, path)) for pack, source, path in found])

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,32 +23,107 @@ def with_day(logs: DataFrame) -> DataFrame:
     return logs.withColumn("day", F.to_date("timestamp"))
 
 
-def append(logs: DataFrame, path: str) -> None:
-    """Add entries to a table in Parquet, a folder for each day: filters of time read the days they need.
+def append(logs: DataFrame, path: str, *, batch: str | None = None) -> bool:
+    """Add entries to a table in Parquet as one batch: all of them are there, or none. False if the batch was there.
 
-    Days are gathered into files of a good size: a large day is several tasks, small ones share one.
+    A batch is written beside the table and becomes part of it by one rename that fails where its folder exists: so
+    writers, streams and retention share a table, and a batch of a name that is done again adds nothing. Days are
+    gathered into files of a good size: a large day is several tasks, small ones share one.
     """
-    with_day(logs).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    spark, batch = logs.sparkSession, batch or uuid.uuid4().hex
+    if exists(spark, f"{path}/batch={batch}"):
+        return False
+    days = with_day(logs).select(*COLUMNS, "day").hint("rebalance", "day").write.partitionBy("day")
+    return _add(spark, path, f"{path}/batch={batch}", lambda staged: days.parquet(f"{staged}/at={_now_ms()}"))
+
+
+def add_batch(rows: DataFrame, path: str, target: str) -> bool:
+    """Rows of any table under path as one folder of it; False if that is there."""
+    return _add(rows.sparkSession, path, target, rows.write.parquet)
+
+
+def _add(spark: SparkSession, path: str, target: str, write: Callable[[str], None]) -> bool:
+    staged = f"{path}/_staged/{uuid.uuid4().hex}"
+    write(staged)
+    return _commit(spark, staged, target)
+
+
+def _now_ms() -> int:
+    return time.time_ns() // 1_000_000
+
+
+def _commit(spark: SparkSession, staged: str, target: str) -> bool:
+    """Rename a folder to one that mustn't be there; False if it is."""
+    jvm, to = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()) if to.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        files.rename(jvm.org.apache.hadoop.fs.Path(staged), to, options)
+    except Py4JJavaError as e:
+        if not exists(spark, target):
+            raise
+        if "AlreadyExists" not in str(e.java_exception):
+            raise
+        file_system(spark, staged)[0].delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+        return False
+    return True
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the constructor of paths."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def append_new(logs: DataFrame, path: str) -> None:
-    """append() without the entries whose id the table has already, or that come twice."""
-    spark = logs.sparkSession
-    fresh = logs.dropDuplicates(["id"]).withColumn("day", F.to_date("timestamp"))
-    if _exists(spark, path):
-        # an id names one entry and so one day: only the days that come again are read
-        fresh = fresh.join(spark.read.parquet(path).select("id", "day"), ["id", "day"], "left_anti")
-    append(fresh, path)
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+#: The columns of a table's files: those of an entry, and its batch and when that was begun (milliseconds), of the folders.
+STORED = f"{SCHEMA}, batch string, at long"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a table, and the day that says in which folder each lies."""
-    return spark.read.parquet(path).select(*COLUMNS, "day")
+def read(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
+    """Entries of a table, and the day that says in which folder each lies; as a stream, those of each new batch.
+
+    A stream gives entries as they were stored; what retention has deleted by then, files that are gone included, it leaves out.
+    """
+    if stream:
+        return spark.readStream.schema(STORED).option("ignoreMissingFiles", "true").parquet(path).select(*COLUMNS, "day")
+    table = spark.read.schema(STORED).parquet(path)
+    for cutoff, upto in marks(spark, path):
+        table = table.where((F.col("at") > upto) | F.col("timestamp").isNull() | (F.col("timestamp") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")))
+    return table.select(*COLUMNS, "day")
+
+
+def marks(spark: SparkSession, path: str) -> list[tuple[datetime, int]]:
+    """What retention has deleted: entries before a time, of batches that were begun up to a moment (milliseconds)."""
+    fs, p = file_system(spark, path)
+    folder = p(f"{path}/_retained")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [(_EPOCH + timedelta(microseconds=int(cutoff)), int(upto)) for cutoff, _, upto in (n.partition("_") for n in names)]
+
+
+_EPOCH = datetime(1970, 1, 1)
+
+
+def mark(spark: SparkSession, path: str, cutoff: datetime) -> None:
+    """Delete the entries before a time that are there now: one empty folder, so all of them go at once.
+
+    Files whose entries were all deleted by an earlier mark go now; those who read them have had the time since.
+    """
+    before, (fs, p), upto = marks(spark, path), file_system(spark, path), _now_ms()
+    name = lambda at, upto: p(f"{path}/_retained/{(at - _EPOCH) // timedelta(microseconds=1)}_{upto}")
+    fs.mkdirs(name(cutoff, upto))
+    for status in (fs.globStatus(p(f"{path}/batch=*/at=*/day=*")) or []) if before else []:
+        folder = status.getPath()
+        day, at = folder.getName().removeprefix("day="), int(folder.getParent().getName().removeprefix("at="))
+        if any(at <= up and day < cut.date().isoformat() for cut, up in before if day[:1].isdigit()):
+            fs.delete(folder, True)
+    for cut, up in before:
+        if cut <= cutoff and up < upto:
+            fs.delete(name(cut, up), True)
 
 
 def decoded(table: DataFrame, now: Column | None = None) -> DataFrame:

@@ -20,4 +20,12 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: worked out once, and lost executors only cost what follows."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -160,40 +160,78 @@ def test_alerts(spark):
 def test_table_of_entries(spark, tmp_path):
     path = f"{tmp_path}/logs"
     old = [entry(i, seconds=-86400 * 60) for i in (1, 2)] + [entry(3, seconds=-86400 * 30 - 5), entry(4, seconds=-86400 * 30), entry(5), entry(6, seconds=1)]
-    log_table.append(table(spark, old).drop("seq"), path)
-    log_table.append_new(table(spark, [entry(6, seconds=1), entry(7, seconds=2), entry(7, seconds=2)]).drop("seq"), path)
+    assert log_table.append(table(spark, old).drop("seq"), path)
+    more = table(spark, [entry(7, seconds=2)]).drop("seq")
+    assert log_table.append(more, path, batch="s-1") and not log_table.append(more, path, batch="s-1")
     assert log_table.read(spark, path).count() == 7 and log_table.read(spark, path).columns == [*log_table.COLUMNS, "day"]
     assert query.table_bytes(spark, path).first().bytes > 0
     assert query.apply_retention(spark, path, 30, START) == 3
     assert sorted(r.id for r in log_table.read(spark, path).collect()) == ["000004", "000005", "000006", "000007"]
     assert query.apply_retention(spark, path, 30, START) == 0
     assert [r.id for r in query.tail(log_table.read(spark, path), 2).collect()] == ["000006", "000007"]
-
-
-@pytest.mark.parametrize("step", ["before", "first", "between", "during"])
-def test_retention_stopped_at_any_step_loses_nothing(spark, tmp_path, monkeypatch, step):
-    """Stopped before the old day is set aside, after it, or after more entries of that day came: the next run finishes."""
-    path = f"{tmp_path}/logs"
-    log_table.append(table(spark, [entry(1, seconds=-86400 * 60), entry(3, seconds=-86400 * 30 - 5), entry(4, seconds=-86400 * 30), entry(5)]).drop("seq"), path)
-    rename, calls = query._rename, []
-
-    def stop(*a):
-        calls.append(a)
-        if len(calls) == {"before": 1, "first": 2, "between": 2, "during": 2}[step]:
-            raise KeyboardInterrupt
-        rename(*a)
-
-    monkeypatch.setattr(query, "_rename", stop)
-    with pytest.raises(KeyboardInterrupt):
-        query.apply_retention(spark, path, 30, START)
-    monkeypatch.setattr(query, "_rename", rename)
-    want = ["000004", "000005"]
-    if step == "during":
-        log_table.append(table(spark, [entry(6, seconds=-86400 * 30 + 1)]).drop("seq"), path)
-        want.append("000006")
-    query.apply_retention(spark, path, 30, START)
-    assert sorted(r.id for r in log_table.read(spark, path).collect()) == want
-    assert query.apply_retention(spark, path, 30, START) == 0
+    folders = [str(p) for p in tmp_path.glob("logs/batch=*/at=*/day=*")]
+    assert not any(f"day={(START - timedelta(days=60)).date()}" in f for f in folders) and len(log_table.marks(spark, path)) == 1
+
+
+class Stopped(BaseException):
+    pass
+
+
+def test_writers_and_retention_in_any_order_stopped_at_any_step(spark, tmp_path, monkeypatch):
+    """A list in memory and the table agree after every step: appends, repeated batches, retention, each also stopped in its middle."""
+    rng, path, want = random.Random(4), f"{tmp_path}/logs", {}
+    real = {name: getattr(log_table, name) for name in ("_commit", "mark")}
+    n, days = 0, 30
+    for step in range(24):
+        now = START + timedelta(days=rng.randint(0, 3))
+        kind = rng.choice(("append", "append", "again", "retain", "stopped append", "stopped retain", "during"))
+        rows = [entry(n + i, seconds=-86400 * rng.randint(26, 36) + rng.randint(-5, 5)) for i in range(3)]
+        n += 3
+        fresh = {r[0]: r[1] for r in rows}
+        frame = table(spark, rows).drop("seq")
+        if kind == "append":
+            assert log_table.append(frame, path, batch=f"b-{step}")
+            want |= fresh
+        elif kind == "again":
+            assert log_table.append(frame, path, batch=f"b-{step}") and not log_table.append(frame, path, batch=f"b-{step}")
+            want |= fresh
+        elif kind == "stopped append":
+            monkeypatch.setattr(log_table, "_commit", lambda *a: (_ for _ in ()).throw(Stopped))
+            with pytest.raises(Stopped):
+                log_table.append(frame, path, batch=f"b-{step}")
+            monkeypatch.setattr(log_table, "_commit", real["_commit"])
+            assert log_table.append(frame, path, batch=f"b-{step}")
+            want |= fresh
+        elif kind == "during" and want:
+            # entries come between what retention counts and what it marks, all of them new enough
+            late = table(spark, [entry(n, seconds=86400 * 5)]).drop("seq")
+
+            def mark(*a, late=late, step=step):
+                log_table.append(late, path, batch=f"late-{step}")
+                real["mark"](*a)
+
+            monkeypatch.setattr(log_table, "mark", mark)
+            gone = query.apply_retention(spark, path, days, now)
+            monkeypatch.setattr(log_table, "mark", real["mark"])
+            left = {k: v for k, v in want.items() if v >= now - timedelta(days=days)}
+            assert gone == len(want) - len(left)
+            want = left
+            if log_table.exists(spark, f"{path}/batch=late-{step}"):
+                want[entry(n)[0]] = START + timedelta(days=5)
+            n += 1
+        elif want:
+            if kind == "stopped retain":
+                monkeypatch.setattr(log_table, "mark", lambda *a: (_ for _ in ()).throw(Stopped))
+                try:
+                    query.apply_retention(spark, path, days, now)
+                except Stopped:
+                    pass
+                monkeypatch.setattr(log_table, "mark", real["mark"])
+            left = {k: v for k, v in want.items() if v >= now - timedelta(days=days)}
+            assert query.apply_retention(spark, path, days, now) == len(want) - len(left)
+            want = left
+        if want or log_table.exists(spark, path):
+            assert {r.id: r.timestamp for r in log_table.read(spark, path).collect()} == want, (step, kind)
 
 
 def test_search_takes_wildcards_and_cases(spark):

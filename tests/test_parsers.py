@@ -237,3 +237,30 @@ def test_lines_that_never_start_an_entry_are_cut(spark):
     rows = [("f", 10 * i, "no start", "p") for i in range(100)]
     got = parsers.joined_lines(spark.createDataFrame(rows, "file_path string, offset long, content string, pack string"), r"^\[", number="offset", block=64, longest=200).collect()
     assert len(got) == 5 and sum(r.content.count("no start") for r in got) == 100
+
+
+def test_lines_of_a_megabyte_in_every_format(spark):
+    """As many pairs, elements or keys as fit, with the stack as it is; against what stands in them."""
+    n = 60_000
+    logfmt = "level=warn msg=long " + " ".join(f"k{i}={i}" for i in range(n)) + " k0=last"
+    quoted = "level=warn " + " ".join(f'k{i}="a \\" b"' for i in range(n))
+    sd = "<34>1 2026-04-09T10:00:00Z host app 1 ID " + "".join(f'[e{i} a="b"]' for i in range(n)) + " said"
+    old = "<34>Apr  9 10:00:00 host app[12]: " + "word " * 200_000
+    as_json = '{"level":"error","message":"m",' + ",".join(f'"k{i}":{i}' for i in range(n)) + ',"k1":"last"}'
+    access = '10.0.0.1 - u [09/Apr/2026:10:15:00 +0000] "GET /' + "x" * 1_000_000 + ' HTTP/1.1" 200 1 "-" "-"'
+    lines = spark.createDataFrame([(t,) for t in (logfmt, quoted, sd, old, as_json, access)], "content string")
+    told = lambda parser: {len(r.content): r.parsed for r in parsers.parse_with(lines, parser).collect()}
+    got = told(parsers.logfmt_parser(exact=True))
+    fields = json.loads(got[len(logfmt)].fields)
+    assert got[len(logfmt)].message == "long" and len(fields) == n and fields["k0"] == "last" and fields[f"k{n - 1}"] == n - 1
+    assert json.loads(got[len(quoted)].fields)["k7"] == 'a " b' and told(parsers.logfmt_parser())[len(quoted)] is None
+    for form in ("auto", "5424"):
+        got = told(parsers.syslog_parser(form))
+        assert (got[len(sd)].message, got[len(sd)].level) == ("said", "fatal") or got[len(sd)].message == "said"
+        assert (got[len(old)].message.startswith("word word") if form == "auto" else got[len(old)] is None)
+    assert told(parsers.syslog_parser("3164"))[len(old)].message.count("word") == 200_000
+    for journal in (False, True):
+        fields = json.loads(told(parsers.json_parser(journal=journal))[len(as_json)].fields)
+        assert len(fields) == n + 1 and fields["k1"] == "last" and fields["k2"] == 2
+    access_pattern = packs.BUILT_IN["nginx"].source("access").pattern
+    assert len(json.loads(told(parsers.regex_parser(access_pattern))[len(access)].fields)["uri"]) == 1_000_001

@@ -3,12 +3,14 @@ import json
 import os
 import random
 import socket
+import threading
 import time
 import urllib.request
 
 from pyspark.sql import functions as F
 
 from emberlog.config import Config
+from emberlog.operators import alerts, parsers
 from emberlog.sources import lines, packs, receivers
 from emberlog.sources import logs as log_table
 from emberlog.streaming import pipeline
@@ -24,7 +26,7 @@ def test_ingest_stores_each_line_once_over_restarts(spark, tmp_path):
         stream = lines.read(spark, [f"{logs}/*.log"], "nginx", "access", stream=True)
         pipeline.ingest(stream, packs.BUILT_IN, out, marks, once=True).awaitTermination()
         assert log_table.read(spark, out).count() == 5 * (batch + 1)
-    assert spark.read.parquet(out).select("day").distinct().count() == 1
+    assert log_table.read(spark, out).select("day").distinct().count() == 1
     assert log_table.read(spark, out).select("id").distinct().count() == 15
 
 
@@ -96,6 +98,7 @@ def test_live_tail(spark, sf, tmp_path):
     entries = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
     pipeline.live_tail(entries, f"{tmp_path}/marks", shown.append, at_once=8, once=True).awaitTermination()
     told = [json.loads(x) for x in shown]
+    assert told.pop(0) == {"skipped": 2}
     assert len(told) == 8 and told == sorted(told, key=lambda e: (e["timestamp"], e["id"])) and told[0]["host"].startswith("host-")
 
 
@@ -105,7 +108,7 @@ def service(tmp_path):
     nginx = packs.Pack("nginx", "1.0.0", sources=[dataclasses.replace(packs.BUILT_IN["nginx"].source("access"), paths=["/var/log/nginx/access.log"])])
     for d in ("nginx", "php8"):
         (tmp_path / "var/log" / d).mkdir(parents=True)
-    return {"php-fpm": php, "nginx": nginx}, Config(data_dir=str(tmp_path / "data"), window_seconds=5, min_confidence=0.1)
+    return {"php-fpm": php, "nginx": nginx}, Config(data_dir=str(tmp_path / "data"), window_seconds=5, min_confidence=0.1, entry_idle_ms=300)
 
 
 def test_service_follows_all_packs_and_correlates(spark, tmp_path):
@@ -116,7 +119,7 @@ def test_service_follows_all_packs_and_correlates(spark, tmp_path):
             f.write(LINE.format(batch, batch) + "\nno such line\n")
         with open(tmp_path / "var/log/php8/php8-fpm.log", "a") as f:
             f.write(f"[2026-04-09 10:15:0{batch}] ERROR: failed for 10.0.0.1 ({batch})\n  at one\n  at two\n")
-        first, _ = pipeline.follow(spark, own, config, root=str(tmp_path), once=True)
+        first, *_ = pipeline.follow(spark, own, config, root=str(tmp_path), once=True)
         assert pipeline.counters(first) == {"lines": 3, "entries": 2, "dropped": 1, "window_size": 0}
     got = log_table.read(spark, config.logs)
     assert {(r.pack, r.n) for r in got.groupBy("pack").agg(F.count("*").alias("n")).collect()} == {("nginx", 2), ("php-fpm", 2)}
@@ -157,3 +160,169 @@ def test_table_of_bad_rows_is_decoded_with_defaults(spark):
     assert got[0][0] == rows[0][0] and (got[0].level, got[0].message, got[0].fields, got[0].host) == ("warn", "", '{"a":1}', "")
     assert all(len(r.id) == 26 and r.level == "info" and r.fields == "{}" and r.timestamp.year == 2026 and r.timestamp.month == 1 for r in got[1:])
     assert log_table.decoded(table.select("message", F.lit(7).alias("timestamp"))).count() == 3
+
+
+def until(query, **how):
+    deadline = time.time() + 30
+    while query.isActive and not pipeline.idle(query, **how) and time.time() < deadline:
+        time.sleep(0.1)
+
+
+TRACE = ["an old end", "[2026-04-09 10:15:00] ERROR: one", "  at a", "", "  at b", "[2026-04-09 10:15:01] ERROR: two", "[2026-04-09 10:15:02] ERROR: three", "  at c", "  at d", "  at e"]
+
+
+def test_entries_of_many_lines_are_the_same_wherever_batches_end(spark, tmp_path):
+    """A file cut into two batches at several places, and into five, over a restart each time."""
+    own = {"php-fpm": packs.BUILT_IN["php-fpm"]}
+    (tmp_path / "whole.log").write_text("\n".join(TRACE) + "\n")
+    want = sorted(r.content for r in parsers.joined(lines.grow(spark, f"{tmp_path}/whole.log", "php-fpm", "error", stream=False), own).collect())
+    assert len(want) == 4 and want[2].count("\n") == 3 and want[0].count("\n") == 2
+    for n, cuts in enumerate([(k,) for k in range(1, len(TRACE))] + [(1, 3, 4, 8)]):
+        at, out, marks = tmp_path / f"in{n}", f"{tmp_path}/out{n}", f"{tmp_path}/marks{n}"
+        at.mkdir()
+        if n % 3 and len(cuts) == 1:
+            continue  # the other cuts: below, by the function alone
+        for a, b in zip((0, *cuts), (*cuts, len(TRACE))):
+            with open(at / "php.log", "a") as f:
+                f.write("".join(f"{x}\n" for x in TRACE[a:b]))
+            stream = lines.grow(spark, f"{at}/php.log", "php-fpm", "error")
+            query = pipeline.write(parsers.joined_stream(stream, own, idle_ms=10**8), out, marks, flush="0 seconds")
+            until(query, with_state=True)
+            assert sum(s.numRowsTotal for s in query.lastProgress.stateOperators) == 1
+            query.stop()
+        # then a timer lets the last one go
+        query = pipeline.write(parsers.joined_stream(lines.grow(spark, f"{at}/php.log", "php-fpm", "error"), own, idle_ms=1), out, marks, flush="0 seconds")
+        with open(at / "php.log", "a") as f:
+            f.write("[2026-04-09 10:15:09] ERROR: last\n")
+        until(query)
+        query.stop()
+        assert sorted(r.content for r in spark.read.parquet(out).collect()) == sorted([*want, "[2026-04-09 10:15:09] ERROR: last"]), cuts
+
+
+class State:
+    """A group's state, in memory."""
+
+    held, timer, hasTimedOut = None, None, False
+
+    getOption = property(lambda self: self.held)  # noqa: N815
+
+    def update(self, value):
+        self.held = value
+
+    def remove(self):
+        self.held = None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.timer = ms
+
+
+def test_joining_by_state_equals_the_batch_at_any_cuts(spark, monkeypatch):
+    """Random files, cut at random: the function of the state against joined_lines(), long entries cut into pieces too."""
+    import pandas as pd
+
+    own, caught = {"php-fpm": packs.BUILT_IN["php-fpm"]}, []
+    frame = spark.createDataFrame([], "content string, file_path string, offset long, pack string, source string")
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandasWithState", lambda self, f, *a: caught.append(f) or frame)
+    parsers.joined_stream(frame, own, longest=60)
+    rng = random.Random(8)
+    for _ in range(8):
+        rows, at = [], 0
+        for i in range(rng.randint(1, 60)):
+            text = rng.choice(("[2026] ERROR: x", "  at y", "  at " + "z" * rng.randint(1, 30)))
+            rows.append((text, "f", at, "php-fpm", "error"))
+            at += len(text) + 1
+        whole = parsers.joined_lines(spark.createDataFrame(rows, frame.schema), packs.BUILT_IN["php-fpm"].source("error").multiline_start, number="offset", longest=60)
+        want = sorted((r.offset, r.content) for r in whole.collect())
+        for cuts in [sorted(rng.sample(range(len(rows) + 1), min(len(rows), k))) for k in (0, 1, 3, 10)]:
+            state, got = State(), []
+            for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+                if a < b:
+                    part = rng.sample(rows[a:b], b - a)
+                    got += [tuple(x) for made in caught[0](("f", "php-fpm", "error"), iter([pd.DataFrame(part, columns=frame.columns)]), state) for x in made[["offset", "content"]].itertuples(index=False)]
+            state.hasTimedOut = True
+            got += [tuple(x) for made in caught[0](("f", "php-fpm", "error"), iter([]), state) for x in made[["offset", "content"]].itertuples(index=False)]
+            assert sorted(got) == want and state.held is None
+
+
+def test_a_backlog_is_read_in_bounded_batches_over_a_restart(spark, tmp_path):
+    rng, sizes = random.Random(2), []
+    for name in "abc":
+        (tmp_path / f"{name}.log").write_text("".join(f"{name}{i} " + "x" * rng.randint(0, 90) + "\n" for i in range(2000)))
+    want = {f"{name}{i}" for name in "abc" for i in range(2000)}
+
+    def run(most):
+        stream = lines.grow(spark, f"{tmp_path}/*.log", "p", "s", max_bytes=20_000, progress=f"{tmp_path}/progress/one.json")
+        query = stream.writeStream.foreachBatch(lambda b, n: seen.append((n, [(r.file_path, r.offset, r.content) for r in b.collect()]))).option("checkpointLocation", f"{tmp_path}/marks").start()
+        deadline = time.time() + 60
+        while len(seen) < most and time.time() < deadline and query.isActive:
+            time.sleep(0.05)
+        query.stop()
+
+    seen = []
+    run(4)
+    run(9)
+    run(40)
+    batches = {}
+    for n, rows in seen:
+        assert batches.setdefault(n, rows) == rows
+    sizes = [sum(len(c) + 1 for *_, c in rows) for rows in batches.values()]
+    assert max(sizes) <= 20_000 + 200 and len(sizes) >= 15
+    got = [x for n in sorted(batches) for x in batches[n]]
+    assert len(got) == len(want) and {c.split()[0] for *_, c in got} == want
+    for name in "abc":
+        own = [at for f, at, _ in got if f.endswith(f"{name}.log")]
+        assert own == sorted(own)
+
+
+def test_alerts_of_a_stream_are_those_of_the_table(spark, sf, tmp_path):
+    """In order of time and with late ones within the watermark, in many batches, cooldowns across batches."""
+    logs = log_table.from_events(spark, sf).select(*log_table.COLUMNS)
+    mine = {
+        "php-fpm": packs.Pack("php-fpm", "1.0.0", alerts=[packs.Alert("many", "count(status >= 500) > 0 in 1h", severity="critical", cooldown="5h"), packs.Alert("status", "avg(status) >= 502 in 6h"), packs.Alert("none", "states none")]),
+        "nginx": packs.Pack("nginx", "1.0.0", alerts=[packs.Alert("same", "count(message contains 'view' AND remote_user = same) > 0 in 1h", cooldown="1d")]),
+    }
+    rows = sorted(logs.collect(), key=lambda r: r.timestamp)
+    rng, path = random.Random(1), f"{tmp_path}/entries"
+    late = [(r.timestamp.timestamp() + rng.uniform(0, 3000), r) for r in rows]
+    rows = [r for _, r in sorted(late, key=lambda x: x[0])]
+    size = -(-len(rows) // 6)
+    end = rows[-1].asDict() | {"id": "end", "timestamp": rows[-1].timestamp.replace(year=2030), "pack": "other"}
+    parts = [rows[k : k + size] for k in range(0, len(rows), size)] + [[tuple(end[c] for c in log_table.COLUMNS)]]
+    for part in parts:
+        log_table.append(spark.createDataFrame(part, logs.schema), path)
+        pipeline.firings(log_table.read(spark, path, stream=True), mine, f"{tmp_path}/fired", f"{tmp_path}/marks", late="3600 seconds", once=True).awaitTermination()
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select("alert", "pack", "severity", "window_start", "groups", "value").collect())
+    got, want = key(pipeline.fired(spark, f"{tmp_path}/fired")), key(alerts.of_packs(log_table.read(spark, path), mine))
+    assert got == want and len(want) > 20 and len({r[0] for r in want}) == 3
+
+
+def test_the_service_fires_alerts_pairs_rules_and_retains(spark, tmp_path):
+    own, config = service(tmp_path)
+    own["nginx"].alerts, own["nginx"].correlations = [packs.Alert("hits", "count(status = 200) > 1 in 1m")], [packs.Correlation("php-fpm", ["timestamp"], "30s")]
+    with open(tmp_path / "var/log/php8/php8-fpm.log", "a") as f:
+        f.write("[2026-04-09 10:15:05] ERROR: failed\n  at one\n")
+    with open(tmp_path / "var/log/nginx/access.log", "a") as f:
+        f.write(LINE.format(1, 1) + "\n" + LINE.format(2, 1) + "\n")
+    running = pipeline.follow(spark, own, config, root=str(tmp_path))
+    paired = lambda: spark.read.schema("rule string, source_id string, target_id string").parquet(config.rule_pairs).count()
+
+    def wait(done):
+        deadline = time.time() + 45
+        while time.time() < deadline and not done():
+            time.sleep(0.3)
+
+    try:
+        wait(lambda: log_table.exists(spark, config.rule_pairs) and paired() == 2)
+        assert paired() == 2
+        with open(tmp_path / "var/log/nginx/access.log", "a") as f:
+            f.write(LINE.format(1, 1).replace("2026", "2030") + "\n")
+        wait(lambda: log_table.exists(spark, config.alerts) and pipeline.fired(spark, config.alerts).count())
+        assert [(r.alert, r.value) for r in pipeline.fired(spark, config.alerts).collect()] == [("hits", 2.0)]
+        assert log_table.read(spark, config.logs).where("raw LIKE '%at one'").count() == 1
+        stopper = threading.Timer(6, running[0].stop)
+        stopper.start()
+        pipeline.serve(spark, dataclasses.replace(config, retention_days=30), running, every_seconds=1)
+        assert log_table.read(spark, config.logs).select(F.year("timestamp")).distinct().collect() == [(2030,)]
+    finally:
+        for q in running:
+            q.stop()
