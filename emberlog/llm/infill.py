@@ -5,7 +5,7 @@ Each text's line ends, in code points, are worked out once and kept as an Elias-
 packed, the high bits as gaps in unary, about two bits and the logarithm of the mean line for each line. The index
 is joined back to the documents, each of which selects its two cuts from the list by its own seed.
 
-The texts move once, in the index; documents are a few numbers. A text with more than COPIES rows is dealt into parts,
+The texts move once, for the index and for the output; documents are a few numbers until then. A text with more than COPIES rows is dealt into parts,
 each with a copy of its index row, so no task has all rows of one text.
 """
 
@@ -70,7 +70,7 @@ def _select(i: pd.Series, low_bits: pd.Series, low: pd.Series, high: pd.Series,
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("twin"))
+    return docs.select("doc_id", text.alias("text"), F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("digest"), F.xxhash64(text).alias("twin"))
 
 
 def _parts(keyed: DataFrame) -> DataFrame:
@@ -81,15 +81,26 @@ def _parts(keyed: DataFrame) -> DataFrame:
     return copies.where(F.col("count") > limit).select("digest", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
 
 
-def index(keyed: DataFrame, parts: DataFrame) -> DataFrame:
-    """A row for each distinct text (and part): digest, twin, part, text and its list of line ends."""
+def distinct_texts(keyed: DataFrame, parts: DataFrame) -> DataFrame:
+    """A row for each distinct text (and part): digest, twin, part, text. Dealt out by digest and part, grouped by content."""
     dealt = _dealt(keyed, parts).select("digest", "twin", "part", "text")
-    one_of_each = dealt.repartition("digest", "part").dropDuplicates(["digest", "twin", "part", "text"])
-    return small_batches(one_of_each).select("*", F.pandas_udf(_index, _LIST)("text").alias("ends"))
+    return dealt.repartition("digest", "part").dropDuplicates(["digest", "twin", "part", "text"])
+
+
+def index(texts: DataFrame) -> DataFrame:
+    """texts: distinct_texts(). The list of each one's line ends: digest, twin, part, ends."""
+    return small_batches(texts).select("digest", "twin", "part", F.pandas_udf(_index, _LIST)("text").alias("ends"))
 
 
 def _dealt(keyed: DataFrame, parts: DataFrame) -> DataFrame:
-    return keyed.join(F.broadcast(parts), "digest", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.coalesce("parts", F.lit(1)).cast("long")).cast("int"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.coalesce("parts", F.lit(1)).cast("long"))
+    return keyed.join(F.broadcast(parts), "digest", "left").withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
+
+
+def _joined(docs: DataFrame, other: DataFrame) -> DataFrame:
+    """By digest and part, by which texts lie already, so that they don't move again; of a digest's texts the twin tells which."""
+    both = docs.join(other.withColumnRenamed("twin", "__twin"), ["digest", "part"])
+    return both.where(F.col("twin").bitwiseXOR(F.col("__twin")) == 0).drop("__twin")
 
 
 def transformed(docs: DataFrame, *, seed: int = 7, rate: int = 100, spm: int = 50) -> DataFrame:
@@ -105,23 +116,26 @@ def transformed(docs: DataFrame, *, seed: int = 7, rate: int = 100, spm: int = 5
     seeds = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = [F.conv(F.substring(seeds, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
     narrow = _dealt(keyed.select("doc_id", "digest", "twin"), parts).select("doc_id", "digest", "twin", "part", *[x.alias(f"h{k + 1}") for k, x in enumerate(h)])
-    # the index lies by digest and part, and is joined by these, so its texts don't move again; of a digest's texts the twin tells which
-    rows = index(keyed, parts).join(narrow.withColumnRenamed("twin", "own"), ["digest", "part"]).where(F.col("twin").bitwiseXOR(F.col("own")) == 0)
+    texts = distinct_texts(keyed, parts)
+    found = _joined(narrow, index(texts))
     units = F.col("ends.n") + 1
     a, b = F.col("h1") % units, F.col("h2") % units
     where = lambda i: F.pandas_udf(_select, "long")(i, "ends.low_bits", "ends.low", "ends.high", "ends.ranks")
+    cuts = found.select("doc_id", "digest", "twin", "part", "h3", "h4", F.col("ends.n").alias("n"), where(F.least(a, b)).alias("start"), where(F.greatest(a, b)).alias("end"))
+    # the same exchange of texts as the index's: Spark reuses it
+    rows = _joined(cuts, texts)
     marked = F.lit(False)
     for m in MARKS:
         marked = marked | F.contains("text", F.lit(m))
     plain = (F.col("text") == "") | marked | (F.col("h3") % 100 >= rate)
     form = F.when(plain, "plain").when(F.col("h4") % 100 < spm, "spm").otherwise("psm")
-    cuts = rows.select("doc_id", "text", F.col("ends.n").alias("n"), form.alias("form"), where(F.least(a, b)).alias("start"), where(F.greatest(a, b)).alias("end"))
+    rows = rows.select("doc_id", "text", "n", form.alias("form"), "start", "end")
     text, start, end = F.col("text"), F.col("start").cast("int"), F.col("end").cast("int")
     prefix, middle, suffix = F.substring(text, F.lit(1), start), F.substring(text, start + 1, end - start), F.substring(text, end + 1, F.length(text))
     spm_text = F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)
     psm_text = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
     cut_here = F.col("form") != "plain"
-    return cuts.select(
+    return rows.select(
         "doc_id", "text", "n", "form",
         F.when(cut_here, F.col("start")).alias("prefix_chars"), F.when(cut_here, F.col("end") - F.col("start")).alias("middle_chars"),
         F.when(F.col("form") == "spm", spm_text).when(F.col("form") == "psm", psm_text).otherwise(text).alias("output"),

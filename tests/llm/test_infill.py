@@ -66,7 +66,8 @@ def test_all_texts_against_a_plain_version(spark, monkeypatch):
 def test_each_text_is_indexed_once(spark):
     docs = spark.createDataFrame(rows_of_many_kinds(), DOCS)
     keyed = infill._keyed(docs)
-    kept = infill.index(keyed, infill._parts(keyed))
+    texts = infill.distinct_texts(keyed, infill._parts(keyed))
+    kept = infill.index(texts).join(texts, "digest")
     assert kept.count() == keyed.select("text").distinct().count() == kept.select("text").distinct().count()
 
 
