@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -309,31 +310,33 @@ def parse_to_entries(spark, sf_dir):
 _WORDS = ["TRACE", "Debug", "info", "notice", "WARN", "warning", "error", "ERR", "crit", "critical", "fatal", "emerg", "emergency", "alert", "panic", "garbage", ""]
 
 
-@query(f"""SELECT word, CASE WHEN lower(word) = 'trace' THEN 'trace' WHEN lower(word) = 'debug' THEN 'debug' WHEN lower(word) IN ('warn', 'warning') THEN 'warn' WHEN lower(word) IN ('error', 'err', 'crit', 'critical') THEN 'error'
-           WHEN lower(word) IN ('fatal', 'emerg', 'emergency', 'alert', 'panic') THEN 'fatal' ELSE 'info' END AS level FROM (VALUES {", ".join(f"('{w}')" for w in _WORDS)}) t(word)""", logs=False)
+@query(f"""SELECT id, word, CASE WHEN lower(word) = 'trace' THEN 'trace' WHEN lower(word) = 'debug' THEN 'debug' WHEN lower(word) IN ('warn', 'warning') THEN 'warn' WHEN lower(word) IN ('error', 'err', 'crit', 'critical') THEN 'error'
+           WHEN lower(word) IN ('fatal', 'emerg', 'emergency', 'alert', 'panic') THEN 'fatal' ELSE 'info' END AS level FROM (SELECT id, [{", ".join(f"'{w}'" for w in _WORDS)}][1 + user_id % {len(_WORDS)}] AS word FROM logs)""")
 def level_normalise(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in _WORDS], "word string").select("word", levels.normalise("word").alias("level"))
+    """A word for each entry, by its user."""
+    word = F.element_at(F.lit(_WORDS), (F.col("user_id") % len(_WORDS) + 1).cast("int"))
+    return _events(spark, sf_dir).select("id", word.alias("word"), levels.normalise(word).alias("level"))
 
 
-@query("SELECT pri::VARCHAR AS pri, CASE WHEN pri > 255 THEN 'info' ELSE ['fatal', 'fatal', 'error', 'error', 'warn', 'info', 'info', 'debug'][1 + pri % 8] END AS level FROM range(0, 300) t(pri)", logs=False)
+@query("SELECT id, (user_id % 300)::VARCHAR AS pri, CASE WHEN user_id % 300 > 255 THEN 'info' ELSE ['fatal', 'fatal', 'error', 'error', 'warn', 'info', 'info', 'debug'][1 + user_id % 300 % 8] END AS level FROM logs")
 def pri_to_level(spark, sf_dir):
-    return spark.range(300).select(F.col("id").cast("string").alias("pri")).withColumn("level", levels.level_of_priority("pri"))
+    return _events(spark, sf_dir).select("id", (F.col("user_id") % 300).cast("string").alias("pri")).withColumn("level", levels.level_of_priority("pri"))
 
 
-_VALUES = [("200", "200"), ("-7", "-7"), ("+5", "5"), ("0.042", "0.042"), ("5d", '"5d"'), (" 5", '" 5"'), ("true", "true"), ("True", '"True"'), ("", '""'), ("1.5.2", '"1.5.2"'), ("abc", '"abc"'), ("false", "false")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _VALUES) + ") t(text, json)", logs=False)
+@query("""SELECT id, text, CASE WHEN event_id % 7 IN (0, 1, 2) THEN text WHEN event_id % 7 = 3 THEN user_id::VARCHAR WHEN event_id % 7 = 4 THEN 'true' ELSE '"' || text || '"' END AS json
+          FROM (SELECT id, seq AS event_id, user_id, CASE seq % 7 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN '-' || (user_id + 1) WHEN 2 THEN user_id || '.5' WHEN 3 THEN '+' || user_id WHEN 4 THEN 'true' WHEN 5 THEN user_id || 'd' ELSE ' ' || user_id END AS text FROM logs)""")
 def value_coercion(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _VALUES], "text string").select("text", F.to_json(values.coerce("text", booleans=True)).alias("json"))
-
-
-_STAMPS = [("09/Apr/2026:10:15:30 +0200", "2026-04-09 08:15:30"), ("2026/04/09 10:15:30", "2026-04-09 10:15:30"), ("2026-04-09 10:15:30", "2026-04-09 10:15:30"), ("2026-04-09T10:15:30.25Z", "2026-04-09 10:15:30.25"), ("2026-04-09T10:15:30+01:00", "2026-04-09 09:15:30"), ("Apr 09 10:15:30", None), ("2026", None), ("", None)]
+    kind, user = F.col("event_id") % 7, F.col("user_id").cast("string")
+    text = F.when(kind == 0, user).when(kind == 1, F.concat(F.lit("-"), (F.col("user_id") + 1).cast("string"))).when(kind == 2, F.concat(user, F.lit(".5"))).when(kind == 3, F.concat(F.lit("+"), user)).when(kind == 4, "true").when(kind == 5, F.concat(user, F.lit("d"))).otherwise(F.concat(F.lit(" "), user))
+    return _events(spark, sf_dir).select("id", text.alias("text")).withColumn("json", F.to_json(values.coerce("text", booleans=True)))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'CAST(NULL AS TIMESTAMP)' if b is None else f'''TIMESTAMP '{b}' '''})" for a, b in _STAMPS) + ") t(text, instant)", logs=False)
+@query("""SELECT id, CASE seq % 5 WHEN 0 THEN strftime(timestamp, '%d/%b/%Y:%H:%M:%S +0000') WHEN 1 THEN strftime(timestamp, '%Y/%m/%d %H:%M:%S') WHEN 2 THEN strftime(timestamp, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') ELSE 'at ' || strftime(timestamp, '%H:%M') END AS text,
+                 CASE WHEN seq % 5 < 4 THEN date_trunc('second', timestamp) END AS instant FROM logs""")
 def timestamp_fallbacks(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _STAMPS], "text string").select("text", values.timestamp("text").alias("instant"))
+    kind, of = F.col("event_id") % 5, lambda form: F.date_format("ts", form)
+    text = F.when(kind == 0, of("dd/MMM/yyyy:HH:mm:ss' +0000'")).when(kind == 1, of("yyyy/MM/dd HH:mm:ss")).when(kind == 2, of("yyyy-MM-dd HH:mm:ss")).when(kind == 3, of("yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(of("'at 'HH:mm"))
+    return _events(spark, sf_dir).select("id", text.alias("text")).withColumn("instant", values.timestamp("text"))
 
 
 # ------------------------------------------------------------------------------------------ identifiers and correlation
@@ -450,22 +453,16 @@ def rule_ops_each(spark, sf_dir):
     )
 
 
-_RULES = [
-    ("WHEN nginx.status >= 500 WITHIN 2s CORRELATE php-fpm", "nginx", "status", "gte", "500", 2, "php-fpm"),
-    ("when nginx.a.b contains x within 30s correlate php.error where y", "nginx", "a.b", "contains", "x", 30, "php.error"),
-    ("WHEN nginx.status = 1 WITHIN 2m CORRELATE php", None, None, None, None, None, None),
-    ("WHEN nginx status = 1 WITHIN 2s CORRELATE", None, None, None, None, None, None),
-    ("WHEN nginx.status ~ 1 WITHIN 2s CORRELATE php", None, None, None, None, None, None),
-]
+_RULES = ["WHEN nginx.status >= 200 WITHIN 2s CORRELATE php-fpm", "when php-fpm.uri contains /error within 30s correlate mysql where y", "WHEN mysql.remote_user != u1 WITHIN 5s CORRELATE nginx", "WHEN nginx.status = 1 WITHIN 2m CORRELATE php", "WHEN nginx status = 1 WITHIN 2s CORRELATE", "WHEN nginx.status ~ 1 WITHIN 2s CORRELATE php"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None and i != 5 else "-1" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for i, v in enumerate(r)) + ")" for r in _RULES) + ") t(rule, source_pack, field, operator, value, window_seconds, target_pack)", logs=False)
+@query(f"""SELECT rule, id FROM logs, (VALUES {", ".join(f"({i}, '{r}')" for i, r in enumerate(_RULES))}) r(i, rule)
+           WHERE (i = 0 AND pack = 'nginx') OR (i = 1 AND pack = 'php-fpm' AND uri LIKE '%/error%') OR (i = 2 AND pack = 'mysql' AND user_id != 1)""".replace("uri LIKE", "('/' || event_type || '/' || k) LIKE"))
 def rule_parse_cases(spark, sf_dir):
-    rows = []
-    for text, *_ in _RULES:
-        r = rules.parse_rule("r", text)
-        rows.append((text, *((r.source_pack, r.condition.field, r.condition.operator, r.condition.value, r.window_seconds, r.target_pack) if r else (None, None, None, None, -1, None))))
-    return spark.createDataFrame(rows, "rule string, source_pack string, field string, operator string, value string, window_seconds int, target_pack string")
+    """Each rule's text with the entries that its condition holds for; texts that state no rule have none."""
+    logs, stated = log_table.from_events(spark, sf_dir), [(text, rules.parse_rule("r", text)) for text in _RULES]
+    found = [logs.where((F.col("pack") == r.source_pack) & r.condition.holds()).select(F.lit(text).alias("rule"), "id") for text, r in stated if r]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT 'errors_after_orders' AS rule, s.id AS source_id, t.id AS target_id FROM logs s JOIN logs t ON t.timestamp BETWEEN s.timestamp - INTERVAL 600 SECOND AND s.timestamp + INTERVAL 600 SECOND WHERE s.pack = 'php-fpm' AND t.pack = 'mysql'")
@@ -512,21 +509,21 @@ def chain_generic(spark, sf_dir):
 # ------------------------------------------------------------------------------------------ formats, packs, further operators
 
 
-@query("""SELECT n, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS shown
-          FROM (SELECT (i * i * i * 1009)::BIGINT AS n FROM range(0, 3000) t(i))""", logs=False)
+@query("""SELECT id, n, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS shown
+          FROM (SELECT id, (user_id * user_id * user_id * 1009)::BIGINT AS n FROM logs)""")
 def format_bytes(spark, sf_dir):
-    return spark.range(3000).select((F.col("id") * F.col("id") * F.col("id") * 1009).alias("n")).withColumn("shown", formats.human_bytes("n"))
+    return _events(spark, sf_dir).select("id", (F.col("user_id") * F.col("user_id") * F.col("user_id") * 1009).cast("long").alias("n")).withColumn("shown", formats.human_bytes("n"))
 
 
-@query("SELECT n, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0::DOUBLE) WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0::DOUBLE) ELSE n::VARCHAR END AS shown FROM (SELECT (i * i * 7)::BIGINT AS n FROM range(0, 3000) t(i))", logs=False)
+@query("SELECT id, n, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0::DOUBLE) WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0::DOUBLE) ELSE n::VARCHAR END AS shown FROM (SELECT id, (user_id * user_id * 7)::BIGINT AS n FROM logs)")
 def format_number(spark, sf_dir):
-    return spark.range(3000).select((F.col("id") * F.col("id") * 7).alias("n")).withColumn("shown", formats.human_number("n"))
+    return _events(spark, sf_dir).select("id", (F.col("user_id") * F.col("user_id") * 7).cast("long").alias("n")).withColumn("shown", formats.human_number("n"))
 
 
-@query("""SELECT s, CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h ' || (s % 3600 // 60) || 'm' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 60) || 'm' END AS shown
-          FROM (SELECT (i * 617)::BIGINT AS s FROM range(0, 1000) t(i))""", logs=False)
+@query("""SELECT id, s, CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h ' || (s % 3600 // 60) || 'm' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 60) || 'm' END AS shown
+          FROM (SELECT id, (user_id * 617)::BIGINT AS s FROM logs)""")
 def format_duration(spark, sf_dir):
-    return spark.range(1000).select((F.col("id") * 617).alias("s")).withColumn("shown", formats.human_duration("s"))
+    return _events(spark, sf_dir).select("id", (F.col("user_id") * 617).cast("long").alias("s")).withColumn("shown", formats.human_duration("s"))
 
 
 @query("SELECT id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' [' || level || '] ' || pack || '/' || source || ': ' || message AS entry, strftime(timestamp, '%H:%M:%S') || ' ' || level || ' ' || pack || '/' || source || ' ' || message AS tailed FROM logs")
@@ -534,9 +531,11 @@ def format_entries(spark, sf_dir):
     return log_table.from_events(spark, sf_dir).select("id", formats.entry_line().alias("entry"), formats.tail_line().alias("tailed"))
 
 
-@query("SELECT * FROM (VALUES ('nginx'), ('php-fpm'), ('apache'), ('haproxy')) t(name)", logs=False)
+@query("SELECT pack, count(*) AS cnt FROM logs WHERE pack IN ('nginx', 'php-fpm') GROUP BY pack")
 def pack_search(spark, sf_dir):
-    return packs.search(packs.index(spark), "WEB").select("name")
+    """Entries of the packs that some words find."""
+    wanted = packs.search(packs.index(spark), "WEB").select(F.col("name").alias("pack"))
+    return q.count_by(log_table.from_events(spark, sf_dir).join(wanted, "pack", "left_semi"), "pack")
 
 
 @query("""SELECT file_path, min(seq) AS line_no, string_agg(content, chr(10) ORDER BY seq) AS content FROM (
@@ -648,3 +647,46 @@ _FORM = r"regexp_replace(regexp_replace(regexp_replace(message, '[0-9]{1,3}\.[0-
 @query(f"SELECT pack, source, {_FORM} AS form, count(*) AS n, min(timestamp) AS first_seen, max(timestamp) AS last_seen, min(message) AS example FROM logs WHERE level = 'error' GROUP BY 1, 2, 3")
 def error_groups(spark, sf_dir):
     return insight.error_groups(log_table.from_events(spark, sf_dir))
+
+
+#: Messages of known templates, in words: names and hosts are made of letters, so only their places tell that they differ.
+def _worded(spark, sf_dir):
+    e = log_table.from_events(spark, sf_dir).join(_events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type", "user_id", "k"), "seq")
+    name, host = F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij"), F.translate((F.col("user_id") % 8).cast("string"), "0123456789", "klmnopqrst")
+    said = (
+        F.when(F.col("event_type") == "error", F.format_string("connection to %s refused after %s tries by host-%s", name, "k", host))
+        .when(F.col("event_type") == "purchase", F.format_string("payment of %s declined at till %s", name, host))
+        .when(F.col("event_type") == "signup", F.format_string("user %s could not be created on node %s within %s ms", name, host, "k"))
+        .when(F.col("event_type") == "click", F.format_string("session of %s closed: 0x%s", name, F.hex("user_id")))
+        .otherwise(F.format_string("page shown to %s", name))
+    )
+    return e.withColumn("message", said)
+
+
+@query("""SELECT pack, source, CASE event_type WHEN 'error' THEN 'connection to <*> refused after <*> tries by <*>' WHEN 'purchase' THEN 'payment of <*> declined at till <*>'
+                 WHEN 'signup' THEN 'user <*> could not be created on node <*> within <*> ms' WHEN 'click' THEN 'session of <*> closed: <*>' ELSE 'page shown to <*>' END AS template,
+                 count(*) AS n, min(timestamp) AS first_seen, max(timestamp) AS last_seen
+          FROM logs GROUP BY 1, 2, 3""")
+def message_templates(spark, sf_dir):
+    """Found from the messages alone; the SQL knows which template each was made of."""
+    return insight.clusters(_worded(spark, sf_dir)).drop("example")
+
+
+@query("""SELECT pack, source, 'payment of <*> declined at till <*>' AS template, count(*) AS n, min(timestamp) AS first_seen FROM logs WHERE event_type = 'purchase' GROUP BY 1, 2""")
+def new_templates(spark, sf_dir):
+    """Those of all entries of which the entries of other kinds than purchases have none."""
+    logs = _worded(spark, sf_dir)
+    return insight.new_clusters(logs.where("event_type != 'purchase'"), logs).drop("example")
+
+
+@query(""", c AS (SELECT pack, source, date_trunc('hour', timestamp) AS window_start, count(*) AS n FROM logs GROUP BY 1, 2, 3),
+          h AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 1 HOUR)) AS window_start FROM c),
+          s AS (SELECT p.pack, p.source, h.window_start, coalesce(c.n, 0) AS n, hour(h.window_start) AS slot FROM (SELECT DISTINCT pack, source FROM c) p CROSS JOIN h
+                LEFT JOIN c ON c.pack = p.pack AND c.source = p.source AND c.window_start = h.window_start),
+          b AS (SELECT pack, source, slot, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS q3, count(*) AS seen FROM s GROUP BY 1, 2, 3),
+          t AS (SELECT s.*, median, seen, CASE WHEN n = 0 AND q1 >= 1 THEN 'silence' WHEN n > q3 + 1.5 * greatest(q3 - q1, 1) THEN CASE WHEN median = 0 THEN 'unusual' ELSE 'spike' END
+                       WHEN n < q1 - 1.5 * greatest(q3 - q1, 1) THEN 'drop' END AS kind FROM s JOIN b USING (pack, source, slot))
+          SELECT pack, source, window_start, n, median, kind FROM t WHERE kind IS NOT NULL AND seen >= 3""")
+def unusual_hours(spark, sf_dir):
+    series = insight.filled(insight.volumes(log_table.from_events(spark, sf_dir)))
+    return insight.anomalies(series, insight.baseline(series, weekly=False), weekly=False, factor=1.5)

@@ -264,3 +264,57 @@ def test_spikes_and_forms_of_errors(spark):
     [g] = insight.error_groups(logs).collect()
     assert (g.form, g.n, g.first_seen) == ("failed <n> at <ip> id <id>", sum(hours), START)
     assert insight.error_groups(logs.where("false")).collect() == [] and insight.spikes(insight.volumes(logs.where("false"))).collect() == []
+
+
+def test_templates_of_messages(spark):
+    """Labelled messages of nine templates with names, hosts and paths in words: over 95 % are in a cluster of their own kind, however rows lie."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 9)))
+    kinds = [
+        lambda: f"connect to {word()} failed", lambda: f"user {word()} logged in from {word()}", lambda: f"user {word()} logged out", lambda: f"disk /{word()}/{word()} is full at {rng.randint(1, 99)} %",
+        lambda: f"timeout after {rng.random():.3f} s calling {word()} for request {rng.getrandbits(64):016x}", lambda: "out of memory", lambda: "restart requested", lambda: f"job {word()} of queue {word()} ended with code {rng.randint(0, 255)}",
+        lambda: f"cache miss for key {word()}:{rng.randint(1, 10**6)} on 10.0.{rng.randint(0, 255)}.7",
+    ]
+    rows, label = [], {}
+    for i in range(1500):
+        kind = rng.randrange(len(kinds))
+        rows.append(entry(i, message=kinds[kind](), level="error"))
+        label[rows[-1][5]] = kind
+    logs = table(spark, rows)
+    forms = logs.select("pack", "message", insight.words_of("message").alias("words"))
+
+    def named(n):
+        told = forms.repartition(n).join(insight.templates(forms.repartition(n).select("pack", "words").distinct(), ["pack"]), ["pack", "words"])
+        return {r.message: " ".join(r.template) for r in told.collect()}
+
+    got = named(1)
+    assert got == named(7)
+    by_template = {}
+    for m, t in got.items():
+        by_template.setdefault(t, []).append(label[m])
+    right = sum(max(x.count(k) for k in set(x)) for x in by_template.values())
+    assert right == len(got) and len(by_template) == len(kinds), sorted(by_template)
+    found = insight.clusters(logs).collect()
+    assert len(found) == 9 and sum(r.n for r in found) == 1500
+    assert {r.template for r in insight.clusters(table(spark, [entry(1, message="connect to alpha failed"), entry(2, message="connect to beta failed"), entry(3, message="DEADBEEF01 gone"), entry(4, message="0a1b2c3d4e gone"), entry(5, message=None)])).collect()} == {"connect to <*> failed", "<*> gone", ""}
+    more = [entry(2000 + i, message=f"certificate of {word()} has expired") for i in range(5)] + [entry(3000 + i, message=kinds[0]()) for i in range(5)]
+    assert [(r.template, r.n) for r in insight.new_clusters(logs, table(spark, more)).collect()] == [("certificate of <*> has expired", 5)]
+    assert insight.clusters(logs.where("false")).collect() == []
+
+
+def test_hours_out_of_the_ordinary(spark):
+    """Ten weeks of hours: busy by day and silent by night; then a silence, a spike, a drop and entries at night are told."""
+    rows, odd = [], {(20 * 24 + 12): 0, (21 * 24 + 13): 60, (22 * 24 + 14): 3, (23 * 24 + 2): 9}
+    for h in range(70 * 24):
+        usual = 20 + h % 3 if 8 <= h % 24 < 18 else 0
+        rows += [("p", "s", datetime(2026, 3, 2) + timedelta(hours=h), odd.get(h, usual))] if odd.get(h, usual) else []
+    counted = spark.createDataFrame(rows, "pack string, source string, window_start timestamp_ntz, n long")
+    series = insight.filled(counted)
+    assert series.count() == (max(r[2] for r in rows) - min(r[2] for r in rows)).total_seconds() / 3600 + 1
+    told = {int((r.window_start - datetime(2026, 3, 2)).total_seconds() // 3600): r.kind for r in insight.anomalies(series, insight.baseline(series)).collect()}
+    assert told == {20 * 24 + 12: "silence", 21 * 24 + 13: "spike", 22 * 24 + 14: "drop", 23 * 24 + 2: "unusual"}
+    # a baseline that is kept tells the same of new hours
+    kept = insight.baseline(series.where("window_start < '2026-03-22'"))
+    later = {r.kind for r in insight.anomalies(series.where("window_start >= '2026-03-22' AND window_start < '2026-03-30'"), kept, least_seen=2).collect()}
+    assert later == {"silence", "spike", "drop", "unusual"}
+    assert insight.anomalies(series.where("false"), insight.baseline(series)).collect() == [] and insight.filled(counted.where("false")).collect() == []
