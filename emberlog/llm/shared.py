@@ -45,12 +45,36 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes of a table in one of its buckets, about, and buckets at most.
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 50_000
+
+
 def bucketed(df: DataFrame, column: str) -> DataFrame:
-    """df as a table in the shared folder, dealt into files by a column: joins by that column move the other side only."""
+    """df as a table in the shared folder, dealt into files by a column: joins by that column move the other side only. forget() drops it.
+
+    As many buckets as there are shuffle partitions, or more where by the size of the files it is read from these would be larger than BUCKET_BYTES.
+    """
     spark, name = df.sparkSession, f"scratch_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = df.inputFiles()
+    size = sum(_length(spark, f) for f in files) if len(files) <= 10_000 else len(files) * _length(spark, files[0])
+    parts = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // BUCKET_BYTES))
     df.write.bucketBy(parts, column).format("parquet").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._scratch_table = name
+    return out
+
+
+def _length(spark: SparkSession, file: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+
+
+def forget(df: DataFrame) -> None:
+    """Drop what bucketed() made of df, once nothing reads it any more."""
+    spark, name = df.sparkSession, df._scratch_table
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def discard(df: DataFrame) -> None:
