@@ -6,11 +6,13 @@ the best scores of all prefixes that a word shares with the word before are take
 is searched. Characters that no piece covers become byte pieces.
 
 The search wants logarithms of the pieces' likelihoods. A model of merges has only their order, so the likelihood of
-the piece of rank r is taken to be in proportion to 1 / r (Zipf's law).
+the piece of rank r is taken to be in proportion to 1 / r (Zipf's law). Those who need the very ids of such a model, as
+texts for one trained on them, take its merges instead of the search.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 import re
@@ -41,6 +43,8 @@ class Pieces:
     bytes_ids: list[int]
     unknown: int
     surface: list[bytes]
+    #: The piece's place in the order of merges, from 1.
+    rank: dict[str, int] = field(default_factory=dict)
     unknown_score: float = field(init=False)
     _suffixes: dict | None = field(init=False, default=None, repr=False)
 
@@ -64,7 +68,7 @@ class Pieces:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 ids[piece], scores[piece] = i, p.get_score(i)
         surface[p.unk_id()] = " ⁇ ".encode()
-        return cls(ids, by_rank(scores), raw, p.unk_id(), surface)
+        return cls(ids, by_rank(scores), raw, p.unk_id(), surface, {piece: r for r, piece in enumerate(sorted(scores, key=lambda x: (-scores[x], ids[x])), 1)})
 
     def suffixes(self) -> dict:
         """Pieces from their last character on: a node has the next one before it by character, and its score by ''."""
@@ -120,6 +124,32 @@ class Pieces:
                 j = i
             yield word, array("i", reversed(ids)).tobytes()
 
+    def merged(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of each word by merges: of all neighbours that make a piece the first of rank is joined, leftmost first, until none does."""
+        for word in words:
+            parts: list[str | None] = list(word)
+            after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+            heap: list[tuple[int, int, int]] = []
+
+            def offer(i: int, j: int) -> None:
+                if 0 <= i and j < len(parts) and (r := self.rank.get(parts[i] + parts[j])):  # noqa: B023
+                    heapq.heappush(heap, (r, i, len(parts[i]) + len(parts[j])))  # noqa: B023
+
+            for i in range(len(parts) - 1):
+                offer(i, i + 1)
+            while heap:
+                _, i, size = heapq.heappop(heap)
+                j = after[i]
+                if parts[i] is None or j >= len(parts) or len(parts[i]) + len(parts[j]) != size:
+                    continue  # one of them was joined with another one since
+                parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+                if after[j] < len(parts):
+                    before[after[j]] = i
+                offer(before[i], i)
+                offer(i, after[i])
+            ids = itertools.chain.from_iterable([self.ids[x]] if x in self.ids else [self.bytes_ids[b] for b in x.encode("utf-8", "surrogatepass")] for x in parts if x is not None)
+            yield word, array("i", ids).tobytes()
+
     def words(self, text: str | None) -> list[str]:
         """Marked words; line ends stand alone, as no piece holds one."""
         return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -142,8 +172,8 @@ def by_rank(scores: dict[str, float]) -> dict[str, float]:
 _WORDS = re.compile(rf"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
-def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "pieces") -> DataFrame:
-    """All rows and columns of docs with an array of piece ids; empty for an empty text, null for null.
+def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "pieces", merges: bool = False) -> DataFrame:
+    """All rows and columns of docs with an array of piece ids; empty for an empty text, null for null. By the search, or by the model's merges.
 
     A column named like the new one is replaced. Very long texts are whole; a word without any blank is
     searched in time proportional to its length.
@@ -164,7 +194,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", into: str = "
                 if held > REMEMBERED:
                     known, new = {}, set(itertools.chain.from_iterable(t for t in texts if t))
                     held = sum(map(len, new))
-                known.update(pieces.segment(sorted(new)))
+                known.update(pieces.merged(new) if merges else pieces.segment(sorted(new)))
                 flat = [np.frombuffer(b"".join(map(known.__getitem__, t or ())), np.int32) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)), mask=pa.array([t is None for t in texts]))

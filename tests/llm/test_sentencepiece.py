@@ -74,3 +74,31 @@ def test_forgetting_words_changes_nothing(spark, monkeypatch):
     whole = {r.doc_id: r.pieces for r in sentencepiece.encode(docs, pieces).collect()}
     monkeypatch.setattr(sentencepiece, "REMEMBERED", 50)
     assert {r.doc_id: r.pieces for r in sentencepiece.encode(docs, pieces).collect()} == whole
+
+
+def test_merges_give_the_models_own_ids(spark):
+    """Every text of sf0.001 and odd ones, against the model itself; a low line in a text is a blank to both."""
+    import sentencepiece as own
+
+    pieces, model = sentencepiece.Pieces.load(), own.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate(["", "naïve Zürich", "日本語 x👍🏽", "a" * 5000, "aaaa bbbb", "tab\tend", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.pieces for r in sentencepiece.encode(df, pieces, merges=True).collect()}
+    words = {i: model.encode(t) if t is not None else None for i, t in rows}
+    assert sum(got[i] != words[i] for i in words) == 0, [i for i in words if got[i] != words[i]][:5]
+
+
+def test_pieces_of_the_query_are_those_of_a_search_for_each_word_alone(spark, sf):
+    """The whole query against segmentations found without sharing: equal scores of all texts, and equal texts read back."""
+    from emberlog.llm.queries import op10_sentencepiece
+
+    pieces = sentencepiece.Pieces.load()
+    score, byte = {i: pieces.scores[p] for p, i in pieces.ids.items()}, set(pieces.bytes_ids)
+    texts, best = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}, {}
+    for r in op10_sentencepiece(spark, sf).collect():
+        words = pieces.words(texts[r.doc_id])
+        missing = sum(c not in pieces.ids for w in words for c in w)
+        want = sum(best.setdefault(w, plain_best(pieces, w)) if w not in best else best[w] for w in words)
+        assert abs(sum(score[i] for i in r.pieces if i not in byte) + missing * pieces.unknown_score - want) < 1e-6 * max(1, len(r.pieces))
+        assert r.n_pieces == len(r.pieces) and r.round_trip == (pieces.decode(r.pieces) == texts[r.doc_id])
