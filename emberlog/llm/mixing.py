@@ -83,15 +83,18 @@ def mix(
         .drop("__s")
         .withColumn("__range", F.floor(F.col("__key") * F.col("__ranges") / F.lit(KEY_SPAN)))
     )
-    sums = placed.groupBy("__source", "__range").agg(F.sum("size").alias("__sum"))
-    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__source", "__range").orderBy("__key", id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    # rows without an id have one key and would be one range: in the order of their sizes they are as many as there are sizes
+    alone, without = hash_key(F.lit(None).cast(df.schema[id].dataType), seed), F.col(id).isNull()
+    placed = placed.withColumn("__part", F.struct(F.when(F.col("__key") < alone, 0).when(without, 1).otherwise(2).alias("a"), F.when(without, F.col("size")).otherwise(0).alias("b")))
+    sums = placed.groupBy("__source", "__range", "__part").agg(F.sum("size").alias("__sum"))
+    before = Window.partitionBy("__source").orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__source", "__range", "__part").orderBy("__key", id, "size").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - epochs * F.col("source_size") - F.col("__base") - F.col("__before")
     return (
         placed.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(sums, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+        .join(sums, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")) & (F.col("__part") == F.col("__p")))
         .withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long"))
         .select(*[c for c in df.columns if c not in ("size", "source_size", "target", "taken")], "size", "source_size", "target", "taken")
     )

@@ -23,6 +23,8 @@ from emberlog.llm.shared import cut, small_batches
 
 #: Bounds of the fit: labelled documents (those of the smallest hashes of their ids), terms, and documents that a term is in.
 FIT_DOCS, FIT_TERMS, TERM_DOCS = 20_000, 4_000, 3
+#: Values of terms in the sample's rows that the driver holds, about.
+MOST_VALUES = 20_000_000
 GRADES, FOLDS = 3, 3
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -106,11 +108,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS, most_t
                 found = {t: n for t, n in terms(text).items() if t in index}
                 at.append([index[t] for t in sorted(found)])
                 x.append([math.log1p(found[t]) for t in sorted(found)])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["at", "x", "toxic"])
-
-    rows = sample.orderBy("doc_id").select("doc_id", "text", "toxic").mapInArrow(vectors, "at array<int>, x array<double>, toxic int").collect()
-    x = Sparse.of([r.at for r in rows], [r.x for r in rows], len(index))
-    toxic = np.array([r.toxic > 0 for r in rows])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["doc_id", "at", "x", "toxic"])
+
+    kind = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", at array<int>, x array<double>, toxic int"
+    made = cut(sample.select("doc_id", "text", "toxic").mapInArrow(vectors, kind))
+    # of very long texts fewer rows are taken, those of the smallest hashes: the driver holds MOST_VALUES at most, about
+    held = made.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    if held > MOST_VALUES:
+        made = made.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit((1 << 20) * MOST_VALUES // held))
+    rows = made.orderBy("doc_id").select("at", "x", "toxic").toArrow()
+    flat = lambda name: rows[name].combine_chunks()
+    sizes = np.diff(flat("at").offsets.to_numpy()) if rows.num_rows else np.empty(0, np.int64)
+    x = Sparse(np.repeat(np.arange(rows.num_rows), sizes), flat("at").values.to_numpy().astype(np.int64), flat("x").values.to_numpy(), (rows.num_rows, len(index)))
+    toxic = rows["toxic"].to_numpy() > 0
     weights, theta = fit_ordinal(x, graded(x, toxic), GRADES)
     return OrdinalModel({w: float(weights[i]) for w, i in index.items() if abs(weights[i]) > 1e-6}, theta)
 

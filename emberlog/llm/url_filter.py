@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.shared import ascii_lower, shared_copy
 
 #: Bytes of rules that are handed to each executor at most.
-MOST_BYTES = 512 << 20
+MOST_BYTES = 32 << 20
 RULES = "host string, path string, verdict string"
 
 
