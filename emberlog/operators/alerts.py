@@ -13,6 +13,7 @@ from emberlog.functions.identifiers import field_texts
 from emberlog.functions.values import FLOAT
 from emberlog.operators.rules import Condition
 from emberlog.sources.packs import Alert, Pack
+from emberlog.sources.scratch import spread
 
 _ALERT = re.compile(r"\s*(count|avg)\((.*)\)\s*(>=|<=|>|<|=)\s*([0-9.]+)\s+in\s+(\d+)([smhd])\s*", re.S)
 _PART = re.compile(r"\s*(\w+)\s*(>=|<=|!=|=|>|<|contains)\s*('[^']*'|\S+)\s*", re.I)
@@ -36,7 +37,7 @@ class AlertRule:
         texts = field_texts("fields")
         text = lambda name: F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at(texts, F.lit(name)), F.lit("}")), "$.v")
         groups = [text(g).alias(g) for g in self.by]
-        kept = logs
+        kept = spread(logs)
         for c in self.conditions:
             kept = kept.where(_holds(c))
         number = F.when(text(self.value_of).rlike(FLOAT), text(self.value_of).try_cast("double")) if self.value_of else None
@@ -115,6 +116,7 @@ def fired_windows(logs: DataFrame, packs: dict[str, Pack]) -> DataFrame:
     for found in _rules(packs):
         by_length.setdefault(found[2].window, []).append(found)
     out = []
+    logs = spread(logs)
     for length, rules in by_length.items():
         texts = field_texts("fields")
         text = lambda name: F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at(texts, F.lit(name)), F.lit("}")), "$.v")  # noqa: B023, E731

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from emberlog.functions import levels
 from emberlog.functions.values import FLOAT, INTEGER, NO_NUMBER, by_format, coerce_json, in_utc, java_format, named_groups, rfc3339, timestamp, ulid
 from emberlog.sources.packs import Pack, PackError, Source
+from emberlog.sources.scratch import spread
 
 #: The two forms of a syslog line. What repeats is possessive: a long line must not take the matcher's stack.
 RFC_3164 = r"(?:<(?P<pri>\d+)>)?(?P<timestamp>\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(?P<hostname>\S+)\s+(?P<app>\S+?)(?:\[(?P<pid>\d+)\])?:\s*(?P<message>.*)"
@@ -276,12 +277,6 @@ def parser_of(source: Source, *, exact_logfmt: bool = True) -> Parser:
     raise PackError(f"format '{source.format}'")
 
 
-def spread(lines: DataFrame) -> DataFrame:
-    """lines, dealt to all cores if they come of fewer files than there are cores: what follows costs more than the move."""
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    return lines if lines.isStreaming or len(lines.inputFiles()) >= cores else lines.repartition(cores)
-
-
 def _with_parsed(lines: DataFrame, read: Column) -> DataFrame:
     """Adds parsed. A generator of one row keeps it worked out once, whatever uses it."""
     return lines.withColumn("parsed", F.explode(F.array(_once(read, _parsed))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.identifiers import field_texts
 from emberlog.functions.values import FLOAT
 from emberlog.sources.packs import Pack, PackError
+from emberlog.sources.scratch import spread
 
 #: Operators and the words that mean each.
 OPERATORS = {"=": "eq", "==": "eq", "EQ": "eq", "!=": "neq", "NEQ": "neq", ">": "gt", "GT": "gt", ">=": "gte", "GTE": "gte", "<": "lt", "LT": "lt", "<=": "lte", "LTE": "lte", "CONTAINS": "contains"}
@@ -63,6 +64,7 @@ class Rule:
         wide = max(1, self.window_seconds)
         at = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp")) / wide)
         texts = field_texts("fields")
+        logs = spread(logs)
         s = logs.where(F.col("pack") == self.source_pack)
         if self.condition is not None:
             s = s.where(self.condition.holds())

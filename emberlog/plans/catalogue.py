@@ -350,13 +350,15 @@ _IDS = """, ids AS (SELECT *, list_sort(list_distinct(list_filter([
 
 @query(r"SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1), lambda x: x NOT IN ('127.0.0.1', '0.0.0.0')))) AS ip FROM documents", logs=False)
 def extract_ips_text(spark, sf_dir):
-    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", identifiers(F.lit(None).cast("string"), F.col("text"), F.lit("")).alias("ids"))
-    return found.select("doc_id", F.explode("ids").alias("x")).where(F.startswith("x", F.lit("ip="))).select("doc_id", F.substring("x", F.lit(4), F.length("x")).alias("ip"))
+    # explode_outer: explode() would look for texts without identifiers first, and find all twice
+    found = parsers.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", identifiers(F.lit(None).cast("string"), F.col("text"), F.lit("")).alias("ids"))
+    return found.select("doc_id", F.explode_outer("ids").alias("x")).where(F.startswith("x", F.lit("ip="))).select("doc_id", F.substring("x", F.lit(4), F.length("x")).alias("ip"))
 
 
 @query(f"{_IDS} SELECT id, unnest(ids) AS identifier FROM ids")
 def extract_all_ids_exploded(spark, sf_dir):
-    return log_table.from_events(spark, sf_dir).select("id", F.explode(identifiers()).alias("identifier"))
+    found = parsers.spread(log_table.from_events(spark, sf_dir)).select("id", F.explode_outer(identifiers()).alias("identifier"))
+    return found.where("identifier IS NOT NULL")
 
 
 @query(r"""SELECT seq, 'x-request-id: ' || lpad(printf('%x', seq), 8, '0') AS content, lpad(printf('%x', seq), 8, '0') AS request_id, 'SID' || lpad(seq::VARCHAR, 8, '0') AS session_id FROM logs""")

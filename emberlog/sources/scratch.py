@@ -29,3 +29,9 @@ def drop(df: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores if they come of fewer files than there are cores: what follows costs more than the move."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or len(rows.inputFiles()) >= cores else rows.repartition(cores)
