@@ -57,6 +57,11 @@ def field_texts(fields: str | Column) -> Column:
     return F.transform_values(parsed, lambda _, v: F.to_json(v))
 
 
+def field_text(fields: str | Column, name: str) -> Column:
+    """One field of a JSON object as JSON text, as field_texts() has it."""
+    return F.to_json(F.try_element_at(F.from_json(fields, "map<string,variant>"), F.lit(name)))
+
+
 def identifiers(fields: str | Column = "fields", raw: str | Column = "raw", message: str | Column = "message") -> Column:
     """All identifiers as a sorted array of kind=value, each once, from the fields, the raw line and the message."""
     texts = [F.col(x) if isinstance(x, str) else x for x in (raw, message)]

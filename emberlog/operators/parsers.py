@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -298,21 +299,52 @@ def parse(lines: DataFrame, packs: dict[str, Pack]) -> DataFrame:
     One choice by source reads a line into a form common to all; what makes entries of that is there once, however
     many packs there are. Lines that only Python can read (logfmt with free quoting) are a branch of their own.
     """
-    line, odd = F.col("content"), []
-    read = F.when(F.lit(False), F.lit(None).cast(f"struct<{','.join(f'{n}:{t}' for n, t in _GOT.items())}>"))
-    for pack in packs.values():
-        for source in pack.sources:
-            here, parser = (F.col("pack") == pack.name) & (F.col("source") == source.name), parser_of(source)
+    read, strange, by_python = _readers(repr([(p.name, p.sources) for p in packs.values()]), tuple(packs.values()))
+    if strange is None:
+        return _with_parsed(lines, read)
+    return _with_parsed(lines.where(~strange), read).unionByName(_with_parsed(lines.where(strange), by_python))
+
+
+class _Known(dict):
+    """The last few results by key: a stream parses batch after batch with the same packs, and their expressions take a while to make."""
+
+    def get_or(self, key, make):
+        key = (key, id(SparkContext._active_spark_context))
+        if key not in self:
+            while len(self) >= 8:
+                self.pop(next(iter(self)))
+            self[key] = make()
+        return self[key]
+
+
+_KNOWN = _Known()
+
+
+def _readers(name: str, packs: tuple[Pack, ...]) -> tuple[Column, Column | None, Column | None]:
+    """How lines are read, which of them only Python reads, and how. Sources that are read alike share an expression."""
+
+    def make() -> tuple[Column, Column | None, Column | None]:
+        line, odd, alike = F.col("content"), [], {}
+        for pack in packs:
+            for source in pack.sources:
+                how = (source.format, source.pattern, source.timestamp_field, source.timestamp_format, source.paths == ["journalctl"])
+                here = (F.col("pack") == pack.name) & (F.col("source") == source.name)
+                alike[how] = (source, alike[how][1] | here) if how in alike else (source, here)
+        read = F.when(F.lit(False), F.lit(None).cast(f"struct<{','.join(f'{n}:{t}' for n, t in _GOT.items())}>"))
+        for source, here in alike.values():
+            parser = parser_of(source)
             read = read.when(here, parser.read(line))
             if parser.odd is not None:
                 odd.append((here & parser.odd(line), parser))
-    if not odd:
-        return _with_parsed(lines, read)
-    strange = F.coalesce(functools.reduce(lambda a, b: a | b, [here for here, _ in odd]), F.lit(False))
-    by_python = F.when(F.lit(False), F.lit(None))
-    for here, parser in odd:
-        by_python = by_python.when(here, parser.read_odd(line))
-    return _with_parsed(lines.where(~strange), read).unionByName(_with_parsed(lines.where(strange), by_python))
+        if not odd:
+            return read, None, None
+        strange = F.coalesce(functools.reduce(lambda a, b: a | b, [here for here, _ in odd]), F.lit(False))
+        by_python = F.when(F.lit(False), F.lit(None))
+        for here, parser in odd:
+            by_python = by_python.when(here, parser.read_odd(line))
+        return read, strange, by_python
+
+    return _KNOWN.get_or(name, make)
 
 
 def _first_of(x: Column, rest: Column) -> Column:

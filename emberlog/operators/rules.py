@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.identifiers import field_texts
+from emberlog.functions.identifiers import field_text, field_texts
 from emberlog.functions.values import FLOAT
 from emberlog.sources.packs import Pack, PackError
 from emberlog.sources.scratch import spread
@@ -31,18 +31,20 @@ class Condition:
 
         Order is that of numbers if both are numbers, else of text; all else compares texts.
         """
-        shown = F.try_element_at(field_texts(fields), F.lit(self.field))
-        plain = F.when(shown.rlike(r"^[\[{]|^null$"), F.lit(None)).otherwise(F.get_json_object(F.concat(F.lit('{"v":'), shown, F.lit("}")), "$.v"))
         value = F.lit(self.value)
-        if self.operator in ("eq", "neq", "contains"):
-            out = {"eq": plain == value, "neq": plain != value, "contains": F.contains(plain, value)}[self.operator]
-            return F.coalesce(out, F.lit(False))
-        compare = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}[self.operator]
-        if re.fullmatch(FLOAT[1:-1], self.value):
-            out = F.when(plain.rlike(FLOAT), compare(plain.try_cast("double"), F.lit(float(self.value)))).otherwise(compare(plain, value))
-        else:
-            out = compare(plain, value)
-        return F.coalesce(out, F.lit(False))
+        plain = lambda shown: F.when(shown.rlike(r"^[\[{]|^null$"), F.lit(None)).otherwise(F.get_json_object(F.concat(F.lit('{"v":'), shown, F.lit("}")), "$.v"))
+
+        def holds(x: Column) -> Column:
+            if self.operator in ("eq", "neq", "contains"):
+                return {"eq": x == value, "neq": x != value, "contains": F.contains(x, value)}[self.operator]
+            compare = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}[self.operator]
+            if not re.fullmatch(FLOAT[1:-1], self.value):
+                return compare(x, value)
+            return F.when(x.rlike(FLOAT), compare(x.try_cast("double"), F.lit(float(self.value)))).otherwise(compare(x, value))
+
+        # the field is looked up once, and its text made once, however often these are used
+        once = lambda x, then: F.transform(F.array(x), then)[0]
+        return F.coalesce(once(field_text(fields, self.field), lambda shown: once(plain(shown), holds)), F.lit(False))
 
 
 @dataclass

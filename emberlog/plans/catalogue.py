@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import formats, levels, privacy, values
 from emberlog.functions.identifiers import identifiers
-from emberlog.operators import alerts, chains, correlate, insight, parsers, results, rules
+from emberlog.operators import alerts, chains, correlate, incidents, insight, parsers, results, rules
 from emberlog.operators import query as q
 from emberlog.sources import logs as log_table
 from emberlog.sources import packs
@@ -692,3 +692,30 @@ def new_templates(spark, sf_dir):
 def unusual_hours(spark, sf_dir):
     series = insight.filled(insight.volumes(log_table.from_events(spark, sf_dir)))
     return insight.anomalies(series, insight.baseline(series, weekly=False), weekly=False, factor=1.5)
+
+
+# ------------------------------------------------------------------------------------------ incidents
+
+_REACH = """, linked AS (SELECT a_id AS a, b_id AS b FROM scored WHERE confidence >= 0.35),
+             reach(node, r) AS (SELECT a, a FROM linked UNION SELECT b, b FROM linked UNION SELECT reach.node, x.t FROM reach JOIN (SELECT a AS f, b AS t FROM linked UNION SELECT b, a FROM linked) x ON x.f = reach.r),
+             inc AS (SELECT node AS entry_id, min(r) AS incident FROM reach GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {LOGS} {_PAIRS} {_REACH} SELECT incident, entry_id FROM inc", logs=False)
+def incident_entries(spark, sf_dir):
+    return incidents.connected(_correlations(spark, sf_dir, 0.35))
+
+
+@query(f"""WITH RECURSIVE {LOGS} {_PAIRS} {_REACH}, g0 AS (SELECT incident, count(*) AS n FROM linked JOIN inc ON inc.entry_id = linked.a GROUP BY 1),
+           m AS (SELECT l.*, inc.incident, g.n, row_number() OVER (PARTITION BY inc.incident ORDER BY l.timestamp, l.id) AS i, bool_or(l.level = 'error') OVER (PARTITION BY inc.incident) AS bad FROM inc JOIN logs l ON l.id = inc.entry_id JOIN g0 g ON g.incident = inc.incident)
+           SELECT incident, 'generic_chain' AS name, id AS entry_id, CASE WHEN level = 'error' AND i = 1 THEN 'root_cause' WHEN level = 'error' THEN 'symptom' ELSE 'intermediate' END AS role FROM m WHERE bad OR n >= 2""", logs=False)
+def incident_chains(spark, sf_dir):
+    found = incidents.of_correlations(log_table.from_events(spark, sf_dir), _correlations(spark, sf_dir, 0.35))
+    return found.select("incident", "name", "entry_id", "role")
+
+
+@query(""", g0 AS (SELECT *, CASE WHEN timestamp < lag(timestamp) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM logs WINDOW w AS (PARTITION BY host ORDER BY timestamp, id)),
+          s0 AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY timestamp, id) AS part FROM g0)
+          SELECT host, min(timestamp) AS began, max(timestamp) AS ended, count(*) AS n, count(*) FILTER (level = 'error') AS errors FROM s0 GROUP BY host, part""")
+def sessions_by_host(spark, sf_dir):
+    return incidents.sessions(log_table.from_events(spark, sf_dir), ["host"], "2 hours")
