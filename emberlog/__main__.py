@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberlog import __version__
 from emberlog.config import Config
 from emberlog.functions import formats
-from emberlog.operators import alerts, correlate, parsers, query, results
+from emberlog.operators import alerts, correlate, parsers, query, results, search
 from emberlog.sources import lines, logs, packs, receivers
 from emberlog.streaming import pipeline
 
@@ -154,7 +154,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "query" and a.sql:
             query.sql(spark, table, a.sql).show(1000, truncate=False)
         elif a.command == "query":
-            _show(query.LogQuery(a.source, a.pack, a.level, a.search, a.since, a.until, a.limit, a.offset).run(table), formats.entry_line())
+            _show(search.run(spark, config.logs, query.LogQuery(a.source, a.pack, a.level, a.search, a.since, a.until, a.limit, a.offset)), formats.entry_line())
         elif a.command in ("status", "counts"):
             size = query.table_bytes(spark, config.logs).first().bytes
             told = results.counts(table) if a.command == "counts" else results.status(table, size, __version__, 0)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import formats, levels, privacy, values
 from emberlog.functions.identifiers import identifiers
-from emberlog.operators import alerts, chains, correlate, incidents, insight, parsers, results, rules
+from emberlog.operators import alerts, chains, correlate, incidents, insight, parsers, results, rules, search
 from emberlog.operators import query as q
 from emberlog.sources import logs as log_table
-from emberlog.sources import packs
+from emberlog.sources import packs, scratch
 from emberlog.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -719,3 +719,14 @@ def incident_chains(spark, sf_dir):
           SELECT host, min(timestamp) AS began, max(timestamp) AS ended, count(*) AS n, count(*) FILTER (level = 'error') AS errors FROM s0 GROUP BY host, part""")
 def sessions_by_host(spark, sf_dir):
     return incidents.sessions(log_table.from_events(spark, sf_dir), ["host"], "2 hours")
+
+
+@query(f"SELECT {NINE} FROM logs WHERE message LIKE '%client 10.0.0.17 request_id=%'")
+def search_with_bitmaps(spark, sf_dir):
+    """Over a table of several batches by time of day, whose files are left out by their bitmaps."""
+    path, logs = scratch.folder(spark), log_table.from_events(spark, sf_dir).select(*log_table.COLUMNS)
+    for k in range(3):
+        log_table.append(logs.where(F.hour("timestamp") % 3 == k), path)
+    search.update(spark, path)
+    wanted = q.LogQuery(search="client 10.0.0.17 request_id=")
+    return wanted.matches(search.table(spark, path, wanted.search)[0]).select(*log_table.COLUMNS)

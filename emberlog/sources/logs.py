@@ -84,14 +84,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 STORED = f"{SCHEMA}, batch string, at long"
 
 
-def read(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, *, stream: bool = False, files: list[str] | None = None) -> DataFrame:
     """Entries of a table, and the day that says in which folder each lies; as a stream, those of each new batch.
 
-    A stream gives entries as they were stored; what retention has deleted by then, files that are gone included, it leaves out.
+    files: only these of its files. A stream gives entries as they were stored; what retention has deleted by then, files that are gone included, it leaves out.
     """
     if stream:
         return spark.readStream.schema(STORED).option("ignoreMissingFiles", "true").parquet(path).select(*COLUMNS, "day")
-    table = spark.read.schema(STORED).parquet(path)
+    table = spark.read.schema(STORED).option("basePath", path).parquet(*(files or [path]))
     for cutoff, upto in marks(spark, path):
         table = table.where((F.col("at") > upto) | F.col("timestamp").isNull() | (F.col("timestamp") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")))
     return table.select(*COLUMNS, "day")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import privacy
 from emberlog.functions.identifiers import WEIGHTS, identifiers
-from emberlog.operators import alerts, chains, correlate, insight, query, rules
+from emberlog.operators import alerts, chains, correlate, incidents, insight, query, rules, search
 from emberlog.sources import logs as log_table
 
 SCHEMA = "id string, timestamp timestamp_ntz, source string, host string, level string, message string, fields string, raw string, pack string, seq long"
@@ -318,3 +318,59 @@ def test_hours_out_of_the_ordinary(spark):
     later = {r.kind for r in insight.anomalies(series.where("window_start >= '2026-03-22' AND window_start < '2026-03-30'"), kept, least_seen=2).collect()}
     assert later == {"silence", "spike", "drop", "unusual"}
     assert insight.anomalies(series.where("false"), insight.baseline(series)).collect() == [] and insight.filled(counted.where("false")).collect() == []
+
+
+def test_searches_leave_out_files_and_no_row(spark, tmp_path):
+    """Random words in many files: the same rows as the scan for any pattern; a word of one file leaves most of the others out."""
+    rng, path, texts = random.Random(3), f"{tmp_path}/logs", []
+    for b in range(12):
+        rows = [entry(100 * b + i, message=" ".join("".join(rng.choices("abcdefghij äß", k=rng.randint(1, 9))) for _ in range(4)) + f" only{b:02}x", seconds=86400 * (b % 3)) for i in range(20)] + [entry(100 * b + 99, message=None)]
+        texts += [r[5] for r in rows if r[5]]
+        log_table.append(table(spark, rows).drop("seq").coalesce(1), path, batch=f"b-{b}")
+        if b == 9:
+            assert search.update(spark, path) == 10 and search.update(spark, path) == 0
+    whole = log_table.read(spark, path)
+    skipped = {}
+    for pattern in ("only03x", "only0_x", "ab", "%", "a%only11x", "nowhere", *rng.sample([t[3:12] for t in texts], 5), "a\\_b"):
+        wanted = query.LogQuery(search=pattern, limit=1000)
+        found, files, skipped[pattern] = search.table(spark, path, pattern)
+        assert sorted(r.id for r in wanted.run(found).collect()) == sorted(r.id for r in wanted.run(whole).collect()), pattern
+        assert sorted(r.id for r in search.run(spark, path, wanted).collect()) == sorted(r.id for r in wanted.run(whole).collect())
+    assert files == 12 and skipped["only03x"] == 9 and skipped["nowhere"] == 10 and skipped["ab"] == skipped["%"] == 0 and skipped["a\\_b"] == 0
+    query.apply_retention(spark, path, 30, START + timedelta(days=31))
+    query.apply_retention(spark, path, 30, START + timedelta(days=31))
+    assert search.run(spark, path, query.LogQuery(search="only02x")).count() == 20 and search.run(spark, path, query.LogQuery(search="only03x")).count() == 0
+
+
+def test_incidents(spark):
+    """Random correlations: the connected ones by search; chains of each; sessions against a walk in order."""
+    rng = random.Random(7)
+    pairs = [(f"{a:06d}", f"{b:06d}") for a, b in (rng.sample(range(80), 2) for _ in range(45))] + [("000090", "000090"), ("000091", None)]
+    found = spark.createDataFrame([(list(p),) for p in pairs], "entry_ids array<string>")
+    near = {}
+    for a, b in pairs:
+        if b and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        return min(seen)
+
+    assert {r.entry_id: r.incident for r in incidents.connected(found).collect()} == {a: reach(a) for a in near}
+    assert incidents.connected(found.where("false")).collect() == []
+    logs = table(spark, [entry(i, pack=rng.choice(("nginx", "mysql")), level=rng.choice(("info", "error")), seconds=rng.randint(0, 5000)) for i in range(80)])
+    made = incidents.of_correlations(logs, found.where("entry_ids[1] IS NOT NULL")).collect()
+    assert {r.entry_id for r in made} <= set(near) and all(reach(r.entry_id) == r.incident for r in made)
+    want, last = {}, {}
+    for r in sorted(logs.collect(), key=lambda r: r.timestamp):
+        if r.pack not in last or (r.timestamp - last[r.pack][1]).total_seconds() >= 300:
+            last[r.pack] = (r.timestamp, r.timestamp)
+        last[r.pack] = (last[r.pack][0], r.timestamp)
+        n, e = want.get((r.pack, last[r.pack][0]), (0, 0))[:2]
+        want[r.pack, last[r.pack][0]] = (n + 1, e + (r.level == "error"))
+    assert {(r.pack, r.began): (r.n, r.errors) for r in incidents.sessions(logs, ["pack"]).collect()} == want
