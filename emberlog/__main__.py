@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import shutil
+import threading
 from datetime import datetime, timezone
 from functools import reduce
 from pathlib import Path
@@ -30,6 +31,8 @@ def _arguments() -> argparse.ArgumentParser:
     start.add_argument("--root", default="", help="a folder that the packs' paths are under")
     start.add_argument("--once", action="store_true", help="end when all that is there is stored")
     start.add_argument("--listen", action="store_true", help="receive syslog (UDP and TCP) and JSON records (HTTP) as well")
+    start.add_argument("--received", action="store_true", help="follow what listeners elsewhere (receive) write to the spool, too")
+    commands.add_parser("receive", help="only receive, into the spool that it shares with a start elsewhere")
     commands.add_parser("init", help="make the folders, and the file of settings if it isn't there")
     commands.add_parser("status", help="what is stored, as JSON")
     commands.add_parser("counts", help="entries by source and pack, as JSON")
@@ -68,10 +71,14 @@ def _known(config: Config) -> dict[str, packs.Pack]:
     return packs.BUILT_IN | (packs.scan(config.packs) if Path(config.packs).is_dir() else {})
 
 
-def _received(config: Config) -> dict[str, packs.Pack]:
-    """Start the receivers; the packs of what they write."""
+def _listening(config: Config) -> list[threading.Thread]:
+    """Start the receivers."""
     syslog, otlp = receivers.Spool(config.spool, "syslog"), receivers.Spool(config.spool, "otlp")
-    receivers.listen([receivers.udp(syslog, port=config.syslog_port), receivers.tcp(syslog, port=config.syslog_port), receivers.http(otlp, port=config.otlp_port)])
+    return receivers.listen([receivers.udp(syslog, port=config.syslog_port), receivers.tcp(syslog, port=config.syslog_port), receivers.http(otlp, port=config.otlp_port)])
+
+
+def _received(config: Config) -> dict[str, packs.Pack]:
+    """The packs of what receivers write."""
     of = lambda name, spool, format: packs.Pack(name, "1.0.0", sources=[packs.Source("network", [f"{config.spool}/{spool}-*.log"], format)])
     return {"syslog-network": of("syslog-network", "syslog", "syslog"), "otlp": of("otlp", "otlp", "json")}
 
@@ -84,6 +91,9 @@ def _without_spark(a: argparse.Namespace, config: Config) -> int:
         if a.config and not Path(a.config).exists():
             config.save(a.config)
         print(f"ready in {config.data_dir}")
+    elif a.command == "receive":
+        for thread in _listening(config):
+            thread.join()
     elif a.command == "config":
         print("\n".join(f"{k} = {v!r}" for k, v in vars(config).items()))
     elif a.command == "list":
@@ -122,7 +132,7 @@ def main(argv: list[str] | None = None) -> int:
             print(e)
             return 1
         return 0
-    if a.command in ("init", "config", "install", "remove", "list", "info"):
+    if a.command in ("init", "receive", "config", "install", "remove", "list", "info"):
         return _without_spark(a, config)
     spark = SparkSession.builder.appName("emberlog").getOrCreate()
     known = _known(config)
@@ -141,6 +151,8 @@ def main(argv: list[str] | None = None) -> int:
         logs.append(parsers.entries(parsers.parse(found, known)), config.logs)
     elif a.command == "start":
         if a.listen:
+            _listening(config)
+        if a.listen or a.received:
             known |= _received(config)
         running = pipeline.follow(spark, known, config, root=a.root, once=a.once)
         if not a.once:

@@ -336,7 +336,8 @@ def test_searches_leave_out_files_and_no_row(spark, tmp_path):
         found, files, skipped[pattern] = search.table(spark, path, pattern)
         assert sorted(r.id for r in wanted.run(found).collect()) == sorted(r.id for r in wanted.run(whole).collect()), pattern
         assert sorted(r.id for r in search.run(spark, path, wanted).collect()) == sorted(r.id for r in wanted.run(whole).collect())
-    assert files == 12 and skipped["only03x"] == 9 and skipped["nowhere"] == 10 and skipped["ab"] == skipped["%"] == 0 and skipped["a\\_b"] == 0
+    # the entry without a message lies on the first day: in eight of the batches it is a file of its own, that has no bitmap
+    assert files == 12 + 8 and skipped["only03x"] == 9 and skipped["nowhere"] == 10 and skipped["ab"] == skipped["%"] == 0 and skipped["a\\_b"] == 0
     query.apply_retention(spark, path, 30, START + timedelta(days=31))
     query.apply_retention(spark, path, 30, START + timedelta(days=31))
     assert search.run(spark, path, query.LogQuery(search="only02x")).count() == 20 and search.run(spark, path, query.LogQuery(search="only03x")).count() == 0

@@ -1,8 +1,11 @@
 import dataclasses
+import http.client
 import json
 import os
 import random
 import socket
+import subprocess
+import sys
 import threading
 import time
 import urllib.request
@@ -152,6 +155,105 @@ def test_receivers_write_what_comes(spark, tmp_path):
     assert len(list((tmp_path / "spool").iterdir())) > 1
 
 
+def posted(server, send: bytes) -> int:
+    """The status of an answer to some bytes, after which the sender says no more."""
+    with socket.create_connection(server.server_address) as s:
+        s.sendall(send)
+        s.shutdown(socket.SHUT_WR)
+        return int(s.makefile("rb").readline().split()[1])
+
+
+def test_bodies_in_chunks_and_without_length(tmp_path, monkeypatch):
+    spool = receivers.Spool(tmp_path, "otlp", most_bytes=1000)
+    server = receivers.http(spool, "127.0.0.1", 0)
+    receivers.listen([server])
+    kept = lambda: [x for f in sorted(tmp_path.iterdir()) for x in f.read_text().splitlines()]
+    try:
+        chunks = http.client.HTTPConnection(*server.server_address)
+        chunks.request("POST", "/v1/logs", body=iter([b'{"a":', b'1}\n{"b"', b":2}"]), encode_chunked=True, headers={"Transfer-Encoding": "chunked"})
+        assert chunks.getresponse().status == 200 and kept() == ['{"a":1}', '{"b":2}']
+        head = b"POST / HTTP/1.1\r\n"
+        assert posted(server, head + b"\r\n") == 411
+        assert posted(server, head + b"Content-Length: 100\r\n\r\n{}") == 400
+        assert posted(server, head + b"Content-Length: many\r\n\r\n{}") == 400
+        assert posted(server, head + b"Content-Length: 5000\r\n\r\n{}") == 413
+        assert posted(server, head + b"Transfer-Encoding: chunked\r\n\r\n5\r\nab") == 400
+        assert posted(server, head + b"Transfer-Encoding: chunked\r\n\r\nffff\r\nab") == 413
+        assert posted(server, head + b"Content-Length: 0\r\n\r\n") == 200 and len(kept()) == 2
+
+        def full(_):
+            raise OSError("no space")
+
+        monkeypatch.setattr(spool, "_keep", full)
+        assert [posted(server, head + b"Content-Length: 2\r\n\r\n{}") for _ in range(2)] == [503, 503]
+    finally:
+        server.shutdown()
+        server.server_close()
+        spool.close()
+
+
+LISTENER = """
+import sys
+from emberlog.sources import receivers
+server = receivers.http(receivers.Spool(sys.argv[1], "otlp"), "127.0.0.1", 0)
+print(server.server_address[1], flush=True)
+server.serve_forever()
+"""
+
+
+def test_listeners_that_are_killed_lose_no_line_that_was_acknowledged(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    running = [subprocess.Popen([sys.executable, "-c", LISTENER, str(tmp_path)], stdout=subprocess.PIPE, text=True, cwd=root) for _ in range(2)]
+    ports, told = [int(p.stdout.readline()) for p in running], []
+
+    def send(k: int) -> None:
+        for i in range(300):
+            line = f'{{"message":"{k}-{i}"}}'
+            try:
+                urllib.request.urlopen(f"http://127.0.0.1:{ports[k % 2]}/", line.encode(), timeout=10).read()
+            except (OSError, http.client.HTTPException):
+                return
+            told.append(line)
+
+    senders = [threading.Thread(target=send, args=(k,)) for k in range(8)]
+    try:
+        for t in senders:
+            t.start()
+        while len(told) < 400:
+            time.sleep(0.01)
+        running[0].kill()
+        for t in senders:
+            t.join(60)
+    finally:
+        for p in running:
+            p.kill()
+            p.wait()
+            p.stdout.close()
+    files = list(tmp_path.iterdir())
+    whole = [x for f in files for x in f.read_text().split("\n")[:-1]]
+    assert len(files) == 2 and set(told) <= set(whole) and len(whole) == len(set(whole)) and len(told) >= 1200
+    # a listener that comes back goes on beside these files
+    again = receivers.Spool(tmp_path, "otlp")
+    again.add(b"one\ntwo")
+    again.close()
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_spools_of_one_name_keep_their_files_apart(tmp_path):
+    spools = [receivers.Spool(tmp_path, "syslog", most_bytes=200) for _ in range(3)]
+    senders = [threading.Thread(target=lambda s=s, k=k: [s.add(f"{k}-{i}".encode(), wait=i % 7 == 0) for i in range(200)]) for k, s in enumerate(spools)]
+    for t in senders:
+        t.start()
+    for t in senders:
+        t.join()
+    for s in spools:
+        s.close()
+    kept = [x for f in sorted(tmp_path.iterdir()) for x in f.read_text().splitlines()]
+    assert sorted(kept) == sorted(f"{k}-{i}" for k in range(3) for i in range(200))
+    for k in range(3):
+        assert sorted(x for x in kept if x.startswith(f"{k}-")) == sorted(f"{k}-{i}" for i in range(200))
+
+
 def test_table_of_bad_rows_is_decoded_with_defaults(spark):
     rows = [("01ARZ3NDEKTSV4RRFFQ69G5FAV", "2026-04-09T10:00:00Z", "s", None, "WARNING", None, '{"a":1}', "r", "p"), ("short", "no time", None, "h", "?", "m", "[1]", None, None), (None,) * 9]
     table = spark.createDataFrame(rows, "id string, timestamp string, source string, host string, level string, message string, fields string, raw string, pack string")
