@@ -621,12 +621,21 @@ def parse_journal(spark, sf_dir):
     return parsers.parse(lines, packs.BUILT_IN).select("seq", "parsed.level", "parsed.message", "parsed.timestamp", _fields("unit", "pid"))
 
 
-_REDACTED = "text"
-for _kind, _pattern in privacy.PERSONAL.items():
-    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '[{_kind}]', 'g')"
+def _redacted(kind: str, source: str) -> str:
+    """SQL: a table's texts cut at what may be a value of the kind, and put together with those masked that are one."""
+    k = privacy.PERSONAL[kind]
+    tests = [f"regexp_matches({part}, '{pattern}') = {wanted}" for part, pattern, wanted in (("v[i]", k.whole, "true"), ("v[i]", k.holds, "true"), ("b[i]", k.before, "false"), ("b[i + 1]", k.behind, "false")) if pattern]
+    shown = f"CASE WHEN {' AND '.join(tests) or 'v[i] IS NOT NULL'} THEN '[{kind}]' ELSE v[i] END"
+    cut = f"SELECT doc_id, text, regexp_extract_all(text, '({k.find})', 1) AS v, regexp_split_to_array(text, '{k.find}') AS b FROM {source}"
+    return f"(SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string([b[i] || coalesce({shown}, '') FOR i IN range(1, len(b) + 1)], '') END AS text FROM ({cut}))"
 
 
-@query(f"SELECT doc_id, {_REDACTED} AS text FROM documents", logs=False)
+_REDACTED = "documents"
+for _kind in privacy.PERSONAL:
+    _REDACTED = _redacted(_kind, _REDACTED)
+
+
+@query(f"SELECT doc_id, text FROM {_REDACTED}", logs=False)
 def mask_redact(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", privacy.mask("text").alias("text"))
 
