@@ -11,8 +11,11 @@ Windows of a signature meet the first of them, and the texts are verified where
 passage stand in other texts too, those may be the first ones. So windows that no verified passage covers go on with
 all passages of least length around them: each has BANDS signatures, every one of the minima under TOGETHER hash functions, which
 two passages similar by 0.8 share under some band but for one pair in 4,000 (each band with 0.8 ** TOGETHER), and the hash of all its
-shingles. Minima from different parts of a passage tell it from texts that hold one part. What still isn't covered
-meets the next one of its signature.
+shingles. Minima from different parts of a passage tell it from texts that hold one part.
+
+These two steps find most passages by few comparisons. What they leave is compared in full: by them, texts fall into classes, and
+all windows of one signature are compared with each other unless passages cover both and their texts are of one class
+already. No window is given up for the number of others of its signature.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import BLANK, bucketed, cut, discard, forget, n_words, small_batches
+from emberlog.llm.shared import BLANK, bucketed, components, cut, discard, forget, n_words, small_batches
 
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Shingles of a passage of least length, of the run that similar passages share, and of the longer half of it.
@@ -208,18 +211,18 @@ def frequent(texts: DataFrame, n_texts: int) -> DataFrame:
 
 
 def meet(found: DataFrame, hot: DataFrame) -> DataFrame:
-    """found: tk, sig, at. Rows sig, lo, at_lo, hi, at_hi: each window of another text than the first of its signature, with that.
+    """found: tk, sig, at. Rows sig, lo, at_lo, hi, at_hi: each window but the first of its signature, with that.
 
     Links grow with the windows, not with their pairs. A frequent signature is dealt into parts; the firsts of
-    its parts then meet the first of them. lo is the smaller key.
+    its parts then meet the first of them. lo is the smaller key, or the same where a text holds a signature at several places.
     """
     part = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(5), "tk"), F.lit(PARTS))).otherwise(0)
     dealt = found.join(F.broadcast(hot), "sig", "left").withColumn("part", part)
     every = _with_first(dealt, "sig", "part")
     own = (F.col("lo") == F.col("tk")) & (F.col("at_lo") == F.col("at"))
-    met = cut(every.where((F.col("lo") != F.col("tk")) | (F.col("hot") & own)).select("sig", "tk", "at", "lo", "at_lo"))
-    heads = _with_first(met.where("lo = tk").select("sig", "tk", "at"), "sig")
-    linked = cut(met.unionByName(heads).where("lo != tk").select("sig", "lo", "at_lo", F.col("tk").alias("hi"), F.col("at").alias("at_hi")))
+    met = cut(every.where(~own | F.col("hot")).select("sig", "tk", "at", "lo", "at_lo"))
+    heads = _with_first(met.where(own).select("sig", "tk", "at"), "sig")
+    linked = cut(met.unionByName(heads).where(~own).select("sig", "lo", "at_lo", F.col("tk").alias("hi"), F.col("at").alias("at_hi")))
     discard(met)
     return linked
 
@@ -436,7 +439,7 @@ def _uncovered(links: DataFrame, found: DataFrame) -> DataFrame:
     """tk, sig, at of the windows (hi, at_hi) that no passage found covers, where two texts at least have such a one."""
     spans = found.groupBy("hi").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     covered = F.exists("spans", lambda s: (F.col("at_hi") >= s["start"]) & (F.col("at_hi") + ARM + SHINGLE - 1 <= s["end"]))
-    rest = links.join(spans, "hi", "left").where(~F.coalesce(covered, F.lit(False))).select(F.col("hi").alias("tk"), "sig", F.col("at_hi").alias("at"))
+    rest = links.where("lo != hi").join(spans, "hi", "left").where(~F.coalesce(covered, F.lit(False))).select(F.col("hi").alias("tk"), "sig", F.col("at_hi").alias("at"))
     all_rest = cut(rest.distinct())
     out = cut(_shared(all_rest))
     discard(all_rest)
@@ -455,6 +458,111 @@ def _frequent_here(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sig").count().where(F.col("count") > most).select("sig", F.lit(True).alias("hot"))
 
 
+#: Windows of one signature that a task compares with all others of it, about; shingles before and after a window that two of them are compared by.
+DEALT, NEAR = 512, 60
+#: Others of its signature that a window is compared with before it is with all: most windows are covered by then, and classes joined.
+FEW = (16, 256)
+
+
+def _places(links: DataFrame) -> DataFrame:
+    """sig, tk, at of all windows of links."""
+    lower = links.select("sig", F.col("lo").alias("tk"), F.col("at_lo").alias("at")).distinct()
+    return links.select("sig", F.col("hi").alias("tk"), F.col("at_hi").alias("at")).union(lower).distinct()
+
+
+def _apart(places: DataFrame, found: DataFrame) -> DataFrame:
+    """places: sig, tk, at. These with alone, class, most, parts, rank, of the signatures with several classes.
+
+    A window that a passage covers has the class of its text, the smallest one that passages lead to; any other is alone, and
+    its class is its text. most: the class is the one of most windows of the signature; parts: how many parts the others are dealt into;
+    rank: about the text's place among the signature's windows, by hash.
+    """
+    both = found.select(F.col("hi").alias("tk"), "start", "end").union(found.select("lo", "match_start", "match_end"))
+    spans = both.groupBy("tk", "start").agg(F.max("end").alias("end")).groupBy("tk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    roots = components(found, "lo", "hi").withColumnRenamed("node", "tk")
+    covered = F.exists("spans", lambda s: (F.col("at") >= s["start"]) & (F.col("at") + ARM + SHINGLE - 1 <= s["end"]))
+    alone = ~F.coalesce(covered, F.lit(False))
+    placed = cut(places.join(spans.join(roots, "tk"), "tk", "left").select("sig", "tk", "at", alone.alias("alone"), F.when(alone, F.col("tk")).otherwise(F.col("root")).alias("class")))
+    counted = placed.groupBy("sig", "alone", "class").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("sig").agg(F.max(F.struct("n", "alone", "class")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("classes"))
+    several = largest.where("classes > 1").withColumn("parts", F.ceil((F.col("all") - F.col("m.n")) / DEALT).cast("int"))
+    most = (F.col("alone") == F.col("m.alone")) & (F.col("class") == F.col("m.class"))
+    rank = F.floor(F.pmod(F.xxhash64(F.lit(11), "tk"), F.lit(1 << 20)) * F.col("all") / (1 << 20))
+    out = cut(placed.join(several, "sig").select("sig", "tk", "at", "alone", "class", most.alias("most"), "parts", rank.alias("rank")))
+    discard(placed)
+    return out
+
+
+def _with_surroundings(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """apart: _apart(); texts: tk, text. apart with near, 32 bits of each shingle up to NEAR before and after, and again, how many of them repeat."""
+    kept = ["sig", "at", "alone", "class", "most", "parts", "rank"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, held in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+                low, columns = shingle_hashes(text).astype(np.uint32).view(np.int32), dict(zip(kept, held.values.flatten()))
+                for i in range(0, len(held.values), 1 << 12):
+                    part = [columns[c].slice(i, 1 << 12) for c in kept]
+                    near = [low[max(0, at - NEAR) : at + ARM + NEAR] for at in part[1].to_pylist()]
+                    again = [len(x) - len(np.unique(x)) for x in near]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(near)), *part, pa.array(near, pa.list_(pa.int32())), pa.array(again, pa.int32())], names=["tk", *kept, "near", "again"])
+
+    by_text = apart.groupBy("tk").agg(F.collect_list(F.struct(*kept)).alias("held")).join(texts, "tk")
+    schema = "tk long, sig long, at int, alone boolean, class long, most boolean, parts int, rank long, near array<int>, again int"
+    return small_batches(by_text).select("tk", "text", "held").mapInArrow(run, schema)
+
+
+def meet_all(apart: DataFrame, others: DataFrame) -> DataFrame:
+    """apart: _with_surroundings(); others: some of its rows. Rows lo, at_lo, hi, at_hi: all pairs of windows of apart and others, of one signature and different classes, if a passage can hold both.
+
+    What similar passages share is 8 / 9 of one of them at least (of their mean length), and what an edit leaves unmatched is four shingles or
+    more. So the runs between edits have 32 on average, and WIDTH successive shingles around one hold SIMILAR * WIDTH
+    that stand in the other text too. Pairs without such a stretch around the window, on either side, hold no passage there.
+
+    One of each pair isn't of the signature's largest class: these windows, dealt into parts, meet all others, and a large
+    class doesn't meet itself. Where others are all rows, each pair comes once.
+    """
+    part = F.pmod(F.xxhash64(F.lit(7), "tk", "at"), F.col("parts")).cast("int")
+    some = apart.where("NOT most").withColumn("part", part).alias("a")
+    every = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    differ = "a.tk != b.tk AND (a.alone != b.alone OR a.class != b.class)"
+    once = F.expr(differ if others is not apart else f"{differ} AND (b.most OR a.alone < b.alone OR (a.alone = b.alone AND a.class < b.class))")
+    many = F.expr("size(array_intersect(a.near, b.near)) + greatest(a.again, b.again)") >= SIMILAR * WIDTH
+    met = some.join(every, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.part") == F.col("b.part")) & once & many)
+    a, b = F.struct("a.tk", "a.at", "a.near"), F.struct("b.tk", "b.at", "b.near")
+    ends = met.select(F.least(a, b).alias("l"), F.greatest(a, b).alias("h"))
+    pairs = ends.select(F.col("l.tk").alias("lo"), F.col("l.at").alias("at_lo"), F.col("h.tk").alias("hi"), F.col("h.at").alias("at_hi"), F.col("l.near").alias("x"), F.col("h.near").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
+                yield part.select(range(4)).filter(pa.array(_close(*(part.column(c) for c in ("x", "at_lo", "y", "at_hi")))))
+
+    return small_batches(pairs).mapInArrow(run, "lo long, at_lo int, hi long, at_hi int")
+
+
+def _close(x: pa.ListArray, at_x: pa.Array, y: pa.ListArray, at_y: pa.Array) -> np.ndarray:
+    """For each two lists of shingles, whether SIMILAR * WIDTH of some WIDTH successive ones around the window of either are in the other. at_x, at_y: the windows' places in their texts."""
+    width = 2 * NEAR + ARM
+
+    def table(lists: pa.ListArray, at: pa.Array, fill: int) -> np.ndarray:
+        n = np.diff(lists.offsets.to_numpy())[:, None]
+        column = np.arange(width) - np.maximum(0, NEAR - at.to_numpy())[:, None]  # the window stands at NEAR
+        out = np.full((len(lists), width), fill, dtype=np.int64)  # wider than the shingles, so that nothing equals what fills up
+        out[(column >= 0) & (column < n)] = lists.flatten().to_numpy()
+        return out
+
+    a, b = table(x, at_x, 1 << 40), table(y, at_y, 1 << 41)
+    same = a[:, :, None] == b[:, None, :]
+    out = np.zeros(len(a), dtype=bool)
+    for held in (same.any(2), same.any(1)):
+        sums = np.cumsum(np.pad(held, ((0, 0), (1, 0))), axis=1)
+        start = np.arange(NEAR + ARM - WIDTH, NEAR + 1)
+        out |= (sums[:, start + WIDTH] - sums[:, start]).max(axis=1) >= SIMILAR * WIDTH
+    return out
+
+
 def text_key(docs: DataFrame) -> Column:
     """64 bits of a text that tell all texts of docs apart: where two different ones share theirs (one pair at 6 billion texts, about), another hash."""
     key, other = F.xxhash64("text"), F.xxhash64("text", F.lit(1))
@@ -463,13 +571,14 @@ def text_key(docs: DataFrame) -> Column:
     return F.when(key.isin(shared), other).otherwise(key) if shared else key
 
 
-def passages_of_texts(docs: DataFrame, key: Column, *, rounds: int = 1, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def passages_of_texts(docs: DataFrame, key: Column, *, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """The passages of all distinct texts (verified()), and the texts (tk, rep, copies, n): rep is the smallest doc_id, n the words of those that come again.
 
-    Round 0 compares each window with the first of its signature. Of windows that no passage covers, the whole passages
-    around them are then compared with the first of each of their signatures, and in each further round the windows with the next first.
-    With exact there are as many rounds as it takes: only then no pair of similar passages is left uncompared
-    where one of them isn't covered by a passage already.
+    Each window is compared with the first of its signature. Of windows that no passage covers, the whole passages
+    around them are then compared with the first of each of their signatures. Last, all windows of a signature are compared with each other
+    but for those that passages cover already and whose texts are of one class: no similar passage is left uncovered, and
+    no two classes unlinked, because others came first. Comparing with FEW others beforehand leaves less for it, and nothing out.
+    Without exact this is left out.
 
     Distinct texts are dealt out by key once; what needs some of them comes to where they are.
     """
@@ -480,6 +589,7 @@ def passages_of_texts(docs: DataFrame, key: Column, *, rounds: int = 1, exact: b
         return texts.select("tk", "text").join(needed.hint("shuffle_hash"), "tk", "left_semi")
 
     def verify(links: DataFrame) -> DataFrame:
+        links = links.where("lo != hi")
         whole = cut(of(links.select(F.col("lo").alias("tk")).union(links.select("hi")).distinct()))
         out = cut(verified(links, whole))
         discard(whole)
@@ -488,39 +598,47 @@ def passages_of_texts(docs: DataFrame, key: Column, *, rounds: int = 1, exact: b
     links = meet(windows(texts), frequent(texts, texts.count()))
     found = verify(links)
     rest = _uncovered(links, found)
-    discard(links)
     if not rest.isEmpty():
         whole = cut(_shared(whole_passages(rest, of(rest.select("tk").distinct()))))
         again = meet(whole, _frequent_here(whole))
         found = found.unionByName(verify(again))
-        rest = _uncovered(rest.select("sig", F.col("tk").alias("hi"), F.col("at").alias("at_hi")), found)
         discard(whole)
         discard(again)
-    turn = 0
-    while (exact or turn < rounds) and not rest.isEmpty():
-        links = meet(rest, _frequent_here(rest))
-        found = found.unionByName(verify(links))
-        rest, turn = _uncovered(links, found), turn + 1
-        discard(links)
-        if turn % 8 == 0:  # many rounds make one table again
-            found = cut(found)
+    discard(rest)
+    apart = cut(_places(links))
+    discard(links)
+    for few in (*FEW, None) if exact else ():
+        places, apart = apart, _apart(apart, found)
+        discard(places)
+        if apart.isEmpty():
+            break
+        last = few is None or apart.where(F.col("rank") >= few).isEmpty()
+        among = apart if last else apart.where(~F.col("most") | (F.col("rank") < few))
+        near = cut(_with_surroundings(among, of(among.select("tk").distinct())))
+        again = cut(meet_all(near, near if last else near.where(F.col("rank") < few)))
+        discard(near)
+        found = cut(found.unionByName(verify(again.dropDuplicates())).distinct())
+        discard(again)
+        if last:
+            break
+    discard(apart)
     told = cut(texts.select("tk", "rep", "copies", "n"))
     forget(texts)
     return found, told
 
 
-def repeated_passages(docs: DataFrame, *, rounds: int = 1, exact: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, exact: bool = True) -> DataFrame:
     """docs: doc_id, text. A row for each passage of at least 50 words that a text of smaller key holds too.
 
     doc_id, start_word, end_word (exclusive), match_doc_id, match_start, match_end, similarity (of the sets of
     five-word shingles, 0.8 at least). Equal texts are one text, that of the smallest doc_id: every other copy
-    of at least 50 words has one row, over all its words. Every passage that repeats unchanged is covered by rows;
-    of those with edits one may stay if its windows, and all signatures of its passages, met other texts first (see passages_of_texts() for
-    rounds and exact). Null, empty and shorter texts have no rows; a text without any doc_id is compared as others are
+    of at least 50 words has one row, over all its words. Every passage that repeats, with edits or without, is covered by rows
+    (see passages_of_texts(); with exact=False one with edits may stay if its windows, and all signatures of its passages,
+    met other texts first). Null, empty and shorter texts have no rows; a text without any doc_id is compared as others are
     and named by null, and rows without a doc_id come last among copies. Other columns are left out.
     """
     key = text_key(docs)
-    found, texts = passages_of_texts(docs, key, rounds=rounds, exact=exact)
+    found, texts = passages_of_texts(docs, key, exact=exact)
     name = lambda k, to: texts.select(F.col("tk").alias(k), F.col("rep").alias(to))
     rows = (
         found.join(name("hi", "doc_id"), "hi")
@@ -537,7 +655,7 @@ def repeated_passages(docs: DataFrame, *, rounds: int = 1, exact: bool = False)
     return rows.unionByName(copies)
 
 
-def without_passages(docs: DataFrame, *, rounds: int = 1, exact: bool = False) -> DataFrame:
+def without_passages(docs: DataFrame, *, exact: bool = True) -> DataFrame:
     """docs without the passages that another text keeps, and without further rows of a text of at least 50 words.
 
     Of equal texts the row of the smallest doc_id stays (nulls last, then by all columns). A document of which no word
@@ -545,7 +663,7 @@ def without_passages(docs: DataFrame, *, rounds: int = 1, exact: bool = False) -
     null, empty and shorter texts, all of their rows. Passages belong to texts: doc_id may be null or repeat.
     """
     key = text_key(docs)
-    found, texts = passages_of_texts(docs, key, rounds=rounds, exact=exact)
+    found, texts = passages_of_texts(docs, key, exact=exact)
     spans = found.groupBy(F.col("hi").alias("__tk")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     told = texts.select(F.col("tk").alias("__tk"), (F.col("n") >= PASSAGE).alias("__several")).where("__several").join(spans, "__tk", "full")
     told = cut(told)  # a row for each text that is changed or comes again: if that may be broadcast, no text moves

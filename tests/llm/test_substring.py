@@ -325,3 +325,54 @@ def test_signatures_of_similar_passages_agree_in_some_band():
         other = substring.shingle_hashes(" ".join(words(rng, 90, f"o{i}")).encode())
         assert not sig[0] & set(substring.passage_signatures(other, np.arange(len(other) - substring.WIDTH + 1))[0].tolist())
     assert missed <= 2
+
+
+def similar_pairs(texts):
+    """Pairs of texts with some 46 shingles or nearly so that are similar by 0.8, by all pairs of texts."""
+    one = [substring.shingle_hashes(t.encode()) for t in texts]
+    near = [(a, b) for a in range(len(one)) for b in range(a) if len(np.intersect1d(one[a], one[b])) >= 37]
+    return {frozenset(p) for p in near if any(plain_similar(one[p[0]], one[p[1]], n) for n in (46, 47))}
+
+
+def test_no_pair_is_lost_to_texts_that_come_first(spark):
+    """Of three texts the middle one is similar to both others, which are not alike; halves of the passage stand in texts without it. By default all are covered."""
+    rng = random.Random(51)
+    texts, threes = [], []
+    for k in range(12):
+        whole = words(rng, 51, f"p{k}x")
+        first, last = whole[:], whole[:]
+        first[12], last[38] = "first", "last"
+        threes.append([len(texts) + i for i in range(3)])
+        texts += [" ".join(words(rng, 30) + x + words(rng, 30)) for x in (first, whole, last)]
+        texts += [" ".join(words(rng, 30) + whole[a : a + 25] + words(rng, 30)) for a in (0, 13, 26) for _ in range(3)]
+    want = similar_pairs(texts)
+    assert want == {frozenset((m, x)) for f, m, z in threes for x in (f, z)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = [frozenset((r.doc_id, r.match_doc_id)) for r in substring.repeated_passages(df).collect()]
+    assert set(found) == want and len(found) == len(want)
+    left = {r.doc_id: r.text.split() for r in substring.without_passages(df).collect()}
+    held = [sum(w in left.get(i, []) for w in texts[i].split()[30:81]) for t in threes for i in t]
+    assert sum(n == 51 for n in held) <= 24 and sum(n < 10 for n in held) >= 12
+
+
+def test_other_places_of_the_first_text_are_compared(spark):
+    """A text holds half of a passage, far from it the whole one; the other text has it edited, whichever text is first."""
+    rng, texts = random.Random(52), []
+    for k in range(12):
+        whole = words(rng, 51, f"p{k}x")
+        edited = whole[:25] + ["edit"] + whole[26:]
+        texts += [" ".join(words(rng, 20) + whole[:25] + words(rng, 250) + whole[26:] + words(rng, 250) + whole + words(rng, 20)), " ".join(words(rng, 30) + edited + words(rng, 30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {frozenset((r.doc_id, r.match_doc_id)) for r in substring.repeated_passages(df).collect()}
+    assert found == {frozenset((i, i + 1)) for i in range(0, 24, 2)}
+
+
+def test_a_large_class_and_windows_alone_meet_in_parts(spark):
+    """All windows of different classes meet once, however they are dealt; those of one class and of one text don't."""
+    held = [(t, 1, t % 3, t >= 30, 0 if t < 30 else t, t < 30) for t in range(40)] + [(35, 1, 99, True, 35, False)]
+    rows = [(t, s, at, alone, c, most, parts, list(range(131 if at == 99 else 60)), 0) for parts in (1, 4) for t, _, at, alone, c, most in held for s in (parts,)]
+    schema = "tk long, sig long, at int, alone boolean, class long, most boolean, parts int, near array<int>, again int"
+    windows = spark.createDataFrame(rows, schema)
+    met = substring.meet_all(windows, windows).groupBy("lo", "at_lo", "hi", "at_hi").count().collect()
+    want = {((a[0], a[2]), (b[0], b[2])) for a in held for b in held if a[0] < b[0] and a[4] != b[4]}
+    assert {((r.lo, r.at_lo), (r.hi, r.at_hi)) for r in met} == want and {r["count"] for r in met} == {2}
