@@ -5,7 +5,7 @@ import importlib.util
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm import sentencepiece, simhash, toxicity
+from emberlog.llm import sentencepiece, simhash, substring, toxicity
 
 pipeline = pytest.importorskip("corpus_pipeline") if importlib.util.find_spec("corpus_pipeline") else None
 if pipeline is None:
@@ -93,6 +93,23 @@ def test_substring_stage(docs, spark, sf):
     assert all(r.n_chars == len(r.text or "") for r in after)
 
 
+def test_substring_stage_compares_what_others_came_before(spark, sf):
+    """A middle text is similar to two that are not alike: a passage stays where no similar text has a smaller key."""
+    rows, threes = [], []
+    for k in range(12):
+        whole = [f"p{k}x{i}" for i in range(51)]
+        around = lambda j: ([f"a{k}x{j}x{i}" for i in range(30)], [f"z{k}x{j}x{i}" for i in range(30)])  # noqa: E731, B023
+        held = [whole[:12] + ["first"] + whole[13:], whole, whole[:38] + ["last"] + whole[39:]]
+        threes.append([len(rows) + j for j in range(3)])
+        rows += [(len(rows) + j, " ".join([*around(j)[0], *x, *around(j)[1]]), "en", "a", 0) for j, x in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: set(r.text.split()) for r in STAGES["substring_dedup"](spark, df, sf).collect()}
+    key = {r.doc_id: r.tk for r in df.select("doc_id", substring.text_key(df).alias("tk")).collect()}
+    for k, (f, m, z) in enumerate(threes):
+        held = {i: sum(w.startswith(f"p{k}x") for w in left[i]) > 40 for i in (f, m, z)}
+        assert held == {f: key[f] < key[m], m: key[m] < min(key[f], key[z]), z: key[z] < key[m]}, (k, held)
+
+
 def test_mixing_stage(docs, spark, sf):
     got = STAGES["source_mixing"](spark, docs, sf).select("doc_id", F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")).alias("n")).collect()
     sizes = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
