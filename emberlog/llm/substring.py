@@ -13,9 +13,9 @@ all passages of least length around them: each has BANDS signatures, every one o
 two passages similar by 0.8 share under some band but for one pair in 4,000 (each band with 0.8 ** TOGETHER), and the hash of all its
 shingles. Minima from different parts of a passage tell it from texts that hold one part.
 
-These two steps find most passages by few comparisons. What they leave is compared in full: by them, texts fall into classes, and
-all windows of one signature are compared with each other unless passages cover both and their texts are of one class
-already. No window is given up for the number of others of its signature.
+That second step may still leave passages out. So by default, instead of it, all windows of one signature are compared with each other,
+unless a passage of a smaller text covers that of the larger one already and texts that are linked join both. No window is
+given up for the number of others of its signature. Only pairs whose surroundings can be similar are verified.
 """
 
 from __future__ import annotations
@@ -459,9 +459,9 @@ def _frequent_here(rows: DataFrame) -> DataFrame:
 
 
 #: Windows of one signature that a task compares with all others of it, about; shingles before and after a window that two of them are compared by.
-DEALT, NEAR = 512, 60
-#: Others of its signature that a window is compared with before it is with all: most windows are covered by then, and classes joined.
-FEW = (16, 256)
+DEALT, NEAR = 512, 120
+#: Others that a window is verified with before it is with all, and windows of a signature they are taken from: many windows are covered by then, and classes joined.
+FEW, AMONG = 3, 256
 
 
 def _places(links: DataFrame) -> DataFrame:
@@ -471,96 +471,186 @@ def _places(links: DataFrame) -> DataFrame:
 
 
 def _apart(places: DataFrame, found: DataFrame) -> DataFrame:
-    """places: sig, tk, at. These with alone, class, most, parts, rank, of the signatures with several classes.
+    """places: sig, tk, at. These with alone, class, most, parts, of the signatures with pairs that are to be compared.
 
-    A window that a passage covers has the class of its text, the smallest one that passages lead to; any other is alone, and
-    its class is its text. most: the class is the one of most windows of the signature; parts: how many parts the others are dealt into;
-    rank: about the text's place among the signature's windows, by hash.
+    A window is alone unless a passage that a text of smaller key holds covers it; its class is that of its text, the smallest one that passages lead to.
+    Two windows are to be compared if the one of the larger key is alone, or their classes differ. most: neither is so for any two of
+    those rows (of the class of most windows, and covered or of the smallest text); parts: how many parts the others are dealt into.
     """
-    both = found.select(F.col("hi").alias("tk"), "start", "end").union(found.select("lo", "match_start", "match_end"))
-    spans = both.groupBy("tk", "start").agg(F.max("end").alias("end")).groupBy("tk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = found.groupBy(F.col("hi").alias("tk")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     roots = components(found, "lo", "hi").withColumnRenamed("node", "tk")
     covered = F.exists("spans", lambda s: (F.col("at") >= s["start"]) & (F.col("at") + ARM + SHINGLE - 1 <= s["end"]))
     alone = ~F.coalesce(covered, F.lit(False))
-    placed = cut(places.join(spans.join(roots, "tk"), "tk", "left").select("sig", "tk", "at", alone.alias("alone"), F.when(alone, F.col("tk")).otherwise(F.col("root")).alias("class")))
-    counted = placed.groupBy("sig", "alone", "class").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("sig").agg(F.max(F.struct("n", "alone", "class")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("classes"))
-    several = largest.where("classes > 1").withColumn("parts", F.ceil((F.col("all") - F.col("m.n")) / DEALT).cast("int"))
-    most = (F.col("alone") == F.col("m.alone")) & (F.col("class") == F.col("m.class"))
-    rank = F.floor(F.pmod(F.xxhash64(F.lit(11), "tk"), F.lit(1 << 20)) * F.col("all") / (1 << 20))
-    out = cut(placed.join(several, "sig").select("sig", "tk", "at", "alone", "class", most.alias("most"), "parts", rank.alias("rank")))
+    placed = cut(places.join(roots, "tk", "left").join(spans, "tk", "left").select("sig", "tk", "at", alone.alias("alone"), F.coalesce("root", "tk").alias("class")))
+    counted = placed.groupBy("sig", "class").agg(F.count("*").alias("n"), F.min("tk").alias("least"), F.max("tk").alias("last"))
+    largest = counted.groupBy("sig").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.min("least").alias("least"), F.max("last").alias("last"))
+    most = (F.col("class") == F.col("largest")) & (~F.col("alone") | (F.col("tk") == F.col("least")))
+    told = placed.join(largest.where("least < last"), "sig").select("sig", "tk", "at", "alone", "class", most.alias("most"))
+    several = told.where("NOT most").groupBy("sig").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    out = cut(told.join(several, "sig"))
     discard(placed)
     return out
 
 
 def _with_surroundings(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """apart: _apart(); texts: tk, text. apart with near, 32 bits of each shingle up to NEAR before and after, and again, how many of them repeat."""
-    kept = ["sig", "at", "alone", "class", "most", "parts", "rank"]
+    """apart: _apart(); texts: tk, text. apart with near, 32 bits of each shingle up to NEAR before and after, and more: places of the text with the same near, which have no row of their own."""
+    kept = ["sig", "at", "alone", "class", "most", "parts"]
+    names = ["tk", *kept, "near", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, held in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
-                low, columns = shingle_hashes(text).astype(np.uint32).view(np.int32), dict(zip(kept, held.values.flatten()))
-                for i in range(0, len(held.values), 1 << 12):
-                    part = [columns[c].slice(i, 1 << 12) for c in kept]
-                    near = [low[max(0, at - NEAR) : at + ARM + NEAR] for at in part[1].to_pylist()]
-                    again = [len(x) - len(np.unique(x)) for x in near]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(near)), *part, pa.array(near, pa.list_(pa.int32())), pa.array(again, pa.int32())], names=["tk", *kept, "near", "again"])
+                low = shingle_hashes(text).astype(np.uint32).view(np.int32)
+                first: dict[tuple, tuple[dict, np.ndarray, list[int]]] = {}
+                for row in sorted(held.as_py(), key=lambda r: r["at"]):
+                    near = low[max(0, row["at"] - NEAR) : row["at"] + ARM + NEAR]
+                    same = (row["sig"], row["alone"], row["most"], min(row["at"], NEAR), near.tobytes())
+                    if same in first:
+                        first[same][2].append(row["at"])
+                    else:
+                        first[same] = (row, near, [])
+                rows = list(first.values())
+                for i in range(0, len(rows), 1 << 11):
+                    some = rows[i : i + (1 << 11)]
+                    lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(r[1]) for r in some], dtype=np.int32), np.concatenate([r[1] for r in some]))
+                    columns = [pa.array([r[0][c] for r in some], batch.column(2).type.value_type.field(c).type) for c in kept]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.int64()), *columns, lists, pa.array([r[2] for r in some], pa.list_(pa.int32()))], names=names)
 
     by_text = apart.groupBy("tk").agg(F.collect_list(F.struct(*kept)).alias("held")).join(texts, "tk")
-    schema = "tk long, sig long, at int, alone boolean, class long, most boolean, parts int, rank long, near array<int>, again int"
+    schema = "tk long, sig long, at int, alone boolean, class long, most boolean, parts int, near array<int>, more array<int>"
     return small_batches(by_text).select("tk", "text", "held").mapInArrow(run, schema)
 
 
-def meet_all(apart: DataFrame, others: DataFrame) -> DataFrame:
-    """apart: _with_surroundings(); others: some of its rows. Rows lo, at_lo, hi, at_hi: all pairs of windows of apart and others, of one signature and different classes, if a passage can hold both.
+class _Windows:
+    """Windows of one signature: keys (tk, at, alone, class, most), shingles around each (the window stands at NEAR; fill elsewhere)."""
+
+    def __init__(self, columns: list[np.ndarray], near: np.ndarray, fill: int) -> None:
+        self.tk, self.at, self.alone, self.kind, self.most = columns
+        self.near = np.where(near < 0, fill, near)
+        order = np.argsort(self.near, axis=1, kind="stable")
+        ranked = np.take_along_axis(self.near, order, axis=1)
+        first = np.ones(near.shape, dtype=bool)
+        first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+        #: whether a shingle is the first of its kind around the window, and how many of the first n differ from the one before
+        self.first = np.empty_like(first)
+        np.put_along_axis(self.first, order, first, axis=1)
+        self.first |= near < 0
+        new = self.near[:, 1:] != self.near[:, :-1]
+        self.different = np.pad(np.cumsum(np.pad(new, ((0, 0), (1, 0)), constant_values=True), axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+        #: whether some shingle at the window repeats, so that it may stand for another place within RUN
+        self.loose = ~self.first[:, NEAR - RUN : NEAR + ARM + RUN].all(axis=1)
+
+    def part(self, rows: slice) -> _Windows:
+        out = object.__new__(_Windows)
+        out.__dict__ = {k: v[rows] for k, v in self.__dict__.items()}
+        return out
+
+
+def _around(lists: pa.ListArray, at: np.ndarray) -> np.ndarray:
+    """The shingles of each list, the window at NEAR; -1 where the text has ended."""
+    width, n = 2 * NEAR + ARM, np.diff(lists.offsets.to_numpy())[:, None]
+    column = np.arange(width) - np.maximum(0, NEAR - at)[:, None]
+    out = np.full((len(lists), width), -1, dtype=np.int64)
+    out[(column >= 0) & (column < n)] = lists.flatten().to_numpy().view(np.uint32)
+    return out
 
-    What similar passages share is 8 / 9 of one of them at least (of their mean length), and what an edit leaves unmatched is four shingles or
-    more. So the runs between edits have 32 on average, and WIDTH successive shingles around one hold SIMILAR * WIDTH
-    that stand in the other text too. Pairs without such a stretch around the window, on either side, hold no passage there.
 
-    One of each pair isn't of the signature's largest class: these windows, dealt into parts, meet all others, and a large
-    class doesn't meet itself. Where others are all rows, each pair comes once.
+def _dense(held: np.ndarray, of: _Windows, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """held: for each pair, which shingles around the window (of, rows) the other has. Whether WIDTH successive ones or more lack
+    a fifth of them at most, those held spanning as many, and whether such ones that the window is among lack a ninth. Repeats count once: at most those that differ from the one before are different, and one."""
+    n = held.shape[1]
+    span = n - held[:, ::-1].argmax(axis=1) - held.argmax(axis=1) >= WIDTH
+    lacks = np.zeros((len(held), n + 1), dtype=np.int32)
+    np.cumsum(of.first[rows] & ~held, axis=1, out=lacks[:, 1:], dtype=np.int32)
+    ends, of_all = np.arange(NEAR + ARM, n + 1), of.different[rows]
+    most = lambda over: np.maximum.accumulate(over[:, : n - WIDTH + 1], axis=1)
+    over = 5 * lacks - of_all
+    fifth = span & (over[:, WIDTH:] <= most(over) + 1).any(axis=1)
+    over = 9 * lacks - of_all
+    before = most(over)
+    around = (over[:, ends] <= before[:, np.minimum(NEAR, ends - WIDTH)] + 1).any(axis=1)
+    return fifth, fifth & (around | (of.loose[rows] & (over[:, WIDTH:] <= before + 1).any(axis=1)))
+
+
+def _close(a: _Windows, b: _Windows) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a (not most) and b (any) that are to be compared and may hold a passage: rows of a and of b."""
+    higher = a.tk[:, None] > b.tk
+    need = (a.kind[:, None] != b.kind) | np.where(higher, a.alone[:, None], b.alone)
+    i, j = np.nonzero(need & (a.tk[:, None] != b.tk) & (higher | b.most))  # of two that aren't most, the one of the larger key is in a once
+    if not len(i):
+        return i, j
+    (rows, i), (columns, j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    n = len(rows)
+    values, at = np.unique(np.concatenate([a.near[rows], b.near[columns]]), return_inverse=True)
+    at = at.reshape(n + len(columns), -1)
+    has = np.zeros((len(at), len(values)), dtype=bool)
+    np.put_along_axis(has, at, True, axis=1)
+    fit = np.zeros(len(i), dtype=bool)
+    middle = slice(NEAR + ARM - RUN, NEAR + RUN)
+    for k in range(0, len(i), 4096):
+        x, y = i[k : k + 4096], j[k : k + 4096]
+        some = a.loose[rows[x]] | b.loose[columns[y]]
+        for run in (has[n + y[:, None], at[x][:, middle]], has[x[:, None], at[n + y][:, middle]]):  # around the window, itself in the middle
+            some |= run[:, RUN:].cumprod(axis=1).sum(axis=1) + run[:, RUN - ARM - 1 :: -1].cumprod(axis=1).sum(axis=1) + ARM >= RUN
+        some = np.flatnonzero(some)
+        loose, close = _dense(has[n + y[some, None], at[x[some]]], a, rows[x[some]])
+        some, close = some[loose], close[loose]
+        loose, other = _dense(has[x[some, None], at[n + y[some]]], b, columns[y[some]])
+        fit[k + some[loose & (close | other)]] = True
+    return rows[i[fit]], columns[j[fit]]
+
+
+def meet_all(apart: DataFrame, others: DataFrame, few: int | None = None) -> DataFrame:
+    """apart: _with_surroundings(); others: rows of it. Rows lo, at_lo, hi, at_hi: all pairs of windows of apart and others, of one signature, that are to be compared (see _apart()), if a passage can hold both.
+
+    Similar passages share 8 / 9 of one of them at least (of their mean length) and 4 / 5 of the other. So does some part of a longer one, of WIDTH to
+    115 successive shingles, and an edit leaves four shingles or more unmatched, so that part holds a common run of RUN. Pairs without such
+    stretches, the denser one around the window, hold no passage there.
+
+    One of each pair isn't most: these windows, dealt into parts, meet all others, and a large class doesn't meet itself. Each pair comes once.
+    With few, a window goes with as many that fit at most, of AMONG that come first.
     """
+    columns = ["sig", "part", "held", "tk", "at", "alone", "class", "most", "near"]
     part = F.pmod(F.xxhash64(F.lit(7), "tk", "at"), F.col("parts")).cast("int")
-    some = apart.where("NOT most").withColumn("part", part).alias("a")
-    every = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    differ = "a.tk != b.tk AND (a.alone != b.alone OR a.class != b.class)"
-    once = F.expr(differ if others is not apart else f"{differ} AND (b.most OR a.alone < b.alone OR (a.alone = b.alone AND a.class < b.class))")
-    many = F.expr("size(array_intersect(a.near, b.near)) + greatest(a.again, b.again)") >= SIMILAR * WIDTH
-    met = some.join(every, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.part") == F.col("b.part")) & once & many)
-    a, b = F.struct("a.tk", "a.at", "a.near"), F.struct("b.tk", "b.at", "b.near")
-    ends = met.select(F.least(a, b).alias("l"), F.greatest(a, b).alias("h"))
-    pairs = ends.select(F.col("l.tk").alias("lo"), F.col("l.at").alias("at_lo"), F.col("h.tk").alias("hi"), F.col("h.at").alias("at_hi"), F.col("l.near").alias("x"), F.col("h.near").alias("y"))
+    some = apart.where("NOT most").withColumns({"part": part, "held": F.lit(True)}).select(columns)
+    every = others.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "held": F.lit(False)}).select(columns)
+    ordered = some.unionByName(every).repartition("sig", "part").sortWithinPartitions("sig", "part", F.col("held").desc(), "tk", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, gathered, held, gone, seen = None, [], [], [], 0  # the part, rows of its windows that aren't most; the same in blocks, and how often each went; others read
         for batch in batches:
-            for i in range(0, batch.num_rows, 250):
-                part = batch.slice(i, 250)
-                yield part.select(range(4)).filter(pa.array(_close(*(part.column(c) for c in ("x", "at_lo", "y", "at_hi")))))
-
-    return small_batches(pairs).mapInArrow(run, "lo long, at_lo int, hi long, at_hi int")
-
-
-def _close(x: pa.ListArray, at_x: pa.Array, y: pa.ListArray, at_y: pa.Array) -> np.ndarray:
-    """For each two lists of shingles, whether SIMILAR * WIDTH of some WIDTH successive ones around the window of either are in the other. at_x, at_y: the windows' places in their texts."""
-    width = 2 * NEAR + ARM
-
-    def table(lists: pa.ListArray, at: pa.Array, fill: int) -> np.ndarray:
-        n = np.diff(lists.offsets.to_numpy())[:, None]
-        column = np.arange(width) - np.maximum(0, NEAR - at.to_numpy())[:, None]  # the window stands at NEAR
-        out = np.full((len(lists), width), fill, dtype=np.int64)  # wider than the shingles, so that nothing equals what fills up
-        out[(column >= 0) & (column < n)] = lists.flatten().to_numpy()
-        return out
-
-    a, b = table(x, at_x, 1 << 40), table(y, at_y, 1 << 41)
-    same = a[:, :, None] == b[:, None, :]
-    out = np.zeros(len(a), dtype=bool)
-    for held in (same.any(2), same.any(1)):
-        sums = np.cumsum(np.pad(held, ((0, 0), (1, 0))), axis=1)
-        start = np.arange(NEAR + ARM - WIDTH, NEAR + 1)
-        out |= (sums[:, start + WIDTH] - sums[:, start]).max(axis=1) >= SIMILAR * WIDTH
-    return out
+            sig, number, mine = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)]
+            near, out = _around(batch.column(8), keys[1]), []
+            edges = np.flatnonzero((sig[1:] != sig[:-1]) | (number[1:] != number[:-1]) | (mine[1:] != mine[:-1])) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(sig)]):
+                if of != (sig[start], number[start]):
+                    of, gathered, held, seen = (sig[start], number[start]), [], [], 0
+                if mine[start]:
+                    gathered.append(([k[start:end] for k in keys], near[start:end]))
+                    continue
+                if not held:
+                    all_held = _Windows([np.concatenate(c) for c in zip(*(g[0] for g in gathered))], np.concatenate([g[1] for g in gathered]), 1 << 40)
+                    held = [all_held.part(slice(k, k + 128)) for k in range(0, len(all_held.tk), 128)]
+                    gone = [np.zeros(len(h.tk), dtype=np.int64) for h in held]
+                for k in range(start, end, 128):
+                    if few and seen >= AMONG:
+                        break
+                    seen += min(end, k + 128) - k
+                    b = _Windows([c[k : min(end, k + 128)] for c in keys], near[k : min(end, k + 128)], 1 << 41)
+                    for a, often in zip(held, gone):
+                        i, j = _close(a, b)
+                        if few:
+                            nth = np.arange(len(i)) - np.searchsorted(i, i) + often[i]  # i ascends
+                            often += np.bincount(i, minlength=len(often))
+                            i, j = i[nth < few], j[nth < few]
+                        if len(i):
+                            up = a.tk[i] > b.tk[j]
+                            out.append([np.where(up, b.tk[j], a.tk[i]), np.where(up, b.at[j], a.at[i]), np.where(up, a.tk[i], b.tk[j]), np.where(up, a.at[i], b.at[j])])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["lo", "at_lo", "hi", "at_hi"])
+
+    return small_batches(ordered).mapInArrow(run, "lo long, at_lo int, hi long, at_hi int")
 
 
 def text_key(docs: DataFrame) -> Column:
@@ -574,11 +664,11 @@ def text_key(docs: DataFrame) -> Column:
 def passages_of_texts(docs: DataFrame, key: Column, *, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """The passages of all distinct texts (verified()), and the texts (tk, rep, copies, n): rep is the smallest doc_id, n the words of those that come again.
 
-    Each window is compared with the first of its signature. Of windows that no passage covers, the whole passages
-    around them are then compared with the first of each of their signatures. Last, all windows of a signature are compared with each other
-    but for those that passages cover already and whose texts are of one class: no similar passage is left uncovered, and
-    no two classes unlinked, because others came first. Comparing with FEW others beforehand leaves less for it, and nothing out.
-    Without exact this is left out.
+    Each window is compared with the first of its signature. Then all windows of a signature are compared with each other, but for pairs
+    whose larger text has its window covered already by a passage of a smaller text, if both texts are of one class: no passage is left
+    uncovered in the larger text of a similar pair, and no two classes unlinked, because others came first. Comparing with FEW others
+    beforehand leaves less for it, and nothing out. Without exact, only the whole passages around windows that are not covered are compared,
+    each with the first of each of its signatures.
 
     Distinct texts are dealt out by key once; what needs some of them comes to where they are.
     """
@@ -597,31 +687,33 @@ def passages_of_texts(docs: DataFrame, key: Column, *, exact: bool = True) -> tu
 
     links = meet(windows(texts), frequent(texts, texts.count()))
     found = verify(links)
-    rest = _uncovered(links, found)
-    if not rest.isEmpty():
-        whole = cut(_shared(whole_passages(rest, of(rest.select("tk").distinct()))))
-        again = meet(whole, _frequent_here(whole))
-        found = found.unionByName(verify(again))
-        discard(whole)
-        discard(again)
-    discard(rest)
-    apart = cut(_places(links))
+    if exact:
+        apart, tried, done = cut(_places(links)), links.select("lo", "at_lo", "hi", "at_hi"), []
+        for few in (FEW, None):
+            places, apart = apart, _apart(apart, found)
+            discard(places)
+            if apart.isEmpty():
+                break
+            near = cut(_with_surroundings(apart, of(apart.select("tk").distinct())))
+            more = near.where(F.size("more") > 0).groupBy(F.col("tk").alias("hi"), F.col("at").alias("at_hi")).agg(F.flatten(F.collect_set("more")).alias("more"))
+            all_at = F.concat(F.array("at_hi"), F.coalesce("more", F.array().cast("array<int>")))
+            met = meet_all(near, near, few).join(more, ["hi", "at_hi"], "left").select("lo", "at_lo", "hi", F.explode(all_at).alias("at_hi"))
+            again = cut(met.distinct().join(tried, ["lo", "at_lo", "hi", "at_hi"], "left_anti"))
+            discard(near)
+            done += [found, again]
+            found, tried = cut(found.unionByName(verify(again)).distinct()), tried.unionByName(again)
+        for rows in (apart, *done):
+            discard(rows)
+    else:
+        rest = _uncovered(links, found)
+        if not rest.isEmpty():
+            whole = cut(_shared(whole_passages(rest, of(rest.select("tk").distinct()))))
+            again = meet(whole, _frequent_here(whole))
+            found = found.unionByName(verify(again))
+            discard(whole)
+            discard(again)
+        discard(rest)
     discard(links)
-    for few in (*FEW, None) if exact else ():
-        places, apart = apart, _apart(apart, found)
-        discard(places)
-        if apart.isEmpty():
-            break
-        last = few is None or apart.where(F.col("rank") >= few).isEmpty()
-        among = apart if last else apart.where(~F.col("most") | (F.col("rank") < few))
-        near = cut(_with_surroundings(among, of(among.select("tk").distinct())))
-        again = cut(meet_all(near, near if last else near.where(F.col("rank") < few)))
-        discard(near)
-        found = cut(found.unionByName(verify(again.dropDuplicates())).distinct())
-        discard(again)
-        if last:
-            break
-    discard(apart)
     told = cut(texts.select("tk", "rep", "copies", "n"))
     forget(texts)
     return found, told

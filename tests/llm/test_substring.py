@@ -376,3 +376,34 @@ def test_a_large_class_and_windows_alone_meet_in_parts(spark):
     met = substring.meet_all(windows, windows).groupBy("lo", "at_lo", "hi", "at_hi").count().collect()
     want = {((a[0], a[2]), (b[0], b[2])) for a in held for b in held if a[0] < b[0] and a[4] != b[4]}
     assert {((r.lo, r.at_lo), (r.hi, r.at_hi)) for r in met} == want and {r["count"] for r in met} == {2}
+
+
+def test_a_window_that_only_a_larger_text_shares_meets_the_smaller_ones(spark):
+    """Texts 1 and 2 are each linked to 3 by one passage, so all are of one class and covered; whether 1 holds what 2 has is still to be seen."""
+    rng = random.Random(61)
+    passage = " ".join(words(rng, 60))
+    texts = spark.createDataFrame([(k, passage) for k in (1, 2, 3)], "tk long, text string")
+    places = spark.createDataFrame([(7, k, 20) for k in (1, 2, 3)], "sig long, tk long, at int")
+    schema = "lo long, hi long, start long, end long, match_start long, match_end long, similarity double"
+    found = spark.createDataFrame([(lo, 3, 0, 60, 0, 60, 1.0) for lo in (1, 2)], schema)
+    near = substring._with_surroundings(substring._apart(places, found), texts)
+    assert {(r.lo, r.hi) for r in substring.meet_all(near, near).collect()} == {(1, 2)}
+
+
+def test_pairs_that_go_to_verification_are_those_that_can_hold_a_passage(spark):
+    """Of windows that share eleven shingles or more: edited passages go, whatever length; runs of one word, lines and dense edits don't."""
+    rng, rows = random.Random(62), []
+    def pair(sig, x, y, at=60):
+        rows.extend((2 * sig + k, sig, at, True, 2 * sig + k, False, 1, substring.shingle_hashes(" ".join(t).encode())) for k, t in enumerate((x, y)))
+    around = lambda: words(rng, 60)
+    for sig, (n, edits) in enumerate([(50, ()), (51, (25,)), (60, (26, 27)), (95, (40, 45)), (110, (30, 70))]):
+        whole = words(rng, n)
+        edited = [f"edit{i}" if i in edits else w for i, w in enumerate(whole)]
+        pair(sig, [*around(), *whole, *around()], [*around(), *edited, *around()])
+    line, dense = words(rng, 30), words(rng, 120)
+    pair(10, [*around(), *line, *around()], [*around(), *line, *around()])
+    pair(11, [*around(), *["the"] * 110, *around()], [*around(), *["the"] * 30, *around()])
+    pair(12, [*around(), *dense, *around()], [*around(), *[f"edit{i}" if i > 20 and i % 9 == 0 else w for i, w in enumerate(dense)], *around()])
+    table = [(*r[:-1], r[-1].astype(np.uint32).view(np.int32)[max(0, r[2] - substring.NEAR) : r[2] + substring.ARM + substring.NEAR].tolist()) for r in rows]
+    windows = spark.createDataFrame(table, "tk long, sig long, at int, alone boolean, class long, most boolean, parts int, near array<int>")
+    assert {(r.lo, r.hi) for r in substring.meet_all(windows, windows).collect()} == {(2 * s, 2 * s + 1) for s in range(5)}
