@@ -38,7 +38,7 @@ BANDS, TOGETHER = 12, 3
 #: Shingles by which single matches may lie off a passage's alignment, at least; longer passages may shift by a quarter.
 GAP = 10
 #: Shingles before and after the windows that met in which their passages are looked for; equal ones are followed beyond.
-AROUND = 2 * PASSAGE
+AROUND = 120
 #: Longest run of shingles hashed in one piece; positions have 24 bits.
 PIECE = 1 << 23
 
@@ -302,7 +302,19 @@ def _passages(hi: np.ndarray, lo: np.ndarray, meets: np.ndarray) -> list[tuple[i
             (y0, x0), (y1, x1) = np.maximum(group.min(0) - AROUND, 0).tolist(), (group.max(0) + ARM + AROUND).tolist()
             x, y = _matched(hi[x0:x1], lo[y0:y1], int(np.median(group[:, 1] - group[:, 0])) - x0 + y0)
             if len(x):
-                out += _verify(hi, lo, x0 + x, y0 + y, again)
+                out += _stretches(hi, lo, x0 + x, y0 + y)
+                if again[x0 + x[-1] + 1] > again[x0 + x[0]] or not (y[1:] > y[:-1]).all() or len(np.unique(lo[y0 + y[0] : y0 + y[-1] + 1])) <= y[-1] - y[0]:
+                    out += _verify(hi, lo, x0 + x, y0 + y, again)
+    # where shingles repeat, windows that met line up in several ways: what is still open is looked at by itself
+    seen, same = set(), None
+    for y0, x0 in meets.tolist():
+        if (x0 - y0, x0 // AROUND) not in seen and not any(s[0] <= x0 and x0 + ARM - 1 <= s[1] for s in out):
+            seen.add((x0 - y0, x0 // AROUND))
+            same = _repeats(lo) if same is None else same
+            left, low, end = max(0, x0 - AROUND), max(0, y0 - AROUND), min(len(lo), y0 + ARM + AROUND)
+            if same[end] > same[low]:
+                x, y = _matched(hi[left : x0 + ARM + AROUND], lo[low:end], x0 - left - y0 + low)
+                out += _stretches(hi, lo, left + x, low + y)
     return _merged(out)
 
 
@@ -375,6 +387,51 @@ def _verify(hi: np.ndarray, lo: np.ndarray, x: np.ndarray, y: np.ndarray, again:
     return out
 
 
+def _dense_runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y: matched positions as in _verify(). Those that line up with a neighbour (all if in order), and first and last one of each run of them that is a passage
+    by numbers and lies in no other one.
+
+    With p and q shingles in the texts, m of them matched, the similarity is m / (p + q - m): 0.8 at least if 4 (p + q) <= 9 m. That is
+    a difference of two values, one for each end, so the farthest end of each start is found by a search, and no run is missed by where a text is split.
+    """
+    if not (y[1:] > y[:-1]).all():
+        line = np.abs(np.diff(x - y)) <= WIDTH // 2
+        keep = np.append(line, False) | np.append(False, line)
+        x, y = x[keep], y[keep]
+    if len(x) < SIMILAR * WIDTH:
+        return x, y, x[:0], x[:0]
+    up = np.maximum.accumulate(y)
+    value = 4 * (x + up) - 9 * np.arange(len(x))
+    last = np.searchsorted(np.minimum.accumulate(value[::-1])[::-1], value + 1, "right") - 1
+    first = np.flatnonzero((x[last] - x + 1 >= WIDTH) & (up[last] - up + 1 >= WIDTH))
+    last = last[first]
+    new = last > np.maximum.accumulate(np.append(-1, last))[:-1]
+    return x, y, first[new], last[new]
+
+
+def _likeness(hi: np.ndarray, lo: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    """The similarity of the stretches of both texts that matched positions span; 0 if that of lo is too short."""
+    a, b = np.unique(hi[x[0] : x[-1] + 1]), np.unique(lo[y.min() : y.max() + 1])
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if y.max() - y.min() + 1 >= WIDTH else 0.0
+
+
+def _stretches(hi: np.ndarray, lo: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """As few of the passages of _dense_runs() as hold all windows that these hold, verified."""
+    x, y, first, last = _dense_runs(x, y)
+    out, k = [], 0
+    while k < len(first):
+        p, q = x[first[k] : last[k] + 1], y[first[k] : last[k] + 1]
+        like = _likeness(hi, lo, p, q)
+        if like >= SIMILAR:
+            before, after = _same_ahead(hi[: p[0]][::-1], lo[: q[0]][::-1]), _same_ahead(hi[p[-1] + 1 :], lo[q[-1] + 1 :])
+            out.append((int(p[0]) - before, int(p[-1]) + after, min(int(q.min()), int(q[0]) - before), max(int(q.max()), int(q[-1]) + after), like))
+            k = max(k + 1, int(np.searchsorted(x[first], p[-1] - ARM + 2, "right")) - 1)
+        else:
+            k += 1
+    return out
+
+
 def _same_ahead(x: np.ndarray, y: np.ndarray) -> int:
     """How many shingles at the head of both are equal: a passage goes on beyond the windows that found it."""
     n = min(len(x), len(y))
@@ -459,9 +516,9 @@ def _frequent_here(rows: DataFrame) -> DataFrame:
 
 
 #: Windows of one signature that a task compares with all others of it, about; shingles before and after a window that two of them are compared by.
-DEALT, NEAR = 512, 120
-#: Others that a window is verified with before it is with all, and windows of a signature they are taken from: many windows are covered by then, and classes joined.
-FEW, AMONG = 3, 256
+DEALT, NEAR = 512, AROUND
+#: Pairs of windows of a group up to which it is compared together with others; windows and others of a larger one that are compared at once; rows of a group that are held.
+SMALL, HELD_ROWS, OTHER_ROWS, SLAB = 4096, 128, 64, 8192
 
 
 def _places(links: DataFrame) -> DataFrame:
@@ -522,15 +579,15 @@ def _with_surroundings(apart: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 class _Windows:
-    """Windows of one signature: keys (tk, at, alone, class, most), shingles around each (the window stands at NEAR; fill elsewhere)."""
+    """Windows of signatures: keys (tk, at, alone, class, most), shingles around each (the window stands at NEAR; -1 where there is none)."""
 
-    def __init__(self, columns: list[np.ndarray], near: np.ndarray, fill: int) -> None:
+    def __init__(self, columns: list[np.ndarray], near: np.ndarray) -> None:
         self.tk, self.at, self.alone, self.kind, self.most = columns
-        self.near = np.where(near < 0, fill, near)
+        self.near = np.where(near < 0, (1 << 32) + np.arange(len(near))[:, None], near)
         order = np.argsort(self.near, axis=1, kind="stable")
-        ranked = np.take_along_axis(self.near, order, axis=1)
+        self.ranked = np.take_along_axis(self.near, order, axis=1)
         first = np.ones(near.shape, dtype=bool)
-        first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+        first[:, 1:] = self.ranked[:, 1:] != self.ranked[:, :-1]
         #: whether a shingle is the first of its kind around the window, and how many of the first n differ from the one before
         self.first = np.empty_like(first)
         np.put_along_axis(self.first, order, first, axis=1)
@@ -540,10 +597,59 @@ class _Windows:
         #: whether some shingle at the window repeats, so that it may stand for another place within RUN
         self.loose = ~self.first[:, NEAR - RUN : NEAR + ARM + RUN].all(axis=1)
 
-    def part(self, rows: slice) -> _Windows:
-        out = object.__new__(_Windows)
-        out.__dict__ = {k: v[rows] for k, v in self.__dict__.items()}
-        return out
+    def held(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of windows, which shingles around the first ones the second ones have, and the other way round."""
+        rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        x, y = at[: len(i), None], at[len(i) :, None]
+        if len(i) > 2 * len(rows):  # many pairs of few windows: a table of who has what
+            values, place = np.unique(self.near[rows], return_inverse=True)
+            place = place.reshape(len(rows), -1)
+            has = np.zeros((len(rows), len(values)), dtype=bool)
+            np.put_along_axis(has, place, True, axis=1)
+            return has[y, place[x[:, 0]]], has[x, place[y[:, 0]]]
+        ranked = (self.ranked[rows] + (np.arange(len(rows)) << 34)[:, None]).ravel()
+        found = lambda of, by: ranked[np.minimum(np.searchsorted(ranked, want := self.near[of] + (by << 34)), len(ranked) - 1)] == want
+        return found(i, y), found(j, x)
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of windows may hold a passage."""
+        middle = slice(NEAR + ARM - RUN, NEAR + RUN)
+        run, side = self.near[i, middle] == self.near[j, middle], RUN - ARM  # around the windows, themselves in the middle
+        loose = self.loose[i] | self.loose[j] | ~run[:, side : side + ARM].all(axis=1)
+        some = np.flatnonzero(loose | (run[:, RUN:].cumprod(axis=1).sum(axis=1) + run[:, side - 1 :: -1].cumprod(axis=1).sum(axis=1) + ARM >= RUN))
+        fit = np.zeros(len(i), dtype=bool)
+        for k in range(0, len(some), 1024):
+            part = some[k : k + 1024]
+            mine, other = self.held(i[part], j[part])
+            lacks, near = self.lacks(mine, i[part], loose[part])
+            more, also = self.lacks(other, j[part], loose[part])
+            fit[part] = near & also & (lacks + more <= 2)
+        return fit
+
+    def lacks(self, held: np.ndarray, rows: np.ndarray, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """held: which shingles around the window the other has. For the best WIDTH successive ones or more that the window is among (loose: or not), nine times
+        those that lack less all, and whether some such ones lack a fifth at most. Repeats count once: at most those that differ from the one before are different, and one."""
+        n = held.shape[1]
+        span = n - held[:, ::-1].argmax(axis=1) - held.argmax(axis=1) >= WIDTH
+        lacks = np.zeros((len(held), n + 1), dtype=np.int32)
+        np.cumsum(self.first[rows] & ~held, axis=1, out=lacks[:, 1:], dtype=np.int32)
+        of_all = self.different[rows]
+        most = lambda over: np.maximum.accumulate(over[:, : n - WIDTH + 1], axis=1)
+        over = 5 * lacks - of_all
+        fifth = span & (over[:, WIDTH:] <= most(over) + 1).any(axis=1)
+        over = 9 * lacks - of_all
+        before, ends = most(over), np.arange(NEAR + ARM, n + 1)
+        best = (over[:, ends] - before[:, np.minimum(NEAR, ends - WIDTH)]).min(axis=1)
+        return np.where(loose, (over[:, WIDTH:] - before).min(axis=1), best), fifth
+
+    def hold(self, hi: int, lo: int) -> bool:
+        """Whether a passage that is verified by the shingles around them holds both windows."""
+        x, y, first, last = _dense_runs(*_matched(self.near[hi], self.near[lo], 0))
+        for k in np.flatnonzero((x[first] <= NEAR) & (x[last] >= NEAR + ARM - 1)):
+            p, q = x[first[k] : last[k] + 1], y[first[k] : last[k] + 1]
+            if q.min() <= NEAR <= q.max() - ARM + 1 and _likeness(self.near[hi], self.near[lo], p, q) >= SIMILAR:
+                return True
+        return False
 
 
 def _around(lists: pa.ListArray, at: np.ndarray) -> np.ndarray:
@@ -555,60 +661,71 @@ def _around(lists: pa.ListArray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dense(held: np.ndarray, of: _Windows, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """held: for each pair, which shingles around the window (of, rows) the other has. Whether WIDTH successive ones or more lack
-    a fifth of them at most, those held spanning as many, and whether such ones that the window is among lack a ninth. Repeats count once: at most those that differ from the one before are different, and one."""
-    n = held.shape[1]
-    span = n - held[:, ::-1].argmax(axis=1) - held.argmax(axis=1) >= WIDTH
-    lacks = np.zeros((len(held), n + 1), dtype=np.int32)
-    np.cumsum(of.first[rows] & ~held, axis=1, out=lacks[:, 1:], dtype=np.int32)
-    ends, of_all = np.arange(NEAR + ARM, n + 1), of.different[rows]
-    most = lambda over: np.maximum.accumulate(over[:, : n - WIDTH + 1], axis=1)
-    over = 5 * lacks - of_all
-    fifth = span & (over[:, WIDTH:] <= most(over) + 1).any(axis=1)
-    over = 9 * lacks - of_all
-    before = most(over)
-    around = (over[:, ends] <= before[:, np.minimum(NEAR, ends - WIDTH)] + 1).any(axis=1)
-    return fifth, fifth & (around | (of.loose[rows] & (over[:, WIDTH:] <= before + 1).any(axis=1)))
-
-
-def _close(a: _Windows, b: _Windows) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a (not most) and b (any) that are to be compared and may hold a passage: rows of a and of b."""
-    higher = a.tk[:, None] > b.tk
-    need = (a.kind[:, None] != b.kind) | np.where(higher, a.alone[:, None], b.alone)
-    i, j = np.nonzero(need & (a.tk[:, None] != b.tk) & (higher | b.most))  # of two that aren't most, the one of the larger key is in a once
-    if not len(i):
-        return i, j
-    (rows, i), (columns, j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
-    n = len(rows)
-    values, at = np.unique(np.concatenate([a.near[rows], b.near[columns]]), return_inverse=True)
-    at = at.reshape(n + len(columns), -1)
-    has = np.zeros((len(at), len(values)), dtype=bool)
-    np.put_along_axis(has, at, True, axis=1)
-    fit = np.zeros(len(i), dtype=bool)
-    middle = slice(NEAR + ARM - RUN, NEAR + RUN)
-    for k in range(0, len(i), 4096):
-        x, y = i[k : k + 4096], j[k : k + 4096]
-        some = a.loose[rows[x]] | b.loose[columns[y]]
-        for run in (has[n + y[:, None], at[x][:, middle]], has[x[:, None], at[n + y][:, middle]]):  # around the window, itself in the middle
-            some |= run[:, RUN:].cumprod(axis=1).sum(axis=1) + run[:, RUN - ARM - 1 :: -1].cumprod(axis=1).sum(axis=1) + ARM >= RUN
-        some = np.flatnonzero(some)
-        loose, close = _dense(has[n + y[some, None], at[x[some]]], a, rows[x[some]])
-        some, close = some[loose], close[loose]
-        loose, other = _dense(has[x[some, None], at[n + y[some]]], b, columns[y[some]])
-        fit[k + some[loose & (close | other)]] = True
-    return rows[i[fit]], columns[j[fit]]
-
-
-def meet_all(apart: DataFrame, others: DataFrame, few: int | None = None) -> DataFrame:
-    """apart: _with_surroundings(); others: rows of it. Rows lo, at_lo, hi, at_hi: all pairs of windows of apart and others, of one signature, that are to be compared (see _apart()), if a passage can hold both.
-
-    Similar passages share 8 / 9 of one of them at least (of their mean length) and 4 / 5 of the other. So does some part of a longer one, of WIDTH to
+class _Groups:
+    """Whole groups of windows, each sorted: those that are compared with all others (mine), then the others.
+
+    Without once, link() gives all pairs that are to be compared (see _apart()) and fit. With it a window is alone no more, and two classes are one,
+    as soon as a passage around both windows is verified: these pairs, a forest, are linked, and of those that fit and aren't verified
+    the ones that are still to be compared at the end.
+    """
+
+    def __init__(self, group: np.ndarray, mine: np.ndarray, keys: list[np.ndarray], near: np.ndarray, once: bool) -> None:
+        self.group, self.mine, self.w, self.once = group, mine, _Windows(keys, near), once
+        self.alone, self.kind = self.w.alone.copy(), self.w.kind.copy()
+
+    def link(self) -> tuple[np.ndarray, np.ndarray]:
+        linked, rest, pool = [], [], []
+        edges = np.flatnonzero(np.diff(self.group)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(self.group)]):
+            others = start + int(self.mine[start:end].sum())
+            if (others - start) * (end - others) <= SMALL:
+                pool.append((np.repeat(np.arange(start, others), end - others), np.tile(np.arange(others, end), others - start)))
+                continue
+            for k in range(others, end, OTHER_ROWS):
+                for m in range(start, others, HELD_ROWS):
+                    i, j = np.arange(m, min(m + HELD_ROWS, others)), np.arange(k, min(k + OTHER_ROWS, end))
+                    self._compare(np.repeat(i, len(j)), np.tile(j, len(i)), linked, rest)
+        if pool:
+            self._compare(*(np.concatenate(c) for c in zip(*pool)), linked, rest)
+        linked += [(h, lo) for h, lo in rest if self._needed(h, lo)]
+        hi, lo = np.array(linked, dtype=np.int64).reshape(-1, 2).T
+        return hi, lo
+
+    def _needed(self, hi: int, lo: int) -> bool:
+        return self.alone[hi] or self.kind[hi] != self.kind[lo]
+
+    def _compare(self, i: np.ndarray, j: np.ndarray, linked: list[tuple[int, int]], rest: list[tuple[int, int]]) -> None:
+        w = self.w
+        up = w.tk[i] > w.tk[j]
+        hi, lo = np.where(up, i, j), np.where(up, j, i)
+        # of two that aren't most, the one of the larger key is in i once
+        open_ = np.flatnonzero((w.tk[i] != w.tk[j]) & (up | w.most[j]) & (self.alone[hi] | (self.kind[hi] != self.kind[lo])))
+        open_ = open_[w.fit(i[open_], j[open_])]
+        hi, lo = hi[open_], lo[open_]
+        order = np.lexsort((w.tk[lo], hi))
+        for h, other in zip(hi[order].tolist(), lo[order].tolist()):
+            if not self.once:
+                linked.append((h, other))
+            elif self._needed(h, other):
+                if w.hold(h, other):
+                    linked.append((h, other))
+                    self.alone[h] = False
+                    kind = self.kind[h], self.kind[other]
+                    if kind[0] != kind[1]:
+                        self.kind[(self.group == self.group[h]) & (self.kind == max(kind))] = min(kind)
+                else:
+                    rest.append((h, other))
+
+
+def meet_all(apart: DataFrame, others: DataFrame, once: bool = False) -> DataFrame:
+    """apart: _with_surroundings(); others: rows of it. Rows lo, at_lo, hi, at_hi: pairs of windows of apart and others, of one signature, that are to be compared (see _apart()), if a passage can hold both.
+
+    Similar passages lack, both together, a ninth of their shingles at most, so a fifth of either. So does some part of a longer one, of WIDTH to
     115 successive shingles, and an edit leaves four shingles or more unmatched, so that part holds a common run of RUN. Pairs without such
-    stretches, the denser one around the window, hold no passage there.
+    stretches around the windows hold no passage there.
 
     One of each pair isn't most: these windows, dealt into parts, meet all others, and a large class doesn't meet itself. Each pair comes once.
-    With few, a window goes with as many that fit at most, of AMONG that come first.
+    With once, the pairs grow with the windows and not with their square where passages are verified by the shingles around: see _Groups.
     """
     columns = ["sig", "part", "held", "tk", "at", "alone", "class", "most", "near"]
     part = F.pmod(F.xxhash64(F.lit(7), "tk", "at"), F.col("parts")).cast("int")
@@ -616,39 +733,35 @@ def meet_all(apart: DataFrame, others: DataFrame, few: int | None = None) -> Dat
     every = others.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "held": F.lit(False)}).select(columns)
     ordered = some.unionByName(every).repartition("sig", "part").sortWithinPartitions("sig", "part", F.col("held").desc(), "tk", "at")
 
+    def linked(rows: pa.Table) -> tuple[_Groups, list[pa.RecordBatch]]:
+        keys = [rows[k].to_numpy() for k in columns[:8]]
+        new = np.append(False, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))
+        groups = _Groups(np.cumsum(new), keys[2], keys[3:], _around(rows["near"].combine_chunks(), keys[4]), once)
+        hi, lo = groups.link()
+        w = groups.w
+        out = [w.tk[lo], w.at[lo], w.tk[hi], w.at[hi]]
+        return groups, [pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["lo", "at_lo", "hi", "at_hi"])] if len(hi) else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, gathered, held, gone, seen = None, [], [], [], 0  # the part, rows of its windows that aren't most; the same in blocks, and how often each went; others read
+        rest = None
         for batch in batches:
-            sig, number, mine = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)]
-            near, out = _around(batch.column(8), keys[1]), []
-            edges = np.flatnonzero((sig[1:] != sig[:-1]) | (number[1:] != number[:-1]) | (mine[1:] != mine[:-1])) + 1
-            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(sig)]):
-                if of != (sig[start], number[start]):
-                    of, gathered, held, seen = (sig[start], number[start]), [], [], 0
-                if mine[start]:
-                    gathered.append(([k[start:end] for k in keys], near[start:end]))
-                    continue
-                if not held:
-                    all_held = _Windows([np.concatenate(c) for c in zip(*(g[0] for g in gathered))], np.concatenate([g[1] for g in gathered]), 1 << 40)
-                    held = [all_held.part(slice(k, k + 128)) for k in range(0, len(all_held.tk), 128)]
-                    gone = [np.zeros(len(h.tk), dtype=np.int64) for h in held]
-                for k in range(start, end, 128):
-                    if few and seen >= AMONG:
-                        break
-                    seen += min(end, k + 128) - k
-                    b = _Windows([c[k : min(end, k + 128)] for c in keys], near[k : min(end, k + 128)], 1 << 41)
-                    for a, often in zip(held, gone):
-                        i, j = _close(a, b)
-                        if few:
-                            nth = np.arange(len(i)) - np.searchsorted(i, i) + often[i]  # i ascends
-                            often += np.bincount(i, minlength=len(often))
-                            i, j = i[nth < few], j[nth < few]
-                        if len(i):
-                            up = a.tk[i] > b.tk[j]
-                            out.append([np.where(up, b.tk[j], a.tk[i]), np.where(up, b.at[j], a.at[i]), np.where(up, a.tk[i], b.tk[j]), np.where(up, a.at[i], b.at[j])])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["lo", "at_lo", "hi", "at_hi"])
+            rows = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, rows]) if rest is not None else rows
+            sig, number = rest["sig"].to_numpy(), rest["part"].to_numpy()
+            last = int(np.searchsorted((sig == sig[-1]) & (number == number[-1]), True)) if len(sig) else 0
+            if last:
+                yield from linked(rest.slice(0, last))[1]
+                rest = rest.slice(last)
+            if rest.num_rows > SLAB:  # the windows that are compared with all stay, as what they are now
+                groups, out = linked(rest)
+                yield from out
+                told = {"alone": groups.alone, "class": groups.kind}
+                for name, values in told.items():
+                    k = rest.schema.get_field_index(name)
+                    rest = rest.set_column(k, rest.schema.field(k), pa.array(values))
+                rest = rest.filter(pa.array(groups.mine))
+        if rest is not None and rest.num_rows:
+            yield from linked(rest)[1]
 
     return small_batches(ordered).mapInArrow(run, "lo long, at_lo int, hi long, at_hi int")
 
@@ -666,8 +779,8 @@ def passages_of_texts(docs: DataFrame, key: Column, *, exact: bool = True) -> tu
 
     Each window is compared with the first of its signature. Then all windows of a signature are compared with each other, but for pairs
     whose larger text has its window covered already by a passage of a smaller text, if both texts are of one class: no passage is left
-    uncovered in the larger text of a similar pair, and no two classes unlinked, because others came first. Comparing with FEW others
-    beforehand leaves less for it, and nothing out. Without exact, only the whole passages around windows that are not covered are compared,
+    uncovered in the larger text of a similar pair, and no two classes unlinked, because others came first. A window goes on to verification with the
+    first other that holds it in a passage; with all that may only where none does (see _Groups). Without exact, only the whole passages around windows that are not covered are compared,
     each with the first of each of its signatures.
 
     Distinct texts are dealt out by key once; what needs some of them comes to where they are.
@@ -688,22 +801,20 @@ def passages_of_texts(docs: DataFrame, key: Column, *, exact: bool = True) -> tu
     links = meet(windows(texts), frequent(texts, texts.count()))
     found = verify(links)
     if exact:
-        apart, tried, done = cut(_places(links)), links.select("lo", "at_lo", "hi", "at_hi"), []
-        for few in (FEW, None):
-            places, apart = apart, _apart(apart, found)
-            discard(places)
-            if apart.isEmpty():
-                break
+        places = cut(_places(links))
+        apart = _apart(places, found)
+        discard(places)
+        if not apart.isEmpty():
             near = cut(_with_surroundings(apart, of(apart.select("tk").distinct())))
             more = near.where(F.size("more") > 0).groupBy(F.col("tk").alias("hi"), F.col("at").alias("at_hi")).agg(F.flatten(F.collect_set("more")).alias("more"))
             all_at = F.concat(F.array("at_hi"), F.coalesce("more", F.array().cast("array<int>")))
-            met = meet_all(near, near, few).join(more, ["hi", "at_hi"], "left").select("lo", "at_lo", "hi", F.explode(all_at).alias("at_hi"))
-            again = cut(met.distinct().join(tried, ["lo", "at_lo", "hi", "at_hi"], "left_anti"))
+            met = meet_all(near, near, once=True).join(more, ["hi", "at_hi"], "left").select("lo", "at_lo", "hi", F.explode(all_at).alias("at_hi"))
+            tried = ["lo", "at_lo", "hi", "at_hi"]
+            again = cut(met.distinct().join(links.select(tried), tried, "left_anti"))
+            found = found.unionByName(verify(again)).distinct()
             discard(near)
-            done += [found, again]
-            found, tried = cut(found.unionByName(verify(again)).distinct()), tried.unionByName(again)
-        for rows in (apart, *done):
-            discard(rows)
+            discard(again)
+        discard(apart)
     else:
         rest = _uncovered(links, found)
         if not rest.isEmpty():

@@ -407,3 +407,42 @@ def test_pairs_that_go_to_verification_are_those_that_can_hold_a_passage(spark):
     table = [(*r[:-1], r[-1].astype(np.uint32).view(np.int32)[max(0, r[2] - substring.NEAR) : r[2] + substring.ARM + substring.NEAR].tolist()) for r in rows]
     windows = spark.createDataFrame(table, "tk long, sig long, at int, alone boolean, class long, most boolean, parts int, near array<int>")
     assert {(r.lo, r.hi) for r in substring.meet_all(windows, windows).collect()} == {(2 * s, 2 * s + 1) for s in range(5)}
+
+
+def test_links_grow_with_the_windows_of_a_group_and_lose_nothing(spark):
+    """Near copies, each with edits of its own, of classes of their own: one link covers a window, and all come into one class; pairs that hold no passage aren't linked."""
+    rng, rows, n = random.Random(71), [], 150
+    whole = words(rng, 140)
+    for k in range(n):
+        text = whole[:]
+        for at in (20, 120) if k % 3 else (35, 105):
+            text[at + rng.randrange(5)] = f"edit{k}"
+        near = substring.shingle_hashes(" ".join(text).encode()).astype(np.uint32).view(np.int32)
+        rows.append((k, 1, 60, True, k, False, 1, near[: 60 + substring.ARM + substring.NEAR].tolist()))
+    for k in range(n, n + 40):  # the run alone
+        text = words(rng, 55) + whole[55:80] + words(rng, 60)
+        near = substring.shingle_hashes(" ".join(text).encode()).astype(np.uint32).view(np.int32)
+        rows.append((k, 1, 60, True, k, False, 1, near.tolist()))
+    windows = spark.createDataFrame(rows, "tk long, sig long, at int, alone boolean, class long, most boolean, parts int, near array<int>").repartition(3)
+    met = [(r.lo, r.hi) for r in substring.meet_all(windows, windows, once=True).collect()]
+    assert len(met) == n - 1 and {hi for _, hi in met} == set(range(1, n)) and all(lo < hi for lo, hi in met)
+    every = {(r.lo, r.hi) for r in substring.meet_all(windows, windows).collect()}
+    assert every == {(a, b) for b in range(n) for a in range(b)} and set(met) < every
+
+
+def test_passages_between_dense_edits_are_found_wherever_a_text_is_split():
+    """Edits all along, one stretch of 46 shingles or more with one edit: however far the edits beside it are."""
+    rng = random.Random(72)
+    for _ in range(40):
+        whole = words(rng, 200)
+        edited = whole[:]
+        at = rng.randrange(60, 80)
+        for k in [*range(5, at, 9), at + 25 + rng.randrange(-3, 4), *range(at + 53, 200, 9)]:
+            edited[k] = "edit"
+        hi, lo = (substring.shingle_hashes(" ".join(t).encode()) for t in (edited, whole))
+        x, y = substring._matched(hi, lo, 0)
+        found = substring._stretches(hi, lo, x, y)
+        assert plain_similar(hi, lo, 46) == bool(found)
+        for a, b, c, d, like in found:
+            both = len(np.intersect1d(hi[a : b + 1], lo[c : d + 1]))
+            assert min(b - a, d - c) >= 45 and like >= 0.8 and like == both / (b - a + d - c + 2 - both)
