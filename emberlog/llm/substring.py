@@ -314,7 +314,7 @@ def _passages(hi: np.ndarray, lo: np.ndarray, meets: np.ndarray) -> list[tuple[i
             left, low, end = max(0, x0 - AROUND), max(0, y0 - AROUND), min(len(lo), y0 + ARM + AROUND)
             if same[end] > same[low]:
                 x, y = _matched(hi[left : x0 + ARM + AROUND], lo[low:end], x0 - left - y0 + low)
-                out += _stretches(hi, lo, left + x, low + y)
+                out += _verify(hi, lo, left + x, low + y, again) + _stretches(hi, lo, left + x, low + y)
     return _merged(out)
 
 
