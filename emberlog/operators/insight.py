@@ -72,6 +72,7 @@ def templates(forms: DataFrame, group: list[str]) -> DataFrame:
     present ones share, of equal ones the least text, so the result doesn't depend on how rows lie.
 
     Each round is a count of keys and a join, over distinct templates only: messages are counted before.
+    Joins are of sorted rows: files of repeated words are far smaller than the rows in them, so by their size Spark would broadcast too much.
     """
     now = scratch.written(forms.select(*group, "words", F.col("words").alias("template")))
     for together in range(1, TOGETHER + 1):
@@ -97,8 +98,8 @@ def _generalised(now: DataFrame, present: DataFrame, group: list[str], together:
     keys = keys.where(fixed * 2 >= F.size("key"))
     least = F.when(F.size("key") >= SHORT, 2).otherwise(VALUES)
     shared = keys.groupBy(*group, "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    best = keys.join(shared, [*group, "key"]).groupBy(*group, "template").agg(F.min(F.struct((-F.col("n")).alias("n"), "key"))["key"].alias("key"))
-    return now.join(best, [*group, "template"], "left").select(*group, "words", F.coalesce("key", "template").alias("template"))
+    best = keys.join(shared.hint("merge"), [*group, "key"]).groupBy(*group, "template").agg(F.min(F.struct((-F.col("n")).alias("n"), "key"))["key"].alias("key"))
+    return now.join(best.hint("merge"), [*group, "template"], "left").select(*group, "words", F.coalesce("key", "template").alias("template"))
 
 
 def clusters(logs: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -106,7 +107,7 @@ def clusters(logs: DataFrame, group: list[str] | None = None) -> DataFrame:
     group = ["pack", "source"] if group is None else group
     seen = logs.groupBy(*group, words_of("message").alias("words")).agg(F.count("*").alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min("message").alias("example"))
     seen = scratch.written(seen)
-    named = seen.join(templates(seen.select(*group, "words"), group), [*group, "words"])
+    named = seen.join(templates(seen.select(*group, "words"), group).hint("merge"), [*group, "words"])
     sums = named.groupBy(*group, "template").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("example").alias("example"))
     return sums.withColumn("template", F.array_join("template", " "))
 
